@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandwork.llm import packing
+from strandwork.llm import packing, quality
 from strandwork.llm.common import read_table
 
 
@@ -19,5 +19,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), public_vocabulary, keep_ids=False)
 
 
-QUERIES = {"op6_packing": op6_packing}
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return quality.judge(docs).drop("text", "lang")
+
+
+QUERIES = {"op6_packing": op6_packing, "op8_quality": op8_quality}
 ORACLES: dict[str, str] = {}
