@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandwork.llm import packing, quality
+from strandwork.llm import mixing, packing, quality, sharding
 from strandwork.llm.common import read_table
 
 
@@ -24,5 +24,20 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs).drop("text", "lang")
 
 
-QUERIES = {"op6_packing": op6_packing, "op8_quality": op8_quality}
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(read_table(spark, sf_dir, "documents"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    units = mixing.plan(read_table(spark, sf_dir, "documents"))
+    each = units.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
+    return each.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+
+
+QUERIES = {
+    "op4_sharding": op4_sharding,
+    "op5_mixing": op5_mixing,
+    "op6_packing": op6_packing,
+    "op8_quality": op8_quality,
+}
 ORACLES: dict[str, str] = {}
