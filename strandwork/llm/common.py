@@ -51,3 +51,12 @@ def free_name(df: DataFrame, wanted: str) -> str:
     while wanted.lower() in taken:
         wanted += "_"
     return wanted
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], spread: list[str], how: str = "inner", salts: int = 16) -> DataFrame:
+    """An equi-join for keys that many rows of ``left`` may share: they are dealt by a salt too (a hash of ``spread``),
+    and the rows of ``right``, which has a key once, are repeated for each salt."""
+    salt = free_name(left, "__salt")
+    many = left.withColumn(salt, F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
+    few = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return many.join(few, [*keys, salt], how).drop(salt)

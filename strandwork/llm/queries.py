@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandwork.llm import lines, mixing, packing, quality, sharding, warc
+from strandwork.llm import lines, mixing, neardup, packing, quality, sharding, warc
 from strandwork.llm.common import read_table, shared_dir
 
 
@@ -40,18 +40,23 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
+def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text_key")
+
+
 def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return lines.remove_repeated(docs).withColumn("n_chars_left", F.length("text"))
 
 
 QUERIES = {
-    "op10_lines": op10_lines,
     "op3_warc": op3_warc,
     "op4_sharding": op4_sharding,
     "op5_mixing": op5_mixing,
     "op6_packing": op6_packing,
     "op8_quality": op8_quality,
+    "op9_neardup": op9_neardup,
+    "op10_lines": op10_lines,
 }
 #: Records with equal payloads of 1000 bytes or more: the largest page_id is the response.
 WARC_SQL = """
