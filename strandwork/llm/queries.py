@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandwork.llm import lines, mixing, neardup, packing, quality, sharding, warc
+from strandwork.llm import forest, lines, mixing, neardup, packing, quality, sharding, warc
 from strandwork.llm.common import read_table, shared_dir
 
 
@@ -26,6 +26,11 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs).drop("text", "lang")
 
 
+def op1_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return forest.nearest(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read_table(spark, sf_dir, "pages"), f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
 
@@ -50,6 +55,7 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_forest": op1_forest,
     "op3_warc": op3_warc,
     "op4_sharding": op4_sharding,
     "op5_mixing": op5_mixing,
