@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandwork.llm import forest, lines, mixing, neardup, packing, quality, sharding, warc
+from strandwork.llm import forest, lines, mixing, neardup, packing, quality, sharding, urltree, warc
 from strandwork.llm.common import read_table, shared_dir
 
 
@@ -31,6 +31,17 @@ def op1_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.nearest(vectors, vectors.where("vec_id % 50 = 0"))
 
 
+URL_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
+
+
+def op2_urltree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page shows the document whose number its url names; the document's toxicity label is the page's."""
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    shown = pages.select("page_id", F.regexp_extract("url", r"/(\d+)(?:\.\w+|/)?(?:[?#].*)?$", 1).try_cast("long").alias("doc_id"))
+    labels = shown.join(read_table(spark, sf_dir, "labels"), "doc_id").select("page_id", (F.col("toxic") == 1).alias("bad"))
+    return urltree.judge(pages, labels, URL_RULES)
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read_table(spark, sf_dir, "pages"), f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
 
@@ -56,6 +67,7 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_forest": op1_forest,
+    "op2_urltree": op2_urltree,
     "op3_warc": op3_warc,
     "op4_sharding": op4_sharding,
     "op5_mixing": op5_mixing,
