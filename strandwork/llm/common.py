@@ -60,3 +60,9 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], spread: list
     many = left.withColumn(salt, F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     few = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return many.join(few, [*keys, salt], how).drop(salt)
+
+
+def apart(df: DataFrame, name: str, expression: Column) -> DataFrame:
+    """``df`` with a column that later expressions read as a value: a projection would be merged into them and be
+    evaluated again at each of its uses, an exploded array of one element is not."""
+    return df.select("*", F.explode(F.array(expression)).alias(name))

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandwork.llm import forest, lines, mixing, neardup, packing, quality, sharding, urltree, warc
+from strandwork.llm import forest, lines, mixing, neardup, packing, quality, secrets, sharding, urltree, warc
 from strandwork.llm.common import read_table, shared_dir
 
 
@@ -21,6 +21,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), public_vocabulary, keep_ids=False)
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return secrets.scan(docs).drop("path")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     return quality.judge(docs).drop("text", "lang")
@@ -72,6 +77,7 @@ QUERIES = {
     "op4_sharding": op4_sharding,
     "op5_mixing": op5_mixing,
     "op6_packing": op6_packing,
+    "op7_secrets": op7_secrets,
     "op8_quality": op8_quality,
     "op9_neardup": op9_neardup,
     "op10_lines": op10_lines,

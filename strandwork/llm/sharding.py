@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from strandwork.llm.common import saved
+from strandwork.llm.common import apart, saved
 
 BITS = 3
 SLICES_LOG2 = 10
@@ -46,20 +46,14 @@ def _hilbert(df: DataFrame, axes: list[str], bits: int, into: str) -> DataFrame:
         f"WHEN a[{i}] & {q} != 0 THEN IF(j = 0, x ^ {p}, x) "
         f"WHEN j = 0 OR j = {i} THEN x ^ ((a[0] ^ a[{i}]) & {p}) ELSE x END))"
     )
-    df = _apart(df, state, undone if bits > 1 else f"array({', '.join(axes)})")
-    df = _apart(df, gray, f"transform({state}, (x, j) -> aggregate(slice({state}, 1, j + 1), 0, (a, y) -> a ^ y))")
+    df = apart(df, state, F.expr(undone if bits > 1 else f"array({', '.join(axes)})"))
+    df = apart(df, gray, F.expr(f"transform({state}, (x, j) -> aggregate(slice({state}, 1, j + 1), 0, (a, y) -> a ^ y))"))
     turned = f"aggregate(sequence(1, {bits - 1}), 0, (t, k) -> IF({gray}[{n - 1}] & shiftleft(1, k) != 0, t ^ (shiftleft(1, k) - 1), t))"
-    df = _apart(df, flip, turned if bits > 1 else "0")
+    df = apart(df, flip, F.expr(turned if bits > 1 else "0"))
     index = f"aggregate(sequence({bits - 1}, 0), 0, (a, k) -> aggregate({gray}, a, (c, x) -> shiftleft(c, 1) | (shiftright(x ^ {flip}, k) & 1)))"
     return df.withColumn(into, F.expr(index)).drop(*axes, state, gray, flip)
 
 
-def _apart(df: DataFrame, name: str, expression: str) -> DataFrame:
-    """``df`` with a column that later expressions read as a value: a projection would be merged into them and be
-    evaluated again at each of its uses, an exploded array of one element is not."""
-    return df.select("*", F.explode(F.array(F.expr(expression))).alias(name))
-
-
 def with_curve(df: DataFrame, dims: Sequence[str], bits: int = BITS, into: str = "curve") -> DataFrame:
     """``df`` with the Hilbert index of ``dims``, each quantised into 2^bits steps of equal width between its least and
     greatest value; null is the lowest level. One row of bounds reaches the driver."""
