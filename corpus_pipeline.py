@@ -1,15 +1,72 @@
-"""Corpus pipeline over the documents table."""
+"""Corpus pipeline: quality rules, line dedup, near-duplicate removal, mixing to target weights, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is written as Parquet and read again as the
+next stage's ``docs``. All stages but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandwork.llm import lines, mixing, neardup, packing, quality
+from strandwork.llm.common import shared_dir
+from strandwork.llm.queries import public_vocabulary
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    judged = quality.judge(docs, prefix="quality_rules_")
+    return judged.where(judged.columns[-1]).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that an earlier document has; those of which nothing is left go."""
+    cut = lines.remove_repeated(docs)
+    changed = F.col(cut.columns[-1]) > 0
+    left = cut.where(~changed | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    if "n_chars" in docs.columns:
+        left = left.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return left.select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the least id of each group of near duplicates."""
+    found = neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key"))
+    return docs.join(found, same, "left_semi")
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, repeated ones as often as they are taken."""
+    return mixing.mix(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents with their token ids, in sequences of up to 1024."""
+    return packing.pack(docs, public_vocabulary)
+
 
-STAGES: list = []
+STAGES = [
+    ("quality rules", keep_good),
+    ("line dedup", cut_repeated_lines),
+    ("near duplicates", one_of_each_group),
+    ("mixing", mixed),
+    ("packing", packed),
+]
+#: No SQL expresses divergence from trained references, MinHash regions and tokens.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over ``documents``, each result written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for n, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if n + 1 < len(STAGES):
+            docs.write.parquet(f"{base}/{n}")
+            docs = spark.read.parquet(f"{base}/{n}")
     return docs
