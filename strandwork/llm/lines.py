@@ -19,11 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from strandwork.llm.common import free_name
+from strandwork.llm.common import free_name, saved, spread_join
 
 LINE_END = re.compile(r"\n|(?<=[.!?])[ \t]+")
 CHUNK = 1 << 20
 SALTS = 16
+LINE_BITS = 24
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)  # odd multipliers
 _LOW = (1 << 64) - 1
 
@@ -67,7 +68,7 @@ def _windows(texts: list[str], lines: int, min_words: int) -> tuple[np.ndarray,
 
 
 def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lines: int = 3, min_words: int = 12) -> DataFrame:
-    """The lines to remove: ``__id``, ``__key`` (hash of the text) and ``__lines``, the numbers of the covered lines of
+    """The lines to remove: ``__id``, ``__key`` (upper 40 bits of the text's hash) and ``__lines``, the numbers of the covered lines of
     each document that has any. A window of under ``min_words`` words does not count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,14 +88,22 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     text = F.col(f"`{text_col}`").cast("string")
     parts = docs.select(F.col(f"`{id_col}`").alias("__id"), F.xxhash64(text).alias("__key"), text.alias("__text"))
     windows = parts.mapInArrow(run, f"__id {kind}, __key long, __at int, __x long, __y long")
-    place = F.struct("__id", "__key", "__at")
-    often = windows.groupBy("__x", "__y").agg(F.count(F.lit(1)).alias("__n"), F.min(place).alias("__first")).where("__n > 1").drop("__n")
-    # a window's occurrences are dealt by a salt too, so that a very common one does not meet in one task
+    # narrow rows, since there is one for each line: a place is the upper 40 bits of the text's hash and the line number
+    place = F.col("__key").bitwiseAND(F.lit(-(1 << LINE_BITS))).bitwiseOR(F.col("__at").cast("long"))
+    windows = windows.select("__id", place.alias("__place"), "__x", "__y")
+    often = windows.groupBy("__x", "__y").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
+    # occurrences are dealt by a salt too, folded into one half of the hash, so that a very common one is spread
     often = often.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = windows.withColumn("__salt", F.pmod(F.xxhash64("__id", "__key", "__at"), F.lit(SALTS)).cast("int"))
-    later = salted.join(often, ["__x", "__y", "__salt"]).where(~place.eqNullSafe(F.col("__first")))
-    covered = F.explode(F.sequence(F.col("__at"), F.col("__at") + lines - 1))
-    return later.select("__id", "__key", covered.alias("__line")).groupBy("__id", "__key").agg(F.collect_set("__line").alias("__lines"))
+    often = often.select(F.col("__x").bitwiseXOR(F.col("__salt")).alias("__x"), "__y", F.col("__x").alias("__hash"))
+    salt = F.pmod(F.xxhash64("__id", "__place"), F.lit(SALTS))
+    found = saved(windows.withColumn("__x", F.col("__x").bitwiseXOR(salt)).join(often, ["__x", "__y"]).select("__id", "__place", "__hash", "__y"))
+    here = F.struct("__id", "__place")
+    first = found.groupBy("__hash", "__y").agg(F.min(here).alias("__first"))
+    later = spread_join(found, first, ["__hash", "__y"], ["__id", "__place"]).where(~here.eqNullSafe(F.col("__first")))
+    number = F.col("__place").bitwiseAND(F.lit((1 << LINE_BITS) - 1))
+    covered = F.explode(F.sequence(number, number + lines - 1)).alias("__line")
+    each = later.select("__id", F.shiftright("__place", LINE_BITS).alias("__key"), covered).withColumn("__line", F.col("__line").cast("int"))
+    return each.groupBy("__id", "__key").agg(F.collect_set("__line").alias("__lines"))
 
 
 def remove_repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lines: int = 3, min_words: int = 12) -> DataFrame:
@@ -127,7 +136,9 @@ def remove_repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             cols[text_at] = pa.array(texts, batch.schema.field(text_at).type)
             yield pa.RecordBatch.from_arrays(cols, names=[*columns, n_name, r_name])
 
-    same = F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(f"`{text_col}`").cast("string")) == F.col("__key"))
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (
+        F.shiftright(F.xxhash64(F.col(f"`{text_col}`").cast("string")), LINE_BITS) == F.col("__key")
+    )
     joined = docs.join(gone, same, "left").drop("__id", "__key")
     schema = StructType(list(docs.schema.fields)).add(n_name, "integer").add(r_name, "integer")
     return joined.mapInArrow(run, schema)
