@@ -29,7 +29,7 @@ from strandwork.llm.graph import components
 WORDS = 5
 TREES, DEPTH, LEVELS = 24, 4, 6
 KNOWN_WORDS = 500_000
-REGION, BLOCK, SALTS = 2048, 512, 16
+REGION, BLOCK_BYTES = 2048, 8 << 20
 #: A pair is compared in full where its signature agrees in at least the threshold less four standard errors.
 SLACK = 4.0
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -130,10 +130,19 @@ def _agreeing(pairs: DataFrame, sigs: DataFrame, least: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose full sets have 100 * intersection >= percent * union.
+def _common_enough(one: np.ndarray, two: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have 100 * intersection >= percent * union."""
+    if 100 * min(len(one), len(two)) < percent * max(len(one), len(two)):
+        return False
+    at = np.searchsorted(one, two)
+    both = int((one[np.minimum(at, len(one) - 1)] == two).sum())
+    return 100 * both >= percent * (len(one) + len(two) - both)
+
+
+def _full_sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """``class`` and ``keys`` (the full set) of the classes in ``wanted``; only the texts that stand for them are read.
 
-    ``classes`` names for each class the row of ``docs`` that stands for it; only texts of classes in pairs are read."""
+    ``classes`` names for each class the row of ``docs`` that stands for it."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Hashes()
@@ -143,54 +152,69 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int
             rows = [shingles(t.as_buffer().to_pybytes(), known, width).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["class", "keys"])
 
+    wanted = wanted.distinct().join(classes, "class").select("class", F.col("row.doc_id").alias("wanted_id"), F.col("row.text_key").alias("wanted_key"))
+    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(F.col("wanted_id")) & (docs["text_key"] == F.col("wanted_key")))
+    return saved(texts.select("class", "text").mapInArrow(sets, "class long, keys binary").dropDuplicates(["class"]))
+
+
+def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes that are linked on their full sets."""
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                one, two = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(one, two, assume_unique=True))
-                keep.append(100 * both >= percent * (len(one) + len(two) - both))
+            keep = [
+                _common_enough(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent)
+                for x, y in zip(batch.column(2), batch.column(3))
+            ]
             at = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(at), batch.column(1).filter(at)], names=["a", "b"])
 
-    wanted = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct().join(classes, "class")
-    wanted = wanted.select("class", F.col("row.doc_id").alias("wanted_id"), F.col("row.text_key").alias("wanted_key"))
-    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(F.col("wanted_id")) & (docs["text_key"] == F.col("wanted_key")))
-    full = saved(texts.select("class", "text").mapInArrow(sets, "class long, keys binary").dropDuplicates(["class"]))
+    full = _full_sets(pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))), classes, docs, width)
     one = full.select(F.col("class").alias("a"), F.col("keys").alias("keys_a"))
     two = full.select(F.col("class").alias("b"), F.col("keys").alias("keys_b"))
     return saved(pairs.join(one, "a").join(two, "b").select("a", "b", "keys_a", "keys_b").mapInArrow(compare, "a long, b long"))
 
 
-def _mixed_pairs(members: DataFrame, sigs: DataFrame, least: int) -> DataFrame:
-    """Pairs of rows of one region and different components whose signatures agree, over all pairs of blocks of rows.
+def _links_across(members: DataFrame, sigs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, least: int, percent: int) -> DataFrame:
+    """Links (a, b) that join components within regions, from all pairs of blocks of rows.
 
     ``members``: prefix, class, component. Regions of two rows have been compared before; of regions with the same rows
-    one is enough. A region of m blocks is dealt as m * (m + 1) / 2 block pairs."""
+    one is enough. A region of m blocks of BLOCK_BYTES of sets is dealt as m * (m + 1) / 2 block pairs. A task compares
+    every pair of rows of different components: by signature, and on the full sets where that comes near. A link that
+    it finds makes one component of two, whose rows need no more comparing; so its result is at most one link a row.
+    """
     whole = F.expr("bit_xor(xxhash64(class))")
-    mixed = members.groupBy("prefix").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("rows"), whole.alias("print"))
-    mixed = mixed.where("lo != hi AND rows > 2").groupBy("print", "rows").agg(F.min("prefix").alias("prefix"))
-    mixed = mixed.select("prefix", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
-    rows = spread_join(members, mixed, ["prefix"], ["class"]).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    mixed = members.groupBy("prefix").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("rows"), whole.alias("print"), F.sum("n").alias("size"))
+    mixed = mixed.where("lo != hi AND rows > 2").groupBy("print", "rows").agg(F.min("prefix").alias("prefix"), F.min("size").alias("size"))
+    mixed = saved(mixed.select("prefix", F.ceil(F.col("size") * 8 / BLOCK_BYTES).cast("int").alias("blocks")))
+    rows = saved(spread_join(members, mixed, ["prefix"], ["class"]))
+    full = _full_sets(rows.select("class"), classes, docs, width).join(sigs, "class")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("prefix", "class", "component", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two")).join(sigs, "class")
+    dealt = dealt.select("prefix", "class", "component", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two")).join(full, "class")
 
-    def pairs(frame: pd.DataFrame) -> pd.DataFrame:
+    def links(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["block", "class"], ignore_index=True)
         sig = np.frombuffer(b"".join(frame["sig"]), np.uint32).reshape(len(frame), -1)
-        comp, ids, block = (frame[c].to_numpy() for c in ("component", "class", "block"))
+        sets = [np.frombuffer(x, np.uint64) for x in frame["keys"]]
+        size = np.array([len(x) for x in sets])
+        comp, ids, block = frame["component"].to_numpy().copy(), frame["class"].to_numpy(), frame["block"].to_numpy()
         across = frame["one"].iat[0] != frame["two"].iat[0]
         a, b = [], []
         for i in range(len(frame) - 1):
-            other = comp[i + 1 :] != comp[i]
-            rest = np.flatnonzero(other & (block[i + 1 :] != block[i]) if across else other) + i + 1
+            rest = np.arange(i + 1, len(frame))
+            rest = rest[(comp[rest] != comp[i]) & (100 * np.minimum(size[rest], size[i]) >= percent * np.maximum(size[rest], size[i]))]
+            if across:
+                rest = rest[block[rest] != block[i]]
             if len(rest):
-                near = rest[(sig[rest] == sig[i]).sum(axis=1) >= least]
-                a += [min(ids[i], x) for x in ids[near]]
-                b += [max(ids[i], x) for x in ids[near]]
+                for j in rest[(sig[rest] == sig[i]).sum(axis=1) >= least]:
+                    if comp[j] != comp[i] and _common_enough(sets[i], sets[j], percent):
+                        a.append(ids[i])
+                        b.append(ids[j])
+                        comp[comp == comp[j]] = comp[i]
         return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
-    return dealt.groupBy("prefix", "one", "two").applyInPandas(pairs, "a long, b long").distinct()
+    return saved(dealt.groupBy("prefix", "one", "two").applyInPandas(links, "a long, b long"))
 
 
 def near_duplicates(
@@ -218,7 +242,7 @@ def near_duplicates(
     sets = saved(_sets(rows, width, trees, depth, levels))
     linked = sets.where("n > 0")
     row = F.struct("doc_id", "text_key")
-    each = linked.groupBy("class").agg(F.min("doc_id").alias("low"), F.min(row).alias("row"), F.min("sig").alias("sig"), F.min("prefixes").alias("prefixes"), F.min("deeper").alias("deeper"))
+    each = linked.groupBy("class").agg(F.min("n").alias("n"), F.min("doc_id").alias("low"), F.min(row).alias("row"), F.min("sig").alias("sig"), F.min("prefixes").alias("prefixes"), F.min("deeper").alias("deeper"))
     classes = saved(each)
     sigs = classes.select("class", "sig")
     total = trees * levels
@@ -241,9 +265,10 @@ def near_duplicates(
     named = classes.select("class", "row")
     edges = _confirmed(first, named, rows, width, percent)
     found = components(edges).withColumnRenamed("node", "class")
-    known = members.select("prefix", "class").join(found, "class", "left").withColumn("component", F.coalesce("component", "class"))
-    more = saved(_mixed_pairs(saved(known), sigs, least).join(first, ["a", "b"], "left_anti"))
-    found = components(edges.union(_confirmed(more, named, rows, width, percent))).withColumnRenamed("node", "class")
+    known = members.select("prefix", "class").join(classes.select("class", "n"), "class").join(found, "class", "left")
+    known = saved(known.withColumn("component", F.coalesce("component", "class")))
+    edges = edges.union(_links_across(known, sigs, named, rows, width, least, percent))
+    found = components(edges).withColumnRenamed("node", "class")
     rooted = classes.select("class", "low").join(found, "class", "left").withColumn("root", F.coalesce("component", "class")).drop("component")
     lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     rooted = spread_join(rooted, lows, ["root"], ["class"]).select("class", "component_id")
