@@ -1,0 +1,110 @@
+"""GFF3 parsing, intervals and labels."""
+
+import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+
+from strandwork.operators import intervals, windows
+from strandwork.plans import generators
+from strandwork.sources import gff3
+
+
+def line(kind="exon", a="5", b="9", score=".", strand="+", phase=".", landmark="s"):
+    return "\t".join([landmark, "src", kind, a, b, score, strand, phase, "ID=x;Name=y=z"])
+
+
+def parsed(spark, *lines, **options):
+    df = spark.createDataFrame(list(enumerate(lines)), "line_no long, value string")
+    return gff3.parse_lines(df, **options).orderBy("line_no").collect()
+
+
+def features(spark, *rows):
+    return spark.createDataFrame(list(rows), "line_no long, landmark string, feature_type_strand string, start long, end long")
+
+
+def test_fields_and_null_rules(spark):
+    rows = parsed(spark, line(score="", phase=""), line(score="."), line(score="1.0"), line(score="1"))
+    assert [r.score for r in rows] == [None, None, 1.0, 1.0]
+    assert [r.strand for r in parsed(spark, *(line(strand=s) for s in ("+", "-", "", "Notastrand")))] == ["+", "-", None, None]
+    assert [r.phase for r in parsed(spark, *(line(phase=p) for p in ("", "0", "1", "2", "3")))] == [None, 0, 1, 2, None]
+    assert [r.feature_type_strand for r in parsed(spark, *(line(strand=s) for s in "-+."))] == ["exon_Minus", "exon_Plus", "exon"]
+    assert [(r.start, r.end) for r in parsed(spark, line(a="9", b="5"))] == [(5, 9)]
+
+
+def test_comments_and_landmark_types_are_left_out(spark):
+    kinds = ("chromosome", "Chromosome", "CHROMOSOME", "chromosomE", "Region", "scaffold", "contig")
+    assert parsed(spark, "##gff", "# x", *(line(kind=k) for k in kinds)) == []
+    assert [r.feature_type for r in parsed(spark, line(kind="EXON"))] == ["exon"]
+
+
+@pytest.mark.parametrize("bad", ["a\tb", line() + "\textra", line(a="x"), line(score="high"), line(phase="p"), ""])
+def test_corrupt_lines(spark, bad):
+    rows = parsed(spark, bad, line())
+    assert [r.corrupt for r in rows] == [bad, None]
+    assert rows[0].start is None
+    assert len(parsed(spark, bad, line(), mode="DROPMALFORMED")) == 1
+    with pytest.raises(PySparkException):
+        parsed(spark, bad, line(), mode="FAILFAST")
+
+
+def test_attribute_map(spark):
+    df = gff3.parse_lines(spark.createDataFrame([(0, line())], "line_no long, value string"))
+    assert gff3.attribute_map(df).first().attribute_map == {"ID": "x", "Name": "y=z"}
+
+
+def test_type_order_by_last_and_first_line(spark):
+    df = features(spark, (1, "s", "m", 0, 1), (2, "s", "g", 0, 1), (3, "s", "m", 0, 1))
+    assert [r.feature_type_strand for r in intervals.type_dictionary(df).orderBy("idx").collect()] == ["g", "m"]
+    assert [r.feature_type_strand for r in intervals.type_dictionary(df, by_first=True).orderBy("idx").collect()] == ["m", "g"]
+    assert [r.vector for r in intervals.one_hot_types(intervals.type_dictionary(df)).orderBy("idx").collect()] == [[1, 0], [0, 1]]
+
+
+def test_merge_and_coverage(spark):
+    df = features(spark, (1, "s", "a", 5, 9), (2, "s", "b", 9, 12), (3, "s", "c", 6, 7), (4, "s", "d", 13, 14), (5, "t", "e", 0, 3))
+    rows = sorted(tuple(r) for r in intervals.merge_intervals(df).select("landmark", "start", "end", "n_features", "feature_type_strand").collect())
+    assert rows == [("s", 5, 12, 3, "a"), ("s", 13, 14, 1, "d"), ("t", 0, 3, 1, "e")]
+    assert {r.landmark: r.coverage for r in intervals.coverage(intervals.merge_intervals(df)).collect()} == {"s": 8, "t": 3}
+
+
+def test_annotation_file_facts(spark, tmp_path):
+    """Features that touch, repeat and nest, read from a file: the merged coverage is that of their union."""
+    text = "##gff-version 3\n" + "\n".join(line(a=str(a), b=str(b)) for a, b in ((10, 20), (15, 30), (30, 31), (50, 60))) + "\n"
+    (tmp_path / "a.gff3").write_text(text)
+    found = gff3.read_gff3(spark, str(tmp_path / "a.gff3"))
+    assert intervals.coverage(intervals.merge_intervals(found)).first().coverage == 31
+
+
+@pytest.mark.parametrize("bin_size", [4, 7, 1024])
+def test_labels_against_direct_enumeration(spark, bin_size):
+    seq = "ACGTTGCAACGTTAGCACGTACGTTAG"
+    df = windows.passes(windows.split_chunks(spark.createDataFrame([("s", seq), ("t", seq)], "id string, seq string")), 5, sliding=False)
+    kmers = windows.kmers(df, 5)
+    rows = [(1, "s", "a", 2, 11), (2, "s", "b", 4, 4), (3, "s", "a", 9, 24), (4, "u", "b", 0, 9), (5, "s", "b", 5, 9)]
+    f = features(spark, *rows)
+    types = intervals.type_dictionary(f)
+    idx = {r.feature_type_strand: r.idx for r in types.collect()}
+    for options in ({}, {"one_based": True}, {"orient": True}):
+        found = intervals.label_kmers(kmers, f, types, key=["id", "rc", "kmer_idx"], bin_size=bin_size, **options)
+        mine = {(r.id, r.rc, r.kmer_idx, r.type_idx): r.positions for r in found.collect()}
+        plain = {}
+        for k in kmers.collect():
+            for _, landmark, kind, s, t in rows:
+                s, t = s - bool(options.get("one_based")), t - bool(options.get("one_based"))
+                if landmark == k.id and s < k.end and t > k.start:
+                    at = [p - k.start if not (options.get("orient") and k.rc) else k.end - p for p in range(max(s, k.start), min(t, k.end) + 1)]
+                    plain.setdefault((k.id, k.rc, k.kmer_idx, idx[kind]), set()).update(at)
+        assert mine == {k: sorted(v) for k, v in plain.items()}
+
+
+def test_labelled_windows(spark):
+    df = spark.createDataFrame([("s", "ACGTACGTACGTA"), ("t", "ACGTACGTACGTA")], "id string, seq string")
+    f = features(spark, (1, "s", "a", 1, 5), (2, "s", "b", 4, 6))
+    found, types = generators.gff3_kmers(df, f, 3, 2)
+    rows = found.where("offset = 0 AND NOT rc AND window_idx = 0").orderBy("id").collect()
+    assert types.count() == 2
+    assert rows[0].classifications == [[[0, 0], [1, 0], [1, 0]], [[1, 0], [1, 1], [1, 1]]]
+    assert rows[1].classifications == [[[0, 0]] * 3] * 2
+    assert len(rows[0].kmers[0]) == 15
+    merged = generators.gff3_kmers(df, f, 3, 2, merged=True)[0].where("id = 's' AND offset = 0 AND NOT rc AND window_idx = 0").first()
+    assert merged.classifications == [[[0, 0], [1, 0], [1, 0]], [[1, 0], [1, 0], [1, 0]]]
+    assert found.select(F.size("kmers")).distinct().count() == 1
