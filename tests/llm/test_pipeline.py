@@ -1,0 +1,72 @@
+"""The pipeline's stages one after another, each held to what it must do with its own input."""
+
+import zlib
+from collections import Counter
+
+import pytest
+
+import corpus_pipeline
+from strandwork.llm import lines
+from strandwork.llm.queries import ORACLES, QUERIES
+
+
+@pytest.fixture(scope="module")
+def results(spark, sf_dir, tmp_path_factory):
+    base = tmp_path_factory.mktemp("stages")
+    docs = [spark.read.parquet(f"{sf_dir}/documents.parquet")]
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs[-1], sf_dir).write.parquet(f"{base}/{i}")
+        docs.append(spark.read.parquet(f"{base}/{i}"))
+    return docs
+
+
+def texts(df):
+    return Counter((r.doc_id, r.text) for r in df.collect())
+
+
+def test_columns(results):
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "line dedup", "near duplicates", "mixing", "packing"]
+    assert all(df.columns == results[0].columns for df in results[:5])
+
+
+def test_each_stage_takes_effect(spark, results, sf_dir):
+    start, good, cut, single, mixed, packed = results
+    assert 0.8 * start.count() < good.count() < start.count()
+    assert texts(good) <= texts(start)
+    assert {k for k, _ in texts(cut)} <= {k for k, _ in texts(good)}
+    seen = Counter()
+    for r in cut.collect():
+        units = [r.text[s:e].strip() for s, e in lines.line_spans(r.text)]
+        seen.update({tuple(units[j : j + 3]) for j in range(len(units) - 2) if sum(x.count(" ") + 1 for x in units[j : j + 3]) >= 12})
+    assert sum(n > 1 for n in seen.values()) <= 0.01 * len(seen)  # a cut may bring lines together
+    assert all(r.n_chars == len(r.text) for r in cut.join(good.withColumnsRenamed({"text": "old"}).select("doc_id", "old"), "doc_id").where("text <> old").collect())
+    assert texts(single) <= texts(cut)
+    assert max(Counter(t for _, t in texts(single)).values()) == 1
+    assert max(texts(mixed).values()) == 2
+    assert set(texts(mixed)) <= set(texts(single))
+    assert packed.selectExpr("sum(length)").first()[0] == sum(r.doc_tokens for r in packed.select("doc_id", "doc_tokens", "start", "sequence_id").where("start = 0").collect())
+    assert all(zlib.crc32(r.ids) == r.ids_crc32 for r in packed.limit(50).collect())
+
+
+def test_run_equals_the_stages(spark, results, sf_dir):
+    assert corpus_pipeline.run(spark, sf_dir).selectExpr("sum(length)").first()[0] == results[5].selectExpr("sum(length)").first()[0]
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_queries_equal_sql(spark, duck, sf_dir, name):
+    df = QUERIES[name](spark, sf_dir)
+    columns = sorted(df.columns)
+    mine = sorted((tuple(r) for r in df.select(*columns).collect()), key=str)
+    theirs = sorted(duck.sql(f"SELECT {', '.join(columns)} FROM ({ORACLES[name]})").fetchall(), key=str)
+    assert mine == theirs
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_queries_answer_for_their_whole_table(spark, sf_dir, name):
+    table = {"op1_forest": "embeddings", "op2_urltree": "pages", "op3_warc": "pages"}.get(name, "documents")
+    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet").count()
+    n = QUERIES[name](spark, sf_dir).count()
+    if name == "op1_forest":
+        assert n == 5 * spark.read.parquet(f"{sf_dir}/{table}.parquet").where("vec_id % 50 = 0").count()
+    elif name not in ("op6_packing", "op7_secrets"):
+        assert n == rows
