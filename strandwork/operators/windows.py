@@ -43,22 +43,28 @@ def split_chunks(sequences: DataFrame, *, seq_col: str = "seq", keep_case: bool
 
 
 def passes(chunks: DataFrame, k: int, *, sliding: bool = True, both_strands: bool = True, offset: int = 0) -> DataFrame:
-    """Each chunk once for each ``offset`` (0 to k - 1, or one) and strand ``rc``: one job in place of 2k scans."""
+    """Each chunk once for each ``offset`` (0 to k - 1, or one) and strand ``rc``, with the bases of that ``strand``: one
+    job in place of 2k scans. A chunk is complemented once, not for each offset."""
     offsets = F.sequence(F.lit(0), F.lit(k - 1)) if sliding else F.array(F.lit(offset))
-    strands = F.array(F.lit(False), F.lit(True)) if both_strands else F.array(F.lit(False))
-    return chunks.select("*", F.explode(offsets).alias("offset")).select("*", F.explode(strands).alias("rc"))
+    strands = [F.struct(F.lit(False).alias("rc"), F.col("chunk").alias("strand"))]
+    if both_strands:
+        strands.append(F.struct(F.lit(True).alias("rc"), reverse_complement(F.col("chunk")).alias("strand")))
+    return chunks.select("*", F.inline(F.array(*strands))).select("*", F.explode(offsets).alias("offset"))
 
 
-def with_kmers(passed: DataFrame, k: int, *, keep_last: bool = False) -> DataFrame:
+def with_kmers(passed: DataFrame, k: int, *, keep_last: bool = False, least: int = 1) -> DataFrame:
     """``kmers``: the k-mers of each chunk from its offset, in steps of k, on the strand of ``rc``, and ``n_kmers``.
 
-    A k-mer that ends exactly where the chunk ends is left out unless ``keep_last``.
+    A k-mer that ends exactly where the chunk ends is left out unless ``keep_last``. Passes of fewer than ``least``
+    k-mers are left out before any is cut.
     """
-    strand = F.when(F.col("rc"), reverse_complement(F.col("chunk"))).otherwise(F.col("chunk"))
+    bases = F.when(F.col("rc"), reverse_complement(F.col("chunk"))).otherwise(F.col("chunk"))
+    bases = F.col("strand") if "strand" in passed.columns else bases
     fits = F.length("chunk") - F.col("offset") - (0 if keep_last else 1)
     n = F.greatest(F.floor(fits / k), F.lit(0)).cast("int")
-    found = F.regexp_extract_all(F.substring(strand, F.col("offset") + 1, F.length("chunk")), F.lit(f"(?s).{{{k}}}"), 0)
-    return apart(passed.withColumn("n_kmers", n), "kmers", F.slice(found, 1, F.greatest(F.col("n_kmers"), F.lit(0))))
+    long = passed.withColumn("n_kmers", n).where(F.col("n_kmers") >= least)
+    found = F.regexp_extract_all(F.substring(bases, F.col("offset") + 1, F.length("chunk")), F.lit(f"(?s).{{{k}}}"), 0)
+    return apart(long, "kmers", F.slice(found, 1, F.col("n_kmers"))).drop("strand")
 
 
 def coordinates(i: Column, k: int) -> Column:
@@ -82,11 +88,10 @@ def windows(passed: DataFrame, k: int, window_size: int, *, full_only: bool = Fa
 
     The last group of a chunk may be shorter, unless ``full_only``. There are no empty windows.
     """
-    df = with_kmers(passed, k)
+    df = with_kmers(passed, k, least=window_size if full_only else 1)
     n = F.col("n_kmers") / window_size
     count = (F.floor(n) if full_only else F.ceil(n)).cast("int")
-    index = F.when(count > 0, F.sequence(F.lit(0), count - 1))
-    df = df.withColumn("window_idx", F.explode(index)).withColumn("kmers", F.slice("kmers", F.col("window_idx") * window_size + 1, window_size))
+    df = df.withColumn("window_idx", F.explode(F.sequence(F.lit(0), count - 1))).withColumn("kmers", F.slice("kmers", F.col("window_idx") * window_size + 1, window_size))
     if with_coords:
         first = F.col("window_idx") * window_size
         df = df.withColumn("coords", F.transform("kmers", lambda _, i: coordinates(first + i, k)))

@@ -154,7 +154,7 @@ def interval_coverage(spark: SparkSession, d: str) -> DataFrame:
 def gff3_interval_label(spark: SparkSession, d: str) -> DataFrame:
     features = gff3_features(spark, d)
     kmers = windows.kmers(windows.passes(_chunks(spark, d), 9, sliding=False), 9)
-    found = intervals.label_kmers(kmers, features, intervals.type_dictionary(features), key=["id", "chunk_id", "rc", "kmer_idx"])
+    found = intervals.label_kmers(kmers, features, intervals.type_dictionary(features), key=["id", "chunk_id", "rc", "kmer_idx"], bin_size=64)
     return found.withColumns({"type_idx": F.col("type_idx").cast("bigint"), "positions": F.concat_ws(",", F.col("positions").cast("array<string>"))})
 
 
@@ -239,12 +239,12 @@ items AS (SELECT l_orderkey * 10 + l_linenumber AS line_no, (l_orderkey % docs.n
 features AS (SELECT line_no, landmark, source, feature_type,
   feature_type || CASE strand WHEN '+' THEN '_Plus' WHEN '-' THEN '_Minus' ELSE '' END AS feature_type_strand,
   least(a, b) AS "start", greatest(a, b) AS "end", score, strand, phase, attributes, NULL::VARCHAR AS corrupt FROM items WHERE feature_type <> 'chromosome'),
-types AS (SELECT feature_type_strand, row_number() OVER (ORDER BY max(line_no)) - 1 AS idx FROM features GROUP BY 1)"""
+types AS (SELECT feature_type_strand, row_number() OVER (ORDER BY max(line_no), feature_type_strand) - 1 AS idx FROM features GROUP BY 1)"""
 _MERGED = f"""{_FEATURES},
 opened AS (SELECT *, max("end") OVER (PARTITION BY landmark ORDER BY "start", "end", line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM features),
 islands AS (SELECT *, sum(CASE WHEN reach IS NULL OR "start" > reach THEN 1 ELSE 0 END) OVER (PARTITION BY landmark ORDER BY "start", "end", line_no) AS island FROM opened),
 merged AS (SELECT landmark, min("start") AS "start", max("end") AS "end", count(*) AS n_features,
-  first(feature_type_strand ORDER BY "start", "end", line_no) AS feature_type_strand FROM islands GROUP BY landmark, island)"""
+  first(feature_type_strand ORDER BY "start", "end", line_no, feature_type_strand) AS feature_type_strand FROM islands GROUP BY landmark, island)"""
 _COUNTS = f"""{CHUNKS},
 each AS (SELECT substr(chunk, p::INT + 1, 7) AS kmer FROM (SELECT chunk, unnest(range(length(chunk) - 6)) AS p FROM chunks WHERE length(chunk) >= 7)),
 one AS (SELECT kmer, count(*) AS n FROM each GROUP BY 1),
