@@ -55,6 +55,8 @@ def _windows(texts: list[str], lines: int, min_words: int) -> tuple[np.ndarray,
             one.append(h & _LOW)
             two.append(h >> 64)
             words.append(raw.count(b" ") + 1)
+    if place and max(place) >= 1 << LINE_BITS:
+        raise ValueError("a text has too many lines to number")
     owner, place, count = np.array(owner, np.int64), np.array(place, np.int32), np.array(words, np.int64)
     a, b, n = np.array(one, np.uint64), np.array(two, np.uint64), max(len(owner) - lines + 1, 0)
     x, y, total = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros(n, np.int64)
