@@ -181,34 +181,38 @@ def nearest(
 
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = _unit(_rows(batch.column(1)))
-            for i in range(batch.num_rows):
-                found = walk(forest.value, x[i], shared.value, share * total)
-                blocks = [(t, node, b) for t, node in found for b in range(-(-shared.value[t][node] // BLOCK_ROWS))]
-                n = len(blocks)
-                cols = [pa.array(c, pa.int32()) for c in zip(*blocks)] if n else [pa.array([], pa.int32())] * 3
-                at = pa.array([i] * n, pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *cols], names=["id", "vector", "tree", "leaf", "block"])
+            if batch.num_rows:
+                found = [walk(forest.value, x, shared.value, share * total) for x in _unit(_rows(batch.column(1)))]
+                trees_of, leaves_of = ([[p[i] for p in f] for f in found] for i in (0, 1))
+                ints = pa.list_(pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(trees_of, ints), pa.array(leaves_of, ints)], names=["id", "vector", "trees", "leaves"])
 
     asked = valid(queries).where(F.size("vector") == dim).repartition(max(8, groups // 4), "id")
-    asked = asked.mapInArrow(probes, "id long, vector array<double>, tree int, leaf int, block int")
-    wide = vectors.sparkSession.createDataFrame([(t, node, -(-n // BLOCK_ROWS)) for t, node, n in counts if n > BLOCK_ROWS] or [(-1, -1, 1)], "tree int, leaf int, blocks int")
-    held = each.join(F.broadcast(wide), ["tree", "leaf"], "left")
-    held = held.withColumn("block", F.pmod(F.xxhash64("id"), F.coalesce("blocks", F.lit(1))).cast("int")).drop("blocks")
-    group = F.pmod(F.xxhash64("tree", "leaf", "block"), F.lit(groups)).cast("int")
+    asked = saved(asked.mapInArrow(probes, "id long, vector array<double>, trees array<int>, leaves array<int>"))
+    asked = asked.select("id", "vector", F.explode(F.arrays_zip("trees", "leaves")).alias("p"))
+    asked = asked.select("id", "vector", F.col("p.trees").alias("tree"), F.col("p.leaves").alias("leaf"))
+    # of a leaf that many rows lie in or many queries open, every block of rows meets every block of queries
+    opened = {(r["tree"], r["leaf"]): r["n"] for r in asked.groupBy("tree", "leaf").agg(F.count(F.lit(1)).alias("n")).collect()}
+    blocks = [(t, node, -(-n // BLOCK_ROWS), -(-opened.get((t, node), 1) // QUERY_ROWS)) for t, node, n in counts]
+    blocks = [b for b in blocks if b[2] > 1 or b[3] > 1] or [(-1, -1, 1, 1)]
+    wide = F.broadcast(vectors.sparkSession.createDataFrame(blocks, "tree int, leaf int, row_blocks int, query_blocks int"))
+    part = F.pmod(F.xxhash64("id"), F.coalesce("own", F.lit(1))).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.coalesce("others", F.lit(1)) - 1))
+    held = each.join(wide.withColumnsRenamed({"row_blocks": "own", "query_blocks": "others"}), ["tree", "leaf"], "left")
+    held = held.withColumn("block", part).withColumn("query_block", other).drop("own", "others")
+    asked = asked.join(wide.withColumnsRenamed({"query_blocks": "own", "row_blocks": "others"}), ["tree", "leaf"], "left")
+    asked = asked.withColumn("query_block", part).withColumn("block", other).drop("own", "others")
+    group = F.pmod(F.xxhash64("tree", "leaf", "block", "query_block"), F.lit(groups)).cast("int")
     asked, held = asked.withColumn("group", group), held.withColumn("group", group)
 
     def compare(asked_frame: pd.DataFrame, held_frame: pd.DataFrame) -> pd.DataFrame:
         out_q, out_v, out_s = [], [], []
-        keys = ["tree", "leaf", "block"]
+        keys = ["tree", "leaf", "block", "query_block"]
         mine = {key: frame for key, frame in held_frame.groupby(keys)}
         for key, frame in asked_frame.groupby(keys):
             if key in mine:
-                for i in range(0, len(frame), QUERY_ROWS):
-                    for into, some in zip((out_q, out_v, out_s), _best(frame.iloc[i : i + QUERY_ROWS], mine[key], k)):
-                        into += some
+                for into, some in zip((out_q, out_v, out_s), _best(frame, mine[key], k)):
+                    into += some
         found = pd.DataFrame({"query_id": np.array(out_q, np.int64), "vec_id": np.array(out_v, np.int64), "score": np.array(out_s, np.float64)})
         found = found.drop_duplicates(["query_id", "vec_id"]).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
         return found.groupby("query_id").head(k)

@@ -85,6 +85,17 @@ def test_forest_recall_and_scores(spark):
     assert hits / (5 * 30) >= 0.9
 
 
+def test_forest_blocks(spark, monkeypatch):
+    """Leaves with many rows and many queries are met block by block, with the same result."""
+    rng = np.random.default_rng(4)
+    items = [(i, [float(x) for x in rng.normal(size=8).astype(np.float32)]) for i in range(300)]
+    df = vectors(spark, items)
+    plain = rows_of(forest.nearest(df, df, sample=64))
+    monkeypatch.setattr(forest, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(forest, "QUERY_ROWS", 30)
+    assert rows_of(forest.nearest(df, df, sample=64)) == plain
+
+
 def test_forest_edges(spark):
     bad = [(100, None), (101, [0.0, 0.0]), (102, [float("nan"), 1.0]), (103, [None, 1.0]), (104, [float("inf"), 1.0]), (105, []), (None, [1.0, 1.0])]
     same = [(i, [1.0, 0.5]) for i in range(20)]
