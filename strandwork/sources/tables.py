@@ -10,10 +10,18 @@ LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ-"
 BASES = "ACGTACGTACGTANACGTACGTACGTN"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt out anew where its files have fewer splits than the cluster has cores: sequences grow manyfold in
+    the scan's own stage. Tables with splits enough are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``id`` and ``seq`` from documents: letters become bases, runs of other characters become runs of N."""
     text = F.upper(F.regexp_replace("text", "[^A-Za-z]", "-"))
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("id"), F.translate(text, LETTERS, BASES).alias("seq"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return spread(docs).select(F.col("doc_id").cast("string").alias("id"), F.translate(text, LETTERS, BASES).alias("seq"))
 
 
 def gff3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
