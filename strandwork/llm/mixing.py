@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandwork.llm.common import n_words, saved
+from strandwork.llm.common import n_words, saved, spread_join
 from strandwork.llm.ranking import running_total
 
 WEIGHTS = (5, 2, 1)
@@ -79,8 +79,11 @@ def plan(
     units = saved(rows.groupBy("doc_id", "source", "text_md5", "size").agg(F.count(F.lit(1)).alias("rows"), F.max("__w").alias("__w")))
     words = F.col("rows") * F.col("size")
     sources = units.groupBy("source").agg(F.sum(words).alias("source_size"), F.sum(words * F.col("__w")).alias("__weighted"))
-    goal = targets(sources, weights, share, float(most)).withColumnRenamed("source", "__source")
-    t = units.join(goal, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
+    # a source may hold a third of the rows: it is dealt by a salt too wherever sources are joined
+    named = {"__null": F.col("source").isNull(), "__name": F.coalesce("source", F.lit(""))}
+    goal = targets(sources, weights, share, float(most)).withColumns(named).drop("source")
+    each = ["doc_id", "text_md5"]
+    t = spread_join(units.withColumns(named), goal, ["__null", "__name"], each).drop("__null", "__name")
     rate = F.when(F.col("__weighted") > 0, F.col("target") * F.col("__w") / F.col("__weighted")).otherwise(F.lit(0.0))
     t = t.withColumn("__rate", F.least(rate, F.lit(float(most))))
     t = t.withColumns({"copies": F.floor("__rate").cast("int"), "__p": F.col("__rate") - F.floor("__rate"), "__u": draw(seed, F.col("doc_id"))})
@@ -88,7 +91,7 @@ def plan(
     t = t.withColumn("__rank", F.when(F.col("__p") > 0, odds / (1 + odds)).otherwise(F.lit(1.0)))
     t = t.withColumns({"__bucket": F.least(F.floor(F.col("__rank") * BUCKETS), F.lit(BUCKETS - 1)).cast("int"), "__words": words})
     sure = t.groupBy("source_no").agg(F.sum(F.col("copies") * F.col("__words")).alias("__sure"))
-    t = saved(t.join(sure, "source_no").withColumn("__left", F.col("target") - F.col("__sure")).drop("__sure"))
+    t = saved(spread_join(t, sure, ["source_no"], each).withColumn("__left", F.col("target") - F.col("__sure")).drop("__sure"))
     order = [F.col(c).asc_nulls_first() for c in ("__rank", "doc_id", "text_md5", "size")]
     for _ in range(ROUNDS):
         t = t.withColumn("__fits", (F.col("copies") < F.least(F.floor("__rate") + 1, F.lit(most))) & (F.col("__words") <= F.col("__left")))
@@ -97,7 +100,7 @@ def plan(
         taken = F.col("__fits") & (F.col("__total") <= F.col("__left"))
         t = saved(t.withColumns({"copies": F.col("copies") + taken.cast("int"), "__got": F.when(taken, F.col("__offer")).otherwise(F.lit(0))}))
         got = t.groupBy("source_no").agg(F.sum("__got").alias("__new"))
-        t = t.join(got, "source_no").withColumn("__left", F.col("__left") - F.col("__new")).drop("__new", "__got", "__total", "__offer", "__fits")
+        t = spread_join(t, got, ["source_no"], each).withColumn("__left", F.col("__left") - F.col("__new")).drop("__new", "__got", "__total", "__offer", "__fits")
     return t.select("doc_id", "source", "text_md5", "size", "rows", "source_size", "target", "copies")
 
 

@@ -15,7 +15,8 @@ def running_total(df: DataFrame, group: str, bucket: str, order: Sequence[Column
     by bucket first, the sums of earlier buckets are joined on, and only one bucket's rows are sorted together.
     ``group`` and ``bucket`` hold no nulls.
     """
-    sums = df.groupBy(group, bucket).agg(F.sum(value).alias("__sum"))
+    # summed by bucket first and dealt by group after: a group's sums are as many as its buckets, not tasks times buckets
+    sums = df.groupBy(group, bucket).agg(F.sum(value).alias("__sum")).repartition(F.col(group))
     before = Window.partitionBy(group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(group, bucket, F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__start"))
     inside = Window.partitionBy(group, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
