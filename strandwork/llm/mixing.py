@@ -88,8 +88,9 @@ def plan(
     t = t.withColumn("__rate", F.least(rate, F.lit(float(most))))
     t = t.withColumns({"copies": F.floor("__rate").cast("int"), "__p": F.col("__rate") - F.floor("__rate"), "__u": draw(seed, F.col("doc_id"))})
     odds = F.col("__u") / (1 - F.col("__u")) / (F.col("__p") / (1 - F.col("__p")))
-    t = t.withColumn("__rank", F.when(F.col("__p") > 0, odds / (1 + odds)).otherwise(F.lit(1.0)))
-    t = t.withColumns({"__bucket": F.least(F.floor(F.col("__rank") * BUCKETS), F.lit(BUCKETS - 1)).cast("int"), "__words": words})
+    # without a fraction there are no odds: such rows come last, by their draw
+    t = t.withColumn("__rank", F.when(F.col("__p") > 0, odds / (1 + odds)).otherwise(1 + F.col("__u")))
+    t = t.withColumns({"__bucket": F.least(F.floor(F.col("__rank") * BUCKETS), F.lit(2 * BUCKETS - 1)).cast("int"), "__words": words})
     sure = t.groupBy("source_no").agg(F.sum(F.col("copies") * F.col("__words")).alias("__sure"))
     t = saved(spread_join(t, sure, ["source_no"], each).withColumn("__left", F.col("target") - F.col("__sure")).drop("__sure"))
     order = [F.col(c).asc_nulls_first() for c in ("__rank", "doc_id", "text_md5", "size")]

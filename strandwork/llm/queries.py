@@ -119,7 +119,7 @@ d AS (SELECT u.*, t.source_size, t.no, t.target, least(CASE WHEN t.source_size >
   FROM u JOIN t ON u.source IS NOT DISTINCT FROM t.source),
 p AS (SELECT *, floor(rate)::INT AS copies, rate - floor(rate) AS p FROM d),
 k AS (SELECT *, CASE WHEN p > 0 THEN x / (1 - x) / (p / (1 - p)) END AS odds FROM p),
-r0 AS (SELECT *, CASE WHEN p > 0 THEN odds / (1 + odds) ELSE 1.0::DOUBLE END AS place, target - sum(copies * words) OVER (PARTITION BY no) AS missing FROM k),
+r0 AS (SELECT *, CASE WHEN p > 0 THEN odds / (1 + odds) ELSE 1 + x END AS place, target - sum(copies * words) OVER (PARTITION BY no) AS missing FROM k),
 {_round_sql(1)},{_round_sql(2)},{_round_sql(3)}
 SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken FROM (SELECT *, unnest(range(n)) AS nth FROM r3)
 """
