@@ -3,62 +3,173 @@
 Each document's lines are hashed, every three lines that follow each other form a window, and windows that occur more
 than once in the whole table are found. All occurrences after the first (by document id, then position) are removed:
 their covered lines are merged per document, so overlapping windows remove a passage as a whole. A line ends at a line
-feed or after a full stop, exclamation or question mark with blanks behind it, since web text often keeps a paragraph,
-or a passage that other pages repeat, in one physical line. Blank lines do not count and white space at a line's ends
-does not matter.
+feed or after a full stop, exclamation or question mark with blanks behind it, and what is longer than seven words ends
+by content too: after words whose hash is the least among their neighbours, four to seven words apart. Where a passage
+stands in a paragraph thus does not matter, only its first and last words can fall into lines that differ. Blank lines
+do not count and neither does white space around words.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from strandwork.llm.common import free_name, saved, spread_join
+from strandwork.llm.common import free_name, saved
 
-LINE_END = re.compile(r"\n|(?<=[.!?])[ \t]+")
 CHUNK = 1 << 20
 SALTS = 16
+HOT_KEYS = 1000
 LINE_BITS = 24
+#: Cuts by content lie more than so many words from each other and from a line's ends.
+APART = 3
+ROUNDS = 3
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)  # odd multipliers
-_LOW = (1 << 64) - 1
+_MOST = np.uint64((1 << 64) - 1)
+_BYTES = np.random.default_rng(20).integers(0, 1 << 64, (2, 256), np.uint64)
+_BYTES[:, [9, 10, 11, 12, 13, 32]] = 0
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * _M1
+    return x ^ (x >> np.uint64(29))
+
+
+def _powers(n: int, factor: np.uint64) -> np.ndarray:
+    return np.multiply.accumulate(np.full(max(n, 1), factor, np.uint64))
+
+
+def _word_starts(data: np.ndarray, blank: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Where words start: runs of bytes that are not blank; a letter of a script without blanks is a word of its own."""
+    begins = np.empty(len(data), bool)
+    begins[0] = True
+    begins[1:] = blank[:-1]
+    begins[bounds[:-1][bounds[:-1] < len(data)]] = True
+    if (data >= 0xE0).any():
+        second = np.append(data[1:], np.uint8(0))
+        alone = (data >= 0xE3) & (data <= 0xE9)  # kana and Chinese characters
+        alone |= (data == 0xE0) & (second >= 0xB8) & (second <= 0xBB)  # Thai, Lao
+        alone |= (data == 0xE1) & ((second <= 0x82) | (second == 0x9E) | (second == 0x9F))  # Burmese, Khmer
+        at = np.flatnonzero(alone)
+        begins[at] = True
+        behind = at + 3
+        begins[behind[behind < len(data)]] = True
+    return np.flatnonzero(begins & ~blank)
+
+
+def _content_cuts(key: np.ndarray, hard: np.ndarray) -> np.ndarray:
+    """The words that end a line: those of ``hard``, and a largest set of words that are more than APART from each other
+    and from the words of ``hard``, chosen by least hash so that it depends on the words near by only."""
+    ends = np.flatnonzero(hard)
+    sizes = np.diff(ends, prepend=-1)
+    last = np.repeat(ends, sizes)
+    at = np.arange(len(hard))
+    alive = (at - (last - np.repeat(sizes, sizes) + 1) >= APART) & (last - at > APART)
+    cut = hard.copy()
+    for r in range(ROUNDS):
+        if not alive.any():
+            return cut
+        k = np.where(alive, _mix(key + np.uint64(r) * _M2) >> np.uint64(1), _MOST)
+        least = alive.copy()
+        for d in range(1, APART + 1):
+            least[:-d] &= k[:-d] < k[d:]
+            least[d:] &= k[d:] <= k[:-d]
+        cut |= least
+        near = least.copy()
+        for d in range(1, APART + 1):
+            near[d:] |= least[:-d]
+            near[:-d] |= least[d:]
+        alive &= ~near
+    # what rounds leave is in runs of one repeated word, mostly: at equal steps
+    left = np.flatnonzero(alive)
+    if len(left):
+        opens = np.flatnonzero(np.diff(left, prepend=-2) > 1)
+        lengths = np.diff(opens, append=len(left))
+        rank = np.arange(len(left)) - np.repeat(opens, lengths)
+        step = 2 * APART + 1
+        take = rank % step == APART
+        closes = opens + lengths - 1
+        take[closes] |= rank[closes] % step < APART
+        cut[left[take]] = True
+    return cut
+
+
+def _lines(data: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
+    """The lines of texts in UTF-8 that follow each other in ``data``, text i from ``bounds[i]`` to ``bounds[i + 1]``: text number
+    ``owner``, ``start`` and ``end``, two hashes ``one`` and ``two``, and numbers of ``words`` and ``chars`` that are not blank."""
+    none = np.zeros(0, np.int64)
+    empty = {"owner": none, "start": none, "end": none, "one": none.astype(np.uint64), "two": none.astype(np.uint64), "words": none, "chars": none}
+    if not len(data):
+        return empty
+    blank = (data == 32) | ((data >= 9) & (data <= 13))
+    start = _word_starts(data, blank, bounds)
+    if not len(start):
+        return empty
+    after = np.append(start[1:], len(data))
+    owner = np.searchsorted(bounds, start, "right") - 1
+    blanks = np.add.reduceat(blank.astype(np.int64), start)
+    end = after - blanks
+    feeds = np.flatnonzero(data == 10)
+    stops = np.isin(data[end - 1], (33, 46, 63)) & (blanks > 0) & np.isin(data[np.minimum(end, len(data) - 1)], (9, 32))
+    feed_before = np.append(-1, feeds)[np.searchsorted(feeds, after)]  # the last line feed before the next word
+    hard = stops | (feed_before >= end)
+    hard[:-1] |= owner[1:] != owner[:-1]
+    hard[-1] = True
+    place = np.arange(start[0], len(data)) - np.repeat(start, after - start)
+    power, body = _powers(int(place.max()) + 1, _M1)[place], data[start[0] :]
+    with np.errstate(over="ignore"):
+        word = [_mix(np.add.reduceat(t[body] * power, start - start[0])) for t in _BYTES]
+        cut = _content_cuts(word[0], hard)
+        first = np.append(0, np.flatnonzero(cut)[:-1] + 1)
+        words = np.diff(first, append=len(start))
+        inside = _powers(int(words.max()), _M2)[np.arange(len(start)) - np.repeat(first, words)]
+        one, two = (_mix(np.add.reduceat(w * inside, first)) for w in word)
+    letters = np.add.reduceat((((data & 0xC0) != 0x80) & ~blank).astype(np.int64), start)
+    owner, opens = owner[first], start[first]
+    fresh = np.append(True, owner[1:] != owner[:-1])
+    lower = np.where(fresh, bounds[owner], np.append(0, end)[first])
+    feed = np.append(-1, feeds)[np.searchsorted(feeds, opens)] + 1
+    begin = np.where(feed > lower, feed, np.where(fresh, bounds[owner], opens))
+    close = np.where(np.append(fresh[1:], True), bounds[owner + 1], np.append(begin[1:], 0))
+    return {"owner": owner, "start": begin, "end": close, "one": one, "two": two, "words": words, "chars": np.add.reduceat(letters, first)}
 
 
 def line_spans(text: str) -> list[tuple[int, int]]:
     """Start and end of each line that is not blank, its end mark included; the spans of blank lines go to the one before."""
-    spans, start = [], 0
-    for end in [*(m.end() for m in LINE_END.finditer(text)), len(text)]:
-        if text[start:end].strip():
-            spans.append((start, end))
-        elif spans and end > start:
-            spans[-1] = (spans[-1][0], end)
-        start = end
-    return spans
+    data = np.frombuffer(text.encode(), np.uint8)
+    found = _lines(data, np.array([0, len(data)]))
+    at = np.append(0, np.cumsum((data & 0xC0) != 0x80))
+    return list(zip(at[found["start"]].tolist(), at[found["end"]].tolist()))
+
 
+def _parts(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The texts of a column in parts of about CHUNK bytes: number of the first, bytes and bounds; null is as empty."""
+    raw = column.cast(pa.large_binary())
+    raw = raw.fill_null(b"") if raw.null_count else raw
+    if not len(raw):
+        return
+    bounds = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
+    data = np.frombuffer(raw.buffers()[2] or b"", np.uint8)
+    i = 0
+    while i < len(raw):
+        j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + CHUNK, "right")) - 1)
+        yield i, data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]
+        i = j
 
-def _windows(texts: list[str], lines: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+
+def _windows(data: np.ndarray, bounds: np.ndarray, lines: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Text number, line number and two hashes of each window."""
-    import xxhash
-
-    owner, place, one, two, words = [], [], [], [], []
-    for i, text in enumerate(texts):
-        for j, (start, end) in enumerate(line_spans(text)):
-            raw = text[start:end].strip().encode()
-            h = xxhash.xxh3_128_intdigest(raw)
-            owner.append(i)
-            place.append(j)
-            one.append(h & _LOW)
-            two.append(h >> 64)
-            words.append(raw.count(b" ") + 1)
-    if place and max(place) >= 1 << LINE_BITS:
+    found = _lines(data, bounds)
+    owner, a, b, count = (found[c] for c in ("owner", "one", "two", "words"))
+    place = np.arange(len(owner)) - np.searchsorted(owner, owner)
+    if len(place) and place.max() >= 1 << LINE_BITS:
         raise ValueError("a text has too many lines to number")
-    owner, place, count = np.array(owner, np.int64), np.array(place, np.int32), np.array(words, np.int64)
-    a, b, n = np.array(one, np.uint64), np.array(two, np.uint64), max(len(owner) - lines + 1, 0)
+    n = max(len(owner) - lines + 1, 0)
     x, y, total = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros(n, np.int64)
     with np.errstate(over="ignore"):
         for k in range(lines):
@@ -66,42 +177,48 @@ def _windows(texts: list[str], lines: int, min_words: int) -> tuple[np.ndarray,
             y = (y ^ (y >> np.uint64(29))) * _M2 + b[k : n + k]
             total += count[k : n + k]
     at = np.flatnonzero((owner[:n] == owner[lines - 1 :][:n]) & (total >= min_words))
-    return owner[at], place[at], x[at].view(np.int64), y[at].view(np.int64)
+    return owner[at], place[at].astype(np.int32), x[at].view(np.int64), y[at].view(np.int64)
 
 
 def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lines: int = 3, min_words: int = 12) -> DataFrame:
     """The lines to remove: ``__id``, ``__key`` (upper 40 bits of the text's hash) and ``__lines``, the numbers of the covered lines of
     each document that has any. A window of under ``min_words`` words does not count."""
 
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, data, bounds in _parts(batch.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(_windows(data, bounds, lines, min_words)[2])], names=["__x"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, start, size = [], 0, 0
-            for i, t in enumerate(batch.column(2)):
-                texts.append(t.as_py() or "")
-                size += len(texts[-1])
-                if size > CHUNK or i + 1 == batch.num_rows:
-                    owner, place, x, y = _windows(texts, lines, min_words)
-                    at = pa.array(owner + start)
-                    cols = [batch.column(0).take(at), batch.column(1).take(at), pa.array(place, pa.int32()), pa.array(x), pa.array(y)]
-                    yield pa.RecordBatch.from_arrays(cols, names=["__id", "__key", "__at", "__x", "__y"])
-                    texts, start, size = [], i + 1, 0
+            for start, data, bounds in _parts(batch.column(2)):
+                owner, place, x, y = _windows(data, bounds, lines, min_words)
+                at = pa.array(owner + start)
+                cols = [batch.column(0).take(at), batch.column(1).take(at), pa.array(place), pa.array(x), pa.array(y)]
+                yield pa.RecordBatch.from_arrays(cols, names=["__id", "__key", "__at", "__x", "__y"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.col(f"`{text_col}`").cast("string")
+    # half of the hash finds what may be repeated, all of it decides below
+    often = docs.select(text.alias("__text")).mapInArrow(hashes, "__x long")
+    often = saved(often.groupBy("__x").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1"))
     parts = docs.select(F.col(f"`{id_col}`").alias("__id"), F.xxhash64(text).alias("__key"), text.alias("__text"))
     windows = parts.mapInArrow(run, f"__id {kind}, __key long, __at int, __x long, __y long")
     # narrow rows, since there is one for each line: a place is the upper 40 bits of the text's hash and the line number
     place = F.col("__key").bitwiseAND(F.lit(-(1 << LINE_BITS))).bitwiseOR(F.col("__at").cast("long"))
     windows = windows.select("__id", place.alias("__place"), "__x", "__y")
-    often = windows.groupBy("__x", "__y").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
-    # occurrences are dealt by a salt too, folded into one half of the hash, so that a very common one is spread
-    often = often.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    often = often.select(F.col("__x").bitwiseXOR(F.col("__salt")).alias("__x"), "__y", F.col("__x").alias("__hash"))
-    salt = F.pmod(F.xxhash64("__id", "__place"), F.lit(SALTS))
-    found = saved(windows.withColumn("__x", F.col("__x").bitwiseXOR(salt)).join(often, ["__x", "__y"]).select("__id", "__place", "__hash", "__y"))
+    # occurrences of the most common windows, of a fixed number, are dealt by a salt too
+    hot = [(r["__x"],) for r in often.orderBy(F.desc("__n"), "__x").limit(HOT_KEYS).collect()]
+    hot = F.broadcast(docs.sparkSession.createDataFrame(hot, "__x long").withColumn("__hot", F.lit(True)))
+    salts = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    often = often.join(hot, "__x", "left").select("__x", F.explode(salts).alias("__salt"))
+    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64("__id", "__place"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+    windows = windows.join(hot, "__x", "left").select("__id", "__place", "__x", "__y", salt.alias("__salt"))
+    found = saved(windows.join(often, ["__x", "__salt"]).select("__id", "__place", "__x", "__y", "__salt"))
     here = F.struct("__id", "__place")
-    first = found.groupBy("__hash", "__y").agg(F.min(here).alias("__first"))
-    later = spread_join(found, first, ["__hash", "__y"], ["__id", "__place"]).where(~here.eqNullSafe(F.col("__first")))
+    first = found.groupBy("__x", "__y").agg(F.min(here).alias("__first"), F.count(F.lit(1)).alias("__n"), F.max("__salt").alias("__top")).where("__n > 1")
+    first = first.select("__x", "__y", "__first", F.explode(F.sequence(F.lit(0), "__top")).alias("__salt"))
+    later = found.join(first, ["__x", "__y", "__salt"]).where(~here.eqNullSafe(F.col("__first")))
     number = F.col("__place").bitwiseAND(F.lit((1 << LINE_BITS) - 1))
     covered = F.explode(F.sequence(number, number + lines - 1)).alias("__line")
     each = later.select("__id", F.shiftright("__place", LINE_BITS).alias("__key"), covered).withColumn("__line", F.col("__line").cast("int"))
@@ -125,17 +242,25 @@ def remove_repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, counts, removed = [], [], []
-            for t, cut in zip(batch.column(text_at), batch.column(len(columns))):
-                text, drop = t.as_py(), cut.as_py()
-                spans = line_spans(text or "")
-                if drop:
-                    gone_lines = set(drop)
-                    text = text[: spans[0][0]] + "".join(text[s:e] for i, (s, e) in enumerate(spans) if i not in gone_lines)
-                texts.append(text)
-                counts.append(len(spans))
-                removed.append(len(drop or ()))
+            cuts = batch.column(len(columns)).to_pylist()
+            for begin, data, bounds in _parts(batch.column(text_at)):
+                found = _lines(data, bounds)
+                edges = np.searchsorted(found["owner"], np.arange(len(bounds))).tolist()
+                for i in range(len(bounds) - 1):
+                    drop, lo, hi = cuts[begin + i], edges[i], edges[i + 1]
+                    if drop:
+                        spans = zip(found["start"][lo:hi].tolist(), found["end"][lo:hi].tolist())
+                        gone_lines = set(drop)
+                        kept = [data[s:e] for j, (s, e) in enumerate(spans) if j not in gone_lines]
+                        texts.append(np.concatenate([data[bounds[i] : found["start"][lo]], *kept]).tobytes().decode())
+                    else:
+                        texts.append(None)
+                    counts.append(hi - lo)
+                    removed.append(len(drop or ()))
             cols = [*batch.columns[: len(columns)], pa.array(counts, pa.int32()), pa.array(removed, pa.int32())]
-            cols[text_at] = pa.array(texts, batch.schema.field(text_at).type)
+            if any(removed):
+                changed = pa.array(texts, batch.schema.field(text_at).type)
+                cols[text_at] = pa.compute.if_else(pa.array([n > 0 for n in removed]), changed, cols[text_at])
             yield pa.RecordBatch.from_arrays(cols, names=[*columns, n_name, r_name])
 
     same = F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (

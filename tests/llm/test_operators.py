@@ -553,3 +553,17 @@ def test_line_spans_cover_the_text():
         spans = lines.line_spans(text)
         assert "".join(text[s:e] for s, e in spans) == text[spans[0][0] if spans else len(text) :]
         assert all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
+
+
+def test_passages_within_paragraphs(spark):
+    """Passages of over 50 words, planted mid-sentence in texts without sentence ends or line feeds."""
+    def plain(seed, n):
+        return prose(seed, n).replace(".", "").lower()
+
+    passages = [plain(5000 + i, 51 + i % 5) for i in range(300)]
+    items = [(2 * i + k, f"{plain(6000 + 2 * i + k, 17 + 3 * k + i % 9)} {p} {plain(8000 + 2 * i + k, 23 - 5 * k)}") for i, p in enumerate(passages) for k in (0, 1)]
+    rows = {r.doc_id: r for r in lines.remove_repeated(spark.createDataFrame(items, "doc_id long, text string")).collect()}
+    assert all(rows[2 * i].text == items[2 * i][1] for i in range(300))
+    left = [len(WORD.findall(rows[2 * i + 1].text)) - (len(WORD.findall(items[2 * i + 1][1])) - len(WORD.findall(p))) for i, p in enumerate(passages)]
+    assert all(rows[2 * i + 1].removed_lines >= 3 for i in range(300))
+    assert np.mean(left) < 15
