@@ -6,7 +6,8 @@ way, until the opened leaves hold a share of all vectors. The leaves' vectors ar
 
 The index is a table of (tree, leaf, block) and the walk needs the splits and the leaves' sizes only, which are bounded
 by the sample. Leaves meet their queries in a cogroup: no pairs are written, each task keeps the best few per query.
-A leaf with many rows is cut into blocks of bounded size, so copies of one vector do not meet in one task.
+A leaf with many rows is cut into blocks of bounded size. Rows with equal vectors are one entry of the index, the one of
+the least id; their ids are joined back at the end, so copies of one vector use up no query's share.
 """
 
 from __future__ import annotations
@@ -17,10 +18,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandwork.llm.common import saved
+from strandwork.llm.common import saved, spread_join
 
 TREES, LEAF, SAMPLE = 12, 16, 8192
 SHARE = 0.9
@@ -41,7 +42,11 @@ class Tree:
             column.append(value)
         if len(rows) <= leaf:
             return me
-        a, b = x[rng.choice(rows, 2, replace=False)]
+        a = x[rng.choice(rows)]
+        others = rows[(x[rows] != a).any(axis=1)]
+        if not len(others):
+            return me
+        b = x[rng.choice(others)]
         for _ in range(4):  # two means of the rows, from two random ones
             side = x[rows] @ (a - b) > 0
             if side.all() or not side.any():
@@ -51,8 +56,14 @@ class Tree:
         at = x[rows] @ normal
         offset = float(np.median(at))
         side = at > offset
-        if side.all() or not side.any():
-            return me
+        if not side.any():  # half of the rows or more have the largest value: they go to one side
+            below = at[at < offset]
+            if not len(below):
+                return me
+            offset = (float(below.max()) + offset) / 2
+            side = at > offset
+            if side.all() or not side.any():
+                return me
         self.which[me], self.offsets[me] = len(self.normals), offset
         self.normals.append(normal)
         self.left[me] = self._grow(x, rows[~side], leaf, rng)
@@ -101,16 +112,15 @@ def _rows(column: pa.Array) -> np.ndarray:
 
 
 def _best(frame_q: pd.DataFrame, frame_v: pd.DataFrame, k: int) -> tuple[list, list, list]:
-    """The k best vectors of one leaf block for each query: largest cosine, ties to the smaller id, never itself."""
+    """The k best vectors of one leaf block for each query: largest cosine, ties to the smaller id."""
     q, v = np.array(frame_q["vector"].tolist()), np.array(frame_v["vector"].tolist())
     qi, vi = frame_q["id"].to_numpy(), frame_v["id"].to_numpy()
     qn, vn = np.sqrt((q * q).sum(axis=1)), np.sqrt((v * v).sum(axis=1))
     rough = (q @ v.T) / qn[:, None] / vn
-    rough[qi[:, None] == vi] = -np.inf
     out_q, out_v, out_s = [], [], []
     floor = np.partition(rough, -k, axis=1)[:, -k] if rough.shape[1] > k else np.full(len(q), -np.inf)
     for i in range(len(q)):
-        near = np.flatnonzero((rough[i] >= floor[i] - 1e-9) & (rough[i] > -np.inf))
+        near = np.flatnonzero(rough[i] >= floor[i] - 1e-9)
         exact = (v[near] * q[i]).sum(axis=1) / (qn[i] * vn[near])
         top = np.lexsort((vi[near], -exact))[:k]
         out_q += [qi[i]] * len(top)
@@ -135,9 +145,10 @@ def nearest(
     """The ``k`` nearest of ``vectors`` found for each of ``queries`` (same columns): ``query_id``, ``rank`` (from 1),
     the id as ``vec_id``, and ``score``, the cosine in double precision.
 
-    ``sample`` rows at most, those of the least hash of their id, fit the trees; all vectors are indexed. A query opens
-    leaves until they hold ``share`` of all vectors, counted over all trees (a vector counts once for each tree), which
-    sets recall against work: vectors without structure need most of the table, clustered ones a small share. Of rows
+    ``sample`` distinct vectors at most, those of the least hash of their id, fit the trees; all are indexed. A query opens
+    leaves until they hold ``share`` of all distinct vectors, counted over all trees (a vector counts once for each tree,
+    however many rows have it), which sets recall against work: vectors without structure need most of the table,
+    clustered ones a small share. Of rows
     that repeat an id one is a candidate. Null vectors, vectors of zero length and vectors with null or non-finite
     components take no part, nor do null ids; vectors of another dimension than most of the sample's are left out too.
     Ties go to the smaller id. An empty table gives no rows; a query with fewer candidates than ``k`` gets all of them.
@@ -149,7 +160,10 @@ def nearest(
         finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
         return rows.where(finite).where(F.exists("vector", lambda x: x != 0)).dropDuplicates(["id"])
 
-    base = saved(valid(vectors))
+    # of rows with one vector, the k + 1 of the least ids can be among a query's k best
+    rank = F.row_number().over(Window.partitionBy("vector").orderBy("id"))
+    least = valid(vectors).withColumn("rank", rank).where(F.col("rank") <= k + 1)
+    base = saved(least.groupBy("vector").agg(F.sort_array(F.collect_list("id")).alias("ids")).select(F.col("ids")[0].alias("id"), "vector", "ids"))
     fitted = base.orderBy(F.xxhash64("id"), "id").limit(sample).select("vector").toPandas()["vector"]
     schema = "query_id long, rank int, vec_id long, score double"
     if not len(fitted):
@@ -157,6 +171,7 @@ def nearest(
     dim = int(fitted.map(len).mode()[0])
     points = _unit(np.array([x for x in fitted if len(x) == dim]))
     base = base.where(F.size("vector") == dim)
+    copies = base.select(F.col("id").alias("first_id"), "ids")
     rng = np.random.default_rng(seed)
     sc = vectors.sparkSession.sparkContext
     forest = sc.broadcast([Tree(points, leaf, rng) for _ in range(trees)])
@@ -168,7 +183,7 @@ def nearest(
                 found = np.stack([t.leaves(x) for t in forest.value], axis=1)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.tolist(), pa.list_(pa.int32()))], names=["id", "vector", "leaves"])
 
-    placed = saved(base.mapInArrow(leaves, "id long, vector array<double>, leaves array<int>"))
+    placed = saved(base.select("id", "vector").mapInArrow(leaves, "id long, vector array<double>, leaves array<int>"))
     each = placed.select("id", "vector", F.posexplode("leaves").alias("tree", "leaf"))
     # bounded by the sample: trees * nodes rows
     counts = [(r["tree"], r["leaf"], r["n"]) for r in each.groupBy("tree", "leaf").agg(F.count(F.lit(1)).alias("n")).collect()]
@@ -211,13 +226,19 @@ def nearest(
         mine = {key: frame for key, frame in held_frame.groupby(keys)}
         for key, frame in asked_frame.groupby(keys):
             if key in mine:
-                for into, some in zip((out_q, out_v, out_s), _best(frame, mine[key], k)):
+                for into, some in zip((out_q, out_v, out_s), _best(frame, mine[key], k + 1)):
                     into += some
         found = pd.DataFrame({"query_id": np.array(out_q, np.int64), "vec_id": np.array(out_v, np.int64), "score": np.array(out_s, np.float64)})
         found = found.drop_duplicates(["query_id", "vec_id"]).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
-        return found.groupby("query_id").head(k)
+        return found.groupby("query_id").head(k + 1)
 
     best = asked.groupBy("group").cogroup(held.groupBy("group")).applyInPandas(compare, "query_id long, vec_id long, score double")
-    top = best.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_set(F.struct((-F.col("score")).alias("far"), "vec_id"))), 1, k).alias("top"))
-    out = top.select("query_id", F.posexplode("top").alias("rank", "hit"))
+    # k + 1 distinct vectors, since one may be the query's own; then their rows without the query's
+    def first(n: int, what: str) -> Column:
+        return F.slice(F.sort_array(F.collect_set(F.struct((-F.col("score")).alias("far"), what))), 1, n).alias("top")
+
+    top = best.groupBy("query_id").agg(first(k + 1, "vec_id")).select("query_id", F.explode("top").alias("hit"))
+    hits = top.select("query_id", F.col("hit.vec_id").alias("first_id"), (-F.col("hit.far")).alias("score"))
+    hits = spread_join(hits, copies, ["first_id"], ["query_id"]).select("query_id", "score", F.explode("ids").alias("vec_id"))
+    out = hits.where("vec_id <> query_id").groupBy("query_id").agg(first(k, "vec_id")).select("query_id", F.posexplode("top").alias("rank", "hit"))
     return out.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.far")).alias("score"))

@@ -110,6 +110,27 @@ def test_forest_edges(spark):
     assert forest.nearest(vectors(spark, bad), vectors(spark, bad)).count() == 0
 
 
+def test_forest_recall_with_copies(spark):
+    """A third of all rows are copies of one vector: they cost the queries near it nothing."""
+    rng = np.random.default_rng(12)
+    centre = rng.normal(size=16)
+    points = [centre + rng.normal(size=16) for i in range(1200)]
+    points += [points[0]] * 600
+    order = rng.permutation(len(points))
+    items = [(i, [float(x) for x in points[j].astype(np.float32)]) for i, j in enumerate(order)]
+    near = [i for i, j in enumerate(order) if j < 1200 and j % 4 == 1]
+    df = vectors(spark, items)
+    found = defaultdict(list)
+    for r in forest.nearest(df, df.where(F.col("vec_id").isin(near)), sample=512).orderBy("query_id", "rank").collect():
+        found[r.query_id].append(r.vec_id)
+    share = [len(set(found[i]) & set(cosine_top(items, items[i], 5))) / 5 for i in near]
+    assert np.mean(share) >= 0.95, np.mean(share)
+    assert np.mean(sorted(share)[:10]) >= 0.5, sorted(share)[:10]
+    copy = next(i for i, j in enumerate(order) if j >= 1200)
+    one = forest.nearest(df, df.where(F.col("vec_id") == copy), sample=512).orderBy("rank").collect()
+    assert [r.vec_id for r in one] == cosine_top(items, items[copy], 5)
+
+
 # ------------------------------------------------------------------ 2
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
