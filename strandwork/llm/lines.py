@@ -162,37 +162,41 @@ def _parts(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         i = j
 
 
-def _windows(data: np.ndarray, bounds: np.ndarray, lines: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _windows(data: np.ndarray, bounds: np.ndarray, lines: int, min_words: int, min_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Text number, line number and two hashes of each window."""
     found = _lines(data, bounds)
-    owner, a, b, count = (found[c] for c in ("owner", "one", "two", "words"))
+    owner, a, b, count, chars = (found[c] for c in ("owner", "one", "two", "words", "chars"))
     place = np.arange(len(owner)) - np.searchsorted(owner, owner)
     if len(place) and place.max() >= 1 << LINE_BITS:
         raise ValueError("a text has too many lines to number")
     n = max(len(owner) - lines + 1, 0)
-    x, y, total = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros(n, np.int64)
+    x, y, total, size, differ = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)
     with np.errstate(over="ignore"):
         for k in range(lines):
             x = (x ^ (x >> np.uint64(31))) * _M1 + a[k : n + k]
             y = (y ^ (y >> np.uint64(29))) * _M2 + b[k : n + k]
             total += count[k : n + k]
-    at = np.flatnonzero((owner[:n] == owner[lines - 1 :][:n]) & (total >= min_words))
+            size += chars[k : n + k]
+            differ |= a[k : n + k] != a[:n]
+    counts = (total >= min_words) | (differ & (size >= min_chars))
+    at = np.flatnonzero((owner[:n] == owner[lines - 1 :][:n]) & counts)
     return owner[at], place[at].astype(np.int32), x[at].view(np.int64), y[at].view(np.int64)
 
 
-def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lines: int = 3, min_words: int = 12) -> DataFrame:
+def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lines: int = 3, min_words: int = 12, min_chars: int = 6) -> DataFrame:
     """The lines to remove: ``__id``, ``__key`` (upper 40 bits of the text's hash) and ``__lines``, the numbers of the covered lines of
-    each document that has any. A window of under ``min_words`` words does not count."""
+    each document that has any. A window of under ``min_words`` words counts where its
+    lines differ and hold ``min_chars`` characters that are not blank, so that menus and notices of short lines are found."""
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, data, bounds in _parts(batch.column(0)):
-                yield pa.RecordBatch.from_arrays([pa.array(_windows(data, bounds, lines, min_words)[2])], names=["__x"])
+                yield pa.RecordBatch.from_arrays([pa.array(_windows(data, bounds, lines, min_words, min_chars)[2])], names=["__x"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, data, bounds in _parts(batch.column(2)):
-                owner, place, x, y = _windows(data, bounds, lines, min_words)
+                owner, place, x, y = _windows(data, bounds, lines, min_words, min_chars)
                 at = pa.array(owner + start)
                 cols = [batch.column(0).take(at), batch.column(1).take(at), pa.array(place), pa.array(x), pa.array(y)]
                 yield pa.RecordBatch.from_arrays(cols, names=["__id", "__key", "__at", "__x", "__y"])
@@ -225,7 +229,7 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     return each.groupBy("__id", "__key").agg(F.collect_set("__line").alias("__lines"))
 
 
-def remove_repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lines: int = 3, min_words: int = 12) -> DataFrame:
+def remove_repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lines: int = 3, min_words: int = 12, min_chars: int = 6) -> DataFrame:
     """``docs`` with the repeated lines cut out of the text, ``n_lines`` (not blank, before) and ``removed_lines``.
 
     Every row comes back with all its columns; a new column whose name is taken gets an underscore. A null text stays
@@ -233,7 +237,7 @@ def remove_repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     keeps the others keep. Null ids come first in order. Documents of fewer than three lines have no window. An empty
     table gives an empty result.
     """
-    gone = repeated_lines(docs, id_col=id_col, text_col=text_col, lines=lines, min_words=min_words)
+    gone = repeated_lines(docs, id_col=id_col, text_col=text_col, lines=lines, min_words=min_words, min_chars=min_chars)
     columns = docs.columns
     n_name = free_name(docs, "n_lines")
     r_name = free_name(docs, "removed_lines")

@@ -588,3 +588,12 @@ def test_passages_within_paragraphs(spark):
     left = [len(WORD.findall(rows[2 * i + 1].text)) - (len(WORD.findall(items[2 * i + 1][1])) - len(WORD.findall(p))) for i, p in enumerate(passages)]
     assert all(rows[2 * i + 1].removed_lines >= 3 for i in range(300))
     assert np.mean(left) < 15
+
+
+def test_menus_and_short_lines(spark):
+    """Three short lines that differ are a passage, in scripts without blanks too; equal lines and single letters are none."""
+    parts = {"menu": "Home\nShop\nFAQ", "chinese": "\u9996\u9875\n\u65b0\u95fb\n\u8054\u7cfb", "tabs": "one\ttwo\nthree\tfour\nfive\tsix", "same": "next\nnext\nnext", "letters": "a\nb\nc"}
+    items = [(10 * i + j, f"{prose(300 + 10 * i + j, 9)}\n{part}\n{prose(700 + 10 * i + j, 9)}") for i, part in enumerate(parts.values()) for j in range(3)]
+    rows = {r.doc_id: r for r in lines.remove_repeated(spark.createDataFrame(items, "doc_id long, text string")).collect()}
+    for i, name in enumerate(parts):
+        assert [rows[10 * i + j].removed_lines for j in range(3)] == ([0, 3, 3] if name in ("menu", "chinese", "tabs") else [0, 0, 0]), name
