@@ -24,7 +24,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that an earlier document has; those of which nothing is left go."""
-    cut = lines.remove_repeated(docs)
+    cut = lines.remove_repeated(docs, wrap=lines.WRAP)
     changed = F.col(cut.columns[-1]) > 0
     left = cut.where(~changed | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:

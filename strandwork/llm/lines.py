@@ -2,11 +2,15 @@
 
 Each document's lines are hashed, every three lines that follow each other form a window, and windows that occur more
 than once in the whole table are found. All occurrences after the first (by document id, then position) are removed:
-their covered lines are merged per document, so overlapping windows remove a passage as a whole. A line ends at a line
-feed or after a full stop, exclamation or question mark with blanks behind it, and what is longer than seven words ends
-by content too: after words whose hash is the least among their neighbours, four to seven words apart. Where a passage
-stands in a paragraph thus does not matter, only its first and last words can fall into lines that differ. Blank lines
-do not count and neither does white space around words.
+what they cover is merged per document, so overlapping windows remove a passage as a whole. Lines that hold no word do
+not count, and neither does white space around words.
+
+A line ends at a line feed. Texts whose paragraphs are one line each can be *wrapped*: a line of more words than ``wrap``
+is cut by content, after words whose hash is the least among their neighbours, five to nine words apart. Where a passage
+stands in a paragraph thus does not matter, only its first and last words can fall into lines that differ.
+
+One pass over the texts writes a narrow row for each window. All else is on these rows, and the spans to remove are
+joined to the documents at the end and cut out by column functions.
 """
 
 from __future__ import annotations
@@ -15,24 +19,31 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from strandwork.llm.common import free_name, saved
 
+LINES = 3
 CHUNK = 1 << 20
-SALTS = 16
-HOT_KEYS = 1000
-LINE_BITS = 24
+KNOWN_WORDS = 500_000
+#: A window that is more than this part of all is dealt to tasks by a salt too, so there are fewer such windows than this.
+HOT = 4096
 #: Cuts by content lie more than so many words from each other and from a line's ends.
-APART = 3
+APART = 4
 ROUNDS = 3
+#: The wrapping of the registered query and of the pipeline: the longest line that content cuts make.
+WRAP = 2 * APART + 1
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)  # odd multipliers
 _MOST = np.uint64((1 << 64) - 1)
-_BYTES = np.random.default_rng(20).integers(0, 1 << 64, (2, 256), np.uint64)
-_BYTES[:, [9, 10, 11, 12, 13, 32]] = 0
+
+
+class _Hashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -44,32 +55,43 @@ def _powers(n: int, factor: np.uint64) -> np.ndarray:
     return np.multiply.accumulate(np.full(max(n, 1), factor, np.uint64))
 
 
-def _word_starts(data: np.ndarray, blank: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Where words start: runs of bytes that are not blank; a letter of a script without blanks is a word of its own."""
-    begins = np.empty(len(data), bool)
-    begins[0] = True
-    begins[1:] = blank[:-1]
-    begins[bounds[:-1][bounds[:-1] < len(data)]] = True
-    if (data >= 0xE0).any():
-        second = np.append(data[1:], np.uint8(0))
-        alone = (data >= 0xE3) & (data <= 0xE9)  # kana and Chinese characters
-        alone |= (data == 0xE0) & (second >= 0xB8) & (second <= 0xBB)  # Thai, Lao
-        alone |= (data == 0xE1) & ((second <= 0x82) | (second == 0x9E) | (second == 0x9F))  # Burmese, Khmer
-        at = np.flatnonzero(alone)
-        begins[at] = True
-        behind = at + 3
-        begins[behind[behind < len(data)]] = True
-    return np.flatnonzero(begins & ~blank)
-
-
-def _content_cuts(key: np.ndarray, hard: np.ndarray) -> np.ndarray:
-    """The words that end a line: those of ``hard``, and a largest set of words that are more than APART from each other
-    and from the words of ``hard``, chosen by least hash so that it depends on the words near by only."""
+def _alone(data: np.ndarray) -> np.ndarray:
+    """Where letters of scripts without blanks start; each is a word of its own."""
+    second = np.append(data[1:], np.uint8(0))
+    alone = (data >= 0xE3) & (data <= 0xE9)  # kana and Chinese characters
+    alone |= (data == 0xE0) & (second >= 0xB8) & (second <= 0xBB)  # Thai, Lao
+    alone |= (data == 0xE1) & ((second <= 0x82) | (second == 0x9E) | (second == 0x9F))  # Burmese, Khmer
+    return np.flatnonzero(alone)
+
+
+def _words(joined: bytes, data: np.ndarray, known: _Hashes) -> tuple[np.ndarray, np.ndarray]:
+    """Start and hash of each word: runs of bytes other than the six blanks."""
+    blank = (data == 32) | ((data >= 9) & (data <= 13))
+    begins = ~blank
+    begins[1:] &= blank[:-1]
+    at = _alone(data) if (data >= 0xE0).any() else ()
+    if not len(at):
+        words = joined.split()
+        return np.flatnonzero(begins), np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    begins[at] = True
+    begins[at + 3] |= ~blank[at + 3]
+    starts = np.flatnonzero(begins)
+    stops = np.flatnonzero(blank)
+    ends = np.minimum(stops[np.searchsorted(stops, starts)], np.append(starts[1:], len(data)))
+    return starts, np.fromiter((known[joined[s:e]] for s, e in zip(starts.tolist(), ends.tolist())), np.uint64, len(starts))
+
+
+def _content_cuts(key: np.ndarray, hard: np.ndarray, wrap: int) -> np.ndarray:
+    """The words that end a line: those of ``hard``, and in longer lines than ``wrap`` a largest set of words that are more
+    than APART from each other and from the line's ends, chosen by least hash so that it depends on the words near by only."""
     ends = np.flatnonzero(hard)
     sizes = np.diff(ends, prepend=-1)
+    if sizes.max() <= wrap:
+        return hard
     last = np.repeat(ends, sizes)
+    size = np.repeat(sizes, sizes)
     at = np.arange(len(hard))
-    alive = (at - (last - np.repeat(sizes, sizes) + 1) >= APART) & (last - at > APART)
+    alive = (at - (last - size + 1) >= APART) & (last - at > APART) & (size > wrap)
     cut = hard.copy()
     for r in range(ROUNDS):
         if not alive.any():
@@ -99,177 +121,152 @@ def _content_cuts(key: np.ndarray, hard: np.ndarray) -> np.ndarray:
     return cut
 
 
-def _lines(data: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
-    """The lines of texts in UTF-8 that follow each other in ``data``, text i from ``bounds[i]`` to ``bounds[i + 1]``: text number
-    ``owner``, ``start`` and ``end``, two hashes ``one`` and ``two``, and numbers of ``words`` and ``chars`` that are not blank."""
+def _lines(texts: list[bytes], known: _Hashes, wrap: int) -> dict[str, np.ndarray]:
+    """The lines of texts in UTF-8: text number ``owner``, ``start`` and ``end`` in bytes of the text, and two hashes.
+
+    A line's indentation belongs to it, and so do the blank lines behind it."""
     none = np.zeros(0, np.int64)
-    empty = {"owner": none, "start": none, "end": none, "one": none.astype(np.uint64), "two": none.astype(np.uint64), "words": none, "chars": none}
+    empty = {"owner": none, "start": none, "end": none, "one": none.astype(np.uint64), "two": none.astype(np.uint64)}
+    joined = b"\n".join([*texts, b""])
+    data = np.frombuffer(joined, np.uint8)
+    bounds = np.append(0, np.cumsum([len(t) + 1 for t in texts]))
     if not len(data):
         return empty
-    blank = (data == 32) | ((data >= 9) & (data <= 13))
-    start = _word_starts(data, blank, bounds)
+    start, word = _words(joined, data, known)
     if not len(start):
         return empty
-    after = np.append(start[1:], len(data))
-    owner = np.searchsorted(bounds, start, "right") - 1
-    blanks = np.add.reduceat(blank.astype(np.int64), start)
-    end = after - blanks
     feeds = np.flatnonzero(data == 10)
-    stops = np.isin(data[end - 1], (33, 46, 63)) & (blanks > 0) & np.isin(data[np.minimum(end, len(data) - 1)], (9, 32))
-    feed_before = np.append(-1, feeds)[np.searchsorted(feeds, after)]  # the last line feed before the next word
-    hard = stops | (feed_before >= end)
-    hard[:-1] |= owner[1:] != owner[:-1]
-    hard[-1] = True
-    place = np.arange(start[0], len(data)) - np.repeat(start, after - start)
-    power, body = _powers(int(place.max()) + 1, _M1)[place], data[start[0] :]
+    row = np.searchsorted(feeds, start)  # line feeds before each word
+    hard = np.append(row[1:] != row[:-1], True)
     with np.errstate(over="ignore"):
-        word = [_mix(np.add.reduceat(t[body] * power, start - start[0])) for t in _BYTES]
-        cut = _content_cuts(word[0], hard)
+        cut = _content_cuts(word, hard, wrap) if wrap else hard
         first = np.append(0, np.flatnonzero(cut)[:-1] + 1)
         words = np.diff(first, append=len(start))
-        inside = _powers(int(words.max()), _M2)[np.arange(len(start)) - np.repeat(first, words)]
-        one, two = (_mix(np.add.reduceat(w * inside, first)) for w in word)
-    letters = np.add.reduceat((((data & 0xC0) != 0x80) & ~blank).astype(np.int64), start)
-    owner, opens = owner[first], start[first]
+        place = np.arange(len(start)) - np.repeat(first, words)
+        inside = _powers(int(words.max()), _M2)[place]
+        one = _mix(np.add.reduceat(_mix(word) * inside, first))
+        two = _mix(np.add.reduceat(_mix(word + _M1) * inside, first) + _M2)
+    owner, opens = np.searchsorted(bounds, start[first], "right") - 1, start[first]
     fresh = np.append(True, owner[1:] != owner[:-1])
-    lower = np.where(fresh, bounds[owner], np.append(0, end)[first])
-    feed = np.append(-1, feeds)[np.searchsorted(feeds, opens)] + 1
-    begin = np.where(feed > lower, feed, np.where(fresh, bounds[owner], opens))
-    close = np.where(np.append(fresh[1:], True), bounds[owner + 1], np.append(begin[1:], 0))
-    return {"owner": owner, "start": begin, "end": close, "one": one, "two": two, "words": words, "chars": np.add.reduceat(letters, first)}
-
-
-def line_spans(text: str) -> list[tuple[int, int]]:
-    """Start and end of each line that is not blank, its end mark included; the spans of blank lines go to the one before."""
-    data = np.frombuffer(text.encode(), np.uint8)
-    found = _lines(data, np.array([0, len(data)]))
-    at = np.append(0, np.cumsum((data & 0xC0) != 0x80))
-    return list(zip(at[found["start"]].tolist(), at[found["end"]].tolist()))
-
-
-def _parts(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """The texts of a column in parts of about CHUNK bytes: number of the first, bytes and bounds; null is as empty."""
-    raw = column.cast(pa.large_binary())
-    raw = raw.fill_null(b"") if raw.null_count else raw
-    if not len(raw):
-        return
-    bounds = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
-    data = np.frombuffer(raw.buffers()[2] or b"", np.uint8)
-    i = 0
-    while i < len(raw):
-        j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + CHUNK, "right")) - 1)
-        yield i, data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]
-        i = j
-
-
-def _windows(data: np.ndarray, bounds: np.ndarray, lines: int, min_words: int, min_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Text number, line number and two hashes of each window."""
-    found = _lines(data, bounds)
-    owner, a, b, count, chars = (found[c] for c in ("owner", "one", "two", "words", "chars"))
-    place = np.arange(len(owner)) - np.searchsorted(owner, owner)
-    if len(place) and place.max() >= 1 << LINE_BITS:
-        raise ValueError("a text has too many lines to number")
-    n = max(len(owner) - lines + 1, 0)
-    x, y, total, size, differ = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)
-    with np.errstate(over="ignore"):
-        for k in range(lines):
-            x = (x ^ (x >> np.uint64(31))) * _M1 + a[k : n + k]
-            y = (y ^ (y >> np.uint64(29))) * _M2 + b[k : n + k]
-            total += count[k : n + k]
-            size += chars[k : n + k]
-            differ |= a[k : n + k] != a[:n]
-    counts = (total >= min_words) | (differ & (size >= min_chars))
-    at = np.flatnonzero((owner[:n] == owner[lines - 1 :][:n]) & counts)
-    return owner[at], place[at].astype(np.int32), x[at].view(np.int64), y[at].view(np.int64)
-
-
-def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lines: int = 3, min_words: int = 12, min_chars: int = 6) -> DataFrame:
-    """The lines to remove: ``__id``, ``__key`` (upper 40 bits of the text's hash) and ``__lines``, the numbers of the covered lines of
-    each document that has any. A window of under ``min_words`` words counts where its
-    lines differ and hold ``min_chars`` characters that are not blank, so that menus and notices of short lines are found."""
-
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, data, bounds in _parts(batch.column(0)):
-                yield pa.RecordBatch.from_arrays([pa.array(_windows(data, bounds, lines, min_words, min_chars)[2])], names=["__x"])
+    feed = np.append(-1, feeds)[row[first]] + 1
+    begin = np.where(fresh | np.append(True, row[first][1:] != row[first][:-1]), np.maximum(feed, bounds[owner]), opens)
+    close = np.where(np.append(fresh[1:], True), bounds[owner + 1] - 1, np.append(begin[1:], 0))
+    return {"owner": owner, "start": begin - bounds[owner], "end": close - bounds[owner], "one": one, "two": two}
+
+
+def line_spans(text: str, wrap: int = 0) -> list[tuple[int, int]]:
+    """Start and end, in bytes of UTF-8, of each line that holds a word."""
+    found = _lines([text.encode()], _Hashes(), wrap)
+    return list(zip(found["start"].tolist(), found["end"].tolist()))
+
+
+def _chunks(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+    """The texts of a column in parts of about CHUNK bytes, with the number of the first; null is as empty."""
+    begin, size, texts = 0, 0, []
+    for i, value in enumerate(column):
+        texts.append(value.as_buffer().to_pybytes() if value.is_valid else b"")
+        size += len(texts[-1])
+        if size > CHUNK or i + 1 == len(column):
+            yield begin, texts
+            begin, size, texts = i + 1, 0, []
+
+
+def windows(docs: DataFrame, *, id_col: str, text_col: str, wrap: int = 0) -> DataFrame:
+    """A row for each window of three lines: ``__id``, ``__key`` (hash of the text), ``__span`` (its first byte in the upper
+    half, the byte behind its last in the lower), and the hashes ``__x`` and ``__y``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Hashes()
         for batch in batches:
-            for start, data, bounds in _parts(batch.column(2)):
-                owner, place, x, y = _windows(data, bounds, lines, min_words, min_chars)
-                at = pa.array(owner + start)
-                cols = [batch.column(0).take(at), batch.column(1).take(at), pa.array(place), pa.array(x), pa.array(y)]
-                yield pa.RecordBatch.from_arrays(cols, names=["__id", "__key", "__at", "__x", "__y"])
+            for begin, texts in _chunks(batch.column(2)):
+                if len(known) > KNOWN_WORDS:
+                    known.clear()
+                found = _lines(texts, known, wrap)
+                owner, a, b = found["owner"], found["one"], found["two"]
+                n = max(len(owner) - LINES + 1, 0)
+                x, y = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+                with np.errstate(over="ignore"):
+                    for k in range(LINES):
+                        x = (x ^ (x >> np.uint64(31))) * _M1 + a[k : n + k]
+                        y = (y ^ (y >> np.uint64(29))) * _M2 + b[k : n + k]
+                at = np.flatnonzero(owner[:n] == owner[LINES - 1 :][:n])
+                rows = pa.array(owner[at] + begin)
+                span = found["start"][at] << 32 | found["end"][at + LINES - 1]
+                cols = [batch.column(0).take(rows), batch.column(1).take(rows), *(pa.array(c) for c in (span, x[at].view(np.int64), y[at].view(np.int64)))]
+                yield pa.RecordBatch.from_arrays(cols, names=["__id", "__key", "__span", "__x", "__y"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.col(f"`{text_col}`").cast("string")
+    parts = docs.select(F.col(f"`{id_col}`").alias("__id"), F.xxhash64(text).alias("__key"), text.alias("__text")).where("__text IS NOT NULL")
+    return parts.mapInArrow(run, f"__id {kind}, __key long, __span long, __x long, __y long")
+
+
+def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wrap: int = 0) -> DataFrame:
+    """What to remove: ``__id``, ``__key`` (hash of the text) and ``__cuts``, the sorted, disjoint spans (from, to; in bytes) of
+    each document that has any. A repeat that overlaps the first occurrence leaves that one whole."""
+    each = saved(windows(docs, id_col=id_col, text_col=text_col, wrap=wrap))
     # half of the hash finds what may be repeated, all of it decides below
-    often = docs.select(text.alias("__text")).mapInArrow(hashes, "__x long")
-    often = saved(often.groupBy("__x").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1"))
-    parts = docs.select(F.col(f"`{id_col}`").alias("__id"), F.xxhash64(text).alias("__key"), text.alias("__text"))
-    windows = parts.mapInArrow(run, f"__id {kind}, __key long, __at int, __x long, __y long")
-    # narrow rows, since there is one for each line: a place is the upper 40 bits of the text's hash and the line number
-    place = F.col("__key").bitwiseAND(F.lit(-(1 << LINE_BITS))).bitwiseOR(F.col("__at").cast("long"))
-    windows = windows.select("__id", place.alias("__place"), "__x", "__y")
-    # occurrences of the most common windows, of a fixed number, are dealt by a salt too
-    hot = [(r["__x"],) for r in often.orderBy(F.desc("__n"), "__x").limit(HOT_KEYS).collect()]
-    hot = F.broadcast(docs.sparkSession.createDataFrame(hot, "__x long").withColumn("__hot", F.lit(True)))
-    salts = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    often = often.join(hot, "__x", "left").select("__x", F.explode(salts).alias("__salt"))
-    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64("__id", "__place"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
-    windows = windows.join(hot, "__x", "left").select("__id", "__place", "__x", "__y", salt.alias("__salt"))
-    found = saved(windows.join(often, ["__x", "__salt"]).select("__id", "__place", "__x", "__y", "__salt"))
-    here = F.struct("__id", "__place")
+    often = saved(each.groupBy("__x").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1"))
+    many = (often.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0] + HOT) // HOT
+    # the few windows that are a large part of all repeated ones are dealt by a salt too, the more the more often they occur
+    salts = F.ceil(F.col("__n") / F.lit(many)).cast("int")
+    hot = F.broadcast(often.where(F.col("__n") > many).select("__x", salts.alias("__salts")))
+    dealt = often.select("__x", F.explode(F.sequence(F.lit(0), salts - 1)).alias("__salt"))
+    salt = F.coalesce(F.pmod(F.xxhash64("__id", "__key", "__span"), F.col("__salts")).cast("int"), F.lit(0))
+    each = each.join(hot, "__x", "left").withColumn("__salt", salt).drop("__salts")
+    found = saved(each.join(dealt, ["__x", "__salt"]).select("__id", "__key", "__span", "__x", "__y", "__salt"))
+    here = F.struct("__id", "__key", "__span")
     first = found.groupBy("__x", "__y").agg(F.min(here).alias("__first"), F.count(F.lit(1)).alias("__n"), F.max("__salt").alias("__top")).where("__n > 1")
     first = first.select("__x", "__y", "__first", F.explode(F.sequence(F.lit(0), "__top")).alias("__salt"))
     later = found.join(first, ["__x", "__y", "__salt"]).where(~here.eqNullSafe(F.col("__first")))
-    number = F.col("__place").bitwiseAND(F.lit((1 << LINE_BITS) - 1))
-    covered = F.explode(F.sequence(number, number + lines - 1)).alias("__line")
-    each = later.select("__id", F.shiftright("__place", LINE_BITS).alias("__key"), covered).withColumn("__line", F.col("__line").cast("int"))
-    return each.groupBy("__id", "__key").agg(F.collect_set("__line").alias("__lines"))
 
-
-def remove_repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lines: int = 3, min_words: int = 12, min_chars: int = 6) -> DataFrame:
-    """``docs`` with the repeated lines cut out of the text, ``n_lines`` (not blank, before) and ``removed_lines``.
-
-    Every row comes back with all its columns; a new column whose name is taken gets an underscore. A null text stays
-    null; a text that loses all lines becomes empty. Rows equal in id and text are one document: what one of them
-    keeps the others keep. Null ids come first in order. Documents of fewer than three lines have no window. An empty
-    table gives an empty result.
+    def from_of(span: Column) -> Column:
+        return F.shiftrightunsigned(span, 32)
+
+    def to_of(span: Column) -> Column:
+        return span.bitwiseAND(F.lit((1 << 32) - 1))
+
+    own = F.col("__id").eqNullSafe(F.col("__first.__id")) & (F.col("__key") == F.col("__first.__key"))
+    begin = F.when(own, F.greatest(from_of(F.col("__span")), to_of(F.col("__first.__span")))).otherwise(from_of(F.col("__span")))
+    spans = later.select("__id", "__key", begin.alias("__from"), to_of(F.col("__span")).alias("__to")).where("__from < __to")
+    # a document's spans, which are bounded by its length, are merged in order
+    order = Window.partitionBy("__id", "__key").orderBy("__from", "__to")
+    reach = F.max("__to").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opened = spans.withColumn("__new", F.when(F.col("__from") <= reach, 0).otherwise(1))
+    isles = opened.withColumn("__isle", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = isles.groupBy("__id", "__key", "__isle").agg(F.min("__from").alias("from"), F.max("__to").alias("to"))
+    cuts = F.sort_array(F.collect_list(F.struct(F.col("from").cast("int").alias("from"), F.col("to").cast("int").alias("to"))))
+    return merged.groupBy("__id", "__key").agg(cuts.alias("__cuts"))
+
+
+def remove_repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wrap: int = 0) -> DataFrame:
+    """``docs`` with the repeated lines cut out of the text, and ``removed_parts`` and ``removed_bytes``: how many passages
+    and how many bytes of UTF-8 were removed, 0 where nothing was.
+
+    ``wrap``: 0 takes lines as they are; otherwise longer lines than so many words are cut by content. Every row comes back with
+    all its columns; a new column whose name is taken gets an underscore. A null text stays null; a text that loses all
+    lines becomes empty. Rows equal in id and text are one document: what one of them keeps the others keep. Null ids
+    come first in order. Documents of fewer than three lines have no window. Texts may be as long as a string can be;
+    a task holds the lines of one text, or of about a megabyte of texts. An empty table gives an empty result.
     """
-    gone = repeated_lines(docs, id_col=id_col, text_col=text_col, lines=lines, min_words=min_words, min_chars=min_chars)
-    columns = docs.columns
-    n_name = free_name(docs, "n_lines")
-    r_name = free_name(docs, "removed_lines")
-    text_at = columns.index(text_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, counts, removed = [], [], []
-            cuts = batch.column(len(columns)).to_pylist()
-            for begin, data, bounds in _parts(batch.column(text_at)):
-                found = _lines(data, bounds)
-                edges = np.searchsorted(found["owner"], np.arange(len(bounds))).tolist()
-                for i in range(len(bounds) - 1):
-                    drop, lo, hi = cuts[begin + i], edges[i], edges[i + 1]
-                    if drop:
-                        spans = zip(found["start"][lo:hi].tolist(), found["end"][lo:hi].tolist())
-                        gone_lines = set(drop)
-                        kept = [data[s:e] for j, (s, e) in enumerate(spans) if j not in gone_lines]
-                        texts.append(np.concatenate([data[bounds[i] : found["start"][lo]], *kept]).tobytes().decode())
-                    else:
-                        texts.append(None)
-                    counts.append(hi - lo)
-                    removed.append(len(drop or ()))
-            cols = [*batch.columns[: len(columns)], pa.array(counts, pa.int32()), pa.array(removed, pa.int32())]
-            if any(removed):
-                changed = pa.array(texts, batch.schema.field(text_at).type)
-                cols[text_at] = pa.compute.if_else(pa.array([n > 0 for n in removed]), changed, cols[text_at])
-            yield pa.RecordBatch.from_arrays(cols, names=[*columns, n_name, r_name])
-
-    same = F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (
-        F.shiftright(F.xxhash64(F.col(f"`{text_col}`").cast("string")), LINE_BITS) == F.col("__key")
-    )
-    joined = docs.join(gone, same, "left").drop("__id", "__key")
-    schema = StructType(list(docs.schema.fields)).add(n_name, "integer").add(r_name, "integer")
-    return joined.mapInArrow(run, schema)
+    gone, columns, at = repeated_spans(docs, id_col=id_col, text_col=text_col, wrap=wrap), docs.columns, {}
+    for name in ("__id", "__key", "__cuts"):
+        at[name] = free_name(docs, name)
+    gone = gone.withColumnsRenamed({old: new for old, new in at.items() if old != new})
+    text = F.col(f"`{text_col}`").cast("string")
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col(at["__id"])) & (F.xxhash64(text) == F.col(at["__key"]))
+    joined = docs.join(gone, same, "left")
+    cuts, raw = F.col(at["__cuts"]), text.cast("binary")
+
+    def piece(i: Column) -> Column:
+        begin = F.coalesce(F.get(cuts, i - 1)["to"], F.lit(0))
+        end = F.coalesce(F.get(cuts, i)["from"], F.octet_length(text))
+        return F.substring(raw, begin + 1, end - begin).cast("string")
+
+    left = F.array_join(F.transform(F.sequence(F.lit(0), F.size(cuts)), piece), "")
+    lost = F.aggregate(cuts, F.lit(0), lambda n, c: n + c["to"] - c["from"])
+    new = {c: F.col(f"`{c}`") for c in columns}
+    new[text_col] = F.when(cuts.isNull(), F.col(f"`{text_col}`")).otherwise(left)
+    parts_name, bytes_name = free_name(docs, "removed_parts"), free_name(docs, "removed_bytes")
+    new |= {parts_name: F.when(cuts.isNull(), 0).otherwise(F.size(cuts)), bytes_name: F.when(cuts.isNull(), 0).otherwise(lost)}
+    return joined.select(*(c.alias(n) for n, c in new.items()))

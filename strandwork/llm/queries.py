@@ -68,7 +68,7 @@ def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return lines.remove_repeated(docs).withColumn("n_chars_left", F.length("text"))
+    return lines.remove_repeated(docs, wrap=lines.WRAP).withColumn("n_chars_left", F.length("text"))
 
 
 QUERIES = {
