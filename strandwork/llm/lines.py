@@ -173,7 +173,7 @@ def _chunks(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
 
 def windows(docs: DataFrame, *, id_col: str, text_col: str, wrap: int = 0) -> DataFrame:
     """A row for each window of three lines: ``__id``, ``__key`` (hash of the text), ``__span`` (its first byte in the upper
-    half, the byte behind its last in the lower), and the hashes ``__x`` and ``__y``."""
+    half, the byte behind its last in the lower), and its hash in 64 bits ``__x`` and 32 more ``__y``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Hashes()
@@ -192,20 +192,20 @@ def windows(docs: DataFrame, *, id_col: str, text_col: str, wrap: int = 0) -> Da
                 at = np.flatnonzero(owner[:n] == owner[LINES - 1 :][:n])
                 rows = pa.array(owner[at] + begin)
                 span = found["start"][at] << 32 | found["end"][at + LINES - 1]
-                cols = [batch.column(0).take(rows), batch.column(1).take(rows), *(pa.array(c) for c in (span, x[at].view(np.int64), y[at].view(np.int64)))]
+                cols = [batch.column(0).take(rows), batch.column(1).take(rows), *(pa.array(c) for c in (span, x[at].view(np.int64), (y[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)))]
                 yield pa.RecordBatch.from_arrays(cols, names=["__id", "__key", "__span", "__x", "__y"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.col(f"`{text_col}`").cast("string")
     parts = docs.select(F.col(f"`{id_col}`").alias("__id"), F.xxhash64(text).alias("__key"), text.alias("__text")).where("__text IS NOT NULL")
-    return parts.mapInArrow(run, f"__id {kind}, __key long, __span long, __x long, __y long")
+    return parts.mapInArrow(run, f"__id {kind}, __key long, __span long, __x long, __y int")
 
 
 def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wrap: int = 0) -> DataFrame:
     """What to remove: ``__id``, ``__key`` (hash of the text) and ``__cuts``, the sorted, disjoint spans (from, to; in bytes) of
     each document that has any. A repeat that overlaps the first occurrence leaves that one whole."""
     each = saved(windows(docs, id_col=id_col, text_col=text_col, wrap=wrap))
-    # half of the hash finds what may be repeated, all of it decides below
+    # a part of the hash finds what may be repeated, all of it decides below
     often = saved(each.groupBy("__x").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1"))
     many = (often.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0] + HOT) // HOT
     # the few windows that are a large part of all repeated ones are dealt by a salt too, the more the more often they occur
