@@ -43,23 +43,32 @@ def is_all_n(seq: Column) -> Column:
     return seq.rlike("^N*$")
 
 
+def one_hot_bits(seq: Column) -> Column:
+    """Each base as five characters 0 or 1, in the order of SLOTS; unknown and lower-case letters are N."""
+    bits = F.regexp_replace(seq, f"[^{SLOTS}]", "N")
+    for i, letter in enumerate(SLOTS):
+        bits = F.replace(bits, F.lit(letter), F.lit("0" * i + "1" + "0" * (len(SLOTS) - 1 - i)))
+    return bits
+
+
+def _flags(bits: Column) -> Column:
+    return F.transform(F.filter(F.split(bits, ""), lambda b: b != ""), lambda b: b == "1")
+
+
 def one_hot(seq: Column, width: int) -> Column:
     """``width`` bases in five slots each, in the order of SLOTS; unknown and lower-case letters are N. A sequence that
     is shorter leaves its last slots false."""
-    base = [F.lit(0).cast("boolean")]
-    letters = F.split(F.substring(seq, 1, width), "")
+    return _flags(F.rpad(one_hot_bits(F.substring(seq, 1, width)), 5 * width, "0"))
 
-    def slots(b: Column) -> Column:
-        return F.array(*(b == s if s != "N" else ~b.isin(*SLOTS.replace("N", "")) for s in SLOTS))
 
-    full = F.flatten(F.transform(F.filter(letters, lambda b: b != ""), slots))
-    return F.slice(F.concat(full, F.array_repeat(base[0], 5 * width)), 1, 5 * width)
+def sequence_bits(seq: Column, k: int) -> Column:
+    """The one-hot of the floor(length / k) whole k-mers of a raw sequence, the last exact one included, as 0 and 1."""
+    return one_hot_bits(F.substring(seq, F.lit(1), F.length(seq) - F.length(seq) % k))
 
 
 def sequence_to_array(seq: Column, k: int) -> Column:
-    """The one-hot of the floor(length / k) whole k-mers of a raw sequence, the last exact one included."""
-    whole = F.regexp_extract_all(seq, F.lit(f"(?s).{{{k}}}"), 0)
-    return F.flatten(F.transform(whole, lambda kmer: one_hot(kmer, k)))
+    """``sequence_bits`` as an array of booleans."""
+    return _flags(sequence_bits(seq, k))
 
 
 def padded(kmers: Column, k: int, window_size: int) -> Column:

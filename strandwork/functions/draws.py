@@ -11,11 +11,15 @@ from pyspark.sql import functions as F
 TOP = float(1 << 32)
 
 
+def hex_number(digest: Column, start: int, digits: int) -> Column:
+    """The number that some hex digits of a digest write, the first of them at ``start`` (from 1)."""
+    return F.conv(F.substring(digest, start, digits), 16, 10).cast("bigint")
+
+
 def draw(seed: int, purpose: str, *key: Column) -> Column:
     """A whole number from 0 to 2^32 - 1."""
     parts = [F.coalesce(k.cast("string"), F.lit("")) for k in key]
-    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(purpose), *parts))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
+    return hex_number(F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(purpose), *parts)), 1, 8)
 
 
 def uniform(seed: int, purpose: str, *key: Column) -> Column:

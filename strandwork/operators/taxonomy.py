@@ -1,11 +1,11 @@
-"""Sequences per child taxon of a root: lineage by recursion over the parent table, then zero-filled counts and lengths."""
+"""Sequences per child taxon of a root: lineage by doubling over the parent table, then zero-filled counts and lengths."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LEVELS = 64
+from strandwork.shared import saved
 
 
 def children(nodes: DataFrame, names: DataFrame, root: int) -> DataFrame:
@@ -20,19 +20,26 @@ def children(nodes: DataFrame, names: DataFrame, root: int) -> DataFrame:
 def branch_of(nodes: DataFrame, root: int) -> DataFrame:
     """``taxon_id`` and ``branch``, the child of ``root`` that it descends from (or is), for every taxon below it.
 
-    Level by level from the root, one join of the frontier with the parent table each, up to LEVELS levels; the work of
-    a level follows the frontier's size.
+    Each taxon points at an ancestor, its parent at first, and takes that one's pointer in each round, so a lineage of
+    depth d takes log2(d) rounds, whatever the depth. Pointers stop at children of the root and at tops (taxa without a
+    parent other than themselves). Those that have not stopped when no depth could be left lie in a cycle: an error.
     """
-    edges = nodes.where(F.col("taxon_id") != F.col("parent_id")).select("taxon_id", "parent_id")
-    level = edges.where(F.col("parent_id") == root).select("taxon_id", F.col("taxon_id").alias("branch"))
-    found = level
-    for _ in range(LEVELS):
-        level = edges.join(level.withColumnRenamed("taxon_id", "parent_id"), "parent_id").select("taxon_id", "branch")
-        level = level.persist()
-        if level.isEmpty():
-            break
-        found = found.union(level)
-    return found
+    parent = F.col("parent_id")
+    start = F.when(parent == root, F.col("taxon_id")).otherwise(parent)
+    links = nodes.where(parent.isNotNull() & (F.col("taxon_id") != parent) & (F.col("taxon_id") != root))
+    links = saved(links.select("taxon_id", start.alias("up"), (parent == root).alias("done")).distinct())
+    left = links.count()
+    while True:
+        ahead = links.select(F.col("taxon_id").alias("up"), F.col("up").alias("next"), F.col("done").alias("next_done"))
+        moved = links.where("NOT done").join(ahead, "up", "left")
+        # an ancestor without a row of its own is a top, or the root's own line: nothing below the root
+        stepped = moved.where("next IS NOT NULL").select("taxon_id", F.col("next").alias("up"), F.col("next_done").alias("done"))
+        links = saved(links.where("done").union(stepped))
+        if links.where("NOT done").isEmpty():
+            return links.select("taxon_id", F.col("up").alias("branch"))
+        if left == 0:
+            raise ValueError("the parent table has a cycle")
+        left //= 2
 
 
 def taxon_counts(sequences: DataFrame, acc2tax: DataFrame, nodes: DataFrame, names: DataFrame, root: int, *, min_length: int = 0) -> DataFrame:
@@ -41,14 +48,17 @@ def taxon_counts(sequences: DataFrame, acc2tax: DataFrame, nodes: DataFrame, nam
     ``sequences``: id, seq_len; those under ``min_length`` and those whose taxon is not below the root do not count.
     """
     below = sequences.where(F.col("seq_len") >= min_length).join(acc2tax.withColumnRenamed("accession", "id"), "id")
-    sums = below.join(branch_of(nodes, root), "taxon_id").groupBy("branch").agg(F.count(F.lit(1)).alias("seq_count"), F.sum("seq_len").alias("seq_length"))
+    # summed by taxon before the lineage is joined: a taxon may hold most sequences
+    by_taxon = below.groupBy("taxon_id").agg(F.count(F.lit(1)).alias("seq_count"), F.sum("seq_len").alias("seq_length"))
+    sums = by_taxon.join(branch_of(nodes, root), "taxon_id").groupBy("branch").agg(F.sum("seq_count").alias("seq_count"), F.sum("seq_length").alias("seq_length"))
     joined = children(nodes, names, root).join(sums.withColumnRenamed("branch", "id"), "id", "left")
     return joined.select("id", "name", F.coalesce("seq_count", F.lit(0)).alias("seq_count"), F.coalesce("seq_length", F.lit(0)).alias("seq_length"))
 
 
 def members(sequences: DataFrame, acc2tax: DataFrame, nodes: DataFrame, root: int) -> DataFrame:
     """``branch`` and ``id`` of every sequence below the root: the members of each child taxon, one row each."""
-    return sequences.join(acc2tax.withColumnRenamed("accession", "id"), "id").join(branch_of(nodes, root), "taxon_id").select("branch", "id")
+    placed = acc2tax.withColumnRenamed("accession", "id").join(branch_of(nodes, root), "taxon_id")
+    return sequences.join(placed, "id").select("branch", "id")
 
 
 def write_counts(counts: DataFrame, path: str) -> None:

@@ -1,8 +1,9 @@
 """From sequences to N-free chunks, k-mers and windows of k-mers on both strands.
 
 Columns are added step by step: ``id, seq`` -> chunks (``chunk_id, chunk_offset, chunk``) -> passes (``offset, rc``) ->
-windows (``window_idx, kmers, coords``). Arrays are exploded as late as possible, and every step is linear in a
-chunk's length: k-mers come from one regular expression over the chunk, not from a substring for each.
+windows (``window_idx, kmers, coords``). Every step is linear in a chunk's length: k-mers come from one regular
+expression over the chunk, not from a substring for each, and a window's row holds the window only, not its chunk.
+Long chunks are cut into tiles first (``passes(..., tile=...)``), which gives the same k-mers and windows.
 """
 
 from __future__ import annotations
@@ -11,8 +12,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandwork.functions.columns import apart, reverse_complement
+from strandwork.functions.draws import draw
 
 RUN = "N{3,}"
+BLOCK = 256
+
+
+def _starts(sizes: str) -> Column:
+    """The sums of all earlier elements of an array, by blocks: appending to one array would copy it each time."""
+    zero = F.lit(0).cast("bigint")
+    blocks = F.sequence(F.lit(0), F.expr(f"greatest(size({sizes}) - 1, 0) div {BLOCK}").cast("int"))
+
+    def of_block(b: Column) -> Column:
+        return F.slice(sizes, b * BLOCK + 1, BLOCK)
+
+    def running(first: Column, part: Column) -> Column:
+        return F.slice(F.aggregate(part, F.array(first), lambda a, n: F.array_append(a, F.element_at(a, -1) + n)), F.lit(1), F.size(part))
+
+    sums = F.transform(blocks, lambda b: F.aggregate(of_block(b), zero, lambda a, n: a + n))
+    return F.flatten(F.zip_with(running(zero, sums), blocks, lambda first, b: running(first, of_block(b))))
 
 
 def split_chunks(sequences: DataFrame, *, seq_col: str = "seq", keep_case: bool = False) -> DataFrame:
@@ -26,83 +44,122 @@ def split_chunks(sequences: DataFrame, *, seq_col: str = "seq", keep_case: bool
     df = apart(df, "__bodies", F.split("__seq", RUN, -1))
     runs = F.transform(F.regexp_extract_all("__seq", F.lit(RUN), 0), F.length)
     df = apart(df, "__sizes", F.zip_with(F.transform("__bodies", F.length), runs, lambda b, r: (b + F.coalesce(r, F.lit(0))).cast("bigint")))
-    starts = F.aggregate(
-        "__sizes",
-        F.array(F.lit(0).cast("bigint")),
-        lambda a, n: F.array_append(a, F.element_at(a, -1) + n),
-    )
-    df = apart(df, "__starts", starts)
-    each = df.select("*", F.posexplode("__bodies").alias("__i", "__body")).where("__body != ''")
+    df = apart(df, "__starts", _starts("__sizes"))
+    each = df.select(*sequences.columns, F.inline(F.arrays_zip(F.col("__bodies").alias("__body"), F.col("__starts").alias("__start"), F.sequence(F.lit(0), F.size("__bodies") - 1).alias("__i"))))
     later = F.col("__i") > 0
-    return each.select(
+    return each.where("__body != ''").select(
         *sequences.columns,
         F.col("__i").alias("chunk_id"),
-        (F.get("__starts", F.col("__i")) - F.when(later, 2).otherwise(0)).alias("chunk_offset"),
+        (F.col("__start") - F.when(later, 2).otherwise(0)).alias("chunk_offset"),
         F.concat(F.when(later, "NN").otherwise(""), "__body").alias("chunk"),
     )
 
 
-def passes(chunks: DataFrame, k: int, *, sliding: bool = True, both_strands: bool = True, offset: int = 0) -> DataFrame:
+def passes(chunks: DataFrame, k: int, *, sliding: bool = True, both_strands: bool = True, offset: int = 0, tile: int = 0) -> DataFrame:
     """Each chunk once for each ``offset`` (0 to k - 1, or one) and strand ``rc``, with the bases of that ``strand``: one
-    job in place of 2k scans. A chunk is complemented once, not for each offset."""
+    job in place of 2k scans. A chunk is complemented once, not for each offset.
+
+    With ``tile`` (a multiple of k times the window size) a strand longer than this is cut into tiles that overlap by k
+    bases, so that no row below this point is larger; ``tile_start`` is a tile's place in its strand.
+    """
+    if tile % k:
+        raise ValueError("a tile is a multiple of k")
     offsets = F.sequence(F.lit(0), F.lit(k - 1)) if sliding else F.array(F.lit(offset))
     strands = [F.struct(F.lit(False).alias("rc"), F.col("chunk").alias("strand"))]
     if both_strands:
         strands.append(F.struct(F.lit(True).alias("rc"), reverse_complement(F.col("chunk")).alias("strand")))
-    return chunks.select("*", F.inline(F.array(*strands))).select("*", F.explode(offsets).alias("offset"))
+    both = chunks.withColumn("chunk_len", F.length("chunk")).select("*", F.inline(F.array(*strands))).drop("chunk")
+    if tile:
+        both = apart(both, "__tiles", F.regexp_extract_all("strand", F.lit(f"(?s).{{1,{tile}}}"), 0))
+        lapped = F.transform("__tiles", lambda t, i: F.struct((i * tile).alias("tile_start"), F.length(t).alias("tile_len"), F.concat(t, F.coalesce(F.left(F.get("__tiles", i + 1), F.lit(k)), F.lit(""))).alias("strand")))
+        both = both.select(*(c for c in both.columns if c not in ("strand", "__tiles")), F.inline(lapped))
+    else:
+        both = both.withColumns({"tile_start": F.lit(0), "tile_len": F.col("chunk_len")})
+    return both.select("*", F.explode(offsets).alias("offset"))
+
+
+def _with_strand(passed: DataFrame) -> DataFrame:
+    """Chunks that were given an offset and a strand by hand get the columns of ``passes``."""
+    if "strand" in passed.columns:
+        return passed
+    bases = F.when(F.col("rc"), reverse_complement(F.col("chunk"))).otherwise(F.col("chunk"))
+    return passed.withColumns({"chunk_len": F.length("chunk"), "tile_start": F.lit(0), "tile_len": F.length("chunk"), "strand": bases}).drop("chunk")
 
 
 def with_kmers(passed: DataFrame, k: int, *, keep_last: bool = False, least: int = 1) -> DataFrame:
-    """``kmers``: the k-mers of each chunk from its offset, in steps of k, on the strand of ``rc``, and ``n_kmers``.
+    """``kmers``: the k-mers of each chunk (or tile) from its offset, in steps of k, on the strand of ``rc``, and ``n_kmers``.
 
     A k-mer that ends exactly where the chunk ends is left out unless ``keep_last``. Passes of fewer than ``least``
     k-mers are left out before any is cut.
     """
-    bases = F.when(F.col("rc"), reverse_complement(F.col("chunk"))).otherwise(F.col("chunk"))
-    bases = F.col("strand") if "strand" in passed.columns else bases
-    fits = F.length("chunk") - F.col("offset") - (0 if keep_last else 1)
-    n = F.greatest(F.floor(fits / k), F.lit(0)).cast("int")
+    passed = _with_strand(passed)
+    fits = F.length("strand") - F.col("offset") - (0 if keep_last else 1)
+    n = F.greatest(F.least(F.floor(fits / k), F.floor(F.col("tile_len") / k)), F.lit(0)).cast("int")
     long = passed.withColumn("n_kmers", n).where(F.col("n_kmers") >= least)
-    found = F.regexp_extract_all(F.substring(bases, F.col("offset") + 1, F.length("chunk")), F.lit(f"(?s).{{{k}}}"), 0)
-    return apart(long, "kmers", F.slice(found, 1, F.col("n_kmers"))).drop("strand")
+    found = F.regexp_extract_all(F.substring("strand", F.col("offset") + 1, F.length("strand")), F.lit(f"(?s).{{{k}}}"), 0)
+    return apart(long, "kmers", F.slice(found, 1, F.col("n_kmers"))).drop("strand", "tile_len")
 
 
 def coordinates(i: Column, k: int) -> Column:
     """First and last base (from 0, both included, on the forward strand of the sequence) of k-mer ``i`` of a pass."""
-    s = F.col("offset") + i * k
-    forward = F.struct((s + F.col("chunk_offset")).alias("start"), (s + k - 1 + F.col("chunk_offset")).alias("end"))
-    length = F.length("chunk")
-    back = F.struct((length - s - k + F.col("chunk_offset")).alias("start"), (length - s - 1 + F.col("chunk_offset")).alias("end"))
-    return F.when(F.col("rc"), back).otherwise(forward)
+    s = F.col("offset") + F.col("tile_start") + i * k
+    first = F.col("chunk_offset") + F.when(F.col("rc"), F.col("chunk_len") - s - k).otherwise(s)
+    return F.struct(first.alias("start"), (first + (k - 1)).alias("end"))
 
 
 def kmers(passed: DataFrame, k: int, *, keep_last: bool = False) -> DataFrame:
     """A row for each k-mer: ``kmer_idx``, ``kmer``, ``start`` and ``end``."""
-    each = with_kmers(passed, k, keep_last=keep_last).select("*", F.posexplode("kmers").alias("kmer_idx", "kmer"))
-    each = each.withColumn("__at", coordinates(F.col("kmer_idx"), k))
-    return each.select("*", "__at.start", "__at.end").drop("kmers", "n_kmers", "__at", "chunk")
+    each = with_kmers(passed, k, keep_last=keep_last).select("*", F.posexplode("kmers").alias("__i", "kmer")).drop("kmers", "n_kmers")
+    at = coordinates(F.col("__i"), k)
+    each = each.withColumns({"kmer_idx": F.col("__i") + F.expr(f"tile_start div {k}").cast("int"), "start": at["start"], "end": at["end"]})
+    return each.drop("__i", "tile_start", "chunk_len")
 
 
-def windows(passed: DataFrame, k: int, window_size: int, *, full_only: bool = False, with_coords: bool = False) -> DataFrame:
-    """Consecutive groups of ``window_size`` k-mers of one chunk: ``window_idx``, ``kmers`` and, if asked for, ``coords``.
+def windows(passed: DataFrame, k: int, window_size: int, *, full_only: bool = False, with_coords: bool = False, ahead: int = 0) -> DataFrame:
+    """Consecutive groups of ``window_size`` k-mers of one chunk: ``window_idx``, ``kmers`` and, if asked for, ``coords``
+    and ``ahead``, the next so many windows of the pass (fewer at its end; of one tile).
 
     The last group of a chunk may be shorter, unless ``full_only``. There are no empty windows.
     """
     df = with_kmers(passed, k, least=window_size if full_only else 1)
     n = F.col("n_kmers") / window_size
     count = (F.floor(n) if full_only else F.ceil(n)).cast("int")
-    df = df.withColumn("window_idx", F.explode(F.sequence(F.lit(0), count - 1))).withColumn("kmers", F.slice("kmers", F.col("window_idx") * window_size + 1, window_size))
-    if with_coords:
-        first = F.col("window_idx") * window_size
-        df = df.withColumn("coords", F.transform("kmers", lambda _, i: coordinates(first + i, k)))
-    return df.drop("n_kmers", "chunk")
-
-
-def batches(df: DataFrame, batch_size: int, *, by: list[str], order: list[str], drop_last: bool = True) -> DataFrame:
-    """``batch_idx`` within each group of ``by``, and the rows of short last batches dropped unless asked otherwise."""
-    place = Window.partitionBy(*by).orderBy(*order)
-    numbered = df.withColumn("batch_idx", F.floor((F.row_number().over(place) - 1) / batch_size))
-    if not drop_last:
-        return numbered
-    size = F.count(F.lit(1)).over(Window.partitionBy(*by, "batch_idx"))
-    return numbered.withColumn("__size", size).where(F.col("__size") == batch_size).drop("__size")
+    df = apart(df, "__count", count)
+
+    def cut(w: Column) -> Column:
+        return F.slice("kmers", w * window_size + 1, window_size)
+
+    def window(w: Column) -> Column:
+        parts = [w.alias("__w"), cut(w).alias("kmers")]
+        if with_coords:
+            last = F.least((w + 1) * window_size, F.col("n_kmers")) - 1
+            parts.append(F.transform(F.sequence(w * window_size, last), lambda i: coordinates(i, k)).alias("coords"))
+        if ahead:
+            steps = F.sequence(F.lit(1), F.lit(ahead))
+            parts.append(F.transform(F.filter(steps, lambda s: w + s < F.col("__count")), lambda s: cut(w + s)).alias("ahead"))
+        return F.struct(*parts)
+
+    # a window's row is made before it is exploded: it never holds the chunk's whole array
+    every = F.transform(F.sequence(F.lit(0), F.col("__count") - 1), window)
+    kept = [c for c in df.columns if c not in ("kmers", "n_kmers", "__count", "chunk_len", "tile_start")]
+    each = df.select(*kept, "tile_start", F.inline(every))
+    return each.withColumn("window_idx", F.col("__w") + F.expr(f"tile_start div {k * window_size}").cast("int")).drop("__w", "tile_start")
+
+
+def batches(df: DataFrame, batch_size: int, *, key: list[str], seed: int = 42, drop_last: bool = True) -> DataFrame:
+    """``df`` with ``batch_idx`` and ``batch_row``: all rows in an order drawn by ``key``, cut every ``batch_size`` rows.
+
+    One short batch may remain in all, which is dropped unless asked otherwise. The draw's upper bits are buckets, which
+    are counted first, so that one bucket's rows are numbered in one task and never the whole table.
+    """
+    drawn = df.withColumn("__draw", draw(seed, "batch", *(F.col(c) for c in key))).withColumn("__bucket", F.shiftright("__draw", 16))
+    counts = drawn.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    starts = counts.select("__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"), F.sum("__n").over(whole).alias("__all"))
+    place = F.row_number().over(Window.partitionBy("__bucket").orderBy("__draw", *key))
+    ranked = drawn.withColumn("__at", place).join(starts, "__bucket").withColumn("__at", F.col("__at") + F.col("__start") - 1)
+    if drop_last:
+        ranked = ranked.where(F.expr(f"__at < __all div {batch_size} * {batch_size}"))
+    numbered = ranked.withColumns({"batch_idx": F.expr(f"__at div {batch_size}"), "batch_row": F.expr(f"cast(__at % {batch_size} as int)")})
+    return numbered.drop("__draw", "__bucket", "__start", "__all", "__at")

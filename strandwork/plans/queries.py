@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandwork.functions import columns as C
-from strandwork.functions.draws import uniform
+from strandwork.functions.draws import draw, uniform
 from strandwork.operators import intervals, masking, pairs, stats, taxonomy, windows
+from strandwork.plans import generators
 from strandwork.plans.generators import WINDOW_KEY, encoded
 from strandwork.sources import fasta, gff3, tables
 
@@ -97,7 +98,7 @@ def coords_windows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sliding_passes(spark: SparkSession, d: str) -> DataFrame:
-    df = windows.windows(windows.passes(_chunks(spark, d), 8), 8, 4, full_only=True, with_coords=True)
+    df = windows.windows(windows.passes(_chunks(spark, d), 8, tile=2048), 8, 4, full_only=True, with_coords=True)
     return df.select("id", "chunk_id", "offset", "rc", "window_idx", F.concat_ws(",", "kmers").alias("kmers"), F.col("coords")[0]["start"].alias("first_start"), F.col("coords")[3]["end"].alias("last_end"))
 
 
@@ -108,12 +109,18 @@ def rc_window(spark: SparkSession, d: str) -> DataFrame:
 
 def onehot_encode(spark: SparkSession, d: str) -> DataFrame:
     df = windows.kmers(_fwd(_chunks(spark, d)), 6)
-    return df.select("id", "chunk_id", "kmer_idx", C.as_bits(C.one_hot(F.col("kmer"), 6)).alias("bits"))
+    return df.select("id", "chunk_id", "kmer_idx", C.one_hot_bits(F.col("kmer")).alias("bits"))
+
+
+def encoded_windows(spark: SparkSession, d: str) -> DataFrame:
+    """The whole generator: one-hot k-mers as booleans, coordinates, id and strand of all offsets and strands."""
+    df = generators.fasta_kmers(tables.sequences(spark, d), 3, 4)
+    return df.select("id", "chunk_id", "offset", "rc", "window_idx", C.as_bits(F.flatten("kmers")).alias("bits"), F.col("coords")[0]["start"].alias("first_start"))
 
 
 def sequence_to_array(spark: SparkSession, d: str) -> DataFrame:
-    df = tables.sequences(spark, d)
-    return df.select("id", F.md5(C.as_bits(C.sequence_to_array(F.col("seq"), 7)).cast("binary")).alias("bits_md5"), F.size(C.sequence_to_array(F.col("seq"), 7)).cast("bigint").alias("n"))
+    df = tables.sequences(spark, d).withColumn("array", C.sequence_to_array(F.col("seq"), 7))
+    return df.select("id", F.md5(C.as_bits(F.col("array")).cast("binary")).alias("bits_md5"), F.size("array").cast("bigint").alias("n"))
 
 
 def pad_and_mask(spark: SparkSession, d: str) -> DataFrame:
@@ -138,26 +145,48 @@ def gff3_features(spark: SparkSession, d: str) -> DataFrame:
     return gff3.parse_lines(tables.gff3_lines(spark, d))
 
 
+def _features(spark: SparkSession, d: str) -> DataFrame:
+    return gff3.parse_lines(tables.gff3_lines(spark, d), mode="DROPMALFORMED")
+
+
 def gff3_type_dictionary(spark: SparkSession, d: str) -> DataFrame:
-    types = intervals.one_hot_types(intervals.type_dictionary(gff3_features(spark, d)))
+    types = intervals.one_hot_types(intervals.type_dictionary(_features(spark, d)))
     return types.select(F.col("idx").cast("bigint").alias("idx"), "feature_type_strand", F.concat_ws("", F.col("vector").cast("array<string>")).alias("vector"))
 
 
 def merged_intervals(spark: SparkSession, d: str) -> DataFrame:
-    return intervals.merge_intervals(gff3_features(spark, d))
+    return intervals.merge_intervals(_features(spark, d))
 
 
 def interval_coverage(spark: SparkSession, d: str) -> DataFrame:
-    return intervals.coverage(intervals.merge_intervals(gff3_features(spark, d)))
+    return intervals.coverage(intervals.merge_intervals(_features(spark, d)))
 
 
 def gff3_interval_label(spark: SparkSession, d: str) -> DataFrame:
-    features = gff3_features(spark, d)
+    features = _features(spark, d)
     kmers = windows.kmers(windows.passes(_chunks(spark, d), 9, sliding=False), 9)
-    found = intervals.label_kmers(kmers, features, intervals.type_dictionary(features), key=["id", "chunk_id", "rc", "kmer_idx"], bin_size=64)
+    found = intervals.label_kmers(kmers, features, intervals.type_dictionary(features), 9, key=["id", "chunk_id", "rc", "kmer_idx"], bin_size=256)
     return found.withColumns({"type_idx": F.col("type_idx").cast("bigint"), "positions": F.concat_ws(",", F.col("positions").cast("array<string>"))})
 
 
+def _labelled(spark: SparkSession, d: str, merged: bool) -> DataFrame:
+    features = _features(spark, d)
+    df = windows.windows(_fwd(_chunks(spark, d)), 5, 3, full_only=True, with_coords=True)
+    df = intervals.label_windows(df, features, intervals.type_dictionary(features), 5, key=WINDOW_KEY, merged=merged, bin_size=256)
+    bits = F.transform("classifications", lambda kmer: F.array_join(F.transform(kmer, lambda base: F.array_join(base.cast("array<string>"), "")), ""))
+    return df.select("id", "chunk_id", "window_idx", F.array_join(bits, "").alias("labels"))
+
+
+def gff3_window_labels(spark: SparkSession, d: str) -> DataFrame:
+    """A 0/1 vector over the types for every base of every k-mer of every window."""
+    return _labelled(spark, d, False)
+
+
+def gff3_window_labels_merged(spark: SparkSession, d: str) -> DataFrame:
+    """The same where a landmark's features are merged first and have the type of their first."""
+    return _labelled(spark, d, True)
+
+
 def _masked(spark: SparkSession, d: str, blank: bool) -> DataFrame:
     df = windows.windows(_fwd(_chunks(spark, d)), 5, 3)
     df = masking.masked(df, 5, 0.15, blank=blank, key=WINDOW_KEY)
@@ -172,13 +201,19 @@ def masked_blank(spark: SparkSession, d: str) -> DataFrame:
     return _masked(spark, d, True)
 
 
+def masked_random_order(spark: SparkSession, d: str) -> DataFrame:
+    """The masked windows of all passes in an order drawn by key, each with its draw."""
+    df = masking.masked(windows.windows(windows.passes(_chunks(spark, d), 4, tile=4096), 4, 8), 4, 0.15, key=WINDOW_KEY)
+    drawn = generators.in_order(df, True, 42).withColumn("draw", draw(42, "order", *(F.col(c) for c in WINDOW_KEY)))
+    return drawn.select(*WINDOW_KEY, F.concat_ws(",", "kmers").alias("kmers"), C.as_bits(F.col("truth")).alias("truth"), "draw")
+
+
 def discriminator_batches(spark: SparkSession, d: str) -> DataFrame:
     df = masking.masked(windows.windows(_fwd(_chunks(spark, d)), 5, 3), 5, 0.15, key=WINDOW_KEY)
-    cut = windows.batches(df, 4, by=["id"], order=["chunk_id", "window_idx"])
-    row = F.struct("chunk_id", "window_idx", F.concat_ws(",", "kmers").alias("kmers"), C.as_bits(F.col("truth")).alias("truth"))
-    rows = F.array_sort(F.collect_list(row))
-    out = cut.groupBy("id", "batch_idx").agg(rows.alias("rows"))
-    return out.select("id", "batch_idx", F.array_join(F.transform("rows", lambda r: r["kmers"]), ";").alias("kmers"), F.array_join(F.transform("rows", lambda r: r["truth"]), ";").alias("truth"))
+    cut = windows.batches(df, 4, key=WINDOW_KEY)
+    row = F.struct("batch_row", "id", F.concat_ws(",", "kmers").alias("kmers"), C.as_bits(F.col("truth")).alias("truth"))
+    out = cut.groupBy("batch_idx").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    return out.select("batch_idx", *(F.array_join(F.col(f"rows.{c}"), ";").alias(c) for c in ("id", "kmers", "truth")))
 
 
 def sequence_order(spark: SparkSession, d: str) -> DataFrame:
@@ -187,7 +222,7 @@ def sequence_order(spark: SparkSession, d: str) -> DataFrame:
 
 
 def matched_pairs(spark: SparkSession, d: str) -> DataFrame:
-    df = pairs.matched_pairs(windows.windows(_fwd(_chunks(spark, d)), 5, 2).where(F.size("kmers") == 2), slots=256)
+    df = pairs.matched_pairs(windows.windows(_fwd(_chunks(spark, d)), 5, 2, full_only=True, ahead=2))
     return df.select("id1", "chunk_id", "window_idx", F.concat_ws(",", "kmers1").alias("kmers1"), F.concat_ws(",", "kmers2").alias("kmers2"), "id2", "matched")
 
 
@@ -206,6 +241,13 @@ def valid_sequences(spark: SparkSession, d: str) -> DataFrame:
     return pairs.numbered(tables.sequences(spark, d), 7 * 21).select("id", "seq_len", F.col("seq_idx").cast("bigint").alias("seq_idx"))
 
 
+def lookup_by_index(spark: SparkSession, d: str) -> DataFrame:
+    """The sequences whose numbers a table of keys names, sliced."""
+    wanted = spark.read.parquet(f"{d}/lineitem.parquet").select("l_suppkey")
+    found = pairs.by_index(pairs.numbered(tables.sequences(spark, d), 7 * 21), wanted)
+    return found.select(F.col("seq_idx").cast("bigint").alias("seq_idx"), "id", F.substring("seq", 11, 50).alias("part"))
+
+
 def taxon_counts(spark: SparkSession, d: str) -> DataFrame:
     acc, nodes, names = tables.taxonomy(spark, d)
     sized = tables.sequences(spark, d).select("id", F.length("seq").alias("seq_len"))
@@ -222,7 +264,7 @@ def random_order(spark: SparkSession, d: str) -> DataFrame:
 
 
 def point_lookup(spark: SparkSession, d: str) -> DataFrame:
-    return fasta.slice_of(fasta.by_id(tables.sequences(spark, d), "7"), 10, 60)
+    return fasta.slice_of(tables.sequence(spark, d, 7), 10, 60)
 
 
 def sequence_index(spark: SparkSession, d: str) -> DataFrame:
@@ -230,15 +272,23 @@ def sequence_index(spark: SparkSession, d: str) -> DataFrame:
 
 
 _FEATURES = """docs AS (SELECT count(*) AS n FROM documents),
-items AS (SELECT l_orderkey * 10 + l_linenumber AS line_no, (l_orderkey % docs.n)::VARCHAR AS landmark, 'table' AS source,
-  ['gene', 'mrna', 'exon', 'cds', 'chromosome'][(l_partkey % 5) + 1] AS feature_type,
-  (l_partkey * 37 + l_suppkey * 101) % 1500 AS a, (l_partkey * 37 + l_suppkey * 101) % 1500 + (l_orderkey * 13 + l_linenumber * 7) % 160 - 40 AS b,
-  CASE WHEN l_suppkey % 3 = 0 THEN NULL ELSE l_linenumber::FLOAT END AS score,
-  CASE WHEN l_linestatus = 'O' THEN '+' WHEN l_returnflag = 'R' THEN '-' END AS strand,
-  CASE WHEN l_partkey % 4 <= 2 THEN (l_partkey % 4)::TINYINT END AS phase, 'ID=' || l_orderkey AS attributes FROM lineitem, docs),
-features AS (SELECT line_no, landmark, source, feature_type,
+written AS (SELECT l_orderkey * 10 + l_linenumber AS line_no, (l_orderkey + l_partkey) % 97 AS odd,
+  concat_ws(chr(9), l_orderkey % docs.n, 'table', ['Gene', 'mRNA', 'exon', 'CDS', 'chromosome'][(l_partkey % 5) + 1],
+    CASE WHEN odd = 1 THEN 'x' ELSE ((l_partkey * 37 + l_suppkey * 101) % 1500)::VARCHAR END,
+    (l_partkey * 37 + l_suppkey * 101) % 1500 + (l_orderkey * 13 + l_linenumber * 7) % 160 - 40,
+    CASE WHEN l_suppkey % 3 = 0 THEN '.' ELSE l_linenumber::VARCHAR END,
+    CASE WHEN l_linestatus = 'O' THEN '+' WHEN l_returnflag = 'R' THEN '-' ELSE '.' END, l_partkey % 4,
+    CASE WHEN odd <> 2 THEN 'ID=' || l_orderkey END) AS line FROM lineitem, docs),
+split_up AS (SELECT line_no, line, string_split(line, chr(9)) AS f FROM written WHERE odd <> 0),
+checked AS (SELECT *, len(f) = 9 AND try_cast(f[4] AS BIGINT) IS NOT NULL AS ok FROM split_up),
+typed AS (SELECT line_no, CASE WHEN NOT ok THEN line END AS corrupt, CASE WHEN ok THEN f[1] END AS landmark, CASE WHEN ok THEN f[2] END AS source,
+  CASE WHEN ok THEN lower(f[3]) END AS feature_type, CASE WHEN ok THEN f[4]::BIGINT END AS a, CASE WHEN ok THEN f[5]::BIGINT END AS b,
+  CASE WHEN ok AND f[6] <> '.' THEN f[6]::FLOAT END AS score, CASE WHEN ok AND f[7] <> '.' THEN f[7] END AS strand,
+  CASE WHEN ok AND f[8]::INT <= 2 THEN f[8]::TINYINT END AS phase, CASE WHEN ok THEN f[9] END AS attributes FROM checked),
+parsed AS (SELECT line_no, landmark, source, feature_type,
   feature_type || CASE strand WHEN '+' THEN '_Plus' WHEN '-' THEN '_Minus' ELSE '' END AS feature_type_strand,
-  least(a, b) AS "start", greatest(a, b) AS "end", score, strand, phase, attributes, NULL::VARCHAR AS corrupt FROM items WHERE feature_type <> 'chromosome'),
+  least(a, b) AS "start", greatest(a, b) AS "end", score, strand, phase, attributes, corrupt FROM typed WHERE feature_type IS DISTINCT FROM 'chromosome'),
+features AS (SELECT * FROM parsed WHERE corrupt IS NULL),
 types AS (SELECT feature_type_strand, row_number() OVER (ORDER BY max(line_no), feature_type_strand) - 1 AS idx FROM features GROUP BY 1)"""
 _MERGED = f"""{_FEATURES},
 opened AS (SELECT *, max("end") OVER (PARTITION BY landmark ORDER BY "start", "end", line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM features),
@@ -251,23 +301,37 @@ one AS (SELECT kmer, count(*) AS n FROM each GROUP BY 1),
 counts AS (SELECT kmer, sum(n)::BIGINT AS n FROM (SELECT kmer, n FROM one UNION ALL SELECT {rc_sql("kmer")}, n FROM one) GROUP BY 1)"""
 
 
-def _letter_sql(number: str) -> str:
-    return f"CASE WHEN {number} < 48 THEN 'A' WHEN {number} < 96 THEN 'C' WHEN {number} < 144 THEN 'T' WHEN {number} < 192 THEN 'G' ELSE 'N' END"
+def _digest_sql(seed: int, part: int, *keys: str) -> str:
+    parts = ", ".join(f"coalesce(({x})::VARCHAR, '')" for x in keys)
+    return f"md5(concat_ws('|', '{seed}', 'mask', {parts}, '{part}'))"
+
+
+def _hit_sql(seed: int, pct: float, *keys: str) -> str:
+    return f"('0x' || substr({_digest_sql(seed, 0, *keys)}, 1, 8))::BIGINT / 4294967296.0::DOUBLE < {pct}::DOUBLE"
 
 
-def _masked_sql(blank: bool) -> str:
+def _masked_sql(k: int, ws: int, blank: bool, offsets: str = "[0]", strands: str = FWD) -> str:
     keys = ("id", "chunk_id", '"offset"', "rc", "window_idx", "i")
-    number = draw_sql(42, "letter", *keys, "j") + " % 196"
-    new = "repeat('N', 5)" if blank else f"array_to_string([{_letter_sql(number)} for j in range(5)], '')"
-    return f"""{windows_sql(5, 3, "[0]", FWD, False)},
-hits AS (SELECT *, [{draw_sql(42, "mask", *keys)} / 4294967296.0::DOUBLE < 0.15::DOUBLE for i in range(len(kmers))] AS hit FROM wins),
-masked AS (SELECT id, chunk_id, window_idx, array_to_string([CASE WHEN hit[i + 1] THEN {new} ELSE kmers[i + 1] END for i in range(len(kmers))], ',') AS kmers,
+    letters = "repeat('A', 48) || repeat('C', 48) || repeat('T', 48) || repeat('G', 48) || repeat('N', 4)"
+    each = [f"substr(letters, (('0x' || substr({_digest_sql(42, j // 6, *keys)}, {9 + 4 * (j % 6)}, 4))::BIGINT % 196)::INT + 1, 1)" for j in range(k)]
+    new = f"repeat('N', {k})" if blank else " || ".join(each)
+    return f"""{windows_sql(k, ws, offsets, strands, False)},
+hits AS (SELECT *, {letters} AS letters, [{_hit_sql(42, 0.15, *keys)} for i in range(len(kmers))] AS hit FROM wins),
+masked AS (SELECT {WKEY}, array_to_string([CASE WHEN hit[i + 1] THEN {new} ELSE kmers[i + 1] END for i in range(len(kmers))], ',') AS kmers,
   array_to_string([CASE WHEN h THEN '0' ELSE '1' END for h in hit], '') AS truth FROM hits)"""
 
 
 def _window_sql(seq: str, need: int, k: int, purpose: str, key: str) -> str:
-    parts = [f"substr({seq}, ({draw_sql(42, f'{purpose}{i}', key)} % (length({seq}) - {need + k}) + 1)::INT, {need})" for i in range(4)]
-    return "coalesce(" + ", ".join(f"CASE WHEN NOT regexp_matches({p}, '^N*$') THEN {p} END" for p in parts) + ")"
+    """A drawn window that is not all N: one of four drawn places, or the first one behind the last of them, or of all."""
+    starts = f"greatest(length({seq}) - {need + k}, 1)"
+    drawn = [f"({draw_sql(42, f'{purpose}{i}', key)} % {starts})" for i in range(4)]
+    tries = [f"CASE WHEN NOT regexp_matches(substr({seq}, {s}::INT + 1, {need}), '^N*$') THEN {s} END" for s in drawn]
+
+    def behind(s: str) -> str:
+        begin = f"({s} + length(substr({seq}, {s}::INT + 1)) - length(ltrim(substr({seq}, {s}::INT + 1), 'N')) - {need - 1})"
+        return f"CASE WHEN {begin} < {starts} THEN greatest({begin}, 0) END"
+
+    return f"substr({seq}, (coalesce({', '.join([*tries, behind(drawn[-1]), behind('0')])}))::INT + 1, {need})"
 
 
 def _numbered_sql(min_length: int) -> str:
@@ -280,7 +344,7 @@ def _split_sql(x: str, k: int, n: int) -> str:
     return f"[substr({x}, j * {k} + 1, {k}) for j in range({n})]"
 
 
-_TRIPLE = f"""{_numbered_sql(25)},
+_TRIPLE = f"""{_numbered_sql(24)},
 size AS (SELECT count(*) AS n FROM pool), docs AS (SELECT count(*) AS m FROM documents),
 ex AS (SELECT unnest(range(2 * m)) AS example FROM docs),
 drawn AS (SELECT example, ['same', 'rc', 'other', 'other'][({draw_sql(42, "task", "example")} % 4)::INT + 1] AS task, n,
@@ -288,12 +352,11 @@ drawn AS (SELECT example, ['same', 'rc', 'other', 'other'][({draw_sql(42, "task"
 placed AS (SELECT *, CASE WHEN task = 'other' THEN (idx1 + step) % n ELSE idx1 END AS idx2 FROM drawn),
 met AS (SELECT p.*, a.id AS id1, b.id AS id2, {_window_sql("a.seq", 20, 4, "left", "example")} AS l, {_window_sql("b.seq", 20, 4, "right", "example")} AS r
   FROM placed p JOIN pool a ON a.seq_idx = p.idx1 JOIN pool b ON b.seq_idx = p.idx2),
-turned AS (SELECT *, CASE WHEN {draw_sql(42, "strand1", "example")} % 2 = 1 THEN {rc_sql("l")} ELSE l END AS l2,
-  CASE WHEN {draw_sql(42, "strand2", "example")} % 2 = 1 THEN {rc_sql("r")} ELSE r END AS r2 FROM met),
+turned AS (SELECT *, CASE WHEN {draw_sql(42, "strand", "example", "'left'")} % 2 = 1 THEN {rc_sql("l")} ELSE l END AS l2,
+  CASE WHEN {draw_sql(42, "strand", "example", "'right'")} % 2 = 1 THEN {rc_sql("r")} ELSE r END AS r2 FROM met),
 cut AS (SELECT example, task, id1, id2, {_split_sql("l2", 4, 5)} AS k3, {_split_sql(f"CASE WHEN task = 'rc' THEN {rc_sql('l2')} ELSE r2 END", 4, 5)} AS k4
   FROM turned WHERE l2 IS NOT NULL AND (task = 'rc' OR r2 IS NOT NULL)),
-hit AS (SELECT *, [{draw_sql(42, "mask", "example", "i")} / 4294967296.0::DOUBLE < 0.2::DOUBLE for i in range(5)] AS h1,
-  [{draw_sql(43, "mask", "example", "i")} / 4294967296.0::DOUBLE < 0.2::DOUBLE for i in range(5)] AS h2 FROM cut)
+hit AS (SELECT *, [{_hit_sql(42, 0.2, "example", "i")} for i in range(5)] AS h1, [{_hit_sql(43, 0.2, "example", "i")} for i in range(5)] AS h2 FROM cut)
 SELECT example, task, id1, id2, array_to_string([CASE WHEN h1[i + 1] THEN 'NNNN' ELSE k3[i + 1] END for i in range(5)], ',') AS kmers1,
   array_to_string([CASE WHEN h2[i + 1] THEN 'NNNN' ELSE k4[i + 1] END for i in range(5)], ',') AS kmers2,
   array_to_string(k3, ',') AS kmers3, array_to_string(k4, ',') AS kmers4,
@@ -303,28 +366,50 @@ SELECT example, task, id1, id2, array_to_string([CASE WHEN h1[i + 1] THEN 'NNNN'
 _PAIR = windows_sql(5, 2, "[0]", FWD, True)
 _PKEY = ("id", "chunk_id", '"offset"', "rc", "window_idx")
 _MATCHED = f"""{_PAIR},
-d AS (SELECT *, {draw_sql(42, "same", *_PKEY)} % 2 = 1 AS same, {draw_sql(42, "skip", *_PKEY)} % 2 AS skip, {draw_sql(42, "slot", *_PKEY)} % 256 AS slot, {draw_sql(42, "ring", *_PKEY)} AS ring FROM wins),
-e AS (SELECT *, lead(kmers) OVER o AS n1, lead(kmers, 2) OVER o AS n2, lead(kmers) OVER g AS other, lead(id) OVER g AS other_id FROM d
-  WINDOW o AS (PARTITION BY id, chunk_id ORDER BY window_idx), g AS (PARTITION BY slot ORDER BY ring, id, chunk_id, "offset", rc, window_idx)),
-p AS (SELECT id AS id1, chunk_id, window_idx, kmers, CASE WHEN skip = 1 THEN n2 ELSE n1 END AS k2, id AS id2, true AS matched FROM e WHERE same
-  UNION ALL SELECT id, chunk_id, window_idx, kmers, other, other_id, false FROM e WHERE NOT same AND other_id <> id)
+size AS (SELECT greatest((count(*) + 4095) // 4096, 1) AS slots FROM wins),
+ends AS (SELECT first(id ORDER BY {", ".join(_PKEY)}) AS low_id, first(kmers ORDER BY {", ".join(_PKEY)}) AS low, last(id ORDER BY {", ".join(_PKEY)}) AS high_id,
+  last(kmers ORDER BY {", ".join(_PKEY)}) AS high FROM wins),
+d AS (SELECT *, {draw_sql(42, "same", *_PKEY)} % 2 = 1 AS same, {draw_sql(42, "skip", *_PKEY)} % 2 AS skip, {draw_sql(42, "slot", *_PKEY)} % slots AS slot, {draw_sql(42, "ring", *_PKEY)} AS ring FROM wins, size),
+e AS (SELECT *, lead(kmers) OVER o AS n1, lead(kmers, 2) OVER o AS n2, coalesce(id <> lag(id) OVER g, true) AS opens FROM d
+  WINDOW o AS (PARTITION BY id, chunk_id ORDER BY window_idx), g AS (PARTITION BY slot ORDER BY ring, {", ".join(_PKEY)})),
+r AS (SELECT *, sum(opens::INT) OVER (PARTITION BY slot ORDER BY ring, {", ".join(_PKEY)}) AS run FROM e),
+h AS (SELECT slot, run, id AS head_id, kmers AS head FROM r WHERE opens),
+b AS (SELECT r.*, n.head_id AS next_id, n.head AS next, f.head_id AS first_id, f.head AS first, s.head_id AS second_id, s.head AS second
+  FROM r LEFT JOIN h n ON n.slot = r.slot AND n.run = r.run + 1 LEFT JOIN h f ON f.slot = r.slot AND f.run = 1 LEFT JOIN h s ON s.slot = r.slot AND s.run = 2 AND r.run >= 2),
+c AS (SELECT *, CASE WHEN next_id IS NOT NULL THEN 1 WHEN first_id <> id THEN 2 WHEN second_id <> id THEN 3 WHEN low_id <> id THEN 4 WHEN high_id <> id THEN 5 END AS pick FROM b, ends),
+p AS (SELECT id AS id1, chunk_id, window_idx, kmers, CASE WHEN skip = 1 THEN n2 ELSE n1 END AS k2, id AS id2, true AS matched FROM c WHERE same
+  UNION ALL SELECT id, chunk_id, window_idx, kmers, CASE pick WHEN 1 THEN next WHEN 2 THEN first WHEN 3 THEN second WHEN 4 THEN low WHEN 5 THEN high END,
+  CASE pick WHEN 1 THEN next_id WHEN 2 THEN first_id WHEN 3 THEN second_id WHEN 4 THEN low_id WHEN 5 THEN high_id END, false FROM c WHERE NOT same)
 SELECT id1, chunk_id, window_idx, array_to_string(kmers, ',') AS kmers1, array_to_string(k2, ',') AS kmers2, id2, matched FROM p WHERE k2 IS NOT NULL"""
 
 _TAX = """region_of AS (SELECT doc_id::VARCHAR AS id, length(text) AS seq_len, 100 + n_regionkey AS branch FROM documents JOIN nation ON n_nationkey = doc_id % 25)"""
 
 _SUB = f"""{SEQS},
-valid AS (SELECT id, seq FROM seqs WHERE length(seq) >= 25 AND NOT regexp_matches(seq, '^N*$')),
+valid AS (SELECT id, seq FROM seqs WHERE length(seq) >= 24 AND NOT regexp_matches(seq, '^N*$')),
 w AS (SELECT id, {draw_sql(42, "strand", "id")} % 2 = 1 AS rc, {_window_sql("seq", 20, 4, "start", "id")} AS part FROM valid),
 t AS (SELECT id, rc, CASE WHEN rc THEN {rc_sql("part")} ELSE part END AS s FROM w WHERE part IS NOT NULL)
 SELECT id, rc, array_to_string({_split_sql("s", 4, 5)}, ',') AS kmers FROM t"""
 
+
+def _labels_sql(merged: bool) -> str:
+    """The places of the flags of each window: 5 k-mers' bases by types."""
+    source = f"{_MERGED}" if merged else _FEATURES
+    return f"""WITH {windows_sql(5, 3, "[0]", FWD, True)}, {source}, width AS (SELECT count(*) AS n FROM types),
+q AS (SELECT {WKEY}, i, {start_sql(5, "window_idx * 3 + i")} AS s, {start_sql(5, "window_idx * 3 + i")} + 4 AS e FROM wins, (SELECT unnest(range(3)) AS i)),
+met AS (SELECT q.*, t.idx, unnest(range(greatest(f."start", s), least(f."end", e) + 1)) - s AS p
+  FROM q JOIN {"merged" if merged else "features"} f ON f.landmark = q.id AND f."start" < e AND f."end" > s JOIN types t USING (feature_type_strand)),
+flags AS (SELECT {WKEY}, list_distinct(list((i * 5 + p) * n + idx)) AS flags FROM met, width GROUP BY ALL)
+SELECT id, chunk_id, window_idx, array_to_string([CASE WHEN list_contains(flags, x) THEN '1' ELSE '0' END for x in range(15 * n)], '') AS labels
+FROM wins LEFT JOIN flags USING ({WKEY}), width"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        n_split_chunks, kmers_both_strands, kmer_windows, coords_windows, sliding_passes, rc_window, onehot_encode, sequence_to_array, pad_and_mask,
-        kmer_counts, kmer_summary, kmer_min_count, gff3_features, gff3_type_dictionary, merged_intervals, interval_coverage, gff3_interval_label,
-        masked_random, masked_blank, discriminator_batches, sequence_order, matched_pairs, triple_loss, random_subwindows, valid_sequences,
-        taxon_counts, taxon_members, random_order, point_lookup, sequence_index,
+        n_split_chunks, kmers_both_strands, kmer_windows, coords_windows, sliding_passes, rc_window, onehot_encode, encoded_windows, sequence_to_array, pad_and_mask,
+        kmer_counts, kmer_summary, kmer_min_count, gff3_features, gff3_type_dictionary, merged_intervals, interval_coverage, gff3_interval_label, gff3_window_labels,
+        gff3_window_labels_merged, masked_random, masked_blank, masked_random_order, discriminator_batches, sequence_order, matched_pairs, triple_loss, random_subwindows, valid_sequences,
+        lookup_by_index, taxon_counts, taxon_members, random_order, point_lookup, sequence_index,
     )
 }
 
@@ -340,6 +425,7 @@ array_to_string([{start_sql(5, "window_idx * 3 + i")} || '-' || ({start_sql(5, "
 {start_sql(8, "window_idx * 4")} AS first_start, {start_sql(8, "window_idx * 4 + 3")} + 7 AS last_end FROM wins""",
     "rc_window": f"WITH {windows_sql(6, 2, '[0]', FWD, False)} SELECT id, chunk_id, window_idx, array_to_string(list_reverse([{rc_sql('x')} for x in kmers]), ',') AS kmers_rc FROM wins",
     "onehot_encode": f"WITH {passes_sql(6, '[0]', FWD)}, k AS (SELECT id, chunk_id, unnest(range(n)) AS kmer_idx, kmers FROM held) SELECT id, chunk_id, kmer_idx, {one_hot_sql('kmers[kmer_idx + 1]', 6)} AS bits FROM k",
+    "encoded_windows": f"""WITH {windows_sql(3, 4, "range(3)", BOTH, True)} SELECT {WKEY}, array_to_string([{one_hot_sql("x", 3)} for x in kmers], '') AS bits, {start_sql(3, "window_idx * 4")} AS first_start FROM wins""",
     "sequence_to_array": f"WITH {SEQS} SELECT id, md5({one_hot_sql('seq', 'length(seq) // 7 * 7')}) AS bits_md5, 5 * (length(seq) // 7 * 7) AS n FROM seqs",
     "pad_and_mask": f"""WITH {windows_sql(5, 4, "[0]", FWD, False)} SELECT id, chunk_id, window_idx,
 rpad(array_to_string([{one_hot_sql("x", 5)} for x in kmers], ''), 100, '0') AS bits, repeat('1', len(kmers)::INT) || repeat('0', 4 - len(kmers)::INT) AS mask FROM wins""",
@@ -347,7 +433,7 @@ rpad(array_to_string([{one_hot_sql("x", 5)} for x in kmers], ''), 100, '0') AS b
     "kmer_summary": f"WITH {_COUNTS} SELECT sum(n)::BIGINT AS total, count(*) AS distinct_kmers, sum(n) / count(*) AS average FROM counts",
     "kmer_min_count": f"""WITH {_COUNTS}, m AS (SELECT unnest([2, 10, 50])::INT AS min_count)
 SELECT min_count, count_if(n >= min_count) AS kept, count(*) AS distinct_kmers, count_if(n >= min_count) / count(*) AS share FROM counts, m GROUP BY min_count""",
-    "gff3_features": f"WITH {_FEATURES} SELECT * FROM features",
+    "gff3_features": f"WITH {_FEATURES} SELECT * FROM parsed",
     "gff3_type_dictionary": f"WITH {_FEATURES} SELECT idx, feature_type_strand, array_to_string([CASE WHEN j = idx THEN '1' ELSE '0' END for j in range((SELECT count(*) FROM types))], '') AS vector FROM types",
     "merged_intervals": f"WITH {_MERGED} SELECT * FROM merged",
     "interval_coverage": f'WITH {_MERGED} SELECT landmark, sum("end" - "start")::BIGINT AS coverage FROM merged GROUP BY 1',
@@ -355,16 +441,20 @@ SELECT min_count, count_if(n >= min_count) AS kept, count(*) AS distinct_kmers,
 q AS (SELECT id, chunk_id, rc, j AS kmer_idx, {start_sql(9, "j")} AS s, {start_sql(9, "j")} + 8 AS e FROM k),
 met AS (SELECT q.*, t.idx, unnest(range(greatest(f."start", s), least(f."end", e) + 1)) - s AS p FROM q JOIN features f ON f.landmark = q.id AND f."start" < e AND f."end" > s JOIN types t USING (feature_type_strand))
 SELECT id, chunk_id, rc, kmer_idx, idx AS type_idx, array_to_string(list_sort(list_distinct(list(p))), ',') AS positions FROM met GROUP BY ALL""",
-    "masked_random": f"WITH {_masked_sql(False)} SELECT * FROM masked",
-    "masked_blank": f"WITH {_masked_sql(True)} SELECT * FROM masked",
-    "discriminator_batches": f"""WITH {_masked_sql(False)}, b AS (SELECT *, (row_number() OVER (PARTITION BY id ORDER BY chunk_id, window_idx) - 1) // 4 AS batch_idx FROM masked)
-SELECT id, batch_idx, string_agg(kmers, ';' ORDER BY chunk_id, window_idx) AS kmers, string_agg(truth, ';' ORDER BY chunk_id, window_idx) AS truth FROM b GROUP BY id, batch_idx HAVING count(*) = 4""",
+    "gff3_window_labels": _labels_sql(False),
+    "gff3_window_labels_merged": _labels_sql(True),
+    "masked_random": f"WITH {_masked_sql(5, 3, False)} SELECT id, chunk_id, window_idx, kmers, truth FROM masked",
+    "masked_blank": f"WITH {_masked_sql(5, 3, True)} SELECT id, chunk_id, window_idx, kmers, truth FROM masked",
+    "masked_random_order": f"WITH {_masked_sql(4, 8, False, 'range(4)', BOTH)} SELECT *, {draw_sql(42, 'order', *_PKEY)} AS draw FROM masked",
+    "discriminator_batches": f"""WITH {_masked_sql(5, 3, False)}, b AS (SELECT *, row_number() OVER (ORDER BY {draw_sql(42, "batch", *_PKEY)}, {WKEY}) - 1 AS at FROM masked)
+SELECT at // 4 AS batch_idx, string_agg(id, ';' ORDER BY at) AS id, string_agg(kmers, ';' ORDER BY at) AS kmers, string_agg(truth, ';' ORDER BY at) AS truth FROM b GROUP BY 1 HAVING count(*) = 4""",
     "sequence_order": f"""WITH {windows_sql(4, 6, "range(4)", BOTH, True)}, o AS (SELECT *, {draw_sql(42, "order", *_PKEY)} % 2 = 1 AS "order", array_to_string(kmers[1:3], ',') AS a, array_to_string(kmers[4:6], ',') AS b FROM wins)
 SELECT {WKEY}, CASE WHEN "order" THEN b ELSE a END AS kmers1, CASE WHEN "order" THEN a ELSE b END AS kmers2, "order" FROM o""",
     "matched_pairs": f"WITH {_MATCHED}",
     "triple_loss": f"WITH {_TRIPLE}",
     "random_subwindows": f"WITH {_SUB}",
     "valid_sequences": f"WITH {_numbered_sql(147)} SELECT id, seq_len, seq_idx FROM pool",
+    "lookup_by_index": f"WITH {_numbered_sql(147)} SELECT seq_idx, id, substr(seq, 11, 50) AS part FROM pool WHERE seq_idx IN (SELECT l_suppkey FROM lineitem)",
     "taxon_counts": f"WITH {_TAX} SELECT 100 + r_regionkey AS id, r_name AS name, count(branch) AS seq_count, coalesce(sum(seq_len), 0)::BIGINT AS seq_length FROM region LEFT JOIN region_of ON branch = 100 + r_regionkey AND seq_len >= 100 GROUP BY 1, 2",
     "taxon_members": f"WITH {_TAX} SELECT branch, id FROM region_of",
     "random_order": f"WITH {SEQS} SELECT id, {draw_sql(7, 'order', 'id')} AS draw, length(seq) AS seq_len FROM seqs",

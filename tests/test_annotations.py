@@ -1,5 +1,7 @@
 """GFF3 parsing, intervals and labels."""
 
+import random
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -66,6 +68,33 @@ def test_merge_and_coverage(spark):
     assert {r.landmark: r.coverage for r in intervals.coverage(intervals.merge_intervals(df)).collect()} == {"s": 8, "t": 3}
 
 
+@pytest.mark.parametrize("bin_size", [1, 7, 50, 1 << 16])
+def test_merging_over_bins(spark, bin_size):
+    rng = random.Random(bin_size)
+    rows = []
+    for i in range(400):
+        start = rng.randint(-60, 900)
+        rows.append((i, rng.choice("st"), rng.choice("abc"), start, start + rng.choice((0, 1, 5, 20, 150 if i % 40 == 0 else 3))))
+    plain = []
+    for _, landmark, kind, start, end in sorted(rows, key=lambda r: (r[1], r[3], r[4], r[0])):
+        if plain and plain[-1][0] == landmark and start <= plain[-1][2]:
+            plain[-1][2] = max(plain[-1][2], end)
+            plain[-1][3] += 1
+        else:
+            plain.append([landmark, start, end, 1, kind])
+    found = intervals.merge_intervals(features(spark, *rows), bin_size=bin_size)
+    assert sorted(map(list, found.select("landmark", "start", "end", "n_features", "feature_type_strand").collect())) == plain
+    assert intervals.merge_intervals(features(spark, *rows).limit(0)).isEmpty()
+
+
+def test_labels_of_long_kmers(spark):
+    """More bases than a word of bits holds."""
+    kmers = spark.createDataFrame([("s", False, 0, 99), ("s", True, 100, 199)], "id string, rc boolean, start long, end long")
+    f = features(spark, (1, "s", "a", 50, 75), (2, "s", "a", 60, 130), (3, "s", "a", 198, 400))
+    rows = intervals.label_kmers(kmers, f, intervals.type_dictionary(f), 100, key=["id", "rc"]).collect()
+    assert {r.rc: r.positions for r in rows} == {False: list(range(50, 100)), True: [*range(31), 98, 99]}
+
+
 def test_annotation_file_facts(spark, tmp_path):
     """Features that touch, repeat and nest, read from a file: the merged coverage is that of their union."""
     text = "##gff-version 3\n" + "\n".join(line(a=str(a), b=str(b)) for a, b in ((10, 20), (15, 30), (30, 31), (50, 60))) + "\n"
@@ -84,7 +113,7 @@ def test_labels_against_direct_enumeration(spark, bin_size):
     types = intervals.type_dictionary(f)
     idx = {r.feature_type_strand: r.idx for r in types.collect()}
     for options in ({}, {"one_based": True}, {"orient": True}):
-        found = intervals.label_kmers(kmers, f, types, key=["id", "rc", "kmer_idx"], bin_size=bin_size, **options)
+        found = intervals.label_kmers(kmers, f, types, 5, key=["id", "rc", "kmer_idx"], bin_size=bin_size, **options)
         mine = {(r.id, r.rc, r.kmer_idx, r.type_idx): r.positions for r in found.collect()}
         plain = {}
         for k in kmers.collect():

@@ -5,6 +5,7 @@ import gzip
 import pytest
 from pyspark.sql import functions as F
 
+from strandwork.functions.draws import draw
 from strandwork.operators import masking, pairs, taxonomy, windows
 from strandwork.plans import generators
 from strandwork.sources import fasta, tables
@@ -50,9 +51,23 @@ def test_order_halves(some):
 
 def test_matched_pairs(some):
     df = all_windows(some, 5, 2).where("size(kmers) = 2")
-    rows = pairs.matched_pairs(df, slots=16).collect()
+    rows = pairs.matched_pairs(df, slot_rows=200).collect()
     assert all((r.id1 == r.id2) == r.matched for r in rows)
     assert 0.2 < sum(r.matched for r in rows) / len(rows) < 0.6
+    ahead = windows.windows(windows.split_chunks(some).withColumns({"offset": F.lit(0), "rc": F.lit(False)}), 5, 2, full_only=True, ahead=2)
+    assert sorted(map(tuple, pairs.matched_pairs(ahead, slot_rows=200).collect())) == sorted(map(tuple, rows))
+
+
+@pytest.mark.parametrize("slot_rows", [1, 4, 5000])
+def test_each_window_finds_another_sequence(spark, some, slot_rows):
+    """One sequence has nearly all windows, and slots hold one row each at worst."""
+    hot = some.orderBy(F.length("seq").desc()).limit(1).union(spark.createDataFrame([("x", "ACGTACGTACGTACGTA")], some.schema))
+    df = all_windows(hot, 5, 2).where("size(kmers) = 2")
+    drawn = pairs.matched_pairs(df, slot_rows=slot_rows).where("NOT matched")
+    assert drawn.where("id1 = id2").isEmpty()
+    assert drawn.count() == df.where(F.pmod(draw(42, "same", *(F.col(c) for c in KEY)), F.lit(2)) == 0).count()
+    assert pairs.matched_pairs(df.where("id = 'x'")).where("NOT matched").isEmpty()
+    assert pairs.matched_pairs(df.limit(0)).isEmpty()
 
 
 def test_triple_loss(some):
@@ -80,15 +95,46 @@ def test_triple_loss(some):
 def test_generators_give_encoded_rows(spark, some):
     few = some.where("cast(id as int) < 6")
     assert len(generators.fasta_kmers(few, 4, 2, sliding=False, start_rc=True).first().kmers[0]) == 20
-    assert generators.matched_kmers(few, 4, 2, slots=8).where("NOT matched").count() > 0
+    assert generators.matched_kmers(few, 4, 2, slot_rows=64).where("NOT matched").count() > 0
     assert set(generators.triple_loss(few, 4, 3, 10, 0.1).columns) >= {"kmers1", "kmers4", "truth2"}
     assert generators.sequence_order(few, 4, 2).count() > 0
-    batch = generators.masked_batches(few, 4, 2, 8, 0.1, slots=4).first()
+    batch = generators.masked_batches(few, 4, 2, 8, 0.1).first()
     assert len(batch.kmers) == len(batch.id) == len(batch.truth) == 8
     assert next(generators.examples(generators.masked_kmers(few, 4, 2, 0.1), ["id", "truth"])).keys() == {"id", "truth"}
     assert generators.convert_sequence_to_array(few, 3).select(F.size("array") % 15).distinct().first()[0] == 0
 
 
+def test_random_order(some):
+    few = some.where("cast(id as int) < 4")
+    plain, drawn = (generators.masked_kmers(few, 4, 2, 0.1, rand=r).select(*KEY).collect() for r in (False, True))
+    assert plain != drawn
+    assert sorted(plain) == sorted(drawn)
+    assert drawn == generators.masked_kmers(few.repartition(3), 4, 2, 0.1, rand=True).select(*KEY).collect()
+
+
+def test_windows_of_sequences_of_mostly_n(spark):
+    """A window is drawn wherever one holds a base, and at the least length."""
+    texts = {"a": "ACGTACGTA", "b": "N" * 500 + "A" + "N" * 500, "c": "A" + "N" * 800, "d": "N" * 90 + "ACG", "e": "N" * 60 + "G" + "N" * 4, "f": "ACGTACGT"}
+    df = spark.createDataFrame(list(texts.items()), "id string, seq string")
+    rows = {r.id: "".join(r.kmers) for r in pairs.subwindows(df, 3, 2).collect()}
+    assert set(rows) == {"a", "b", "c", "e"}  # of d only the last place, which is never drawn, would do; f is short
+    assert all(set(x) != {"N"} and len(x) == 6 for x in rows.values())
+    one = pairs.triple_loss(df.where("id = 'a'"), 3, 2, 40, 0.0)
+    assert {"".join(r.kmers3) for r in one.collect()} == {"ACGTAC", "GTACGT"}
+    found = pairs.by_index(pairs.numbered(df, 9), spark.createDataFrame([(0,), (0,), (2,), (77,), (None,)], "i int"))
+    assert sorted(r.seq_idx for r in found.collect()) == [0, 2]
+
+
+def test_deep_lineages_and_cycles(spark):
+    nodes = [(1, 1), (2, 1), (3, 1), *((i, i - 1) for i in range(4, 204)), *((i, i - 1) for i in range(1001, 1010)), (5000, None), (5001, 5000), (5002, 5002), (5003, 5002)]
+    nodes += [(1000, 2)]
+    df = spark.createDataFrame(nodes, "taxon_id long, parent_id long")
+    found = {r.taxon_id: r.branch for r in taxonomy.branch_of(df, 1).collect()}
+    assert found == {2: 2, 3: 3} | {i: 3 for i in range(4, 204)} | {i: 2 for i in range(1000, 1010)}
+    with pytest.raises(ValueError, match="cycle"):
+        taxonomy.branch_of(df.union(spark.createDataFrame([(10_000 + i, 10_000 + (i + 1) % 5) for i in range(5)], df.schema)), 1)
+
+
 def test_valid_sequences_and_numbers(spark):
     df = spark.createDataFrame([("a", "ACGTA"), ("b", "NNNNNN"), ("c", "ACG"), ("d", "ACGTT")], "id string, seq string")
     assert sorted((r.id, r.seq_idx) for r in pairs.numbered(df, 5).collect()) in ([("a", 0), ("d", 1)], [("a", 1), ("d", 0)])

@@ -113,6 +113,7 @@ def test_all_passes_cover_all_starts(spark):
 def test_one_hot_pad_and_mask(spark):
     assert value(spark, C.as_bits(C.one_hot(F.col("s"), 6)), s="ATNCGa") == "100000100000100000100000100100"
     assert value(spark, C.as_bits(C.one_hot(F.col("s"), 3)), s="G") == "000010000000000"
+    assert value(spark, C.one_hot_bits(F.col("s")), s="gA") == "0010010000"
     assert value(spark, C.as_bits(C.sequence_to_array(F.col("s"), 2)), s="ACGTA") == "10000000100000101000"
     short = [[True, False, False, False, False]]
     assert generators.pad_and_mask(1, 2, short) == ([[True, False, False, False, False], [False] * 5], [True, False])
@@ -140,10 +141,41 @@ def test_counts_against_plain_python(spark):
     assert stats.vocabulary(counts, 3).count() == sum(n >= 3 for n in plain.values())
 
 
-def test_batches_drop_short_ends(spark):
+def test_batches_drop_one_short_end(spark):
     df = spark.createDataFrame([("a", i) for i in range(7)] + [("b", 0)], "id string, i int")
-    assert windows.batches(df, 3, by=["id"], order=["i"]).count() == 6
-    assert windows.batches(df, 3, by=["id"], order=["i"], drop_last=False).count() == 8
+    cut = windows.batches(df, 3, key=["id", "i"])
+    assert sorted((r.batch_idx, r.batch_row) for r in cut.collect()) == [(b, i) for b in range(2) for i in range(3)]
+    assert windows.batches(df, 3, key=["id", "i"], drop_last=False).count() == 8
+    assert windows.batches(df.limit(0), 3, key=["id", "i"]).count() == 0
+
+
+def test_many_runs_of_n(spark):
+    """More runs than one block of the running sum holds."""
+    rng = random.Random(4)
+    seq = "".join("ACGT"[rng.randrange(4)] * rng.randint(1, 4) + "N" * rng.randint(3, 9) for _ in range(2000))
+    rows = windows.split_chunks(seqs(spark, seq)).orderBy("chunk_id").collect()
+    assert len(rows) == 2000
+    assert all(seq[r.chunk_offset :].startswith(r.chunk) for r in rows)
+
+
+@pytest.mark.parametrize("keep", [False, True])
+@pytest.mark.parametrize(("k", "ws", "tile"), [(3, 2, 6), (4, 3, 24), (5, 1, 5)])
+def test_tiles_change_nothing(spark, k, ws, tile, keep):
+    rng = random.Random(k)
+    texts = ["".join(rng.choice("ACGT") for _ in range(n)) for n in (*range(1, 40), 120, 121, 122, 123, 124, 125, 300)]
+    chunks = windows.split_chunks(seqs(spark, *texts, record()))
+    plain, tiled = (windows.passes(chunks, k, tile=t) for t in (0, tile))
+    assert sorted(windows.kmers(plain, k, keep_last=keep).collect()) == sorted(windows.kmers(tiled, k, keep_last=keep).collect())
+    for options in ({}, {"full_only": True, "with_coords": True}):
+        assert sorted(windows.windows(plain, k, ws, **options).collect()) == sorted(windows.windows(tiled, k, ws, **options).collect())
+    with pytest.raises(ValueError, match="multiple"):
+        windows.passes(chunks, k, tile=k + 1)
+
+
+def test_windows_ahead(spark):
+    chunk = one_pass(windows.split_chunks(seqs(spark, "ACGTTGCAACGTTAGCACGTAC")))
+    rows = windows.windows(chunk, 2, 2, full_only=True, ahead=2).orderBy("window_idx").collect()
+    assert [r.ahead for r in rows] == [[x.kmers for x in rows[i + 1 : i + 3]] for i in range(len(rows))]
 
 
 def test_same_rows_for_any_partitioning(spark, sf_dir):
