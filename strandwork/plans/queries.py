@@ -446,8 +446,8 @@ SELECT id, chunk_id, rc, kmer_idx, idx AS type_idx, array_to_string(list_sort(li
     "masked_random": f"WITH {_masked_sql(5, 3, False)} SELECT id, chunk_id, window_idx, kmers, truth FROM masked",
     "masked_blank": f"WITH {_masked_sql(5, 3, True)} SELECT id, chunk_id, window_idx, kmers, truth FROM masked",
     "masked_random_order": f"WITH {_masked_sql(4, 8, False, 'range(4)', BOTH)} SELECT *, {draw_sql(42, 'order', *_PKEY)} AS draw FROM masked",
-    "discriminator_batches": f"""WITH {_masked_sql(5, 3, False)}, b AS (SELECT *, row_number() OVER (ORDER BY {draw_sql(42, "batch", *_PKEY)}, {WKEY}) - 1 AS at FROM masked)
-SELECT at // 4 AS batch_idx, string_agg(id, ';' ORDER BY at) AS id, string_agg(kmers, ';' ORDER BY at) AS kmers, string_agg(truth, ';' ORDER BY at) AS truth FROM b GROUP BY 1 HAVING count(*) = 4""",
+    "discriminator_batches": f"""WITH {_masked_sql(5, 3, False)}, b AS (SELECT *, row_number() OVER (ORDER BY {draw_sql(42, "batch", *_PKEY)}, {WKEY}) - 1 AS place FROM masked)
+SELECT place // 4 AS batch_idx, string_agg(id, ';' ORDER BY place) AS id, string_agg(kmers, ';' ORDER BY place) AS kmers, string_agg(truth, ';' ORDER BY place) AS truth FROM b GROUP BY 1 HAVING count(*) = 4""",
     "sequence_order": f"""WITH {windows_sql(4, 6, "range(4)", BOTH, True)}, o AS (SELECT *, {draw_sql(42, "order", *_PKEY)} % 2 = 1 AS "order", array_to_string(kmers[1:3], ',') AS a, array_to_string(kmers[4:6], ',') AS b FROM wins)
 SELECT {WKEY}, CASE WHEN "order" THEN b ELSE a END AS kmers1, CASE WHEN "order" THEN a ELSE b END AS kmers2, "order" FROM o""",
     "matched_pairs": f"WITH {_MATCHED}",
