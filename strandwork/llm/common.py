@@ -2,42 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandwork.shared import saved, shared_dir, spread
+
+__all__ = ["WORD", "apart", "free_name", "n_words", "read_table", "saved", "shared_dir", "spread_join"]
+
 #: A word is a run of characters other than space, tab, line feed, vertical tab, form feed and carriage return.
 #: ``bytes.split()`` splits UTF-8 text at exactly these characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, taken from ``spark.checkpoint.dir``.
-
-    Only where the session has none (tests, notebooks on one machine) a temporary folder is set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(found)
-        return found.rstrip("/")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='spark-shared-')}")
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder, so that a lost executor costs a read and not a recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/saved-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def n_words(text: Column) -> Column:
