@@ -2,7 +2,9 @@
 
 A *monolithic* archive is one gzip stream over a whole file, which only reads from its start. The normaliser inflates
 such a stream once, finds each record by its headers, and writes every record as a gzip member of its own, together with
-a Parquet sidecar index of record id, file, offset, length and header fields. A record is then one ranged read.
+a Parquet sidecar index (folder ``index`` beside the archives) of record id, file, offset, length and header fields. A
+record is then one ranged read. Any archive will do, whatever its records are and whichever optional headers they have;
+a record is copied in blocks and never held whole.
 
 Archives are ordinary files under a folder that driver and executors share (any scheme that ``pyarrow.fs`` knows).
 A task writes to a name of its own attempt and renames it when complete, so a repeated task replaces a whole file.
@@ -14,6 +16,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from datetime import datetime, timezone
 
 import pyarrow as pa
 from pyarrow import fs
@@ -21,13 +24,21 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandwork.llm.common import saved
+from strandwork.llm.common import saved, spread_join
 
 BLOCK = 1 << 20
 #: Fixed value: the profile that the WARC standard names for a revisit with the same payload digest.
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-FIELDS = ("file", "offset", "length", "record_id", "warc_type", "target_uri", "payload_digest", "payload_length", "refers_to", "block_length")
-INDEX = "file string, offset long, length long, record_id string, warc_type string, target_uri string, payload_digest string, payload_length long, refers_to string, block_length long"
+#: Header that carries a row's own key; other archives have none.
+KEY = "x-record-key"
+INDEX = (
+    "file string, offset long, length long, record_id string, warc_type string, target_uri string, record_key string, "
+    "payload_digest string, payload_length long, refers_to string, refers_to_key string, block_length long"
+)
+FIELDS = tuple(f.split()[0] for f in INDEX.split(", "))
+_LONGS = {f.split()[0] for f in INDEX.split(", ") if f.endswith(" long")}
+_SCHEMA = pa.schema([(n, pa.int64() if n in _LONGS else pa.string()) for n in FIELDS])
+MAX_HEAD = 1 << 20
 
 
 def _open(root: str) -> tuple[fs.FileSystem, str]:
@@ -39,34 +50,50 @@ def _line(value: str) -> str:
     return "".join(f"%{ord(c):02X}" if ord(c) < 32 or ord(c) == 127 else c for c in value)
 
 
-def record_bytes(record_id: str, warc_type: str, uri: str | None, digest: str, payload_length: int, block: bytes, refers_to: str | None) -> bytes:
-    head = ["WARC/1.1", f"WARC-Type: {warc_type}", f"WARC-Record-ID: <{record_id}>", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {payload_length}"]
-    if uri is not None:
-        head.append(f"WARC-Target-URI: {_line(uri)}")
-    if refers_to is not None:
-        head += [f"WARC-Refers-To: <{refers_to}>", f"WARC-Profile: {REVISIT_PROFILE}"]
-    head.append(f"Content-Length: {len(block)}")
-    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+def record_id(name: str, ordinal: int) -> str:
+    """An id for the nth record of a file of this name, whatever the record holds."""
+    return f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{name}#{ordinal}')}"
+
+
+def _head(fields: dict[str, str | None], length: int) -> bytes:
+    lines = ["WARC/1.1", *(f"{k}: {v}" for k, v in fields.items() if v is not None), f"Content-Length: {length}"]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n"
+
+
+def http_head(length: int) -> bytes:
+    """The head of the response that a page came in."""
+    return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {length}\r\n\r\n".encode()
+
+
+def response_fields(rec_id: str, date: str, uri: str | None, key: str | None, digest: str) -> dict[str, str | None]:
+    return {
+        "WARC-Type": "response",
+        "WARC-Record-ID": f"<{rec_id}>",
+        "WARC-Date": date,
+        "WARC-Target-URI": None if uri is None else _line(uri),
+        "WARC-Payload-Digest": f"sha1:{digest}",
+        "X-Record-Key": None if key is None else _line(key),
+        "Content-Type": "application/http;msgtype=response",
+    }
 
 
 def _parse(head: bytes) -> dict[str, str]:
-    lines = head.decode("utf-8", "replace").split("\r\n")
+    lines = head.decode("utf-8", "replace").replace("\r\n", "\n").split("\n")
     return {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
 
 
 def revisits(manifest: DataFrame, *, min_bytes: int = 1000) -> DataFrame:
     """Of the records of a manifest with equal payloads of at least ``min_bytes`` those that are not of the largest key:
-    ``file``, ``ordinal`` and ``refers_to`` (the largest key). Only payloads with two keys or more are joined."""
+    ``file``, ``ordinal`` and the record that they repeat, ``to_file``, ``to_ordinal`` and ``to_key``. Only payloads with
+    two keys or more are joined."""
     long = manifest.where(F.col("payload_length") >= min_bytes)
-    last = long.groupBy("payload_digest").agg(F.max("key").alias("refers_to"), F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    same = long.groupBy("payload_digest").agg(F.max(F.struct("key", "file", "ordinal")).alias("to"), F.count(F.lit(1)).alias("n")).where("n > 1")
     # a payload's records are dealt by a salt too, which the few payloads are repeated for
-    salts = 16
-    last = last.select("payload_digest", "refers_to", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__salt"))
-    salted = long.withColumn("__salt", F.pmod(F.xxhash64("file", "ordinal"), F.lit(salts)).cast("int"))
-    return salted.join(last, ["payload_digest", "__salt"]).where(~F.col("key").eqNullSafe(F.col("refers_to"))).select("file", "ordinal", "refers_to")
+    found = spread_join(long, same.drop("n"), ["payload_digest"], ["file", "ordinal"]).where(~F.col("key").eqNullSafe(F.col("to.key")))
+    return found.select("file", "ordinal", F.col("to.file").alias("to_file"), F.col("to.ordinal").alias("to_ordinal"), F.col("to.key").cast("string").alias("to_key"))
 
 
-def write_monolithic(pages: DataFrame, root: str, *, id_col: str, url_col: str, html_col: str) -> DataFrame:
+def write_monolithic(pages: DataFrame, root: str, *, id_col: str, url_col: str, html_col: str, date: str) -> DataFrame:
     """Writes a response record for each row of ``pages`` to archives under ``root``, one gzip stream for each task.
 
     Returns the manifest: ``file``, ``ordinal`` (of the record in it), ``key``, ``payload_digest`` and ``payload_length``.
@@ -86,8 +113,11 @@ def write_monolithic(pages: DataFrame, root: str, *, id_col: str, url_col: str,
                     payload = html.as_buffer().to_pybytes() if html.is_valid else b""
                     sums.append(hashlib.sha1(payload).hexdigest())
                     sizes.append(len(payload))
-                    name_of = f"urn:page:{'' if key.as_py() is None else key.as_py()}"
-                    out.write(press.compress(record_bytes(name_of, "response", uri.as_py(), sums[-1], len(payload), payload, None)))
+                    http = http_head(len(payload))
+                    own = None if key.as_py() is None else str(key.as_py())
+                    fields = response_fields(record_id(f"{root}/{name}", ordinal + len(sums) - 1), date, uri.as_py(), own, sums[-1])
+                    for part in (_head(fields, len(http) + len(payload)), http, payload, b"\r\n\r\n"):
+                        out.write(press.compress(part))
                 n = len(sums)
                 cols = [pa.array([name] * n, pa.string()), pa.array(range(ordinal, ordinal + n), pa.int64()), batch.column(0)]
                 ordinal += n
@@ -99,83 +129,151 @@ def write_monolithic(pages: DataFrame, root: str, *, id_col: str, url_col: str,
     return rows.mapInArrow(run, f"file string, ordinal long, key {kind}, payload_digest string, payload_length long")
 
 
-def _inflated(stream, size: int = BLOCK) -> Iterator[bytes]:
-    """The bytes of a gzip file of one or more members, a block at a time."""
+def inflated(stream, size: int = BLOCK) -> Iterator[bytes]:
+    """The bytes of a gzip file of one or more members, in blocks of ``size`` at most, however well it is compressed."""
     press = zlib.decompressobj(31)
     while raw := stream.read(size):
         while raw:
-            if data := press.decompress(raw):
-                yield data
-            raw = press.unused_data
-            if press.eof:
+            if press.eof:  # another member follows
                 press = zlib.decompressobj(31)
-            else:
-                break
-
-
-def split_records(blocks: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields and whole bytes of each record of an inflated archive; one record is held at a time."""
-    held, more = bytearray(), iter(blocks)
-
-    def fill(enough) -> bool:
-        while not enough():
-            data = next(more, None)
-            if data is None:
-                return False
-            held.extend(data)
-        return True
-
-    while fill(lambda: b"\r\n\r\n" in held):
-        cut = held.index(b"\r\n\r\n") + 4
-        head = _parse(bytes(held[: cut - 4]))
-        end = cut + int(head["content-length"]) + 4
-        if not fill(lambda: len(held) >= end):
-            raise ValueError("an archive ends within a record")
-        yield head | {"block-start": str(cut)}, bytes(held[:end])
-        del held[:end]
+            if data := press.decompress(raw, size):
+                yield data
+            raw = press.unused_data if press.eof else press.unconsumed_tail
+    if rest := press.flush():
+        yield rest
+
+
+class Records:
+    """The records of an inflated archive, one after another: ``head()`` and then ``body()``, which is in blocks."""
+
+    def __init__(self, blocks: Iterable[bytes]):
+        self.more, self.held, self.left = iter(blocks), bytearray(), 0
+
+    def _fill(self) -> bool:
+        data = next(self.more, None)
+        if data is not None:
+            self.held.extend(data)
+        return data is not None
+
+    def head(self) -> tuple[bytes, dict[str, str]] | None:
+        """The bytes of the next record's head and its fields; None at the end of the archive."""
+        while True:
+            while self.held[:1] in (b"\r", b"\n"):
+                del self.held[:1]
+            cut = min((at + len(end) for end in (b"\r\n\r\n", b"\n\n") if (at := self.held.find(end)) >= 0), default=0)
+            if cut and self.held:
+                raw = bytes(self.held[:cut])
+                del self.held[:cut]
+                fields = _parse(raw.strip())
+                if not raw.startswith(b"WARC/") or not fields.get("content-length", "").isdigit():
+                    raise ValueError("not a WARC record")
+                self.left = int(fields["content-length"])
+                return raw, fields
+            if len(self.held) > MAX_HEAD:
+                raise ValueError("not a WARC record")
+            if not self._fill():
+                if self.held:
+                    raise ValueError("an archive ends within a record")
+                return None
+
+    def body(self) -> Iterator[bytes]:
+        while self.left:
+            if not self.held and not self._fill():
+                raise ValueError("an archive ends within a record")
+            part = bytes(self.held[: self.left])
+            del self.held[: len(part)]
+            self.left -= len(part)
+            yield part
+
+
+class Payload:
+    """Digest and length of the payload of a record's block, given in parts: an HTTP message's is what follows its head,
+    whose own length field a revisit keeps."""
+
+    def __init__(self, fields: dict[str, str]):
+        self.http, self.sum, self.length, self.start, self.said = fields.get("content-type", "").startswith("application/http"), hashlib.sha1(), 0, b"", None
+
+    def update(self, part: bytes) -> None:
+        if self.http:
+            self.start += part
+            head, end, part = self.start.partition(b"\r\n\r\n")
+            if not end:
+                return
+            length = _parse(head).get("content-length", "")
+            self.http, self.start, self.said = False, b"", int(length) if length.isdigit() else None
+        self.sum.update(part)
+        self.length += len(part)
+
+
+def _bare(x: str | None) -> str | None:
+    return x.strip("<>") if x is not None else None
 
 
 def normalise(files: DataFrame, source: str, target: str, tasks: int) -> DataFrame:
     """Rewrites each archive named in ``files`` from ``source`` to ``target`` with a gzip member for every record, and
-    returns the sidecar index. ``files`` has ``file`` and ``revisits``, an array of (ordinal, refers_to) for the records
-    to write without their payload, as revisits. A file is streamed: one record and one block are in memory.
+    returns the sidecar index. ``files`` has ``file`` and ``revisits``, an array of (ordinal, to_file, to_ordinal,
+    to_key) for the records to write without their payload, as revisits (null: none). A file is streamed: a block, and the
+    index rows of ten thousand records, are in memory. A digest that a record's head lacks is computed.
     """
 
-    def bare(x: str | None) -> str | None:
-        return x.strip("<>") if x is not None else None
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (src, src_base), (dst, dst_base) = _open(source), _open(target)
         dst.create_dir(dst_base, recursive=True)
-        schema = pa.schema([(n, pa.int64() if n in ("offset", "length", "payload_length", "block_length") else pa.string()) for n in FIELDS])
         for name, known in (x for b in batches for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
-            mine, rows, offset = f"{dst_base}/.{name}.{uuid.uuid4().hex}", [], 0
-            again = {x["ordinal"]: f"urn:page:{x['refers_to']}" for x in known or ()}
+            mine, rows, offset, ordinal = f"{dst_base}/.{name}.{uuid.uuid4().hex}", [], 0, 0
+            again = {x["ordinal"]: x for x in known or ()}
             with src.open_input_stream(f"{src_base}/{name}", compression=None) as stream, dst.open_output_stream(mine, compression=None) as out:
-                for ordinal, (head, raw) in enumerate(split_records(_inflated(stream))):
-                    digest, block = head["warc-payload-digest"].partition(":")[2], int(head["content-length"])
-                    length = int(head.get("x-payload-length", block))
-                    kind, refers = head["warc-type"], bare(head.get("warc-refers-to"))
-                    if ordinal in again:
-                        kind, refers, block = "revisit", again[ordinal], 0
-                        raw = record_bytes(bare(head["warc-record-id"]), kind, head.get("warc-target-uri"), digest, length, b"", refers)
-                    press = zlib.compressobj(1, zlib.DEFLATED, 31)
-                    member = press.compress(raw) + press.flush()
-                    out.write(member)
-                    rows.append((name, offset, len(member), bare(head["warc-record-id"]), kind, head.get("warc-target-uri"), digest, length, refers, block))
-                    offset += len(member)
+                records = Records(inflated(stream))
+                while (found := records.head()) is not None:
+                    raw, head = found
+                    press, written = zlib.compressobj(1, zlib.DEFLATED, 31), 0
+
+                    def put(data: bytes) -> int:
+                        packed = press.compress(data)
+                        out.write(packed)
+                        return len(packed)
+
+                    kind, refers, to_key, block = head.get("warc-type"), _bare(head.get("warc-refers-to")), None, int(head["content-length"])
+                    payload, to = Payload(head), again.get(ordinal)
+                    if to is None:
+                        written += put(raw)
+                    for part in records.body():
+                        payload.update(part)
+                        if to is None:
+                            written += put(part)
+                    digest = head.get("warc-payload-digest", "").partition(":")[2] or payload.sum.hexdigest()
+                    length = payload.said if kind == "revisit" and payload.said is not None else payload.length
+                    if to is not None:
+                        kind, refers, to_key = "revisit", record_id(f"{source}/{to['to_file']}", to["to_ordinal"]), to["to_key"]
+                        block_bytes = http_head(length)
+                        block = len(block_bytes)
+                        fields = response_fields(_bare(head["warc-record-id"]), head["warc-date"], head.get("warc-target-uri"), head.get(KEY), digest)
+                        fields |= {"WARC-Type": "revisit", "WARC-Profile": REVISIT_PROFILE, "WARC-Refers-To": f"<{refers}>"}
+                        written += put(_head(fields, block)) + put(block_bytes)
+                    written += put(b"\r\n\r\n")
+                    last = press.flush()
+                    out.write(last)
+                    written += len(last)
+                    rows.append((name, offset, written, _bare(head.get("warc-record-id")), kind, head.get("warc-target-uri"), head.get(KEY), digest, length, refers, to_key, block))
+                    offset += written
+                    ordinal += 1
                     if len(rows) == 10_000:
-                        yield pa.RecordBatch.from_pylist([dict(zip(FIELDS, r)) for r in rows], schema)
+                        yield pa.RecordBatch.from_pylist([dict(zip(FIELDS, r)) for r in rows], _SCHEMA)
                         rows = []
             dst.move(mine, f"{dst_base}/{name}")
-            yield pa.RecordBatch.from_pylist([dict(zip(FIELDS, r)) for r in rows], schema)
+            yield pa.RecordBatch.from_pylist([dict(zip(FIELDS, r)) for r in rows], _SCHEMA)
 
     return files.select("file", "revisits").repartitionByRange(tasks, "file").mapInArrow(run, INDEX)
 
 
 def read_members(index: DataFrame, root: str, tasks: int) -> DataFrame:
     """The rows of an index with ``payload_sha1`` and ``payload_bytes`` of the record that each points at, read from the
-    normalised archives by offset. Neighbouring members of a file are read in one go, a block at a time."""
+    normalised archives by offset. Neighbouring members of a file are read in one go, a block at a time; a longer member
+    is read and inflated in blocks."""
+
+    def blocks(source, offset: int, length: int) -> Iterator[bytes]:
+        for at in range(offset, offset + length, BLOCK):
+            yield source.read_at(min(BLOCK, offset + length - at), at)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = _open(root)
@@ -187,13 +285,18 @@ def read_members(index: DataFrame, root: str, tasks: int) -> DataFrame:
                     if source:
                         source.close()
                     name, source, held = file, store.open_input_file(f"{base}/{file}"), b""
-                if not start <= offset <= offset + length <= start + len(held):
-                    start, held = offset, source.read_at(max(length, BLOCK), offset)
-                raw = zlib.decompress(held[offset - start : offset - start + length], 31)
-                cut = raw.index(b"\r\n\r\n") + 4
-                block = memoryview(raw)[cut : len(raw) - 4]
-                sums.append(hashlib.sha1(block).hexdigest())
-                sizes.append(len(block))
+                if length > BLOCK:
+                    parts = blocks(source, offset, length)
+                else:
+                    if not start <= offset <= offset + length <= start + len(held):
+                        start, held = offset, source.read_at(BLOCK, offset)
+                    parts = iter([held[offset - start : offset - start + length]])
+                records = Records(inflated(_Parts(parts)))
+                payload = Payload(records.head()[1])
+                for part in records.body():
+                    payload.update(part)
+                sums.append(payload.sum.hexdigest())
+                sizes.append(payload.length)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums, pa.string()), pa.array(sizes, pa.int64())], names=[*batch.schema.names, "payload_sha1", "payload_bytes"])
         if source:
             source.close()
@@ -202,6 +305,16 @@ def read_members(index: DataFrame, root: str, tasks: int) -> DataFrame:
     return near.mapInArrow(run, f"{INDEX}, payload_sha1 string, payload_bytes long")
 
 
+class _Parts:
+    """Parts of bytes as a stream that is read part by part."""
+
+    def __init__(self, parts: Iterator[bytes]):
+        self.parts = parts
+
+    def read(self, size: int) -> bytes:
+        return next(self.parts, b"")
+
+
 def round_trip(
     pages: DataFrame,
     root: str,
@@ -211,34 +324,40 @@ def round_trip(
     html_col: str = "html",
     min_bytes: int = 1000,
     task_bytes: int = 16 << 20,
+    date: str | None = None,
 ) -> DataFrame:
-    """Writes ``pages`` to monolithic archives under ``root``, normalises them, and reads every record back.
+    """Writes ``pages`` to monolithic archives under ``root``, normalises them (archives in ``root/members``, their sidecar in
+    ``root/index``), and reads every record back.
 
     Rows: ``page_id``, ``payload_bytes``, ``payload_digest``, ``record_type``, ``refers_to``, ``file``, ``offset`` and
     ``length`` (of the member). Length and digest of a response are those of the bytes read back; a revisit has no
-    payload of its own and carries those of its headers. A null html is an empty payload, a null url is left out of
-    the header, a null id is kept (and is referred to by none). Repeated rows are one record each; with equal ids they
-    are responses alike. An empty table gives no rows. Payloads do not move between tasks other than in archives.
+    payload of its own and carries those of its heads. ``date`` is the records' (now, if none is given). A null html is
+    an empty payload, a null url is left out of the head, a null id is kept (and is referred to by none). Repeated rows
+    are one record each; with equal ids they are responses alike. A page of any length is one record; a task holds one
+    Arrow batch of pages when it writes and a block when it reads. Other columns are not read. An empty table gives no
+    rows. Payloads do not move between tasks other than in archives.
     """
     kind = pages.schema[id_col].dataType.simpleString()
-    manifest = saved(write_monolithic(pages, f"{root}/monolithic", id_col=id_col, url_col=url_col, html_col=html_col))
-    pairs = revisits(manifest, min_bytes=min_bytes).groupBy("file").agg(F.collect_list(F.struct("ordinal", "refers_to")).alias("revisits"))
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+    spark, stem = pages.sparkSession, f"{root}/monolithic"
+    manifest = saved(write_monolithic(pages, stem, id_col=id_col, url_col=url_col, html_col=html_col, date=date))
+    pairs = revisits(manifest, min_bytes=min_bytes).groupBy("file").agg(F.collect_list(F.struct("ordinal", "to_file", "to_ordinal", "to_key")).alias("revisits"))
     files = saved(manifest.select("file").distinct().join(pairs, "file", "left"))
-    index = saved(normalise(files, f"{root}/monolithic", f"{root}/members", max(1, files.count())))
+    normalise(files, stem, f"{root}/members", max(1, files.count())).write.parquet(f"{root}/index")
+    index = spark.read.schema(INDEX).parquet(f"{root}/index")
     stored = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
     back = read_members(index, f"{root}/members", 1 + stored // task_bytes)
 
     def number(c: Column) -> Column:
-        key = F.substring_index(c, "urn:page:", -1)
-        return F.when(F.length(key) > 0, key).cast(kind)
+        return c.cast(kind)
 
     response = F.col("warc_type") == "response"
     return back.select(
-        number(F.col("record_id")).alias("page_id"),
+        number(F.col("record_key")).alias("page_id"),
         F.when(response, F.col("payload_bytes")).otherwise(F.col("payload_length")).alias("payload_bytes"),
         F.when(response, F.col("payload_sha1")).otherwise(F.col("payload_digest")).alias("payload_digest"),
         F.col("warc_type").alias("record_type"),
-        number(F.col("refers_to")).alias("refers_to"),
+        number(F.col("refers_to_key")).alias("refers_to"),
         "file",
         "offset",
         "length",
