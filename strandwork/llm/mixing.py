@@ -1,11 +1,13 @@
 """Mixing sources to target weights by Pareto order sampling.
 
 Targets: the sources share a number of words by weight; a source stops at a multiple of its own size and the rest is
-shared again, which is a water level over the sources. Within a source every document has an expected number of
-copies. Its whole part is allocated for certain; for the fraction p each document draws u and is ranked by
-(u / (1 - u)) / (p / (1 - p)), its random odds over its inclusion odds, and documents are taken in this order until the
-source's words are reached. Two more rounds offer the words still missing to documents that fit into them, in the same
-order. All draws are hashes of the id, so reruns agree; all steps are DataFrame functions.
+shared again, which is a water level over the sources. Within a source documents have unequal weights, and each has an
+expected number of copies in proportion to its weight, up to the same multiple: a second water level, over the source's
+weights, makes the expected words meet the target exactly. The whole part of a document's expectation is allocated for
+certain; for the fraction p each document draws u and is ranked by (u / (1 - u)) / (p / (1 - p)), its random odds over
+its inclusion odds, and documents are taken in this order until the source's words are reached. Two more rounds offer
+the words still missing to documents that fit into them, in the same order. All draws are hashes of the id, so reruns
+agree; all steps are DataFrame functions.
 """
 
 from __future__ import annotations
@@ -21,6 +23,39 @@ from strandwork.llm.ranking import running_total
 WEIGHTS = (5, 2, 1)
 BUCKETS = 1024
 ROUNDS = 3
+#: Weights by size: documents of fewer words than so many, the rest last. Fragments and very long texts are taken less.
+SIZE_WEIGHTS = ((16, 0.25), (64, 0.5), (2048, 1.0), (None, 0.5))
+#: Weights count by powers of two, from 2^-12 to 2^12, so a source has few of them and sums are exact.
+WEIGHT_BITS = 12
+
+
+def size_weight(size: Column) -> Column:
+    """The weight of SIZE_WEIGHTS for a number of words."""
+    out = F.lit(SIZE_WEIGHTS[-1][1])
+    for below, weight in reversed(SIZE_WEIGHTS[:-1]):
+        out = F.when(size < below, F.lit(weight)).otherwise(out)
+    return out
+
+
+def _power(weight: Column) -> Column:
+    """The power of two next to a weight; a weight that is missing is 1, one of zero or less the least."""
+    bits = F.round(F.log2(F.greatest(weight, F.lit(2.0**-WEIGHT_BITS))))
+    return F.coalesce(F.pow(F.lit(2.0), F.least(bits, F.lit(float(WEIGHT_BITS)))), F.lit(1.0))
+
+
+def rates(classes: DataFrame, most: float) -> DataFrame:
+    """``rate``, the expected copies, for each (source_no, weight) of ``classes``, which also has ``class_words`` and the
+    source's ``target``: min(most, weight * level), where the level makes the expected words of a source its target.
+
+    A source has at most 2 * WEIGHT_BITS + 1 weights, so its rows are few."""
+    fall = Window.partitionBy("source_no").orderBy(F.desc("__w"))
+    heavier = fall.rowsBetween(Window.unboundedPreceding, -1)
+    full = F.coalesce(F.sum(F.col("class_words") * F.lit(float(most))).over(heavier), F.lit(0.0))
+    left = F.sum(F.col("class_words") * F.col("__w")).over(fall.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    level = F.when(left > 0, (F.col("target") - full) / F.when(left > 0, left))
+    whole = Window.partitionBy("source_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rate = F.least(F.col("__w") * F.max("__level").over(whole), F.lit(float(most)))
+    return classes.withColumn("__level", level).withColumn("__rate", F.coalesce(rate, F.lit(0.0))).drop("__level")
 
 
 def targets(sources: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -64,28 +99,31 @@ def plan(
     """For each distinct row of (id, source, text): ``doc_id``, ``source``, ``text_md5``, ``rows`` (how often it is
     there), ``size`` (words), ``source_size``, ``target`` and ``copies`` (of each of its rows, 0 to ``most``).
 
-    ``weight_col`` makes documents of a source more or less likely, in proportion; without it they are equally likely.
-    Repeated rows share one decision. Null texts have no words; a null source is a source of its own; a null id draws
-    like an empty one. An empty table gives no rows.
+    ``weight_col`` makes documents of a source more or less likely, in proportion, by powers of two; without it the
+    weights go by size (SIZE_WEIGHTS). Repeated rows share one decision. Null texts have no words; a null source is a
+    source of its own; a null id draws like an empty one; a null weight is 1. Texts of any length are counted whole.
+    Other columns are not read. An empty table gives no rows.
     """
-    text, weight = F.col(f"`{text_col}`").cast("string"), F.col(f"`{weight_col}`").cast("double") if weight_col else F.lit(1.0)
+    text = F.col(f"`{text_col}`").cast("string")
+    weight = _power(F.col(f"`{weight_col}`").cast("double")) if weight_col else size_weight(n_words(text))
     rows = docs.select(
         F.col(f"`{id_col}`").alias("doc_id"),
         F.col(f"`{source_col}`").cast("string").alias("source"),
         F.md5(F.encode(text, "UTF-8")).alias("text_md5"),
         n_words(text).alias("size"),
-        F.coalesce(weight, F.lit(1.0)).alias("__w"),
+        weight.alias("__w"),
     )
     units = saved(rows.groupBy("doc_id", "source", "text_md5", "size").agg(F.count(F.lit(1)).alias("rows"), F.max("__w").alias("__w")))
     words = F.col("rows") * F.col("size")
-    sources = units.groupBy("source").agg(F.sum(words).alias("source_size"), F.sum(words * F.col("__w")).alias("__weighted"))
+    sources = units.groupBy("source").agg(F.sum(words).alias("source_size"))
     # a source may hold a third of the rows: it is dealt by a salt too wherever sources are joined
     named = {"__null": F.col("source").isNull(), "__name": F.coalesce("source", F.lit(""))}
-    goal = targets(sources, weights, share, float(most)).withColumns(named).drop("source")
+    goal = targets(sources, weights, share, float(most))
+    sums = units.groupBy("source", "__w").agg(F.sum(words).alias("class_words")).withColumns(named)
+    classes = sums.join(goal.withColumns(named).drop("source"), ["__null", "__name"])
+    classes = saved(rates(classes.select("__null", "__name", "__w", "class_words", "source_no", "source_size", "target"), float(most)).drop("class_words"))
     each = ["doc_id", "text_md5"]
-    t = spread_join(units.withColumns(named), goal, ["__null", "__name"], each).drop("__null", "__name")
-    rate = F.when(F.col("__weighted") > 0, F.col("target") * F.col("__w") / F.col("__weighted")).otherwise(F.lit(0.0))
-    t = t.withColumn("__rate", F.least(rate, F.lit(float(most))))
+    t = spread_join(units.withColumns(named), classes, ["__null", "__name", "__w"], each).drop("__null", "__name", "__w")
     t = t.withColumns({"copies": F.floor("__rate").cast("int"), "__p": F.col("__rate") - F.floor("__rate"), "__u": draw(seed, F.col("doc_id"))})
     odds = F.col("__u") / (1 - F.col("__u")) / (F.col("__p") / (1 - F.col("__p")))
     # without a fraction there are no odds: such rows come last, by their draw
@@ -106,11 +144,10 @@ def plan(
 
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The rows of ``docs`` that the mix takes, each as often as it has copies, with all their columns."""
-    chosen = plan(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options).where("copies > 0")
-    chosen = chosen.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), "text_md5", "copies")
-    key = F.md5(F.encode(F.col(f"`{text_col}`").cast("string"), "UTF-8"))
-    chosen = chosen.withColumnsRenamed({"text_md5": "__md5", "copies": "__copies"})
-    same = F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & F.col(f"`{source_col}`").cast("string").eqNullSafe(F.col("__source")) & key.eqNullSafe(F.col("__md5"))
-    joined = docs.join(chosen, same)
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The rows of ``docs`` that the mix takes, each as often as it has copies, with all their columns (of any name)."""
+    chosen = plan(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options).where("copies > 0").select("doc_id", "source", "text_md5", "copies")
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("held"))
+    key = F.md5(F.encode(F.col("held")[text_col].cast("string"), "UTF-8"))
+    same = F.col("held")[id_col].eqNullSafe(F.col("doc_id")) & F.col("held")[source_col].cast("string").eqNullSafe(F.col("source")) & key.eqNullSafe(F.col("text_md5"))
+    joined = held.join(chosen, same).select("held", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    return joined.select(*(F.col("held")[c].alias(c) for c in docs.columns))

@@ -40,7 +40,8 @@ URL_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example
 
 
 def op2_urltree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page shows the document whose number its url names; the document's toxicity label is the page's."""
+    """A page shows the document whose number its url names (its html holds that document's text, and the language of its
+    path is the document's), so the document's toxicity label is the page's."""
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
     shown = pages.select("page_id", F.regexp_extract("url", r"/(\d+)(?:\.\w+|/)?(?:[?#].*)?$", 1).try_cast("long").alias("doc_id"))
     labels = shown.join(read_table(spark, sf_dir, "labels"), "doc_id").select("page_id", (F.col("toxic") == 1).alias("bad"))
@@ -114,9 +115,14 @@ q AS (SELECT *, [5.0, 2.0, 1.0][(no - 1) % 3 + 1]::DOUBLE AS weight FROM m),
 l AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(most) OVER (ORDER BY most / weight, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
   / sum(weight) OVER (ORDER BY most / weight, no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM q),
 t AS (SELECT source, source_size, no, least(most, weight * max(level) OVER ()) AS target FROM l),
-d AS (SELECT u.*, t.source_size, t.no, t.target, least(CASE WHEN t.source_size > 0 THEN t.target / t.source_size::DOUBLE ELSE 0 END, 2.0::DOUBLE) AS rate,
-  (('0x' || substr(md5('1:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS x
+v AS (SELECT u.*, t.source_size, t.no, t.target, CASE WHEN size < 16 THEN 0.25 WHEN size < 64 THEN 0.5 WHEN size < 2048 THEN 1.0 ELSE 0.5 END::DOUBLE AS weight
   FROM u JOIN t ON u.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT no, target, weight, sum(words)::DOUBLE AS class_words FROM v GROUP BY ALL),
+e AS (SELECT no, (target - coalesce(sum(class_words * 2.0::DOUBLE) OVER (PARTITION BY no ORDER BY weight DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / nullif(sum(class_words * weight) OVER (PARTITION BY no ORDER BY weight DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS level FROM c),
+a AS (SELECT no, max(level) AS level FROM e GROUP BY no),
+d AS (SELECT v.*, coalesce(least(weight * level, 2.0::DOUBLE), 0) AS rate,
+  (('0x' || substr(md5('1:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS x FROM v JOIN a USING (no)),
 p AS (SELECT *, floor(rate)::INT AS copies, rate - floor(rate) AS p FROM d),
 k AS (SELECT *, CASE WHEN p > 0 THEN x / (1 - x) / (p / (1 - p)) END AS odds FROM p),
 r0 AS (SELECT *, CASE WHEN p > 0 THEN odds / (1 + odds) ELSE 1 + x END AS place, target - sum(copies * words) OVER (PARTITION BY no) AS missing FROM k),
