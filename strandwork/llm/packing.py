@@ -7,11 +7,13 @@ Every document is cut into pieces that fill windows of a few context sizes (tier
    largest pool first; the piece that closes the window is cut and what is left goes back to its pool.
 3. *Short windows*: each shorter tier closes a window whenever its pool holds a window's worth of tokens.
 4. *Remainder*: what the pools hold when the task's rows end fills windows of falling powers of two, so nothing is padded.
-5. *Step groups*: windows of one size are dealt, in order, to groups of equal token count, so that a training step
-   sees one context size and the same number of tokens as any other step.
+5. *Step groups*: windows of one size are numbered across all tasks and dealt, in order, to groups of equal token count,
+   so that a training step sees one context size and the same number of tokens as any other step. Of each size one group
+   in all may be short.
 
-Work is per task and per Arrow batch: there is no shuffle, a pool never holds more than one window of its tier after a
-batch, and a lost executor repeats only its own splits with the same result.
+Packing is per task and per Arrow batch, without a shuffle: a pool never holds more than one window of its tier after a
+batch, and a lost executor repeats only its own splits with the same result. The windows are written once, for step
+groups need the number of windows that the tasks before made, which is a table of tasks by sizes.
 """
 
 from __future__ import annotations
@@ -26,9 +28,11 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandwork.llm.common import saved
+
 ID_BYTES = 4
 CACHED_WORDS = 600_000
 
@@ -108,8 +112,8 @@ class Encoder:
 class _Packer:
     """The windows of one task. A piece is (row, start, length); ``rows`` maps a row to its id bytes while pieces refer to it."""
 
-    def __init__(self, tiers: list[int], step_tokens: int, task: int):
-        self.tiers, self.top, self.step_tokens, self.task = tiers, tiers[-1], step_tokens, task
+    def __init__(self, tiers: list[int], task: int):
+        self.tiers, self.top, self.task = tiers, tiers[-1], task
         self.pools = {t: deque() for t in tiers[:-1]}
         self.held = dict.fromkeys(tiers[:-1], 0)
         self.count = 0
@@ -119,11 +123,10 @@ class _Packer:
     def _close(self, pieces: list[tuple], size: int) -> None:
         nth = self.by_size.get(size, 0)
         self.by_size[size] = nth + 1
-        group = (size.bit_length() << 26 | nth * size // self.step_tokens) + (self.task << 32)
         at, sequence = 0, (self.task << 33) + self.count
         self.count += 1
         for row, start, length in pieces:
-            self.out.append((row, start, length, sequence, at, size, group))
+            self.out.append((row, start, length, sequence, at, size, nth))
             at += length
 
     def _take(self, tier: int, wanted: int) -> list[tuple]:
@@ -203,23 +206,27 @@ def pack(
     ``tokenizer`` returns, on an executor, the path of a tokenizer file. ``end_id`` closes each document. Every token of
     a document lies in exactly one piece. Rows: the id, ``start`` (the document's tokens before the piece), ``length``,
     ``ids`` (the piece's little-endian 32-bit ids, unless ``keep_ids`` is false), ``ids_crc32``, ``doc_tokens``,
-    ``sequence_id``, ``offset`` (in the sequence), ``sequence_tokens`` and ``step_group``.
+    ``sequence_id``, ``offset`` (in the sequence), ``sequence_tokens`` and ``step_group``, of ``step_tokens`` tokens (a
+    multiple of each tier; the last group of a size may have fewer).
 
     A null or empty text is a document of the end token alone. A null id is kept. Repeated rows are packed each for
-    itself. An empty table gives no rows. Other columns of ``docs`` are ignored.
+    itself. Texts of any length are encoded whole; a task holds the ids of the texts of one Arrow batch, and of those
+    whose pieces still wait. An empty table gives no rows. Other columns of ``docs`` are ignored.
     """
     if any(t & (t - 1) for t in tiers) or len(tiers) < 2:
         raise ValueError("tiers are two or more powers of two")
+    if step_tokens % max(tiers):
+        raise ValueError("a step group holds whole windows of each tier")
     order = sorted(tiers)
     end = end_id.to_bytes(ID_BYTES, "little")
     fields = [("doc_id", docs.schema[id_col].dataType.simpleString()), ("start", "long"), ("length", "long")]
     fields += [("ids", "binary")] if keep_ids else []
-    fields += [(n, "long") for n in ("ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_tokens", "step_group")]
+    fields += [(n, "long") for n in ("ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_tokens", "nth")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(tokenizer())
         task = TaskContext.get().partitionId()
-        packer, ids, tokens, row = _Packer(order, step_tokens, task), {}, {}, 0
+        packer, ids, tokens, row = _Packer(order, task), {}, {}, 0
 
         def emit() -> pa.RecordBatch:
             out, packer.out = packer.out, []
@@ -229,7 +236,7 @@ def pack(
                 cols["ids"] = pa.array([bytes(p) for p in parts], type=pa.binary())
             cols["ids_crc32"] = [zlib.crc32(p) for p in parts]
             cols["doc_tokens"] = [len(tokens[x[0]]) // ID_BYTES for x in out]
-            for i, n in enumerate(("sequence_id", "offset", "sequence_tokens", "step_group"), 3):
+            for i, n in enumerate(("sequence_id", "offset", "sequence_tokens", "nth"), 3):
                 cols[n] = [x[i] for x in out]
             kept = packer.waiting()
             for r in [r for r in tokens if r not in kept]:
@@ -258,4 +265,11 @@ def pack(
             yield emit()
 
     spec = ", ".join(f"`{n}` {t}" for n, t in fields)
-    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, spec)
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    packed = saved(rows.mapInArrow(run, spec).withColumn("task", F.shiftright("sequence_id", 33)))
+    made = packed.where("offset = 0").groupBy("task", "sequence_tokens").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("sequence_tokens").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    made = made.select("task", "sequence_tokens", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    group = F.expr(f"(before + nth) * sequence_tokens div {step_tokens}").bitwiseOR(F.call_function("shiftleft", F.col("sequence_tokens"), F.lit(40)))
+    numbered = packed.join(made, ["task", "sequence_tokens"]).withColumn("step_group", group)
+    return numbered.select(*(n for n, _ in fields if n != "nth"), "step_group")
