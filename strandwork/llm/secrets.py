@@ -1,12 +1,16 @@
-"""Secret scans: candidates by shape, false positives removed by a random forest.
+"""Secret scans: candidates by shape and place, false positives removed by a random forest.
 
-A candidate is a word of at least eight characters with a digit. Its features are its length, how often its characters
-change class, the shares of digits, capitals and hex digits, how much of it dictionary words cover, what its path and
-its own form look like, and the words beside it. The forest is trained on labelled findings; without any given, known
-formats give labels (an access key id by its published form, a value assigned to a credential's name; against e-mail
-and network addresses, telephone and card numbers), and the forest decides about the candidates that no format knows.
+A candidate is a part of a text between blanks, quotes, brackets, commas and the like that is eight characters or more
+with a digit, or is assigned to a credential's name, or is long and of mixed kinds of characters. The forest sees its
+length and character classes, how likely its character transitions are among labelled secrets against labelled plain
+values, how much of it dictionary words cover, and how its path and the words beside it speak for a secret.
 
-The dictionary is counted over all documents. Everything is DataFrame functions and the forest of ``pyspark.ml``.
+Labels come from findings that are given, or else from known formats: published forms of keys and what is assigned to a
+credential's name, against forms of addresses and numbers. Nothing that such a label looks at is a feature: the forest
+sees neither the name nor the forms, so it can clear a named value that is a plain word and find a secret without a name.
+
+Weights of transitions, neighbours and path parts are trained on one half of the labelled candidates, the forest on the
+other. The dictionary is counted over all documents. Everything is DataFrame functions and the forest of ``pyspark.ml``.
 """
 
 from __future__ import annotations
@@ -17,75 +21,101 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandwork.llm.common import apart, saved, spread_join
+from strandwork.llm.common import apart, free_name, saved, spread_join
 
-CANDIDATE = r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D]*[0-9])[^\x20\x09-\x0D]{8,}"
-WHOLE = r"^(?=.*[0-9]).{8,}$"
-DICTIONARY = r"(?<![A-Za-z0-9])[a-z]{3,8}(?![A-Za-z0-9])"
 #: Names that credentials are assigned to, in lower case.
-CREDENTIAL = r"(?i)(password|passwd|pwd|secret|token|api[_-]?key|apikey|access[_-]?key|auth|credential|bearer|private[_-]?key)"
+CREDENTIAL = r"(?i)(password|passwd|passphrase|pwd|secret|token|api[_-]?key|apikey|access[_-]?key|auth|credential|bearer|private[_-]?key)"
 #: Published forms of keys.
 KEY_FORMS = r"^(AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[0-9A-Za-z]{36,}$|^xox[abprs]-[0-9A-Za-z-]{10,}$|^eyJ[\w-]+\.[\w-]+\.[\w-]+$|^AIza[0-9A-Za-z_-]{35}$"
 #: Forms that look like secrets and are none.
 PLAIN_FORMS = r"^[\w.+-]+@[\w-]+(\.[\w-]+)+$|^\d{1,3}(\.\d{1,3}){3}$|^[\d()+./:, -]+$|^https?://\S+$|^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
-FEATURES = (
-    "f_length",
-    "f_changes",
-    "f_digits",
-    "f_capitals",
-    "f_hex",
-    "f_distinct",
-    "f_covered",
-    "f_slashes",
-    "f_dots",
-    "f_at",
-    "f_path_test",
-    "f_assigned",
-    "f_named",
-    "f_before",
-    "f_after",
-)
-BLANKS = r"[\x20\x09-\x0D]+"
+#: What parts a text: blanks, quotes, brackets and marks between values.
+BREAKS = r"[\x20\x09-\x0D\"'`,;{}()\[\]<>&|]+"
+#: Texts without any of these hold no candidate: a digit, a credential's name, or twenty letters and marks in a row.
+HOLDS = rf"[0-9]|{CREDENTIAL}|[A-Za-z+/=_-]{{20}}"
+ASSIGNED = r"^([A-Za-z][\w.-]*)[=:]+(.+)$"
+MIXED = r"[a-z][A-Z]|[A-Z]{2}[a-z]|[+/=_]"
+DICTIONARY = r"(?<![A-Za-z0-9])[a-z]{3,}(?![A-Za-z0-9])"
+FEATURES = ("f_length", "f_changes", "f_digits", "f_capitals", "f_hex", "f_distinct", "f_transitions", "f_covered", "f_path", "f_before", "f_after")
+#: Character transitions are between letters, any digit and any other mark, so there are 54 * 54 at most.
+LETTERS = 54
 
 
 def candidates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
-    """The candidates of all texts: doc_id, path, ``word_at`` (number of the word in its text, from 0), ``word``, ``name``
-    (what it is assigned to, or empty), ``value``, and the words ``before`` and ``after``. Null texts have none."""
+    """The candidates of all texts: doc_id, path, ``word_at`` (number of the part in its text, from 0), ``word``, ``name``
+    (what it is assigned to, or empty), ``value``, and the words ``before`` (the name not counted) and ``after``. Null
+    texts have none."""
     text = F.col(f"`{text_col}`").cast("string")
     path = F.col(f"`{path_col}`").cast("string") if path_col else F.lit(None).cast("string")
-    held = docs.select(F.col(f"`{id_col}`").alias("doc_id"), path.alias("path"), text.alias("text")).where(F.col("text").rlike(CANDIDATE))
-    trimmed = F.regexp_replace("text", rf"^{BLANKS}", "")
-    words = apart(held, "words", F.split(trimmed, BLANKS)).drop("text")
+    held = docs.select(F.col(f"`{id_col}`").alias("doc_id"), path.alias("path"), text.alias("text")).where(F.col("text").rlike(HOLDS))
+    words = apart(held, "words", F.filter(F.split("text", BREAKS), lambda w: w != "")).drop("text")
 
     def beside(i: Column, by: int) -> Column:
         return F.coalesce(F.get("words", i + by), F.lit(""))
 
-    found = F.transform("words", lambda w, i: F.struct(i.alias("at"), w.alias("word"), beside(i, -1).alias("b1"), beside(i, -2).alias("b2"), beside(i, 1).alias("after")))
-    each = words.select("doc_id", "path", F.explode(F.filter(found, lambda s: s["word"].rlike(WHOLE))).alias("c"))
-    word, quote = F.col("c.word"), r"^[\"'(\[{<]+|[\"')\]}>.,;!?]+$"
-    inside = F.regexp_extract(word, r"^([A-Za-z][\w.-]*)[=:]+(.+)$", 1)
-    value = F.when(inside != "", F.regexp_extract(word, r"^([A-Za-z][\w.-]*)[=:]+(.+)$", 2)).otherwise(word)
-    spaced = F.col("c.b1").isin("=", ":", ":=")
-    name = F.when(inside != "", inside).when(spaced, F.col("c.b2")).when(F.col("c.b1").rlike("[=:]$"), F.regexp_replace("c.b1", "[=:]+$", "")).otherwise(F.lit(""))
-    before = F.when(spaced, F.col("c.b2")).otherwise(F.col("c.b1"))
-    return each.select(
-        "doc_id", "path", F.col("c.at").alias("word_at"), word.alias("word"), name.alias("name"), F.regexp_replace(value, quote, "").alias("value"), before.alias("before"), F.col("c.after").alias("after")
-    ).where("value != ''")
-
-
-def dictionary(docs: DataFrame, *, text_col: str = "text", min_count: int = 50) -> DataFrame:
-    """The words of three to eight letters in lower case that all texts together hold ``min_count`` times or more."""
+    def sure(w: Column, i: Column) -> Column:
+        """Whether a part may be a candidate: what is cheap to see without taking it apart."""
+        digit = w.rlike("[0-9]") & (F.length(w) >= 8)
+        long = (F.length(w) >= 16) & w.rlike(MIXED)
+        named = (beside(i, -1).rlike(CREDENTIAL) | beside(i, -2).rlike(CREDENTIAL) | w.rlike(CREDENTIAL)) & (F.length(w) >= 4)
+        return digit | long | named
+
+    places = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("at"), w.alias("word"))), lambda s: sure(s["word"], s["at"]))
+    around = F.transform(places, lambda s: F.struct(s["at"].alias("at"), s["word"].alias("word"), *(beside(s["at"], -j).alias(f"b{j}") for j in (1, 2, 3)), beside(s["at"], 1).alias("after")))
+    each = words.select("doc_id", "path", F.inline(around))
+    spaced = F.col("b1").isin("=", ":", ":=")
+    sign = F.col("b1").rlike(".[=:]$")
+    inside = F.regexp_extract("word", ASSIGNED, 1)
+    value = F.when(inside != "", F.regexp_extract("word", ASSIGNED, 2)).otherwise(F.col("word"))
+    name = F.when(inside != "", inside).when(spaced, F.col("b2")).when(sign, F.regexp_replace("b1", "[=:]+$", "")).otherwise(F.lit(""))
+    before = F.when(inside != "", F.col("b1")).when(spaced, F.col("b3")).when(sign, F.col("b2")).otherwise(F.col("b1"))
+    bearer = F.lower("b1") == "bearer"
+    found = each.select("doc_id", "path", F.col("at").alias("word_at"), "word", name.alias("name"), F.regexp_replace(value, r"^[.!?]+|[.!?*#%$]+$", "").alias("value"), before.alias("before"), "after", bearer.alias("bearer"))
+    size, v = F.length("value"), F.col("value")
+    kept = ((size >= 8) & v.rlike("[0-9]")) | ((size >= 16) & v.rlike(MIXED)) | ((size >= 4) & F.col("name").rlike(CREDENTIAL)) | ((size >= 8) & F.col("bearer"))
+    return found.where(kept).drop("bearer")
+
+
+def dictionary(docs: DataFrame, *, text_col: str = "text", min_share: float = 1e-6) -> DataFrame:
+    """The words of three letters or more in lower case that make up ``min_share`` of all such words or more, and occur twice
+    at least; so the table has fewer than 1 / ``min_share`` rows."""
     words = docs.select(F.explode(F.regexp_extract_all(F.col(f"`{text_col}`").cast("string"), F.lit(DICTIONARY), 0)).alias("run"))
-    return words.groupBy("run").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count).select("run")
+    counts = saved(words.groupBy("run").agg(F.count(F.lit(1)).alias("n")))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return counts.where(F.col("n") >= max(2, total * min_share)).select("run")
+
+
+def _letters(word: Column) -> Column:
+    return F.regexp_replace(F.lower(word), "[^a-z]", "")
+
+
+def _transitions(value: Column) -> Column:
+    """The pairs of neighbouring characters, digits as 0 and all but letters and digits as a dash."""
+    plain = F.regexp_replace(F.regexp_replace(value, "[0-9]", "0"), "[^A-Za-z0]", "-")
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(value) - 1, F.lit(1))), lambda i: F.substring(plain, i, F.lit(2)))
+
+
+def log_odds(labelled: DataFrame, what: Column, *, kinds: int, min_count: int = 1) -> DataFrame:
+    """``key`` and ``weight``: the log of how often labelled secrets have each element of the array ``what``, over how often
+    other candidates have it, one added to each count. As many rows as the sample has elements at most."""
+    each = labelled.select(F.explode(what).alias("key"), F.col("label").cast("int").alias("label")).where("key <> ''")
+    sums = each.groupBy("key").agg(F.sum("label").alias("yes"), F.sum(1 - F.col("label")).alias("no"))
+    whole = sums.agg(F.coalesce(F.sum("yes"), F.lit(0)).alias("yes"), F.coalesce(F.sum("no"), F.lit(0)).alias("no")).first()
+    weight = F.log((F.col("yes") + 1) / F.lit(float(whole["yes"] + kinds))) - F.log((F.col("no") + 1) / F.lit(float(whole["no"] + kinds)))
+    return sums.where(F.col("yes") + F.col("no") >= min_count).select("key", weight.alias("weight"))
 
 
-def with_features(found: DataFrame, known: DataFrame) -> DataFrame:
-    """Candidates with the columns of FEATURES. ``known`` is the dictionary (run)."""
-    runs = found.select("doc_id", "word_at", "value", F.explode(F.regexp_extract_all(F.lower("value"), F.lit("[a-z]{3,}"), 0)).alias("run"))
-    covered = spread_join(runs, known, ["run"], ["doc_id", "word_at"]).groupBy("doc_id", "word_at", "value").agg(F.sum(F.length("run")).alias("covered"))
-    covered = covered.select(*(F.col(c).alias(f"__{c}") for c in covered.columns))
-    same = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.col("word_at") == F.col("__word_at")) & (F.col("value") == F.col("__value"))
-    t = found.join(covered.distinct(), same, "left")
+def _mean_weight(keys: DataFrame, by: str, parts: Column, weights: DataFrame, into: str) -> DataFrame:
+    """``by`` and ``into``: the mean weight of the elements of ``parts`` for each row of ``keys``, which has each ``by`` once."""
+    each = keys.select(by, F.explode(parts).alias("key")).join(weights, "key", "left")
+    return each.groupBy(by).agg(F.avg(F.coalesce("weight", F.lit(0.0))).alias(into))
+
+
+def value_features(values: DataFrame, known: DataFrame) -> DataFrame:
+    """``values`` (value, each once) with what only the value decides. ``known`` is the dictionary (run)."""
+    runs = values.select("value", F.explode(F.regexp_extract_all(F.lower("value"), F.lit("[a-z]{3,}"), 0)).alias("run"))
+    covered = spread_join(runs, known, ["run"], ["value"]).groupBy("value").agg(F.sum(F.length("run")).alias("covered"))
+    t = values.join(covered, "value", "left")
     value, size = F.col("value"), F.length("value")
 
     def count(pattern: str) -> Column:
@@ -99,17 +129,9 @@ def with_features(found: DataFrame, known: DataFrame) -> DataFrame:
         "f_capitals": count("[A-Z]") / size,
         "f_hex": count("[0-9a-fA-F]") / size,
         "f_distinct": F.size(F.array_distinct(F.split(value, ""))).cast("double") / size,
-        "f_covered": F.coalesce(F.col("__covered"), F.lit(0)).cast("double") / size,
-        "f_slashes": count("/"),
-        "f_dots": count(r"\."),
-        "f_at": count("@"),
-        "f_path_test": F.coalesce(F.col("path").rlike("(?i)test|example|sample|doc|mock"), F.lit(False)).cast("double"),
-        "f_assigned": (F.col("name") != "").cast("double"),
-        "f_named": F.col("name").rlike(CREDENTIAL).cast("double"),
-        "f_before": F.col("before").rlike(CREDENTIAL).cast("double"),
-        "f_after": F.col("after").rlike(CREDENTIAL).cast("double"),
+        "f_covered": F.coalesce(F.col("covered"), F.lit(0)).cast("double") / size,
     }
-    return t.withColumns(features).drop("__doc_id", "__word_at", "__value", "__covered")
+    return t.withColumns(features).drop("covered")
 
 
 def format_label(t: DataFrame) -> DataFrame:
@@ -119,6 +141,10 @@ def format_label(t: DataFrame) -> DataFrame:
     return t.withColumn("label", label.cast("int"))
 
 
+def _path_parts(path: Column) -> Column:
+    return F.filter(F.split(F.lower(F.coalesce(path, F.lit(""))), "[^a-z0-9]+"), lambda x: x != "")
+
+
 def scan(
     docs: DataFrame,
     labelled: DataFrame | None = None,
@@ -135,28 +161,51 @@ def scan(
     """The candidates of ``docs`` with their features, ``label``, ``score`` (the forest's share for a secret) and
     ``secret``.
 
-    ``labelled``: doc_id, word_at, label (0 or 1); without it known formats label. The forest is fitted on
+    ``labelled``: doc_id, word_at, label (0 or 1); without it known formats label. Weights and forest are fitted on
     ``train_rows`` labelled candidates of each class at most, those of the least hash. With fewer than two classes there
     is none to fit: the score is the label, and null where there is no label; an unlabelled candidate then counts as
-    a secret, for none is dropped without a reason. Null texts have no candidates, null ids are kept, a null path is
-    no test path, repeated rows each have their candidates, and an empty table has none.
+    a secret, for none is dropped without a reason. Null texts have no candidates, null ids are kept, a null path speaks
+    for nothing, repeated rows each have their candidates with the same features, other columns are not read, and an
+    empty table has none. Texts of any length are taken apart whole, within a task.
     """
-    found = saved(candidates(docs, id_col=id_col, text_col=text_col, path_col=path_col))
-    known = saved(dictionary(docs, text_col=text_col))
-    t = with_features(found, known)
+    found = candidates(docs, id_col=id_col, text_col=text_col, path_col=path_col)
     if labelled is None:
-        t = format_label(t)
+        found = format_label(found)
     else:
-        t = t.join(labelled.select("doc_id", "word_at", "label").dropDuplicates(["doc_id", "word_at"]), ["doc_id", "word_at"], "left")
-    t = saved(t)
+        marks = labelled.where("label IS NOT NULL").groupBy("doc_id", "word_at").agg(F.max("label").alias("label"))
+        found = found.join(marks, ["doc_id", "word_at"], "left")
+    found = saved(found)
+    known = saved(dictionary(docs, text_col=text_col))
     order = F.xxhash64(F.lit(seed), "value", "before", "after", "word_at")
-    parts = [t.where(F.col("label") == c).orderBy(order, "doc_id").limit(train_rows) for c in (0, 1)]
-    train = saved(parts[0].union(parts[1]))
-    if train.select("label").distinct().count() < 2:
-        return t.withColumns({"score": F.col("label").cast("double"), "secret": F.coalesce(F.col("label") == 1, F.lit(True))})
-    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    forest = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed)
-    model = forest.fit(vectors.transform(train).withColumn("label", F.col("label").cast("double")))
+    parts = [found.where(F.col("label") == c).orderBy(order, "doc_id").limit(train_rows) for c in (0, 1)]
+    sample = saved(parts[0].union(parts[1]).withColumn("half", F.pmod(F.xxhash64("value", F.lit(seed)), F.lit(2)).cast("int")))
+    halves = {(r["label"], r["half"]) for r in sample.select("label", "half").distinct().collect()}
+    if {x for x, _ in halves} != {0, 1}:
+        return found.withColumns({"score": F.col("label").cast("double"), "secret": F.coalesce(F.col("label") == 1, F.lit(True))})
+    one, two = (sample.where(F.col("half") == h) for h in (0, 1)) if len(halves) == 4 else (sample, sample)
+
+    # the tables of weights are bounded by the sample
+    pairs = F.broadcast(saved(log_odds(one, _transitions(F.col("value")), kinds=LETTERS * LETTERS)))
+    words = log_odds(one, F.array(_letters(F.col("before")), _letters(F.col("after"))), kinds=1000, min_count=2)
+    places = F.broadcast(saved(log_odds(one, _path_parts(F.col("path")), kinds=1000, min_count=2)))
+    words = F.broadcast(saved(words))
+    values = saved(value_features(found.select("value").distinct(), known))
+    values = values.join(_mean_weight(values, "value", _transitions(F.col("value")), pairs, "f_transitions"), "value")
+    paths = found.where("path IS NOT NULL").select("path").distinct()
+    paths = _mean_weight(paths, "path", _path_parts(F.col("path")), places, "f_path")
+    t = spread_join(spread_join(found, values, ["value"], ["doc_id", "word_at"]), paths, ["path"], ["doc_id", "word_at"], "left")
+    for side in ("before", "after"):
+        t = t.withColumn("key", _letters(F.col(side))).join(words.withColumnRenamed("weight", f"f_{side}"), "key", "left").drop("key")
+    t = saved(t.withColumns({f: F.coalesce(f, F.lit(0.0)) for f in ("f_path", "f_before", "f_after")}))
+
+    # the trained rows' features are found again by what makes a candidate up
+    chosen = two.select("value", F.coalesce("path", F.lit("")).alias("path_key"), "before", "after", "label").distinct()
+    held = t.withColumn("path_key", F.coalesce("path", F.lit(""))).dropDuplicates(["value", "path_key", "before", "after", "label"])
+    train = held.join(chosen, ["value", "path_key", "before", "after", "label"])
+    vector = free_name(t, "features")
+    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol=vector)
+    forest = RandomForestClassifier(labelCol="label", featuresCol=vector, numTrees=trees, maxDepth=depth, seed=seed)
+    model = forest.fit(vectors.transform(saved(train.select(F.col("label").cast("double").alias("label"), *FEATURES))))
     judged = model.transform(vectors.transform(t))
     score = vector_to_array("probability")[1]
-    return judged.withColumn("score", score).withColumn("secret", F.col("score") >= min_score).drop("features", "rawPrediction", "probability", "prediction")
+    return judged.withColumn("score", score).withColumn("secret", F.col("score") >= min_score).drop(vector, "rawPrediction", "probability", "prediction")
