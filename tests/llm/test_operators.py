@@ -589,34 +589,84 @@ def test_encoder_on_real_texts(spark):
 # ------------------------------------------------------------------ 7
 
 
-def test_secrets(spark):
-    rng = random.Random(1)
+def hexes(rng, n):
+    return "".join(rng.choice("0123456789abcdef") for _ in range(n))
 
-    def hexes(n):
-        return "".join(rng.choice("0123456789abcdef") for _ in range(n))
 
+def test_secrets(spark):
+    rng = random.Random(1)
     texts = []
-    for i in range(120):
-        token = ("password=" + hexes(18), 'token = "' + hexes(40) + '"', "AKIA" + hexes(16).upper(), f"ab.{i}@mail1.example.com", f"10.0.{i}.117", "555-01999999")[i % 6]
+    for i in range(240):
+        token = (f"password={hexes(rng, 18)}", f'token = "{hexes(rng, 40)}"', f"AKIA{hexes(rng, 16).upper()}", f"ab.{i}@mail1.example.com", f"10.0.{i}.117", f"555-{rng.randint(1000, 99999999)}")[i % 6]
         texts.append((i, f"{prose(i, 20)} {token} {prose(i + 500, 20)}", "s"))
-    texts += [(200, f"x secret: {hexes(32)}### y", None), (201, None, "s"), (202, "", "s"), (None, f"password={hexes(18)}", "s"), (203, "ab.9@mail1.example.com### z", "s")]
-    df = spark.createDataFrame(texts, "doc_id long, text string, source string")
-    rows = {(r.doc_id, r.word_at): r for r in secrets.scan(df).collect()}
-    for (doc, _), r in rows.items():
-        if doc is not None and doc < 120:
-            assert r.secret == (doc % 6 < 3), r
-        words = WORD.findall(next(t for i, t, _ in texts if i == doc))
-        assert words[r.word_at] == r.word
-    assert {d for d, _ in rows} == {*range(120), 200, None, 203}
-    assert next(r for r in rows.values() if r.doc_id == 200).secret
-    assert next(r for r in rows.values() if r.doc_id == 203).label is None
-    assert not next(r for r in rows.values() if r.doc_id == 203).secret
+    # held out: a secret without a name, a named plain word, a minified pair, a short named value, and no forms at all
+    texts += [(300, f"x {hexes(rng, 40)} y", None), (301, "token = correcthorsebattery", "s"), (302, f'{{"user":"x","api_key":"{hexes(rng, 32)}"}}', "s"), (303, "pwd: hunt3r", "s"), (304, None, "s"), (305, "", "s")]
+    texts += [(None, f"password={hexes(rng, 18)}", "s"), (306, "ab.9@mail1.example.com### z", "s"), (1, texts[1][1], "s"), (307, "Bearer abcdefghijk", "s"), (308, "QmFzZSBzaXh0eSBmb3Vy+Zm9v/YmFy", "s")]
+    df = spark.createDataFrame([(*t, 1, "v") for t in texts], "doc_id long, text string, source string, features int, value string")
+    rows = secrets.scan(df).collect()
+    by = defaultdict(list)
+    for r in rows:
+        by[r.doc_id].append(r)
+    right = [r.secret == (r.doc_id % 6 < 3) for r in rows if r.doc_id is not None and r.doc_id < 240]
+    assert np.mean(right) > 0.98
+    assert {*range(240), 300, 301, 302, 303, None, 306, 307, 308} == set(by)
+    assert by[300][0].label is None
+    assert by[300][0].secret
+    assert next(r for r in by[302] if r.name == "api_key").value == texts[242][1].split('"')[-2]
+    assert next(r for r in by[302] if r.name == "api_key").secret
+    assert by[303][0].value == "hunt3r"
+    assert by[306][0].label == 0
+    assert not by[306][0].secret
+    assert len(by[1]) == 2
+    assert by[1][0] == by[1][1]
     assert secrets.scan(df.limit(0)).count() == 0
-    one = secrets.scan(df.where("doc_id = 0"))
-    assert [r.secret for r in one.collect()] == [True]
-    given = spark.createDataFrame([(k[0], k[1], int(k[0] % 6 == 3)) for k, r in rows.items() if k[0] is not None and k[0] < 120], "doc_id long, word_at int, label int")
-    flipped = secrets.scan(df, given).where("doc_id < 120").collect()
-    assert all(r.secret == (r.doc_id % 6 == 3) for r in flipped)
+    assert [r.secret for r in secrets.scan(df.where("doc_id = 0")).collect()] == [True]
+    given = spark.createDataFrame([(r.doc_id, r.word_at, int(r.doc_id % 6 == 3)) for r in rows if r.doc_id is not None and r.doc_id < 240], "doc_id long, word_at int, label int")
+    flipped = secrets.scan(df, given).where("doc_id < 240").collect()
+    assert np.mean([r.secret == (r.doc_id % 6 == 3) for r in flipped]) > 0.98
+
+
+def test_secret_candidates_and_features(spark, sf_dir):
+    """Against plain Python: parts, names, neighbours, and the features of values."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    counts, expected = Counter(), Counter()
+    for r in docs.collect():
+        counts.update(re.findall(r"(?<![A-Za-z0-9])[a-z]{3,}(?![A-Za-z0-9])", r.text or ""))
+        words = [w for w in re.split(secrets.BREAKS, r.text or "") if w]
+        for i, w in enumerate(words):
+            b1, b2, b3 = (words[i - j] if i >= j else "" for j in (1, 2, 3))
+            m = re.match(r"^([A-Za-z][\w.-]*)[=:]+(.+)$", w, re.ASCII)
+            if m:
+                name, value, before = m[1], m[2], b1
+            elif b1 in ("=", ":", ":="):
+                name, value, before = b2, w, b3
+            elif re.search(".[=:]$", b1):
+                name, value, before = b1.rstrip("=:"), w, b2
+            else:
+                name, value, before = "", w, b1
+            value = re.sub(r"^[.!?]+|[.!?*#%$]+$", "", value)
+            named = re.search(secrets.CREDENTIAL, name)
+            if len(value) >= 8 and re.search("[0-9]", value) or len(value) >= 16 and re.search(secrets.MIXED, value) or len(value) >= 4 and named or len(value) >= 8 and b1.lower() == "bearer":
+                expected[r.doc_id, i, name, value, before, words[i + 1] if i + 1 < len(words) else ""] += 1
+    found = secrets.candidates(docs).collect()
+    assert Counter((r.doc_id, r.word_at, r.name, r.value, r.before, r.after) for r in found) == expected
+    assert expected
+    total = sum(counts.values())
+    known = {w for w, n in counts.items() if n >= max(2, total * 1e-4)}
+    dictionary = secrets.dictionary(docs, min_share=1e-4)
+    assert {r.run for r in dictionary.collect()} == known
+    values = spark.createDataFrame([(v,) for v in {r.value for r in found} | {"abcTheof", "the.and.1"}], "value string")
+    for r in secrets.value_features(values, dictionary).collect():
+        v = r.value
+        assert r.f_covered == pytest.approx(sum(len(x) for x in re.findall("[a-z]{3,}", v.lower()) if x in known) / len(v))
+        assert r.f_digits == pytest.approx(sum(c in "0123456789" for c in v) / len(v))
+        assert r.f_distinct == pytest.approx(len(set(v)) / len(v))
+
+
+def test_log_odds(spark):
+    df = spark.createDataFrame([(["a", "b"], 1), (["a"], 1), (["b", ""], 0)], "w array<string>, label int")
+    found = {r.key: r.weight for r in secrets.log_odds(df, F.col("w"), kinds=2).collect()}
+    assert found == pytest.approx({"a": np.log(3 / 5) - np.log(1 / 3), "b": np.log(2 / 5) - np.log(2 / 3)})
 
 
 # ------------------------------------------------------------------ 8
@@ -652,6 +702,78 @@ def test_quality(spark, odd, sf_dir):
     assert quality.judge(odd.limit(0)).count() == 0
 
 
+CLASSES = [("abcdefghijklmnopqrstuvwxyz",), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ",), ("0123456789",), (" \t\n\v\f\r",), (".,",), ("!?;:'\"()-",), (quality.SYMBOLS,)]
+
+
+def plain_histograms(text):
+    """Shares of the character classes (other ASCII and wide letters last), and the forms of the words."""
+    counts = [sum(text.count(c) for c in chars) for (chars,) in CLASSES]
+    wide = sum(ord(c) > 127 for c in text)
+    counts += [len(text) - wide - sum(counts), wide]
+    return counts, [w.strip(quality.AROUND.decode()).lower() for w in WORD.findall(text)]
+
+
+def plain_distance(p, q):
+    out = 0.0
+    for a, b in zip(p, q):
+        m = (a + b) / 2
+        out += (a * np.log2(a / m) if a > 0 else 0) / 2 + (b * np.log2(b / m) if b > 0 else 0) / 2
+    return max(out, 0) ** 0.5
+
+
+def plain_verdicts(items, common, blend_with, min_chars=200, min_words=50, most=0.3, joint=(0.12, 0.35)):
+    refs, out = {}, []
+    for lang, text in items:
+        counts = plain_counts(text)
+        chars, forms = plain_histograms(text or "")
+        failed = counts[0] < 10 or 100 * counts[4] > 20 * counts[0]
+        if not failed and counts[0] >= min_words:
+            r = refs.setdefault(lang, [0, Counter(), Counter()])
+            r[0] += 1
+            r[1].update(dict(enumerate(chars)))
+            r[2].update(forms)
+    top = {}
+    for lang, (n, chars, forms) in refs.items():
+        words = sorted((w for w in forms if w), key=lambda w: (-forms[w], w.encode()))[:common]
+        top[lang] = ([chars[i] / sum(chars.values()) for i in range(9)], {w: forms[w] / sum(forms.values()) for w in words})
+    largest = sorted(refs, key=lambda x: (-refs[x][0], x is not None, x or ""))[:blend_with]
+    for lang, text in items:
+        counts = plain_counts(text)
+        chars, forms = plain_histograms(text or "")
+        failed = counts[0] < 10 or 100 * counts[4] > 20 * counts[0]
+        js = (None, None)
+        if lang in top:
+            own, far = top[lang], [[], []]
+            share = [c / max(sum(chars), 1) for c in chars]
+            for other in dict.fromkeys([lang, *largest]):
+                blend = top[other]
+                far[0].append(plain_distance(share, [(a + b) / 2 for a, b in zip(own[0], blend[0])]))
+                both = sorted({*own[1], *blend[1]})
+                mine = [forms.count(w) / max(len(forms), 1) for w in both]
+                refs_of = [[x[1].get(w, 0) for w in both] for x in (own, blend)]
+                mix = [(a + b) / 2 for a, b in zip(*refs_of)]
+                far[1].append(plain_distance([*mine, 1 - sum(mine)], [*mix, 1 - sum(mix)]))
+            js = (min(far[0]) if counts[1] >= min_chars else None, min(far[1]) if counts[0] >= min_words else None)
+        bad = js[0] is not None and js[0] > most or js[1] is not None and min(far[0]) > joint[0] and js[1] > joint[1]
+        out.append((lang, text, js, not failed and not bad))
+    return out
+
+
+@pytest.mark.parametrize("blend_with", [1, 8])
+def test_verdicts_against_plain_python(spark, odd, sf_dir, blend_with):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("lang", "text").union(odd.select("lang", "text"))
+    docs = docs.union(spark.createDataFrame([(None, prose(70 + i, 90)) for i in range(3)] + [("", prose(90, 90))], "lang string, text string"))
+    rows = quality.judge(docs, common=30, blend_with=blend_with).collect()
+    expected = plain_verdicts([(r.lang, r.text) for r in docs.collect()], 30, blend_with)
+    key = lambda x: (str(x[0]), str(x[1]))
+    mine = sorted(((r.lang, r.text, (r.js_chars, r.js_words), r.kept) for r in rows), key=key)
+    for a, b in zip(mine, sorted(expected, key=key), strict=True):
+        assert a[:2] == b[:2]
+        assert a[3] == b[3]
+        assert a[2] == pytest.approx(b[2], abs=1e-9)
+    assert {r.js_words is None for r in rows if r.lang is None} == {True, False}
+
+
 def test_divergence_rejects_odd_text_only(spark):
     good = [(i, prose(i, 150), "en") for i in range(150)]
     odd = [(1000, prose(1, 150).upper(), "en"), (1001, " ".join(w + "%%%" for w in prose(2, 150).split()), "en"), (1002, " | ".join("".join(random.Random(i).choice("abcdefgh") for _ in range(7)) for i in range(150)), "en"), (1003, "A | B", "en")]
