@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from strandwork.llm.common import saved, spread_join
 
-TREES, LEAF, SAMPLE = 12, 16, 8192
-SHARE = 0.9
+TREES, LEAF, SAMPLE = 24, 16, 8192
+SHARE = 0.75
 BLOCK_ROWS, GROUP_ROWS, QUERY_ROWS = 4096, 16384, 4096
 
 
@@ -152,6 +152,8 @@ def nearest(
     that repeat an id one is a candidate. Null vectors, vectors of zero length and vectors with null or non-finite
     components take no part, nor do null ids; vectors of another dimension than most of the sample's are left out too.
     Ties go to the smaller id. An empty table gives no rows; a query with fewer candidates than ``k`` gets all of them.
+    Other columns are not read. The splits' number is bounded by ``sample`` and so is what a walk needs; with more rows
+    leaves hold more, unless ``sample`` is raised with them.
     """
     v = F.col(f"`{vector_col}`").cast("array<double>")
 
@@ -233,12 +235,15 @@ def nearest(
         return found.groupby("query_id").head(k + 1)
 
     best = asked.groupBy("group").cogroup(held.groupBy("group")).applyInPandas(compare, "query_id long, vec_id long, score double")
-    # k + 1 distinct vectors, since one may be the query's own; then their rows without the query's
+    # k + 1 distinct vectors, since one may be the query's own; then their rows without the query's. Ranks are limited in
+    # each task before rows are dealt by query, and a vector that several trees found has one rank
+    near = F.dense_rank().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    top = best.withColumn("near", near).where(F.col("near") <= k + 1).groupBy("query_id", "vec_id").agg(F.first("score").alias("score"))
+    hits = top.withColumnRenamed("vec_id", "first_id")
+
     def first(n: int, what: str) -> Column:
         return F.slice(F.sort_array(F.collect_set(F.struct((-F.col("score")).alias("far"), what))), 1, n).alias("top")
 
-    top = best.groupBy("query_id").agg(first(k + 1, "vec_id")).select("query_id", F.explode("top").alias("hit"))
-    hits = top.select("query_id", F.col("hit.vec_id").alias("first_id"), (-F.col("hit.far")).alias("score"))
     hits = spread_join(hits, copies, ["first_id"], ["query_id"]).select("query_id", "score", F.explode("ids").alias("vec_id"))
     out = hits.where("vec_id <> query_id").groupBy("query_id").agg(first(k, "vec_id")).select("query_id", F.posexplode("top").alias("rank", "hit"))
     return out.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.far")).alias("score"))
