@@ -1,8 +1,9 @@
 """Sharding along a Hilbert curve.
 
-Metadata dimensions are quantised to a few levels each, a row's levels give its index on the Hilbert curve, and the
-rows in curve order are cut into runs of equal row counts. Rows near each other in all dimensions lie in the same or in
-neighbouring shards, so file statistics prune on any of the dimensions.
+Metadata dimensions are quantised to a few levels each, by quantiles of all rows, so that a skewed dimension uses all its
+levels; a row's levels give its index on the Hilbert curve, and the rows in curve order are cut into runs of equal row
+counts. Rows near each other in all dimensions lie in the same or in neighbouring shards, so file statistics prune on any
+of the dimensions.
 
 All steps are DataFrame functions. A curve cell may hold any share of the rows: its rows are spread over hash slices,
 which are counted first, so that no cell is sorted in one task.
@@ -16,19 +17,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from strandwork.llm.common import apart, saved
+from strandwork.llm.common import apart, free_name, saved
 
 BITS = 3
 SLICES_LOG2 = 10
+ACCURACY = 10_000
 
 
-def _number(df: DataFrame, name: str) -> Column:
-    """A number that keeps the order of a column: numbers as they are, other values by their first seven bytes."""
-    col = F.col(f"`{name}`")
-    if isinstance(df.schema[name].dataType, NumericType):
-        return col.cast("double")
-    head = F.rpad(F.hex(F.substring(F.encode(col.cast("string"), "UTF-8"), 1, 7)), 14, "0")
-    return F.conv(head, 16, 10).cast("double")
+def _numbers(df: DataFrame, dims: Sequence[str]) -> dict[str, Column]:
+    """A number for each dimension that keeps its order: numbers as they are, other values by the seven bytes behind the
+    prefix that all values share, which is that of the least and the greatest."""
+    plain = [d for d in dims if isinstance(df.schema[d].dataType, NumericType)]
+    texts = [d for d in dims if d not in plain]
+    ends = df.agg(*(f(F.col(f"`{d}`").cast("string")).alias(f"{f.__name__}{i}") for i, d in enumerate(texts) for f in (F.min, F.max))).first() if texts else None
+    out = {d: F.col(f"`{d}`").cast("double") for d in plain}
+    for i, d in enumerate(texts):
+        low, high = ((ends[f"{f}{i}"] or "").encode() for f in ("min", "max"))
+        shared = next((j for j, (x, y) in enumerate(zip(low, high)) if x != y), min(len(low), len(high)))
+        head = F.rpad(F.hex(F.substring(F.encode(F.col(f"`{d}`").cast("string"), "UTF-8"), shared + 1, 7)), 14, "0")
+        out[d] = F.conv(head, 16, 10).cast("double")
+    return {d: out[d] for d in dims}
 
 
 def _hilbert(df: DataFrame, axes: list[str], bits: int, into: str) -> DataFrame:
@@ -55,17 +63,15 @@ def _hilbert(df: DataFrame, axes: list[str], bits: int, into: str) -> DataFrame:
 
 
 def with_curve(df: DataFrame, dims: Sequence[str], bits: int = BITS, into: str = "curve") -> DataFrame:
-    """``df`` with the Hilbert index of ``dims``, each quantised into 2^bits steps of equal width between its least and
-    greatest value; null is the lowest level. One row of bounds reaches the driver."""
-    numbers = {d: _number(df, d) for d in dims}
-    bounds = df.agg(*(f(n).alias(f"{f.__name__}{i}") for i, n in enumerate(numbers.values()) for f in (F.min, F.max))).first()
-    top = (1 << bits) - 1
+    """``df`` with the Hilbert index of ``dims``, each quantised into 2^bits levels of about equal numbers of rows; null is
+    the lowest level. The quantiles of all rows, one row of them, reach the driver."""
+    numbers = _numbers(df, dims)
+    steps = [(i + 1) / (1 << bits) for i in range((1 << bits) - 1)]
+    cuts = df.agg(*(F.percentile_approx(n, steps, ACCURACY).alias(f"q{i}") for i, n in enumerate(numbers.values()))).first()
     axes = {}
     for i, number in enumerate(numbers.values()):
-        low, high = bounds[f"min{i}"], bounds[f"max{i}"]
-        width = (high - low) if low is not None and high > low else 1.0
-        level = F.floor((number - F.lit(low or 0.0)) / F.lit(width) * F.lit(float(top + 1))).cast("int")
-        axes[f"__axis{i}"] = F.coalesce(F.least(F.greatest(level, F.lit(0)), F.lit(top)), F.lit(0))
+        above = [(number > F.lit(float(c))).cast("int") for c in cuts[f"q{i}"] or ()]
+        axes[f"{into}_axis{i}"] = F.coalesce(sum(above, F.lit(0)), F.lit(0))
     return _hilbert(df.withColumns(axes), list(axes), bits, into)
 
 
@@ -110,7 +116,8 @@ def assign(
     ``law`` ("rows"), ``shard``, ``slot`` and ``grown_shard`` (null: this law moves rows when a shard is added).
 
     A null text has size 8 and the checksum of no bytes. Null ids and dimensions are allowed; so are repeated rows,
-    each with a slot of its own. Other columns are not read. An empty table gives no rows.
+    each with a slot of its own; of equal values of a dimension all rows are in one level. Texts of any length are only
+    measured. Other columns are not read. An empty table gives no rows.
     """
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     plain = {d: F.col(f"`{d}`") for d in dims if d != id_col}
@@ -128,7 +135,10 @@ def assign(
 
 
 def write_shards(docs: DataFrame, path: str, *, shards: int = 24, dims: Sequence[str] = ("lang", "source", "n_chars", "doc_id"), bits: int = BITS) -> None:
-    """``docs`` as Parquet in folders ``shard=N`` under ``path``, in curve order within each file."""
-    cells = with_curve(docs, dims, bits, into="__curve")
-    cut = cut_runs(cells, shards, [f"`{d}`" for d in dims], curve="__curve")
-    cut.repartition(shards, "shard").sortWithinPartitions("shard", "slot").drop("__curve", "slot").write.partitionBy("shard").parquet(path)
+    """``docs`` as Parquet in folders ``shard=N`` under ``path`` (with underscores where that is a column's name), in curve
+    order within each file."""
+    name = free_name(docs, "shard")
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *(F.col(f"`{d}`").alias(f"dim_{d}") for d in dims))
+    cells = with_curve(held, [f"dim_{d}" for d in dims], bits)
+    cut = cut_runs(cells, shards, [f"`dim_{d}`" for d in dims]).repartition(shards, "shard").sortWithinPartitions("shard", "slot")
+    cut.select(*(F.col("row")[c].alias(c) for c in docs.columns), F.col("shard").alias(name)).write.partitionBy(name).parquet(path)
