@@ -229,12 +229,14 @@ def near_duplicates(
     levels: int = LEVELS,
 ) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``text_key`` (hash of the text), ``n_shingles``, ``component_id`` (least
-    id reachable over links, itself included) and ``kept`` (doc_id = component_id).
+    id reachable over links, itself included), ``kept`` (doc_id = component_id) and ``group_key``, which linked rows share
+    whatever their ids are (null where a text has no shingle).
 
     Texts are linked where their shingle sets have 100 * intersection >= percent * union. A text of fewer than five
     words has its whole word sequence as one shingle; a null, empty or blank text has no shingle and no links. Rows
     that repeat an id are judged by their texts, each for itself. A null id may be linked but names no component; where
-    a component has no other id, its component is null and it is kept. An empty table gives no rows.
+    a component has no other id, its component is null and it is kept. A text of any length has its whole set in memory,
+    in the task that hashes it and in those that compare it. Other columns are not read. An empty table gives no rows.
     Recall: at similarity 0.75 a pair shares a region with probability 0.9999 for the default trees.
     """
     text = F.col(f"`{text_col}`").cast("string")
@@ -271,8 +273,8 @@ def near_duplicates(
     found = components(edges).withColumnRenamed("node", "class")
     rooted = classes.select("class", "low").join(found, "class", "left").withColumn("root", F.coalesce("component", "class")).drop("component")
     lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    rooted = spread_join(rooted, lows, ["root"], ["class"]).select("class", "component_id")
+    rooted = spread_join(rooted, lows, ["root"], ["class"]).select("class", "component_id", F.col("root").alias("group_key"))
     out = spread_join(sets.select("doc_id", "text_key", "n", "class"), rooted, ["class"], ["doc_id", "text_key"], "left")
     component = F.coalesce("component_id", "doc_id")
     kept = F.coalesce(F.col("doc_id") == component, F.lit(True))
-    return out.select("doc_id", "text_key", F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"))
+    return out.select("doc_id", "text_key", F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"), "group_key")

@@ -64,7 +64,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text_key")
+    return neardup.near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text_key", "group_key")
 
 
 def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,6 +85,31 @@ def test_forest_recall_and_scores(spark):
     assert hits / (5 * 30) >= 0.9
 
 
+def test_forest_recall_on_the_table(spark):
+    """The registered query with its own parameters."""
+    from strandwork.llm.queries import op1_forest
+
+    items = [(r.vec_id, r.embedding) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()]
+    good = [(i, v) for i, v in items if v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    ids, x = np.array([i for i, _ in good]), np.array([v for _, v in good], np.float64)
+    norm = np.sqrt((x * x).sum(axis=1))
+    found = defaultdict(list)
+    for r in op1_forest(spark, "/root/testdata/sf0.1").orderBy("query_id", "rank").collect():
+        found[r.query_id].append(r)
+    hits = []
+    for j in np.flatnonzero(ids % 50 == 0):
+        score = (x * x[j]).sum(axis=1) / (norm * norm[j])
+        order = [o for o in np.lexsort((ids, -score)) if o != j][:5]
+        rows = found.pop(int(ids[j]))
+        assert [r["rank"] for r in rows] == [1, 2, 3, 4, 5]
+        by_id = dict(zip(ids.tolist(), score.tolist()))
+        assert all(r.score == by_id[r.vec_id] for r in rows)
+        hits.append(len({r.vec_id for r in rows} & {int(ids[o]) for o in order}) / 5)
+    assert not found
+    print(len(hits), np.mean(hits))
+    assert np.mean(hits) >= 0.9
+
+
 def test_forest_blocks(spark, monkeypatch):
     """Leaves with many rows and many queries are met block by block, with the same result."""
     rng = np.random.default_rng(4)
@@ -445,13 +470,29 @@ def test_shards(spark, odd, sf_dir):
 
 
 def test_shard_files_prune(spark, sf_dir, tmp_path):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    sharding.write_shards(docs, str(tmp_path / "out"), shards=6)
+    """For each dimension, the files that a filter must read hold clearly fewer rows than the table."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumns({"shard": F.lit("x"), "slot": F.lit(1), "curve": F.lit(2)})
+    sharding.write_shards(docs, str(tmp_path / "out"), shards=16)
     back = spark.read.parquet(str(tmp_path / "out"))
-    assert back.drop("shard").exceptAll(docs).isEmpty()
+    assert back.drop("shard_").exceptAll(docs).isEmpty()
     assert back.count() == docs.count()
-    spread = back.groupBy("shard").agg((F.max("doc_id") - F.min("doc_id")).alias("d"), F.countDistinct("lang").alias("l")).collect()
-    assert min(r.l for r in spread) < 4
+    rows = back.toPandas()
+    for dim in ("lang", "source", "n_chars", "doc_id"):
+        ends = rows.groupby("shard_")[dim].agg(["min", "max"])
+        read = [((ends["min"] <= v) & (v <= ends["max"])).mean() for v in rows[dim].dropna()]
+        assert np.mean(read) < 0.8, (dim, np.mean(read))
+
+
+def test_levels_are_quantiles(spark):
+    """A long tail, and strings that share a long prefix, use all levels; copies and nulls are in one."""
+    rng = random.Random(3)
+    rows = [(int(10 ** rng.uniform(0, 6)), f"https://example.org/source_{rng.randrange(60):02d}") for _ in range(4000)] + [(7, None)] * 2000 + [(None, "https://example.org/source_01")] * 50
+    df = spark.createDataFrame(rows, "n long, s string")
+    for dim, least in (("n", 6), ("s", 5)):
+        levels = Counter(r.c for r in sharding.with_curve(df, [dim], 3, "c").collect())
+        assert len(levels) >= least
+        assert sorted(levels.values())[-2] < 2200
+    assert sharding.with_curve(df.limit(0), ["n", "s"], 3).count() == 0
 
 
 # ------------------------------------------------------------------ 5
@@ -833,10 +874,10 @@ def test_near_duplicates(spark, odd):
     items += [(300, base[2].upper()), (301, base[2] + " tail"), (302, "one two three"), (303, "ONE  two\nthree"), (304, "one two three four"), (305, None), (306, ""), (307, " \n")]
     df = spark.createDataFrame(items, "doc_id long, text string")
     found = neardup.near_duplicates(df)
-    assert rows_of(found.drop("text_key")) == plain_groups(items)
+    assert rows_of(found.drop("text_key", "group_key")) == plain_groups(items)
     pairs = [(r.doc_id, r.text) for r in odd.collect()]
     expected = plain_groups(pairs)
-    mine = rows_of(neardup.near_duplicates(odd).drop("text_key"))
+    mine = rows_of(neardup.near_duplicates(odd).drop("text_key", "group_key"))
     assert [r for r in mine if r[0] is not None] == [r for r in expected if r[0] is not None]
     assert len(mine) == len(expected)
     assert neardup.near_duplicates(df.limit(0)).count() == 0
@@ -849,7 +890,7 @@ def test_blocks_give_the_same_groups(spark, monkeypatch):
     df = spark.createDataFrame(items, "doc_id long, text string")
     monkeypatch.setattr(neardup, "REGION", 2)
     monkeypatch.setattr(neardup, "BLOCK_BYTES", 4000)
-    assert rows_of(neardup.near_duplicates(df).drop("text_key")) == plain_groups(items)
+    assert rows_of(neardup.near_duplicates(df).drop("text_key", "group_key")) == plain_groups(items)
 
 
 def test_components(spark, monkeypatch):

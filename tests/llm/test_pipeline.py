@@ -1,9 +1,11 @@
 """The pipeline's stages one after another, each held to what it must do with its own input."""
 
+import random
 import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from strandwork.llm import lines
@@ -49,6 +51,35 @@ def test_each_stage_takes_effect(spark, results, sf_dir):
     assert all(zlib.crc32(r.ids) == r.ids_crc32 for r in packed.limit(50).collect())
 
 
+@pytest.fixture(scope="module")
+def odd_docs(spark):
+    """Repeated and null ids, nulls in every column, empty texts, repeated rows and columns with the stages' own names."""
+    words = "the of and to in a is that it was for on are as with stone river cloud garden market winter paper".split()
+
+    def text(seed, n=90):
+        rng = random.Random(seed)
+        return " ".join(rng.choice(words) + ("." if i % 9 == 8 else "") for i in range(n))
+
+    rows = [(1, text(1), "en", "a", 1), (1, text(1), "en", "a", 1), (1, text(1) + " x", "en", "b", 1), (None, text(1), "en", "a", 1), (None, text(2), None, None, None), (None, text(2), "en", "a", 2)]
+    rows += [(5, None, "en", "a", 0), (6, "", "", "", 0), (6, "", "", "", 0), (7, text(3, 4000), "de", None, 9), (None, None, None, None, None), (8, text(4), "en", "a", 3)]
+    return spark.createDataFrame([(*r, "i", 0, "k", True) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, __id string, row int, text_key string, kept boolean")
+
+
+def test_stages_on_odd_tables(spark, odd_docs, sf_dir):
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, odd_docs, sf_dir)
+        assert out.columns == odd_docs.columns, name
+        assert {(r["__id"], r.row, r.text_key, r.kept) for r in out.collect()} <= {("i", 0, "k", True)}
+        assert stage(spark, odd_docs.limit(0), sf_dir).count() == 0
+    assert corpus_pipeline.packed(spark, odd_docs, sf_dir).where("start = 0").count() == odd_docs.count()
+    single = Counter((r.doc_id, r.text) for r in corpus_pipeline.one_of_each_group(spark, odd_docs, sf_dir).collect())
+    texts_of = {k: v for k, v in ((r.text_key_, r.text) for r in odd_docs.withColumn("text_key_", F.monotonically_increasing_id()).collect())}
+    assert max(single.values()) == 1
+    assert [k for k, t in single if (t or "").startswith(texts_of[0])] == [1]
+    assert {k for k, _ in single} == {1, None, 5, 6, 7, 8}
+    assert len(single) == 7  # of the null ids the text of its own and the one without a text
+
+
 def test_run_equals_the_stages(spark, results, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).selectExpr("sum(length)").first()[0] == results[5].selectExpr("sum(length)").first()[0]
 
