@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandwork.shared import saved
+from strandwork.shared import release, saved
 
 
 def children(nodes: DataFrame, names: DataFrame, root: int) -> DataFrame:
@@ -34,7 +34,8 @@ def branch_of(nodes: DataFrame, root: int) -> DataFrame:
         moved = links.where("NOT done").join(ahead, "up", "left")
         # an ancestor without a row of its own is a top, or the root's own line: nothing below the root
         stepped = moved.where("next IS NOT NULL").select("taxon_id", F.col("next").alias("up"), F.col("next_done").alias("done"))
-        links = saved(links.where("done").union(stepped))
+        before, links = links, saved(links.where("done").union(stepped))
+        release(before)
         if links.where("NOT done").isEmpty():
             return links.select("taxon_id", F.col("up").alias("branch"))
         if left == 0:

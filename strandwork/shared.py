@@ -32,7 +32,17 @@ def saved(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/saved-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Removes what ``saved`` wrote for these tables, which nothing reads any more."""
+    for df in tables:
+        spark, path = df.sparkSession, df.saved_at
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def clean(spark: SparkSession) -> None:
