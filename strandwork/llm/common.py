@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandwork.shared import saved, shared_dir, spread
+from strandwork.shared import release, saved, shared_dir, spread
 
-__all__ = ["WORD", "apart", "free_name", "n_words", "read_table", "saved", "shared_dir", "spread_join"]
+__all__ = ["WORD", "apart", "free_name", "n_words", "read_table", "release", "saved", "shared_dir", "spread_join"]
 
 #: A word is a run of characters other than space, tab, line feed, vertical tab, form feed and carriage return.
 #: ``bytes.split()`` splits UTF-8 text at exactly these characters.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandwork.llm.common import saved
+from strandwork.llm.common import release, saved
 
 #: Hubs are the nodes that most rows look up, so many at most, those of this many rows or more; their labels are broadcast.
 HUBS, HUB_ROWS = 4096, 1000
@@ -34,12 +34,16 @@ def components(edges: DataFrame) -> DataFrame:
     both = saved(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct())
     busy = _hubs(both, "b")
     labels = saved(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("component")))
+    held = labels
     while True:
         seen = _looked_up(both, labels.withColumnRenamed("node", "b"), "b", busy).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         lower = saved(labels.join(seen, "node").select("node", "component", F.least("component", "near").alias("next")))
         jump = lower.select(F.col("node").alias("next"), F.col("next").alias("far"))
-        far = _looked_up(lower, jump, "next", _hubs(lower, "next"))
+        shared = _hubs(lower, "next")
+        far = _looked_up(lower, jump, "next", shared)
         moved = saved(far.select("node", F.col("far").alias("component"), (F.col("far") < F.col("component")).alias("fell")))
-        labels = moved.select("node", "component")
+        release(lower, shared, held)
+        labels, held = moved.select("node", "component"), moved
         if moved.where("fell").limit(1).isEmpty():
+            release(both, busy)
             return labels
