@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandwork.functions.columns import apart
 from strandwork.shared import spread
 
 #: Letters A to Z and the mark for anything else, and the base that each becomes.
@@ -15,7 +16,7 @@ BASES = "ACGTACGTACGTANACGTACGTACGTN"
 def as_sequences(docs: DataFrame) -> DataFrame:
     """``id`` and ``seq`` of documents: letters become bases, runs of other characters become runs of N."""
     text = F.upper(F.regexp_replace("text", "[^A-Za-z]", "-"))
-    return docs.select(F.col("doc_id").cast("string").alias("id"), F.translate(text, LETTERS, BASES).alias("seq"))
+    return apart(docs.select(F.col("doc_id").cast("string").alias("id"), "text"), "seq", F.translate(text, LETTERS, BASES)).select("id", "seq")
 
 
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
