@@ -271,5 +271,6 @@ def pack(
     before = Window.partitionBy("sequence_tokens").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     made = made.select("task", "sequence_tokens", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     group = F.expr(f"(before + nth) * sequence_tokens div {step_tokens}").bitwiseOR(F.call_function("shiftleft", F.col("sequence_tokens"), F.lit(40)))
-    numbered = packed.join(made, ["task", "sequence_tokens"]).withColumn("step_group", group)
+    # tasks by sizes, and the driver knows each task anyway: to deal the windows out instead would move all tokens
+    numbered = packed.join(F.broadcast(made), ["task", "sequence_tokens"]).withColumn("step_group", group)
     return numbered.select(*(n for n, _ in fields if n != "nth"), "step_group")
