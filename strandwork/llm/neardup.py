@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandwork.llm.common import saved, spread_join
+from strandwork.llm.common import release, saved, spread_join
 from strandwork.llm.graph import components
 
 WORDS = 5
@@ -180,7 +180,9 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int
     full = _full_sets(pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))), classes, docs, width)
     one = full.select(F.col("class").alias("a"), F.col("keys").alias("keys_a"))
     two = full.select(F.col("class").alias("b"), F.col("keys").alias("keys_b"))
-    return saved(pairs.join(one, "a").join(two, "b").select("a", "b", "keys_a", "keys_b").mapInArrow(compare, "a long, b long"))
+    linked = saved(pairs.join(one, "a").join(two, "b").select("a", "b", "keys_a", "keys_b").mapInArrow(compare, "a long, b long"))
+    release(full)
+    return linked
 
 
 def _links_across(members: DataFrame, sigs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, least: int, percent: int) -> DataFrame:
@@ -195,17 +197,18 @@ def _links_across(members: DataFrame, sigs: DataFrame, classes: DataFrame, docs:
     mixed = members.groupBy("prefix").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("rows"), whole.alias("print"), F.sum("n").alias("size"))
     mixed = mixed.where("lo != hi AND rows > 2").groupBy("print", "rows").agg(F.min("prefix").alias("prefix"), F.min("size").alias("size"))
     mixed = saved(mixed.select("prefix", F.ceil(F.col("size") * 8 / BLOCK_BYTES).cast("int").alias("blocks")))
-    rows = saved(spread_join(members, mixed, ["prefix"], ["class"]))
-    full = _full_sets(rows.select("class"), classes, docs, width).join(sigs, "class")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    held = saved(spread_join(members, mixed, ["prefix"], ["class"]))
+    sets = _full_sets(held.select("class"), classes, docs, width)
+    full = sets.join(sigs, "class")
+    rows = held.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("prefix", "class", "component", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two")).join(full, "class")
 
     def links(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["block", "class"], ignore_index=True)
         sig = np.frombuffer(b"".join(frame["sig"]), np.uint32).reshape(len(frame), -1)
-        sets = [np.frombuffer(x, np.uint64) for x in frame["keys"]]
-        size = np.array([len(x) for x in sets])
+        keys = [np.frombuffer(x, np.uint64) for x in frame["keys"]]
+        size = np.array([len(x) for x in keys])
         comp, ids, block = frame["component"].to_numpy().copy(), frame["class"].to_numpy(), frame["block"].to_numpy()
         across = frame["one"].iat[0] != frame["two"].iat[0]
         a, b = [], []
@@ -216,13 +219,15 @@ def _links_across(members: DataFrame, sigs: DataFrame, classes: DataFrame, docs:
                 rest = rest[block[rest] != block[i]]
             if len(rest):
                 for j in rest[(sig[rest] == sig[i]).sum(axis=1) >= least]:
-                    if comp[j] != comp[i] and _common_enough(sets[i], sets[j], percent):
+                    if comp[j] != comp[i] and _common_enough(keys[i], keys[j], percent):
                         a.append(ids[i])
                         b.append(ids[j])
                         comp[comp == comp[j]] = comp[i]
         return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
-    return saved(dealt.groupBy("prefix", "one", "two").applyInPandas(links, "a long, b long"))
+    found = saved(dealt.groupBy("prefix", "one", "two").applyInPandas(links, "a long, b long"))
+    release(mixed, held, sets)
+    return found
 
 
 def near_duplicates(
@@ -277,11 +282,12 @@ def near_duplicates(
     found = components(edges).withColumnRenamed("node", "class")
     known = members.select("prefix", "class").join(classes.select("class", "n"), "class").join(found, "class", "left")
     known = saved(known.withColumn("component", F.coalesce("component", "class")))
-    edges = edges.union(_links_across(known, sigs, named, rows, width, least, percent))
-    found = components(edges).withColumnRenamed("node", "class")
+    across = _links_across(known, sigs, named, rows, width, least, percent)
+    found = components(edges.union(across)).withColumnRenamed("node", "class")
     rooted = classes.select("class", "low").join(found, "class", "left").withColumn("root", F.coalesce("component", "class")).drop("component")
     lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    rooted = spread_join(rooted, lows, ["root"], ["class"]).select("class", "component_id", F.col("root").alias("group_key"))
+    rooted = saved(spread_join(rooted, lows, ["root"], ["class"]).select("class", "component_id", F.col("root").alias("group_key")))
+    release(classes, members, first, known, edges, across)
     out = spread_join(sets.select("doc_id", "text_key", "n", "class"), rooted, ["class"], ["doc_id", "text_key"], "left")
     component = F.coalesce("component_id", "doc_id")
     kept = F.coalesce(F.col("doc_id") == component, F.lit(True))
