@@ -160,8 +160,10 @@ class Records:
         while True:
             while self.held[:1] in (b"\r", b"\n"):
                 del self.held[:1]
-            cut = min((at + len(end) for end in (b"\r\n\r\n", b"\n\n") if (at := self.held.find(end)) >= 0), default=0)
-            if cut and self.held:
+            at = self.held.find(b"\r\n\r\n")
+            plain = self.held.find(b"\n\n", 0, at if at >= 0 else len(self.held))
+            cut = plain + 2 if plain >= 0 else at + 4 if at >= 0 else 0
+            if cut:
                 raw = bytes(self.held[:cut])
                 del self.held[:cut]
                 fields = _parse(raw.strip())
@@ -180,18 +182,19 @@ class Records:
         while self.left:
             if not self.held and not self._fill():
                 raise ValueError("an archive ends within a record")
-            part = bytes(self.held[: self.left])
+            part = bytes(memoryview(self.held)[: self.left])
             del self.held[: len(part)]
             self.left -= len(part)
             yield part
 
 
 class Payload:
-    """Digest and length of the payload of a record's block, given in parts: an HTTP message's is what follows its head,
-    whose own length field a revisit keeps."""
+    """Length and, where asked for, digest of the payload of a record's block, given in parts: an HTTP message's is what
+    follows its head, whose own length field a revisit keeps."""
 
-    def __init__(self, fields: dict[str, str]):
-        self.http, self.sum, self.length, self.start, self.said = fields.get("content-type", "").startswith("application/http"), hashlib.sha1(), 0, b"", None
+    def __init__(self, fields: dict[str, str], digest: bool):
+        self.http, self.length, self.start, self.said = fields.get("content-type", "").startswith("application/http"), 0, b"", None
+        self.sum = hashlib.sha1() if digest else None
 
     def update(self, part: bytes) -> None:
         if self.http:
@@ -201,7 +204,8 @@ class Payload:
                 return
             length = _parse(head).get("content-length", "")
             self.http, self.start, self.said = False, b"", int(length) if length.isdigit() else None
-        self.sum.update(part)
+        if self.sum:
+            self.sum.update(part)
         self.length += len(part)
 
 
@@ -234,14 +238,15 @@ def normalise(files: DataFrame, source: str, target: str, tasks: int) -> DataFra
                         return len(packed)
 
                     kind, refers, to_key, block = head.get("warc-type"), _bare(head.get("warc-refers-to")), None, int(head["content-length"])
-                    payload, to = Payload(head), again.get(ordinal)
+                    digest = head.get("warc-payload-digest", "").partition(":")[2]
+                    payload, to = Payload(head, not digest), again.get(ordinal)
                     if to is None:
                         written += put(raw)
                     for part in records.body():
                         payload.update(part)
                         if to is None:
                             written += put(part)
-                    digest = head.get("warc-payload-digest", "").partition(":")[2] or payload.sum.hexdigest()
+                    digest = digest or payload.sum.hexdigest()
                     length = payload.said if kind == "revisit" and payload.said is not None else payload.length
                     if to is not None:
                         kind, refers, to_key = "revisit", record_id(f"{source}/{to['to_file']}", to["to_ordinal"]), to["to_key"]
@@ -292,7 +297,7 @@ def read_members(index: DataFrame, root: str, tasks: int) -> DataFrame:
                         start, held = offset, source.read_at(BLOCK, offset)
                     parts = iter([held[offset - start : offset - start + length]])
                 records = Records(inflated(_Parts(parts)))
-                payload = Payload(records.head()[1])
+                payload = Payload(records.head()[1], True)
                 for part in records.body():
                     payload.update(part)
                 sums.append(payload.sum.hexdigest())
