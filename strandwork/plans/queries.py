@@ -237,6 +237,12 @@ def random_subwindows(spark: SparkSession, d: str) -> DataFrame:
     return pairs.subwindows(tables.sequences(spark, d), 4, 5).select("id", "rc", F.concat_ws(",", "kmers").alias("kmers"))
 
 
+def subwindows_by_id(spark: SparkSession, d: str) -> DataFrame:
+    """A random window of each sequence that another table names."""
+    wanted = spark.read.parquet(f"{d}/lineitem.parquet").select("l_suppkey")
+    return pairs.subwindows_of(tables.sequences(spark, d), wanted, 4, 5).select("id", "rc", F.concat_ws(",", "kmers").alias("kmers"))
+
+
 def valid_sequences(spark: SparkSession, d: str) -> DataFrame:
     return pairs.numbered(tables.sequences(spark, d), 7 * 21).select("id", "seq_len", F.col("seq_idx").cast("bigint").alias("seq_idx"))
 
@@ -408,7 +414,7 @@ QUERIES = {
     for f in (
         n_split_chunks, kmers_both_strands, kmer_windows, coords_windows, sliding_passes, rc_window, onehot_encode, encoded_windows, sequence_to_array, pad_and_mask,
         kmer_counts, kmer_summary, kmer_min_count, gff3_features, gff3_type_dictionary, merged_intervals, interval_coverage, gff3_interval_label, gff3_window_labels,
-        gff3_window_labels_merged, masked_random, masked_blank, masked_random_order, discriminator_batches, sequence_order, matched_pairs, triple_loss, random_subwindows, valid_sequences,
+        gff3_window_labels_merged, masked_random, masked_blank, masked_random_order, discriminator_batches, sequence_order, matched_pairs, triple_loss, random_subwindows, subwindows_by_id, valid_sequences,
         lookup_by_index, taxon_counts, taxon_members, random_order, point_lookup, sequence_index,
     )
 }
@@ -453,6 +459,7 @@ SELECT {WKEY}, CASE WHEN "order" THEN b ELSE a END AS kmers1, CASE WHEN "order"
     "matched_pairs": f"WITH {_MATCHED}",
     "triple_loss": f"WITH {_TRIPLE}",
     "random_subwindows": f"WITH {_SUB}",
+    "subwindows_by_id": f"WITH named AS (SELECT DISTINCT l_suppkey::VARCHAR AS id FROM lineitem), found AS (WITH {_SUB}) SELECT * FROM found WHERE id IN (SELECT id FROM named)",
     "valid_sequences": f"WITH {_numbered_sql(147)} SELECT id, seq_len, seq_idx FROM pool",
     "lookup_by_index": f"WITH {_numbered_sql(147)} SELECT seq_idx, id, substr(seq, 11, 50) AS part FROM pool WHERE seq_idx IN (SELECT l_suppkey FROM lineitem)",
     "taxon_counts": f"WITH {_TAX} SELECT 100 + r_regionkey AS id, r_name AS name, count(branch) AS seq_count, coalesce(sum(seq_len), 0)::BIGINT AS seq_length FROM region LEFT JOIN region_of ON branch = 100 + r_regionkey AND seq_len >= 100 GROUP BY 1, 2",

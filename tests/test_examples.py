@@ -125,6 +125,23 @@ def test_windows_of_sequences_of_mostly_n(spark):
     assert sorted(r.seq_idx for r in found.collect()) == [0, 2]
 
 
+def test_windows_of_named_and_numbered_sequences(spark, some):
+    texts = {r.id: r.seq for r in some.collect()}
+    swap = str.maketrans("ACGT", "TGCA")
+    named = pairs.subwindows_of(some, spark.createDataFrame([(3,), (3,), (5,), (9999,)], "i int"), 4, 5).collect()
+    assert {r.id for r in named} == {"3", "5"}
+    pool = pairs.numbered(some, 24)
+    numbers = {r.seq_idx: r.id for r in pool.collect()}
+    rows = pairs.subwindows_at(pool, spark.createDataFrame([(0,), (2,), (4,)], "i int"), 4, 5, reach=300).collect()
+    assert {r.id for r in rows} <= {numbers[i] for i in (0, 2, 4)}
+    assert rows
+    for r in [*named, *rows]:
+        bases = "".join(r.kmers)
+        assert len(bases) == 20
+        assert (bases.translate(swap)[::-1] if r.rc else bases) in texts[r.id]
+    assert all("NNN" not in "".join(r.kmers) for r in rows)
+
+
 def test_deep_lineages_and_cycles(spark):
     nodes = [(1, 1), (2, 1), (3, 1), *((i, i - 1) for i in range(4, 204)), *((i, i - 1) for i in range(1001, 1010)), (5000, None), (5001, 5000), (5002, 5002), (5003, 5002)]
     nodes += [(1000, 2)]
