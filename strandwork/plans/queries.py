@@ -72,6 +72,10 @@ def _chunks(spark: SparkSession, d: str) -> DataFrame:
     return windows.split_chunks(tables.sequences(spark, d))
 
 
+def _lengths(spark: SparkSession, d: str) -> DataFrame:
+    return fasta.lengths(tables.sequences(spark, d))
+
+
 def _fwd(df: DataFrame) -> DataFrame:
     return df.withColumns({"offset": F.lit(0), "rc": F.lit(False)})
 
@@ -163,16 +167,16 @@ def interval_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def gff3_interval_label(spark: SparkSession, d: str) -> DataFrame:
-    features = _features(spark, d)
+    features, types = intervals.parsed(_features(spark, d))
     kmers = windows.kmers(windows.passes(_chunks(spark, d), 9, sliding=False), 9)
-    found = intervals.label_kmers(kmers, features, intervals.type_dictionary(features), 9, key=["id", "chunk_id", "rc", "kmer_idx"], bin_size=256)
+    found = intervals.label_kmers(kmers, features, types, 9, key=["id", "chunk_id", "rc", "kmer_idx"], lengths=_lengths(spark, d))
     return found.withColumns({"type_idx": F.col("type_idx").cast("bigint"), "positions": F.concat_ws(",", F.col("positions").cast("array<string>"))})
 
 
 def _labelled(spark: SparkSession, d: str, merged: bool) -> DataFrame:
-    features = _features(spark, d)
+    features, types = intervals.parsed(_features(spark, d))
     df = windows.windows(_fwd(_chunks(spark, d)), 5, 3, full_only=True, with_coords=True)
-    df = intervals.label_windows(df, features, intervals.type_dictionary(features), 5, key=WINDOW_KEY, merged=merged, bin_size=256)
+    df = intervals.label_windows(df, features, types, 5, key=WINDOW_KEY, window_size=3, lengths=_lengths(spark, d), merged=merged)
     bits = F.transform("classifications", lambda kmer: F.array_join(F.transform(kmer, lambda base: F.array_join(base.cast("array<string>"), "")), ""))
     return df.select("id", "chunk_id", "window_idx", F.array_join(bits, "").alias("labels"))
 

@@ -137,3 +137,79 @@ def test_labelled_windows(spark):
     merged = generators.gff3_kmers(df, f, 3, 2, merged=True)[0].where("id = 's' AND offset = 0 AND NOT rc AND window_idx = 0").first()
     assert merged.classifications == [[[0, 0], [1, 0], [1, 0]], [[1, 0], [1, 0], [1, 0]]]
     assert found.select(F.size("kmers")).distinct().count() == 1
+
+
+def plain_labels(rows, landmark, start, end, shift=0):
+    """{type: bases} of one k-mer."""
+    out = {}
+    for _, where, kind, s, t in rows:
+        s, t = s - shift, t - shift
+        if where == landmark and s < end and t > start:
+            out.setdefault(kind, set()).update(range(max(s, start), min(t, end) + 1))
+    return out
+
+
+def mixed_features(seed, n_types, length=3000):
+    """Features of one base to the whole sequence and beyond, on two landmarks and on one without a sequence."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(120):
+        size = rng.choice((0, 1, 4, 30, 300, 2000, length, 10**12 if i % 40 == 0 else 7))
+        start = rng.randint(-50, length)
+        rows.append((i, rng.choice("stz"), f"k{rng.randrange(n_types):03d}", start, start + size))
+    return rows
+
+
+@pytest.mark.parametrize(("k", "n_types", "bin_size"), [(1, 3, None), (2, 3, 64), (7, 70, None), (21, 5, 256)])
+def test_labels_of_mixed_lengths(spark, k, n_types, bin_size):
+    """The key lacks the landmark: labels must not cross to the other one."""
+    rows = mixed_features(k, n_types)
+    f, types = intervals.parsed(features(spark, *rows))
+    idx = {r.feature_type_strand: r.idx for r in types.collect()}
+    rng = random.Random(k)
+    kmers = [(n, rng.choice("st"), n % 2 == 1, start, start + k - 1) for n, start in enumerate(rng.randint(0, 3000 - k) for _ in range(400))]
+    df = spark.createDataFrame(kmers, "n int, id string, rc boolean, start long, end long")
+    for options in ({}, {"one_based": True, "orient": True}):
+        shift, orient = int(options.get("one_based", False)), options.get("orient")
+        found = {(r.n, r.type_idx): r.positions for r in intervals.label_kmers(df, f, types, k, key=["n"], bin_size=bin_size, **options).collect()}
+        plain = {(n, idx[kind]): sorted(p - start if not (orient and rc) else end - p for p in at) for n, landmark, rc, start, end in kmers for kind, at in plain_labels(rows, landmark, start, end, shift).items()}
+        assert found == plain
+
+
+@pytest.mark.parametrize(("k", "window_size", "n_types"), [(1, 8, 2), (2, 3, 70), (5, 40, 4)])
+def test_window_labels_of_mixed_lengths(spark, k, window_size, n_types):
+    rng = random.Random(window_size)
+    texts = [(name, "".join(rng.choice("ACGT") for _ in range(n))) for name, n in (("s", 900), ("t", 400), ("u", 100))]
+    df = spark.createDataFrame(texts, "id string, seq string")
+    rows = mixed_features(window_size, n_types, 800)
+    f, types = intervals.parsed(features(spark, *rows))
+    kinds = [r.feature_type_strand for r in types.orderBy("idx").collect()]
+    cut = windows.windows(windows.passes(windows.split_chunks(df), k, sliding=False), k, window_size, with_coords=True)
+    for options in ({}, {"orient": True, "one_based": True, "window_size": window_size}):
+        found = intervals.label_windows(cut, f, types, k, key=[], **options).collect()
+        assert len(found) == cut.count()
+        for r in found:
+            for (start, end), labels in zip(r.coords, r.classifications, strict=True):
+                plain = plain_labels(rows, r.id, start, end, int("orient" in options))
+                bases = [[int(p in plain.get(kind, ())) for kind in kinds] for p in range(start, end + 1)]
+                assert labels == (bases[::-1] if r.rc and "orient" in options else bases)
+
+
+def test_labels_without_features_or_windows(spark):
+    df = windows.windows(windows.passes(windows.split_chunks(spark.createDataFrame([("s", "ACGTACGTAC")], "id string, seq string")), 2, sliding=False), 2, 2, full_only=True, with_coords=True)
+    f = features(spark, (1, None, "a", 0, 5), (2, "s", "a", 0, 1), (3, "s", None, 0, 9))
+    none, types = intervals.parsed(f.limit(0))
+    assert [r.classifications for r in intervals.label_windows(df, none, types, 2, key=[]).limit(1).collect()] == [[[[0], [0]]] * 2]
+    f, types = intervals.parsed(f)
+    assert types.count() == 1
+    assert intervals.label_windows(df.limit(0), f, types, 2, key=[]).isEmpty()
+    assert df.count() == intervals.label_windows(df, f, types, 2, key=[]).count() > 0
+
+
+def test_rows_of_long_features_grow_slowly(spark):
+    """A feature over all of a sequence becomes a few nodes of the tree, not a row for each bin."""
+    edges = spark.createDataFrame([(1, n) for n in (10, 1000, 100_000)], "a long, b long")
+    counts = [len(r[0]) for r in edges.orderBy("b").select(intervals._nodes(F.col("a"), F.col("b"))).collect()]
+    assert counts == sorted(counts) and counts[-1] <= 2 * 17
+    covered = edges.where("b = 1000").select(F.inline(intervals._nodes(F.col("a"), F.col("b")))).collect()
+    assert sorted(x for level, node in covered for x in range(node << level, (node + 1) << level)) == list(range(1, 1000))
