@@ -148,8 +148,7 @@ def nearest(
     ``sample`` distinct vectors at most, those of the least hash of their id, fit the trees; all are indexed. A query opens
     leaves until they hold ``share`` of all distinct vectors, counted over all trees (a vector counts once for each tree,
     however many rows have it), which sets recall against work: vectors without structure need most of the table,
-    clustered ones a small share. Of rows
-    that repeat an id one is a candidate. Null vectors, vectors of zero length and vectors with null or non-finite
+    clustered ones a small share. Of rows that repeat an id the one of the least vector is a candidate, and the query. Null vectors, vectors of zero length and vectors with null or non-finite
     components take no part, nor do null ids; vectors of another dimension than most of the sample's are left out too.
     Ties go to the smaller id. An empty table gives no rows; a query with fewer candidates than ``k`` gets all of them.
     Other columns are not read. The splits' number is bounded by ``sample`` and so is what a walk needs; with more rows
@@ -160,7 +159,7 @@ def nearest(
     def valid(df: DataFrame) -> DataFrame:
         rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), v.alias("vector")).where("id IS NOT NULL AND size(vector) > 0")
         finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-        return rows.where(finite).where(F.exists("vector", lambda x: x != 0)).dropDuplicates(["id"])
+        return rows.where(finite).where(F.exists("vector", lambda x: x != 0)).groupBy("id").agg(F.min("vector").alias("vector"))
 
     # of rows with one vector, the k + 1 of the least ids can be among a query's k best
     rank = F.row_number().over(Window.partitionBy("vector").orderBy("id"))

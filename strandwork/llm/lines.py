@@ -228,7 +228,9 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     own = F.col("__id").eqNullSafe(F.col("__first.__id")) & (F.col("__key") == F.col("__first.__key"))
     begin = F.when(own, F.greatest(from_of(F.col("__span")), to_of(F.col("__first.__span")))).otherwise(from_of(F.col("__span")))
-    spans = later.select("__id", "__key", begin.alias("__from"), to_of(F.col("__span")).alias("__to")).where("__from < __to")
+    spans = later.select("__id", "__key", F.struct(begin.alias("__from"), to_of(F.col("__span")).alias("__to")).alias("__it")).where("__it.__from < __it.__to")
+    # rows equal in id and text have the same spans: each is one before they meet, task by task
+    spans = spans.groupBy("__id", "__key").agg(F.collect_set("__it").alias("__all")).select("__id", "__key", F.inline("__all"))
     # a document's spans, which are bounded by its length, are merged in order
     order = Window.partitionBy("__id", "__key").orderBy("__from", "__to")
     reach = F.max("__to").over(order.rowsBetween(Window.unboundedPreceding, -1))

@@ -22,6 +22,8 @@ from strandwork.llm.ranking import running_total
 
 WEIGHTS = (5, 2, 1)
 BUCKETS = 1024
+#: Rows of a unit that are written out together.
+BLOCK = 4096
 ROUNDS = 3
 #: Weights by size: documents of fewer words than so many, the rest last. Fragments and very long texts are taken less.
 SIZE_WEIGHTS = ((16, 0.25), (64, 0.5), (2048, 1.0), (None, 0.5))
@@ -96,13 +98,14 @@ def plan(
     most: int = 2,
     seed: int = 1,
 ) -> DataFrame:
-    """For each distinct row of (id, source, text): ``doc_id``, ``source``, ``text_md5``, ``rows`` (how often it is
-    there), ``size`` (words), ``source_size``, ``target`` and ``copies`` (of each of its rows, 0 to ``most``).
+    """A row for each row of ``docs``: ``doc_id``, ``source``, ``text_md5``, ``nth`` (from 1, among the rows equal in id,
+    source and text), ``size`` (words), ``source_size``, ``target`` and ``copies`` (0 to ``most``).
 
     ``weight_col`` makes documents of a source more or less likely, in proportion, by powers of two; without it the
-    weights go by size (SIZE_WEIGHTS). Repeated rows share one decision. Null texts have no words; a null source is a
-    source of its own; a null id draws like an empty one; a null weight is 1. Texts of any length are counted whole.
-    Other columns are not read. An empty table gives no rows.
+    weights go by size (SIZE_WEIGHTS). Repeated rows are counted as one unit and taken one by one: each draws for itself, by id,
+    text and number, and so do rows without an id; the first row of an id draws by the id alone. Null texts have no words; a
+    null source is a source of its own; a null weight is 1. Texts of any length are counted whole. Other columns are not
+    read. An empty table gives no rows. Sources are sorted in one task, a row each: some millions at most.
     """
     text = F.col(f"`{text_col}`").cast("string")
     weight = _power(F.col(f"`{weight_col}`").cast("double")) if weight_col else size_weight(n_words(text))
@@ -122,16 +125,24 @@ def plan(
     sums = units.groupBy("source", "__w").agg(F.sum(words).alias("class_words")).withColumns(named)
     classes = sums.join(goal.withColumns(named).drop("source"), ["__null", "__name"])
     classes = saved(rates(classes.select("__null", "__name", "__w", "class_words", "source_no", "source_size", "target"), float(most)).drop("class_words"))
-    each = ["doc_id", "text_md5"]
-    t = spread_join(units.withColumns(named), classes, ["__null", "__name", "__w"], each).drop("__null", "__name", "__w")
-    t = t.withColumns({"copies": F.floor("__rate").cast("int"), "__p": F.col("__rate") - F.floor("__rate"), "__u": draw(seed, F.col("doc_id"))})
+    each = ["doc_id", "text_md5", "nth"]
+    # a unit of many rows becomes blocks of rows, which the join deals out, and then rows
+    blocks = units.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(rows - 1) div {BLOCK}"))))
+    t = spread_join(blocks.withColumns(named), classes, ["__null", "__name", "__w"], ["doc_id", "text_md5", "__block"]).drop("__null", "__name", "__w")
+    in_block = F.least(F.lit(BLOCK).cast("bigint"), F.col("rows") - F.col("__block") * BLOCK)
+    t = t.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("bigint"), in_block)))
+    t = t.withColumn("nth", F.col("nth") + F.col("__block") * BLOCK).drop("rows", "__block")
+    alone = F.col("doc_id").isNotNull() & (F.col("nth") == 1)
+    key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.when(alone, "").otherwise(F.concat_ws("|", F.lit(""), F.coalesce("text_md5", F.lit("")), F.col("nth").cast("string"))))
+    t = t.withColumns({"copies": F.floor("__rate").cast("int"), "__p": F.col("__rate") - F.floor("__rate"), "__u": draw(seed, key)})
+    words = F.col("size")
     odds = F.col("__u") / (1 - F.col("__u")) / (F.col("__p") / (1 - F.col("__p")))
     # without a fraction there are no odds: such rows come last, by their draw
     t = t.withColumn("__rank", F.when(F.col("__p") > 0, odds / (1 + odds)).otherwise(1 + F.col("__u")))
     t = t.withColumns({"__bucket": F.least(F.floor(F.col("__rank") * BUCKETS), F.lit(2 * BUCKETS - 1)).cast("int"), "__words": words})
     sure = t.groupBy("source_no").agg(F.sum(F.col("copies") * F.col("__words")).alias("__sure"))
     t = saved(spread_join(t, sure, ["source_no"], each).withColumn("__left", F.col("target") - F.col("__sure")).drop("__sure"))
-    order = [F.col(c).asc_nulls_first() for c in ("__rank", "doc_id", "text_md5", "size")]
+    order = [F.col(c).asc_nulls_first() for c in ("__rank", "doc_id", "text_md5", "size", "nth")]
     for _ in range(ROUNDS):
         t = t.withColumn("__fits", (F.col("copies") < F.least(F.floor("__rate") + 1, F.lit(most))) & (F.col("__words") <= F.col("__left")))
         t = t.withColumn("__offer", F.when(F.col("__fits"), F.col("__words")).otherwise(F.lit(0)))
@@ -140,14 +151,29 @@ def plan(
         t = saved(t.withColumns({"copies": F.col("copies") + taken.cast("int"), "__got": F.when(taken, F.col("__offer")).otherwise(F.lit(0))}))
         got = t.groupBy("source_no").agg(F.sum("__got").alias("__new"))
         t = spread_join(t, got, ["source_no"], each).withColumn("__left", F.col("__left") - F.col("__new")).drop("__new", "__got", "__total", "__offer", "__fits")
-    return t.select("doc_id", "source", "text_md5", "size", "rows", "source_size", "target", "copies")
+    return t.select("doc_id", "source", "text_md5", "nth", "size", "source_size", "target", "copies")
 
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The rows of ``docs`` that the mix takes, each as often as it has copies, with all their columns (of any name)."""
-    chosen = plan(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options).where("copies > 0").select("doc_id", "source", "text_md5", "copies")
+    """The rows of ``docs`` that the mix takes, each as often as it has copies, with all their columns (of any name).
+
+    Rows equal in id, source and text share their copies as evenly as their number allows: of rows that differ elsewhere those
+    of the least hash get one more. Rows equal in all columns are counted first, so no task gets them one by one.
+    """
+    units = plan(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
+    chosen = units.groupBy("doc_id", "source", "text_md5").agg(F.count(F.lit(1)).alias("rows"), F.sum("copies").alias("copies")).where("copies > 0")
     held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("held"))
     key = F.md5(F.encode(F.col("held")[text_col].cast("string"), "UTF-8"))
     same = F.col("held")[id_col].eqNullSafe(F.col("doc_id")) & F.col("held")[source_col].cast("string").eqNullSafe(F.col("source")) & key.eqNullSafe(F.col("text_md5"))
-    joined = held.join(chosen, same).select("held", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
-    return joined.select(*(F.col("held")[c].alias(c) for c in docs.columns))
+    joined = held.join(chosen, same)
+    one = joined.where("rows = 1").select("held", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    many = joined.where("rows > 1").groupBy("held", "rows", "copies").agg(F.count(F.lit(1)).alias("n"))
+    unit = F.xxhash64(F.col("held")[id_col], F.col("held")[source_col].cast("string"), F.md5(F.encode(F.col("held")[text_col].cast("string"), "UTF-8")))
+    many = many.withColumns({"unit": unit, "h": F.xxhash64("held")}).withColumn("bucket", F.shiftright("h", 54))
+    placed = running_total(many, "unit", "bucket", [F.col("h"), F.xxhash64(F.lit(1), "held")], "n", "upto")
+    whole, more = F.expr("copies div rows"), F.col("copies") % F.col("rows")
+    extra = F.greatest(F.least(F.col("upto"), more) - (F.col("upto") - F.col("n")), F.lit(0))
+    placed = placed.withColumn("times", F.col("n") * whole + extra).where("times > 0")
+    blocks = placed.select("held", "times", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(times - 1) div {BLOCK}"))).alias("block")).repartition(F.xxhash64("held"), F.col("block"))
+    repeated = blocks.select("held", F.explode(F.sequence(F.lit(1), F.least(F.lit(BLOCK), F.col("times") - F.col("block") * BLOCK).cast("int"))).alias("copy"))
+    return one.union(repeated).select(*(F.col("held")[c].alias(c) for c in docs.columns))

@@ -35,6 +35,8 @@ from strandwork.llm.common import saved
 
 ID_BYTES = 4
 CACHED_WORDS = 600_000
+#: The table of windows by task and size is broadcast up to so many rows.
+MAX_BROADCAST_ROWS = 200_000
 
 #: White space that is rare enough to send a text to the tokenizer whole (fixed values: Unicode's beyond ASCII's six).
 _RARE_SPACE = "\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -269,8 +271,9 @@ def pack(
     packed = saved(rows.mapInArrow(run, spec).withColumn("task", F.shiftright("sequence_id", 33)))
     made = packed.where("offset = 0").groupBy("task", "sequence_tokens").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("sequence_tokens").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    made = made.select("task", "sequence_tokens", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    made = saved(made.select("task", "sequence_tokens", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")))
     group = F.expr(f"(before + nth) * sequence_tokens div {step_tokens}").bitwiseOR(F.call_function("shiftleft", F.col("sequence_tokens"), F.lit(40)))
-    # tasks by sizes, and the driver knows each task anyway: to deal the windows out instead would move all tokens
-    numbered = packed.join(F.broadcast(made), ["task", "sequence_tokens"]).withColumn("step_group", group)
+    # a row for each task and size: broadcast, tokens stay where they are; beyond the bound, windows are dealt by both
+    few = F.broadcast(made) if made.count() <= MAX_BROADCAST_ROWS else made
+    numbered = packed.join(few, ["task", "sequence_tokens"]).withColumn("step_group", group)
     return numbered.select(*(n for n, _ in fields if n != "nth"), "step_group")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from strandwork.llm.common import free_name, saved
+from strandwork.llm.common import free_name, saved, spread_join
 
 #: So many words of a language, its most frequent ones, are its common words.
 COMMON = 40
@@ -32,6 +32,8 @@ LOWER, UPPER, DIGIT, SPACE, STOP, MARK, SYMBOL, OTHER, WIDE, TAIL = range(10)
 CLASSES = 10
 CHUNK = 1 << 21
 KNOWN_WORDS, KNOWN_LANGUAGES = 1_000_000, 1000
+#: References are broadcast up to so many languages.
+MAX_BROADCAST_LANGUAGES = 1000
 #: Counts of forms by language that a task holds before it hands them on.
 MOST_COUNTS = 16_000_000
 _BLANK = b" \t\n\v\f\r"
@@ -291,10 +293,16 @@ def judge(
     kinds = ["long"] * len(COUNTS) + ["boolean", "double", "double", "boolean"]
     largest = refs.orderBy(F.desc("docs"), F.col("lang").asc_nulls_first()).limit(blend_with).collect()
     shared = docs.sparkSession.sparkContext.broadcast([(r["lang"], r["chars"], r["words"], list(r["common"]), r["counts"]) for r in largest])
-    own = refs.select(F.col("lang").alias("__lang"), F.struct("chars", "words", "common", "counts").alias("__reference"))
-    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("__row"), F.col(f"`{lang_col}`").cast("string").alias("__own"))
-    joined = held.join(own, F.col("__own").eqNullSafe(F.col("__lang")), "left")
-    joined = joined.select(*(F.col("__row")[c].alias(c) for c in columns), F.col("__own"), F.col("__reference"))
+    named = {"no_lang": F.col("lang").isNull(), "name": F.coalesce("lang", F.lit(""))}
+    own = refs.withColumns(named).select("no_lang", "name", F.struct("chars", "words", "common", "counts").alias("reference"))
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), F.col(f"`{lang_col}`").cast("string").alias("lang")).withColumns(named)
+    # texts stay where they are while references are few; else a language's rows are dealt by a salt too
+    if refs.count() <= MAX_BROADCAST_LANGUAGES:
+        joined = held.join(F.broadcast(own), ["no_lang", "name"], "left")
+    else:
+        joined = spread_join(held, own, ["no_lang", "name"], ["row"], "left")
+    lang_name, reference = free_name(docs, "lang_of_row"), free_name(docs, "reference_of_row")
+    joined = joined.select(*(F.col("row")[c].alias(c) for c in columns), F.col("lang").alias(lang_name), F.col("reference").alias(reference))
     text_at, n = columns.index(text_col), len(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -65,8 +65,7 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = mixing.plan(read_table(spark, sf_dir, "documents"))
-    each = units.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
-    return each.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+    return units.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
 def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +121,7 @@ def _round_sql(n: int) -> str:
     """One round of the mix: words still missing go to documents that fit, in rank order."""
     return f"""
 f{n} AS (SELECT *, copies < least(floor(rate) + 1, 2) AND words <= missing AS fits FROM r{n - 1}),
-o{n} AS (SELECT *, sum(CASE WHEN fits THEN words ELSE 0 END) OVER (PARTITION BY no ORDER BY place, doc_id NULLS FIRST, h NULLS FIRST, size
+o{n} AS (SELECT *, sum(CASE WHEN fits THEN words ELSE 0 END) OVER (PARTITION BY no ORDER BY place, doc_id NULLS FIRST, h NULLS FIRST, size, nth
   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS total FROM f{n}),
 g{n} AS (SELECT *, fits AND total <= missing AS got FROM o{n}),
 r{n} AS (SELECT * EXCLUDE (copies, missing, fits, total, got), copies + got::INT AS copies,
@@ -138,19 +137,19 @@ q AS (SELECT *, [5.0, 2.0, 1.0][(no - 1) % 3 + 1]::DOUBLE AS weight FROM m),
 l AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(most) OVER (ORDER BY most / weight, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
   / sum(weight) OVER (ORDER BY most / weight, no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM q),
 t AS (SELECT source, source_size, no, least(most, weight * max(level) OVER ()) AS target FROM l),
-v AS (SELECT u.*, t.source_size, t.no, t.target, CASE WHEN size < 16 THEN 0.25 WHEN size < 64 THEN 0.5 WHEN size < 2048 THEN 1.0 ELSE 0.5 END::DOUBLE AS weight
+v AS (SELECT u.doc_id, u.source, u.h, u.size, u.size AS words, unnest(range(1, u.n + 1)) AS nth, t.source_size, t.no, t.target, CASE WHEN size < 16 THEN 0.25 WHEN size < 64 THEN 0.5 WHEN size < 2048 THEN 1.0 ELSE 0.5 END::DOUBLE AS weight
   FROM u JOIN t ON u.source IS NOT DISTINCT FROM t.source),
 c AS (SELECT no, target, weight, sum(words)::DOUBLE AS class_words FROM v GROUP BY ALL),
 e AS (SELECT no, (target - coalesce(sum(class_words * 2.0::DOUBLE) OVER (PARTITION BY no ORDER BY weight DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
   / nullif(sum(class_words * weight) OVER (PARTITION BY no ORDER BY weight DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS level FROM c),
 a AS (SELECT no, max(level) AS level FROM e GROUP BY no),
 d AS (SELECT v.*, coalesce(least(weight * level, 2.0::DOUBLE), 0) AS rate,
-  (('0x' || substr(md5('1:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS x FROM v JOIN a USING (no)),
+  (('0x' || substr(md5('1:' || coalesce(doc_id::VARCHAR, '') || CASE WHEN nth = 1 AND doc_id IS NOT NULL THEN '' ELSE '|' || coalesce(h, '') || '|' || nth END), 1, 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS x FROM v JOIN a USING (no)),
 p AS (SELECT *, floor(rate)::INT AS copies, rate - floor(rate) AS p FROM d),
 k AS (SELECT *, CASE WHEN p > 0 THEN x / (1 - x) / (p / (1 - p)) END AS odds FROM p),
 r0 AS (SELECT *, CASE WHEN p > 0 THEN odds / (1 + odds) ELSE 1 + x END AS place, target - sum(copies * words) OVER (PARTITION BY no) AS missing FROM k),
 {_round_sql(1)},{_round_sql(2)},{_round_sql(3)}
-SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken FROM (SELECT *, unnest(range(n)) AS nth FROM r3)
+SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken FROM r3
 """
 
 #: Every pair that shares a shingle, then the least id by recursion over the links.
