@@ -18,7 +18,7 @@ RUN = "N{3,}"
 BLOCK = 256
 
 
-def _starts(sizes: str) -> Column:
+def starts_of(sizes: str) -> Column:
     """The sums of all earlier elements of an array, by blocks: appending to one array would copy it each time."""
     zero = F.lit(0).cast("bigint")
     blocks = F.sequence(F.lit(0), F.expr(f"greatest(size({sizes}) - 1, 0) div {BLOCK}").cast("int"))
@@ -44,7 +44,7 @@ def split_chunks(sequences: DataFrame, *, seq_col: str = "seq", keep_case: bool
     df = apart(df, "__bodies", F.split("__seq", RUN, -1))
     runs = F.transform(F.regexp_extract_all("__seq", F.lit(RUN), 0), F.length)
     df = apart(df, "__sizes", F.zip_with(F.transform("__bodies", F.length), runs, lambda b, r: (b + F.coalesce(r, F.lit(0))).cast("bigint")))
-    df = apart(df, "__starts", _starts("__sizes"))
+    df = apart(df, "__starts", starts_of("__sizes"))
     each = df.select(*sequences.columns, F.inline(F.arrays_zip(F.col("__bodies").alias("__body"), F.col("__starts").alias("__start"), F.sequence(F.lit(0), F.size("__bodies") - 1).alias("__i"))))
     later = F.col("__i") > 0
     return each.where("__body != ''").select(

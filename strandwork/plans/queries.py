@@ -5,15 +5,18 @@ Arrays are flattened to text, so that both engines compare by value. Each query
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandwork.functions import columns as C
 from strandwork.functions.draws import draw, uniform
-from strandwork.operators import intervals, masking, pairs, stats, taxonomy, windows
+from strandwork.operators import intervals, masking, pairs, stats, taxonomy, tiles, windows
 from strandwork.plans import generators
 from strandwork.plans.generators import WINDOW_KEY, encoded
-from strandwork.sources import fasta, gff3, tables
+from strandwork.shared import shared_dir
+from strandwork.sources import fasta, gff3, store, tables
 
 # ---------------------------------------------------------------- SQL pieces
 
@@ -258,6 +261,30 @@ def lookup_by_index(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("seq_idx").cast("bigint").alias("seq_idx"), "id", F.substring("seq", 11, 50).alias("part"))
 
 
+def fasta_tiles(spark: SparkSession, d: str) -> DataFrame:
+    """The sequences written as FASTA and read line by line as tiles."""
+    path = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    store.write_fasta(tables.sequences(spark, d), path)
+    return store.read_tiles(spark, path, tile=512).select("id", "tile", "seq")
+
+
+def tiled_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Windows of both strands from tiles, where no row holds a sequence."""
+    cut = store.tiles_of(tables.sequences(spark, d), tile=4096)
+    df = windows.windows(tiles.passes(cut, 6, 4, tile=4096, sliding=False), 6, 4, full_only=True, with_coords=True)
+    return df.select("id", "chunk_id", "chunk_offset", "rc", "window_idx", F.concat_ws(",", "kmers").alias("kmers"), F.col("coords")[0]["start"].alias("first_start"))
+
+
+def store_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """Ranges of a tiled store's sequences, by numbers and places that a table of keys names."""
+    path = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    store.write_store(store.tiles_of(tables.sequences(spark, d), tile=512), path, tile=512)
+    item = spark.read.parquet(f"{d}/lineitem.parquet")
+    low = F.pmod(F.col("l_partkey") * 37, F.lit(1500))
+    wanted = item.select((F.col("l_orderkey") % 1000).alias("seq_idx"), low.alias("low"), (low + 60 + F.col("l_suppkey")).alias("high"))
+    return store.ranges_by_index(spark, path, wanted)
+
+
 def taxon_counts(spark: SparkSession, d: str) -> DataFrame:
     acc, nodes, names = tables.taxonomy(spark, d)
     sized = tables.sequences(spark, d).select("id", F.length("seq").alias("seq_len"))
@@ -419,7 +446,7 @@ QUERIES = {
         n_split_chunks, kmers_both_strands, kmer_windows, coords_windows, sliding_passes, rc_window, onehot_encode, encoded_windows, sequence_to_array, pad_and_mask,
         kmer_counts, kmer_summary, kmer_min_count, gff3_features, gff3_type_dictionary, merged_intervals, interval_coverage, gff3_interval_label, gff3_window_labels,
         gff3_window_labels_merged, masked_random, masked_blank, masked_random_order, discriminator_batches, sequence_order, matched_pairs, triple_loss, random_subwindows, subwindows_by_id, valid_sequences,
-        lookup_by_index, taxon_counts, taxon_members, random_order, point_lookup, sequence_index,
+        lookup_by_index, fasta_tiles, tiled_windows, store_ranges, taxon_counts, taxon_members, random_order, point_lookup, sequence_index,
     )
 }
 
@@ -466,6 +493,12 @@ SELECT {WKEY}, CASE WHEN "order" THEN b ELSE a END AS kmers1, CASE WHEN "order"
     "subwindows_by_id": f"WITH named AS (SELECT DISTINCT l_suppkey::VARCHAR AS id FROM lineitem), found AS (WITH {_SUB}) SELECT * FROM found WHERE id IN (SELECT id FROM named)",
     "valid_sequences": f"WITH {_numbered_sql(147)} SELECT id, seq_len, seq_idx FROM pool",
     "lookup_by_index": f"WITH {_numbered_sql(147)} SELECT seq_idx, id, substr(seq, 11, 50) AS part FROM pool WHERE seq_idx IN (SELECT l_suppkey FROM lineitem)",
+    "fasta_tiles": f"""WITH {SEQS}, t AS (SELECT id, seq, unnest(range(greatest((length(seq) + 511) // 512, 1))) AS tile FROM seqs WHERE seq IS NOT NULL)
+SELECT id, tile, substr(seq, tile::INT * 512 + 1, 512) AS seq FROM t""",
+    "tiled_windows": f"""WITH {windows_sql(6, 4, "[0]", BOTH, True)} SELECT id, chunk_id, chunk_offset, rc, window_idx, array_to_string(kmers, ',') AS kmers, {start_sql(6, "window_idx * 4")} AS first_start FROM wins""",
+    "store_ranges": f"""WITH {SEQS}, pool AS (SELECT id, seq, row_number() OVER (ORDER BY {draw_sql(0, "bucket", "id")} % 1024, id) - 1 AS seq_idx FROM seqs WHERE seq IS NOT NULL),
+wanted AS (SELECT DISTINCT l_orderkey % 1000 AS seq_idx, (l_partkey * 37) % 1500 AS low, (l_partkey * 37) % 1500 + 60 + l_suppkey AS high FROM lineitem)
+SELECT seq_idx, id, low, high, substr(seq, low::INT + 1, (high - low)::INT) AS bases FROM wanted JOIN pool USING (seq_idx) WHERE length(seq) > low""",
     "taxon_counts": f"WITH {_TAX} SELECT 100 + r_regionkey AS id, r_name AS name, count(branch) AS seq_count, coalesce(sum(seq_len), 0)::BIGINT AS seq_length FROM region LEFT JOIN region_of ON branch = 100 + r_regionkey AND seq_len >= 100 GROUP BY 1, 2",
     "taxon_members": f"WITH {_TAX} SELECT branch, id FROM region_of",
     "random_order": f"WITH {SEQS} SELECT id, {draw_sql(7, 'order', 'id')} AS draw, length(seq) AS seq_len FROM seqs",

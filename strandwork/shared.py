@@ -16,6 +16,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
+        found = qualified(spark, found)
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(found)
         return found.rstrip("/")
@@ -27,6 +28,15 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme that Spark would resolve it with: that of the default file system, if it names none."""
+    if "://" in path:
+        return path
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    full = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(folder).toString()
+    return full if "://" in full else full.replace(":/", ":///", 1)
+
+
 def saved(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder, so that a lost executor costs a read and not a recomputation."""
     spark = df.sparkSession
@@ -46,11 +56,12 @@ def release(*tables: DataFrame) -> None:
 
 
 def clean(spark: SparkSession) -> None:
-    """Removes what ``saved`` has written to the shared folder; for the end of a job, when no result is read any more."""
+    """Removes what this library has written to the shared folder (saved tables, archives, stages of the pipeline, stores of
+    sequences); for the end of a job, when no result is read any more."""
     jvm = spark.sparkContext._jvm
     folder = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
     store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for found in store.globStatus(jvm.org.apache.hadoop.fs.Path(folder, "saved-*")) or ():
+    for found in store.globStatus(jvm.org.apache.hadoop.fs.Path(folder, "{saved,warc,pipeline,store}-*")) or ():
         store.delete(found.getPath(), True)
 
 
