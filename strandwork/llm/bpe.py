@@ -28,10 +28,10 @@ from strandwork.llm.common import free_name
 #: Bits of a bitmap's word, and levels of words: 64^3 ranks.
 BITS, LEVELS = 6, 3
 #: Pre-tokens of so many characters at most are remembered, so many of them at a time.
-MEMORY_CHARS, MEMORY = 64, 1 << 17
+MEMORY_CHARS, MEMORY = 64, 1 << 18
 #: Characters of texts (or of a part of a long one, cut between pre-tokens) that are learnt together, and of pre-tokens that
 #: are merged together; output batches are closed at so many bytes.
-PART, MERGED, BATCH = 1 << 22, 1 << 21, 1 << 22
+PART, MERGED, BATCH = 6 << 20, 1 << 21, 1 << 22
 
 
 class RankQueue:
@@ -116,7 +116,7 @@ class Vocabulary:
     def _merge(self, pieces: list[bytes], single_steps: bool) -> list[bytes]:
         sizes = np.array([len(p) for p in pieces], np.int64)
         ends = np.cumsum(sizes)
-        n, queue = int(ends[-1]), self.queue
+        n, queue, buckets = int(ends[-1]), self.queue, self.queue.buckets
         ids = np.empty(n + 1, np.int32)
         ids[:n], ids[n] = self.single[np.frombuffer(b"".join(pieces), np.uint8)], -1
         after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
@@ -157,11 +157,15 @@ class Vocabulary:
             changed = np.concatenate([here, leading[leading < n]])
             ranks = self._rank(ids[changed], ids[after[changed]])
             held[changed] = ranks
-            for r, p in zip(ranks.tolist(), changed.tolist(), strict=True):
-                if r >= 0:
+            known = ranks >= 0
+            for r, p in zip(ranks[known].tolist(), changed[known].tolist(), strict=True):
+                bucket = buckets.get(r)
+                if bucket is None:
                     queue.push(r, [p])
-                    if r < rank and not single_steps:
-                        odd.add(int(np.searchsorted(ends, p, "right")))
+                else:
+                    bucket.append(p)
+                if r < rank and not single_steps:
+                    odd.add(int(np.searchsorted(ends, p, "right")))
         left = ~gone[:n]
         data, stops = ids[:n][left].tobytes(), 4 * np.cumsum(left)[ends - 1]
         out = [data[lo:hi] for lo, hi in zip([0, *stops[:-1].tolist()], stops.tolist(), strict=True)]
@@ -169,27 +173,29 @@ class Vocabulary:
             out[i] = self._merge([pieces[i]], True)[0]
         return out
 
-    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
-        """The ids of all ``pieces``: whole tokens, then what is remembered, then merges, so many bytes at a time."""
-        known = {p: self.memory[p] for p in pieces if p in self.memory}
+    def _learn(self, pieces: set[str]) -> None:
+        """Puts the ids of all ``pieces`` into the memory: whole tokens, then merges, so many bytes at a time."""
         todo: list[str] = []
         size = 0
-        for piece in pieces - known.keys():
+        for piece in pieces - self.memory.keys():
             rank = self.ranks.get(piece.encode())
             if rank is not None:
-                known[piece] = rank.to_bytes(4, sys.byteorder)
+                self.memory[piece] = rank.to_bytes(4, sys.byteorder)
                 continue
             todo.append(piece)
             size += len(piece)
             if size >= MERGED:
-                known.update(zip(todo, self.merge([p.encode() for p in todo]), strict=True))
+                self.memory.update(zip(todo, self.merge([p.encode() for p in todo]), strict=True))
                 todo, size = [], 0
         if todo:
-            known.update(zip(todo, self.merge([p.encode() for p in todo]), strict=True))
-        if len(self.memory) + len(known) > MEMORY:
-            self.memory.clear()
-        self.memory.update((p, ids) for p, ids in known.items() if len(p) <= MEMORY_CHARS)
-        return known
+            self.memory.update(zip(todo, self.merge([p.encode() for p in todo]), strict=True))
+
+    def _forget(self, pieces: set[str]) -> None:
+        """Bounds the memory: beyond it only the last pieces stay, and long ones never do."""
+        if len(self.memory) > MEMORY:
+            self.memory = {p: self.memory[p] for p in pieces} if len(pieces) <= MEMORY else {}
+        for piece in [p for p in pieces if len(p) > MEMORY_CHARS]:
+            self.memory.pop(piece, None)
 
     def parts(self, text: str) -> Iterator[str]:
         """``text`` in parts that no pre-token spans: white space behind something else always opens a pre-token."""
@@ -205,9 +211,11 @@ class Vocabulary:
         size, begun = 0, b""
 
         def given() -> Iterator[bytes]:
-            known = self._learn(set().union(*group))
+            some = set().union(*group)
+            self._learn(some)
             for pieces in group:
-                yield b"".join(map(known.__getitem__, pieces))
+                yield b"".join(map(self.memory.__getitem__, pieces))
+            self._forget(some)
 
         for text in texts:
             if len(text) <= PART:
@@ -221,7 +229,10 @@ class Vocabulary:
             group, size = [], 0
             for part in self.parts(text):
                 pieces = self.cut.findall(part)
-                begun += b"".join(map(self._learn(set(pieces)).__getitem__, pieces))
+                some = set(pieces)
+                self._learn(some)
+                begun += b"".join(map(self.memory.__getitem__, pieces))
+                self._forget(some)
             yield begun
             begun = b""
         yield from given()
@@ -289,7 +300,8 @@ def decode(df: DataFrame, vocabulary: Callable[[], tuple[str, str]], *, ids_col:
 
     def make(rows: pa.Array) -> Iterator[bytes]:
         known = _vocabulary(*vocabulary())
-        return (known.decode(ids.values.to_pylist() if ids.is_valid else []) for ids in rows)
+        values, ends, there = rows.values.to_numpy(), rows.offsets.to_pylist(), rows.is_valid().to_pylist()
+        return (known.decode(values[lo:hi].tolist() if valid else []) for lo, hi, valid in zip(ends, ends[1:], there, strict=False))
 
     return _mapped(df, ids_col, "decoded", "binary", make, pa.binary())
 
