@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandwork.functions import columns as C
+from strandwork.functions import permute
 from strandwork.functions.draws import draw, uniform
-from strandwork.operators import intervals, masking, pairs, stats, taxonomy, tiles, windows
+from strandwork.operators import intervals, masking, packed, pairs, stats, taxonomy, tiles, windows
 from strandwork.plans import generators
 from strandwork.plans.generators import WINDOW_KEY, encoded
 from strandwork.shared import shared_dir
@@ -148,6 +149,28 @@ def kmer_min_count(spark: SparkSession, d: str) -> DataFrame:
     return stats.retained(stats.kmer_counts(_chunks(spark, d), 7), [2, 10, 50])
 
 
+def kmer_counts_packed(spark: SparkSession, d: str) -> DataFrame:
+    """Long k-mers, counted as numbers and dealt as runs with one minimizer."""
+    return packed.both_strands(packed.packed_counts(_chunks(spark, d), 13), 13)
+
+
+def kmer_counts_short(spark: SparkSession, d: str) -> DataFrame:
+    return packed.both_strands(packed.packed_counts(_chunks(spark, d), 7), 7)
+
+
+def kmer_vocabulary(spark: SparkSession, d: str) -> DataFrame:
+    """The k-mers of a least count, most others left out by a sketch before they are dealt."""
+    return packed.both_strands(packed.retained(_chunks(spark, d), 13, 5), 13)
+
+
+def permuted_epochs(spark: SparkSession, d: str) -> DataFrame:
+    """Every sequence's place in the orders of three epochs, which need no sort."""
+    numbered = store.number(fasta.lengths(tables.sequences(spark, d)).withColumn("record", F.col("id")))
+    n = numbered.count()
+    each = numbered.select("id", F.col("seq_idx").cast("bigint").alias("seq_idx"), F.explode(F.array(*(F.lit(e) for e in range(3)))).alias("epoch"))
+    return each.withColumn("position", permute.position_of(F.col("seq_idx"), n, 42, F.col("epoch")))
+
+
 def gff3_features(spark: SparkSession, d: str) -> DataFrame:
     return gff3.parse_lines(tables.gff3_lines(spark, d))
 
@@ -296,6 +319,13 @@ def taxon_members(spark: SparkSession, d: str) -> DataFrame:
     return taxonomy.members(tables.sequences(spark, d).select("id"), acc, nodes, 1)
 
 
+def clade_sums(spark: SparkSession, d: str) -> DataFrame:
+    """Sequences and bases of every taxon of every rank, with all below it."""
+    acc, nodes, _ = tables.taxonomy(spark, d)
+    found = taxonomy.clade_sums(fasta.lengths(tables.sequences(spark, d)), acc, nodes, min_length=100)
+    return found.select("taxon_id", "parent_id", "rank", (F.col("leave") - F.col("enter") + 1).alias("clade_size"), "seq_count", "seq_length")
+
+
 def random_order(spark: SparkSession, d: str) -> DataFrame:
     return fasta.random_order(tables.sequences(spark, d), 7).select("id", "draw", F.length("seq").alias("seq_len"))
 
@@ -332,12 +362,35 @@ opened AS (SELECT *, max("end") OVER (PARTITION BY landmark ORDER BY "start", "e
 islands AS (SELECT *, sum(CASE WHEN reach IS NULL OR "start" > reach THEN 1 ELSE 0 END) OVER (PARTITION BY landmark ORDER BY "start", "end", line_no) AS island FROM opened),
 merged AS (SELECT landmark, min("start") AS "start", max("end") AS "end", count(*) AS n_features,
   first(feature_type_strand ORDER BY "start", "end", line_no, feature_type_strand) AS feature_type_strand FROM islands GROUP BY landmark, island)"""
-_COUNTS = f"""{CHUNKS},
-each AS (SELECT substr(chunk, p::INT + 1, 7) AS kmer FROM (SELECT chunk, unnest(range(length(chunk) - 6)) AS p FROM chunks WHERE length(chunk) >= 7)),
+
+
+def _counts_sql(k: int) -> str:
+    return f"""{CHUNKS},
+each AS (SELECT substr(chunk, p::INT + 1, {k}) AS kmer FROM (SELECT chunk, unnest(range(length(chunk) - {k - 1})) AS p FROM chunks WHERE length(chunk) >= {k})),
 one AS (SELECT kmer, count(*) AS n FROM each GROUP BY 1),
 counts AS (SELECT kmer, sum(n)::BIGINT AS n FROM (SELECT kmer, n FROM one UNION ALL SELECT {rc_sql("kmer")}, n FROM one) GROUP BY 1)"""
 
 
+_COUNTS = _counts_sql(7)
+
+
+def _permute_sql(x: str) -> str:
+    """One pass of the rounds over a number, with bases a and b and an epoch."""
+
+    def drawn(r: int, of: str) -> str:
+        return draw_sql(42, "permute", "epoch", str(r), of)
+
+    return f"""({x}) % b AS l0, (({x}) // b + {drawn(0, "l0")} % a) % a AS h1, (l0 + {drawn(1, "h1")} % b) % b AS l1, (h1 + {drawn(2, "l1")} % a) % a AS h2, (l1 + {drawn(3, "h2")} % b) % b AS l2, h2 * b + l2 AS y"""
+
+
+_PERMUTED = f"""WITH RECURSIVE {SEQS}, pool AS (SELECT id, row_number() OVER (ORDER BY {draw_sql(0, "bucket", "id")} % 1024, id) - 1 AS seq_idx FROM seqs),
+size AS (SELECT count(*) AS n, ceil(sqrt(count(*)))::BIGINT AS a, ceil(count(*) / ceil(sqrt(count(*))))::BIGINT AS b FROM pool),
+e AS (SELECT id, seq_idx, unnest(range(3))::INT AS epoch, n, a, b FROM pool, size),
+walk AS (SELECT id, seq_idx, epoch, n, a, b, y FROM (SELECT *, {_permute_sql("seq_idx")} FROM e)
+  UNION ALL SELECT id, seq_idx, epoch, n, a, b, z FROM (SELECT * EXCLUDE (y), y AS z0, {_permute_sql("y").replace(" AS y", " AS z")} FROM walk WHERE y >= n))
+SELECT id, seq_idx, epoch, y AS position FROM walk WHERE y < n"""
+
+
 def _digest_sql(seed: int, part: int, *keys: str) -> str:
     parts = ", ".join(f"coalesce(({x})::VARCHAR, '')" for x in keys)
     return f"md5(concat_ws('|', '{seed}', 'mask', {parts}, '{part}'))"
@@ -444,9 +497,9 @@ QUERIES = {
     f.__name__: f
     for f in (
         n_split_chunks, kmers_both_strands, kmer_windows, coords_windows, sliding_passes, rc_window, onehot_encode, encoded_windows, sequence_to_array, pad_and_mask,
-        kmer_counts, kmer_summary, kmer_min_count, gff3_features, gff3_type_dictionary, merged_intervals, interval_coverage, gff3_interval_label, gff3_window_labels,
+        kmer_counts, kmer_summary, kmer_min_count, kmer_counts_packed, kmer_counts_short, kmer_vocabulary, permuted_epochs, gff3_features, gff3_type_dictionary, merged_intervals, interval_coverage, gff3_interval_label, gff3_window_labels,
         gff3_window_labels_merged, masked_random, masked_blank, masked_random_order, discriminator_batches, sequence_order, matched_pairs, triple_loss, random_subwindows, subwindows_by_id, valid_sequences,
-        lookup_by_index, fasta_tiles, tiled_windows, store_ranges, taxon_counts, taxon_members, random_order, point_lookup, sequence_index,
+        lookup_by_index, fasta_tiles, tiled_windows, store_ranges, taxon_counts, taxon_members, clade_sums, random_order, point_lookup, sequence_index,
     )
 }
 
@@ -470,6 +523,10 @@ rpad(array_to_string([{one_hot_sql("x", 5)} for x in kmers], ''), 100, '0') AS b
     "kmer_summary": f"WITH {_COUNTS} SELECT sum(n)::BIGINT AS total, count(*) AS distinct_kmers, sum(n) / count(*) AS average FROM counts",
     "kmer_min_count": f"""WITH {_COUNTS}, m AS (SELECT unnest([2, 10, 50])::INT AS min_count)
 SELECT min_count, count_if(n >= min_count) AS kept, count(*) AS distinct_kmers, count_if(n >= min_count) / count(*) AS share FROM counts, m GROUP BY min_count""",
+    "kmer_counts_packed": f"WITH {_counts_sql(13)} SELECT kmer, n FROM counts",
+    "kmer_counts_short": f"WITH {_COUNTS} SELECT kmer, n FROM counts",
+    "kmer_vocabulary": f"WITH {_counts_sql(13)} SELECT kmer, n FROM counts WHERE n >= 5",
+    "permuted_epochs": _PERMUTED,
     "gff3_features": f"WITH {_FEATURES} SELECT * FROM parsed",
     "gff3_type_dictionary": f"WITH {_FEATURES} SELECT idx, feature_type_strand, array_to_string([CASE WHEN j = idx THEN '1' ELSE '0' END for j in range((SELECT count(*) FROM types))], '') AS vector FROM types",
     "merged_intervals": f"WITH {_MERGED} SELECT * FROM merged",
@@ -501,6 +558,12 @@ wanted AS (SELECT DISTINCT l_orderkey % 1000 AS seq_idx, (l_partkey * 37) % 1500
 SELECT seq_idx, id, low, high, substr(seq, low::INT + 1, (high - low)::INT) AS bases FROM wanted JOIN pool USING (seq_idx) WHERE length(seq) > low""",
     "taxon_counts": f"WITH {_TAX} SELECT 100 + r_regionkey AS id, r_name AS name, count(branch) AS seq_count, coalesce(sum(seq_len), 0)::BIGINT AS seq_length FROM region LEFT JOIN region_of ON branch = 100 + r_regionkey AND seq_len >= 100 GROUP BY 1, 2",
     "taxon_members": f"WITH {_TAX} SELECT branch, id FROM region_of",
+    "clade_sums": """WITH RECURSIVE nodes AS (SELECT 1::BIGINT AS taxon_id, 1::BIGINT AS parent_id, 'root' AS rank UNION ALL SELECT 100 + r_regionkey, 1, 'region' FROM region
+  UNION ALL SELECT 1000 + n_nationkey, 100 + n_regionkey, 'nation' FROM nation),
+above AS (SELECT taxon_id AS top, taxon_id FROM nodes UNION SELECT n.parent_id, a.taxon_id FROM above a JOIN nodes n ON n.taxon_id = a.top),
+own AS (SELECT 1000 + doc_id % 25 AS taxon_id, count(*) AS c, sum(length(text)) AS l FROM documents WHERE length(text) >= 100 GROUP BY 1)
+SELECT n.taxon_id, n.parent_id, n.rank, count(*) AS clade_size, coalesce(sum(c), 0)::BIGINT AS seq_count, coalesce(sum(l), 0)::BIGINT AS seq_length
+FROM nodes n JOIN above a ON a.top = n.taxon_id LEFT JOIN own o ON o.taxon_id = a.taxon_id GROUP BY 1, 2, 3""",
     "random_order": f"WITH {SEQS} SELECT id, {draw_sql(7, 'order', 'id')} AS draw, length(seq) AS seq_len FROM seqs",
     "point_lookup": f"WITH {SEQS} SELECT id, substr(seq, 11, 50) AS seq FROM seqs WHERE id = '7'",
     "sequence_index": f"WITH {SEQS} SELECT id, length(seq) AS seq_len, {draw_sql(3, 'u', 'id')} / 4294967296.0::DOUBLE AS u FROM seqs",

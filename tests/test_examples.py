@@ -209,3 +209,32 @@ def test_streams(spark, tmp_path):
     assert run(streams.window_stream(stream, 2, 2), "win", "append").count() == batch.count()
     counts = {r.kmer: r.n for r in run(streams.kmer_count_stream(stream, 3), "cnt", "complete").collect()}
     assert counts["ACG"] == 4
+
+
+def test_nested_sets_of_deep_and_wide_trees(spark):
+    import random
+
+    rng = random.Random(3)
+    parents = {1: 1, 2: None, 3: 999_999_999_999}
+    for i in range(4, 400):
+        parents[i] = i - 1 if i < 150 else 5 if i < 250 else rng.randrange(1, i)
+    df = spark.createDataFrame([(t, p, "x") for t, p in parents.items()] + [(7, 6, "x"), (None, 1, "x")], "taxon_id long, parent_id long, rank string")
+    found = {r.taxon_id: (r.enter, r.leave) for r in taxonomy.nested_sets(df).collect()}
+    assert sorted(e for e, _ in found.values()) == list(range(len(parents)))
+    above = {}
+    for t in parents:
+        above[t], at = set(), t
+        while at in parents and at not in above[t]:
+            above[t].add(at)
+            at = parents[at]
+    for a in parents:
+        low, high = found[a]
+        assert {t for t, (e, _) in found.items() if low <= e <= high} == {t for t in parents if a in above[t]}
+    sized = [(str(i), rng.randint(1, 50), rng.choice([*parents, 12345])) for i in range(300)]
+    sequences = spark.createDataFrame([(i, n) for i, n, _ in sized], "id string, seq_len long")
+    acc = spark.createDataFrame([(i, t) for i, _, t in sized], "accession string, taxon_id long")
+    rows = {r.taxon_id: (r.seq_count, r.seq_length) for r in taxonomy.clade_sums(sequences, acc, df, min_length=10, block=16).collect()}
+    assert rows == {a: (len(x := [n for _, n, t in sized if n >= 10 and t in above and a in above[t]]), sum(x)) for a in parents}
+    assert taxonomy.nested_sets(df.limit(0)).isEmpty()
+    with pytest.raises(ValueError, match="cycle"):
+        taxonomy.nested_sets(df.union(spark.createDataFrame([(1000, 1001, "x"), (1001, 1000, "x")], df.schema)))
