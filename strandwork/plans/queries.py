@@ -274,13 +274,14 @@ def subwindows_by_id(spark: SparkSession, d: str) -> DataFrame:
 
 
 def valid_sequences(spark: SparkSession, d: str) -> DataFrame:
-    return pairs.numbered(tables.sequences(spark, d), 7 * 21).select("id", "seq_len", F.col("seq_idx").cast("bigint").alias("seq_idx"))
+    return pairs.index(tables.sequences(spark, d), 7 * 21).select("id", "seq_len", F.col("seq_idx").cast("bigint").alias("seq_idx"))
 
 
 def lookup_by_index(spark: SparkSession, d: str) -> DataFrame:
     """The sequences whose numbers a table of keys names, sliced."""
     wanted = spark.read.parquet(f"{d}/lineitem.parquet").select("l_suppkey")
-    found = pairs.by_index(pairs.numbered(tables.sequences(spark, d), 7 * 21), wanted)
+    sequences = tables.sequences(spark, d)
+    found = pairs.of_numbers(sequences, pairs.index(sequences, 7 * 21), wanted)
     return found.select(F.col("seq_idx").cast("bigint").alias("seq_idx"), "id", F.substring("seq", 11, 50).alias("part"))
 
 
@@ -326,6 +327,14 @@ def clade_sums(spark: SparkSession, d: str) -> DataFrame:
     return found.select("taxon_id", "parent_id", "rank", (F.col("leave") - F.col("enter") + 1).alias("clade_size"), "seq_count", "seq_length")
 
 
+def balanced_windows(spark: SparkSession, d: str) -> DataFrame:
+    """As many windows of each child taxon, of drawn lengths."""
+    acc, nodes, _ = tables.taxonomy(spark, d)
+    sequences = tables.sequences(spark, d)
+    df = pairs.balanced_windows(sequences, taxonomy.members(sequences.select("id"), acc, nodes, 1), 4, 3, 9, 2 * sequences.count())
+    return df.withColumn("kmers", F.concat_ws(",", "kmers"))
+
+
 def random_order(spark: SparkSession, d: str) -> DataFrame:
     return fasta.random_order(tables.sequences(spark, d), 7).select("id", "draw", F.length("seq").alias("seq_len"))
 
@@ -411,14 +420,14 @@ masked AS (SELECT {WKEY}, array_to_string([CASE WHEN hit[i + 1] THEN {new} ELSE
   array_to_string([CASE WHEN h THEN '0' ELSE '1' END for h in hit], '') AS truth FROM hits)"""
 
 
-def _window_sql(seq: str, need: int, k: int, purpose: str, key: str) -> str:
+def _window_sql(seq: str, need: int | str, k: int, purpose: str, key: str) -> str:
     """A drawn window that is not all N: one of four drawn places, or the first one behind the last of them, or of all."""
-    starts = f"greatest(length({seq}) - {need + k}, 1)"
+    starts = f"greatest(length({seq}) - ({need} + {k}), 1)"
     drawn = [f"({draw_sql(42, f'{purpose}{i}', key)} % {starts})" for i in range(4)]
     tries = [f"CASE WHEN NOT regexp_matches(substr({seq}, {s}::INT + 1, {need}), '^N*$') THEN {s} END" for s in drawn]
 
     def behind(s: str) -> str:
-        begin = f"({s} + length(substr({seq}, {s}::INT + 1)) - length(ltrim(substr({seq}, {s}::INT + 1), 'N')) - {need - 1})"
+        begin = f"({s} + length(substr({seq}, {s}::INT + 1)) - length(ltrim(substr({seq}, {s}::INT + 1), 'N')) - ({need} - 1))"
         return f"CASE WHEN {begin} < {starts} THEN greatest({begin}, 0) END"
 
     return f"substr({seq}, (coalesce({', '.join([*tries, behind(drawn[-1]), behind('0')])}))::INT + 1, {need})"
@@ -472,6 +481,17 @@ p AS (SELECT id AS id1, chunk_id, window_idx, kmers, CASE WHEN skip = 1 THEN n2
   CASE pick WHEN 1 THEN next_id WHEN 2 THEN first_id WHEN 3 THEN second_id WHEN 4 THEN low_id WHEN 5 THEN high_id END, false FROM c WHERE NOT same)
 SELECT id1, chunk_id, window_idx, array_to_string(kmers, ',') AS kmers1, array_to_string(k2, ',') AS kmers2, id2, matched FROM p WHERE k2 IS NOT NULL"""
 
+_BALANCED = f"""{SEQS},
+region_of AS (SELECT doc_id::VARCHAR AS id, 100 + n_regionkey AS branch FROM documents JOIN nation ON n_nationkey = doc_id % 25),
+pool AS (SELECT branch, id, seq, row_number() OVER (PARTITION BY branch ORDER BY {draw_sql(0, "bucket", "id")} % 1024, id) - 1 AS member, count(*) OVER (PARTITION BY branch) AS total
+  FROM seqs JOIN region_of USING (id) WHERE length(seq) >= 40 AND NOT regexp_matches(seq, '^N*$')),
+classes AS (SELECT branch, total, row_number() OVER (ORDER BY branch) - 1 AS turn, count(*) OVER () AS m FROM (SELECT DISTINCT branch, total FROM pool)),
+drawn AS (SELECT example, branch, {draw_sql(42, "member", "example")} % total AS member, (3 + {draw_sql(42, "size", "example")} % 7)::INT AS size
+  FROM (SELECT unnest(range(2 * (SELECT count(*) FROM documents))) AS example) e JOIN classes ON turn = example % m),
+cut AS (SELECT example, branch, id, size, {draw_sql(42, "strand", "example", "'balanced'")} % 2 = 1 AS rc, {_window_sql("seq", "size * 4", 4, "balanced", "example")} AS part FROM drawn JOIN pool USING (branch, member)),
+turned AS (SELECT *, CASE WHEN rc THEN {rc_sql("part")} ELSE part END AS s FROM cut WHERE part IS NOT NULL)
+SELECT example, branch, id, size, rc, array_to_string([substr(s, j * 4 + 1, 4) for j in range(size)], ',') AS kmers FROM turned"""
+
 _TAX = """region_of AS (SELECT doc_id::VARCHAR AS id, length(text) AS seq_len, 100 + n_regionkey AS branch FROM documents JOIN nation ON n_nationkey = doc_id % 25)"""
 
 _SUB = f"""{SEQS},
@@ -499,7 +519,7 @@ QUERIES = {
         n_split_chunks, kmers_both_strands, kmer_windows, coords_windows, sliding_passes, rc_window, onehot_encode, encoded_windows, sequence_to_array, pad_and_mask,
         kmer_counts, kmer_summary, kmer_min_count, kmer_counts_packed, kmer_counts_short, kmer_vocabulary, permuted_epochs, gff3_features, gff3_type_dictionary, merged_intervals, interval_coverage, gff3_interval_label, gff3_window_labels,
         gff3_window_labels_merged, masked_random, masked_blank, masked_random_order, discriminator_batches, sequence_order, matched_pairs, triple_loss, random_subwindows, subwindows_by_id, valid_sequences,
-        lookup_by_index, fasta_tiles, tiled_windows, store_ranges, taxon_counts, taxon_members, clade_sums, random_order, point_lookup, sequence_index,
+        lookup_by_index, fasta_tiles, tiled_windows, store_ranges, taxon_counts, taxon_members, clade_sums, balanced_windows, random_order, point_lookup, sequence_index,
     )
 }
 
@@ -558,6 +578,7 @@ wanted AS (SELECT DISTINCT l_orderkey % 1000 AS seq_idx, (l_partkey * 37) % 1500
 SELECT seq_idx, id, low, high, substr(seq, low::INT + 1, (high - low)::INT) AS bases FROM wanted JOIN pool USING (seq_idx) WHERE length(seq) > low""",
     "taxon_counts": f"WITH {_TAX} SELECT 100 + r_regionkey AS id, r_name AS name, count(branch) AS seq_count, coalesce(sum(seq_len), 0)::BIGINT AS seq_length FROM region LEFT JOIN region_of ON branch = 100 + r_regionkey AND seq_len >= 100 GROUP BY 1, 2",
     "taxon_members": f"WITH {_TAX} SELECT branch, id FROM region_of",
+    "balanced_windows": f"WITH {_BALANCED}",
     "clade_sums": """WITH RECURSIVE nodes AS (SELECT 1::BIGINT AS taxon_id, 1::BIGINT AS parent_id, 'root' AS rank UNION ALL SELECT 100 + r_regionkey, 1, 'region' FROM region
   UNION ALL SELECT 1000 + n_nationkey, 100 + n_regionkey, 'nation' FROM nation),
 above AS (SELECT taxon_id AS top, taxon_id FROM nodes UNION SELECT n.parent_id, a.taxon_id FROM above a JOIN nodes n ON n.taxon_id = a.top),

@@ -238,3 +238,36 @@ def test_nested_sets_of_deep_and_wide_trees(spark):
     assert taxonomy.nested_sets(df.limit(0)).isEmpty()
     with pytest.raises(ValueError, match="cycle"):
         taxonomy.nested_sets(df.union(spark.createDataFrame([(1000, 1001, "x"), (1001, 1000, "x")], df.schema)))
+
+
+def test_endless_examples_go_on_where_they_stopped(spark, some, tmp_path):
+    batch = {r.example: r for r in pairs.triple_loss(some, 4, 5, 40, 0.2).collect()}
+    for turn in range(3):
+        stream = pairs.triple_loss_stream(some, 4, 5, 0.2, rows_per_batch=10, partitions=2)
+        query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        rows = spark.read.parquet(str(tmp_path / "out")).collect()
+        seen = sorted(r.example for r in rows)
+        n = max(seen) + 1
+        assert len(set(seen)) == len(seen) and n <= 10 * (turn + 1)
+        assert seen == [e for e in range(n) if e in batch]
+        assert all(r == batch[r.example] for r in rows)
+    assert n > 20
+
+
+def test_balanced_windows(spark, some):
+    rng = {r.id: r.seq for r in some.collect()}
+    members = spark.createDataFrame([("big" if int(i) % 10 else "small", i) for i in rng] + [("gone", "x")], "branch string, id string")
+    rows = pairs.balanced_windows(some, members, 4, 2, 6, 1001).collect()
+    by = {b: [r for r in rows if r.branch == b] for b in ("big", "small", "gone")}
+    assert abs(len(by["big"]) - len(by["small"])) <= 1 and len(rows) == 1001 and not by["gone"]
+    sizes = [sum(r["size"] == s for r in rows) for s in range(2, 7)]
+    assert sum(sizes) == 1001 and sum((x - 200.2) ** 2 / 200.2 for x in sizes) < 18.5  # chi-square, 4 degrees, 0.001
+    swap = str.maketrans("ACGT", "TGCA")
+    for r in rows:
+        bases = "".join(r.kmers)
+        assert len(r.kmers) == r["size"] and len(bases) == 4 * r["size"]
+        assert (bases.translate(swap)[::-1] if r.rc else bases) in rng[r.id]
+    again = pairs.balanced_windows(some.repartition(3), members, 4, 2, 6, 1001).collect()
+    assert sorted(map(tuple, again), key=str) == sorted(map(tuple, rows), key=str)
+    assert pairs.balanced_windows(some.limit(0), members, 4, 2, 6, 10).isEmpty()
