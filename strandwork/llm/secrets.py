@@ -6,8 +6,9 @@ length and character classes, how likely its character transitions are among lab
 values, how much of it dictionary words cover, and how its path and the words beside it speak for a secret.
 
 Labels come from findings that are given, or else from known formats: published forms of keys and what is assigned to a
-credential's name, against forms of addresses and numbers. Nothing that such a label looks at is a feature: the forest
-sees neither the name nor the forms, so it can clear a named value that is a plain word and find a secret without a name.
+credential's name, against forms of addresses and numbers. A format labels a part of its values only (by hash), and the
+forest judges the rest by what they are. Nothing that such a label looks at is a feature: the forest sees neither the
+name nor the forms, so it can clear a named value that is a plain word and find a secret without a name.
 
 Weights of transitions, neighbours and path parts are trained on one half of the labelled candidates, the forest on the
 other. The dictionary is counted over all documents. Everything is DataFrame functions and the forest of ``pyspark.ml``.
@@ -15,6 +16,8 @@ other. The dictionary is counted over all documents. Everything is DataFrame fun
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -28,7 +31,13 @@ CREDENTIAL = r"(?i)(password|passwd|passphrase|pwd|secret|token|api[_-]?key|apik
 #: Published forms of keys.
 KEY_FORMS = r"^(AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[0-9A-Za-z]{36,}$|^xox[abprs]-[0-9A-Za-z-]{10,}$|^eyJ[\w-]+\.[\w-]+\.[\w-]+$|^AIza[0-9A-Za-z_-]{35}$"
 #: Forms that look like secrets and are none.
-PLAIN_FORMS = r"^[\w.+-]+@[\w-]+(\.[\w-]+)+$|^\d{1,3}(\.\d{1,3}){3}$|^[\d()+./:, -]+$|^https?://\S+$|^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
+PLAIN_FORMS = {
+    "mail": r"^[\w.+-]+@[\w-]+(\.[\w-]+)+$",
+    "address": r"^\d{1,3}(\.\d{1,3}){3}$",
+    "number": r"^[\d()+./:, -]+$",
+    "url": r"^https?://\S+$",
+    "uuid": r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
+}
 #: What parts a text: blanks, quotes, brackets and marks between values.
 BREAKS = r"[\x20\x09-\x0D\"'`,;{}()\[\]<>&|]+"
 #: Texts without any of these hold no candidate: a digit, a credential's name, or twenty letters and marks in a row.
@@ -134,11 +143,22 @@ def value_features(values: DataFrame, known: DataFrame) -> DataFrame:
     return t.withColumns(features).drop("covered")
 
 
-def format_label(t: DataFrame) -> DataFrame:
-    """``t`` with ``label`` by known formats: 1 a secret, 0 none, null where no format knows the candidate."""
+def formats(t: DataFrame) -> DataFrame:
+    """``t`` with ``format``, the known format of a candidate, or null, and ``format_label``, what the format says."""
     named = F.col("name").rlike(CREDENTIAL) & (F.length("value") >= 12) & F.col("value").rlike(r"^[\w+/=-]+$")
-    label = F.when(F.col("value").rlike(KEY_FORMS) | named, 1).when(F.col("value").rlike(PLAIN_FORMS), 0)
-    return t.withColumn("label", label.cast("int"))
+    kind = F.when(F.col("value").rlike(KEY_FORMS), "key").when(named, "named")
+    for name, form in PLAIN_FORMS.items():
+        kind = kind.when(F.col("value").rlike(form), name)
+    return t.withColumn("format", kind).withColumn("format_label", F.when(F.col("format").isin("key", "named"), 1).when(F.col("format").isNotNull(), 0).cast("int"))
+
+
+def format_label(t: DataFrame, *, share: float = 0.5, without: Sequence[str] = (), seed: int = 11) -> DataFrame:
+    """``t`` with ``label`` by known formats: 1 a secret, 0 none, for ``share`` of each format's values, those of the least hash;
+    null for the rest, for formats ``without`` labels, and where no format knows the candidate."""
+    told = formats(t)
+    chosen = F.pmod(F.xxhash64(F.lit(seed), F.lit("label"), "value"), F.lit(1000)) < int(share * 1000)
+    label = F.when(chosen & ~F.col("format").isin(*without, ""), F.col("format_label"))
+    return told.withColumn("label", label).drop("format", "format_label")
 
 
 def _path_parts(path: Column) -> Column:
@@ -156,12 +176,15 @@ def scan(
     trees: int = 30,
     depth: int = 6,
     min_score: float = 0.5,
+    label_share: float = 0.5,
+    without: Sequence[str] = (),
     seed: int = 11,
 ) -> DataFrame:
     """The candidates of ``docs`` with their features, ``label``, ``score`` (the forest's share for a secret) and
     ``secret``.
 
-    ``labelled``: doc_id, word_at, label (0 or 1); without it known formats label. Weights and forest are fitted on
+    ``labelled``: doc_id, word_at, label (0 or 1); without it known formats label ``label_share`` of their values, but for
+    formats ``without`` labels. Every verdict is the forest's, on labelled candidates too. Weights and forest are fitted on
     ``train_rows`` labelled candidates of each class at most, those of the least hash. With fewer than two classes there
     is none to fit: the score is the label, and null where there is no label; an unlabelled candidate then counts as
     a secret, for none is dropped without a reason. Null texts have no candidates, null ids are kept, a null path speaks
@@ -170,7 +193,7 @@ def scan(
     """
     found = candidates(docs, id_col=id_col, text_col=text_col, path_col=path_col)
     if labelled is None:
-        found = format_label(found)
+        found = format_label(found, share=label_share, without=without)
     else:
         marks = labelled.where("label IS NOT NULL").groupBy("doc_id", "word_at").agg(F.max("label").alias("label"))
         found = found.join(marks, ["doc_id", "word_at"], "left")

@@ -8,11 +8,13 @@ Per host, the segments of all paths form a tree. Level by level from the root:
    segment; all variable children of a parent are one wildcard.
 3. *Merge*: what remains of a parent's children are compared with each other, in the order of their smoothed purity:
    neighbours that a two-proportion test cannot tell apart, and whose sub-trees are alike in ending there or going on,
-   become one branch. Children are summed into BANDS bands of purity first, so a parent with any number of them is a
-   few rows here.
+   become one branch. Children are summed into bands of purity first, so a parent with any number of them is a few
+   rows here. A band is narrower than the test could tell apart with a child's labels: BANDS of them for children of few
+   labels, twice as many with each fourfold number of labels, so none are merged untested that a test would part.
 4. *Judge*: a template is a leaf of the merged tree. Its purity is its share of bad labels, smoothed by its parent's,
    which is smoothed in turn up to the whole table's. A template whose purity reaches the threshold is rejected; the
-   threshold is a multiple of the table's own share, since what is bad may be rare.
+   threshold is a multiple of the table's own share, since what is bad may be rare. It needs evidence of its own too:
+   labels enough, and a share of bad ones whose lower confidence limit lies above the table's share.
 
 A node that no test could divide any more (too few labels, or of one kind only) is a leaf whatever its depth, so levels
 go on as far as some branch may still differ, and no further. Rules for hosts and path prefixes come before the verdict.
@@ -33,6 +35,8 @@ BANDS = 64
 #: Segments that vary by their looks: digits with an optional file ending, hex keys, and words with digits.
 VARIABLE = r"^(\d+(\.\w{1,5})?|[0-9a-fA-F]{8,}|[0-9a-fA-F-]{32,36}|\w*\d\w*\d\w*)$"
 SEP = "/"
+#: Labels that a rejected template has at least, and standard errors by which its share exceeds the table's.
+EVIDENCE = (8, 3.0)
 MIN_PAGES, MIN_LABELS, Z, SMOOTH, LIFT, MAX_PURITY = 5, 5, 2.6, 20.0, 2.0, 0.5
 
 
@@ -77,7 +81,8 @@ def _branches(child: DataFrame, min_pages: int, min_labels: int, z: float, smoot
     variable = F.col("segment").rlike(VARIABLE) | ((F.col("pages") < min_pages) & (labels < min_labels))
     smoothed = (F.col("bad") + F.lit(smooth) * F.col("purity")) / (labels + F.lit(smooth))
     t = t.withColumn("kind", F.when(own, "own").when(variable, "variable").otherwise("alike"))
-    t = t.withColumns({"band": F.floor(smoothed * F.lit(BANDS)).cast("int"), "ends": F.col("deep") * 2 < F.col("pages")})
+    finer = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(F.sqrt(F.greatest(labels, F.lit(1))) / F.lit(BANDS))), F.lit(0)))
+    t = t.withColumns({"band": F.floor(smoothed * F.lit(BANDS) * finer) / finer, "ends": F.col("deep") * 2 < F.col("pages")})
     shape = [*node, "ends"]
     bands = t.where("kind = 'alike'").groupBy(*shape, "band").agg(F.sum("good").alias("g"), F.sum("bad").alias("b"), F.count(F.lit(1)).alias("n"), F.min("segment").alias("one"))
     order = Window.partitionBy(*shape).orderBy("band")
@@ -95,8 +100,8 @@ def _branches(child: DataFrame, min_pages: int, min_labels: int, z: float, smoot
 def templates(
     paths: DataFrame, *, min_pages: int = MIN_PAGES, min_labels: int = MIN_LABELS, z: float = Z, smooth: float = SMOOTH
 ) -> tuple[DataFrame, float]:
-    """For each (host, path) of ``paths`` its ``template``, ``purity`` and ``labels`` (of the template), and the share of bad
-    labels in the whole table.
+    """For each (host, path) of ``paths`` its ``template``, ``purity``, ``labels`` and ``bad_labels`` (of the template), and the
+    share of bad labels in the whole table.
 
     ``paths``: host, path, pages, good, bad (numbers of pages and of labelled ones), each (host, path) once. ``smooth`` labels
     of the parent's purity are added to each node's own.
@@ -112,7 +117,7 @@ def templates(
         labels = F.col("node_good") + F.col("node_bad")
         purity = (F.col("node_bad") + F.lit(smooth) * F.col("purity")) / (labels + F.lit(smooth))
         now = saved(now.withColumns({"purity": purity, "labels": labels, "open": (labels >= 2 * min_labels) & (F.col("node_good") > 0) & (F.col("node_bad") > 0) & (F.size("segments") > level)}))
-        done.append(now.where("NOT open").select("host", "path", "template", "purity", "labels"))
+        done.append(now.where("NOT open").select("host", "path", "template", "purity", "labels", F.col("node_bad").alias("bad_labels")))
         now = now.where("open").drop("open", "labels", "node_good", "node_bad").withColumn("segment", F.get("segments", F.lit(level)))
         if now.isEmpty():
             break
@@ -131,6 +136,14 @@ def templates(
     return found, prior
 
 
+def least_share(bad: Column, labels: Column, z: float) -> Column:
+    """The lower limit of a share of bad labels, ``z`` standard errors away (Wilson's interval); 0 without labels."""
+    n, z2 = F.greatest(labels, F.lit(1)).cast("double"), z * z
+    share = bad / n
+    low = (share + z2 / (2 * n) - F.lit(z) * F.sqrt(share * (1 - share) / n + z2 / (4 * n * n))) / (1 + z2 / n)
+    return F.when(labels > 0, F.greatest(low, F.lit(0.0))).otherwise(F.lit(0.0))
+
+
 def judge(
     pages: DataFrame,
     labels: DataFrame,
@@ -140,13 +153,15 @@ def judge(
     url_col: str = "url",
     lift: float = LIFT,
     max_purity: float = MAX_PURITY,
+    evidence: tuple[int, float] = EVIDENCE,
     **options,
 ) -> DataFrame:
     """One row per row of ``pages``: ``page_id``, ``host``, ``path``, ``rule``, ``verdict`` (allow or block), ``template``,
     ``purity``, ``labels`` (of the template) and ``decided_by`` (rule or method).
 
     ``labels``: page_id, bad (boolean); it trains the method. The verdict is the longest fitting rule's action, or else
-    block where the template's smoothed share of bad labels is over ``lift`` times the table's share, or over ``max_purity``.
+    block where the template's smoothed share of bad labels is over ``lift`` times the table's share, or over ``max_purity``,
+    and ``evidence`` (labels, standard errors) supports it: so many labels, and a lower limit over the table's share.
     A null or odd url has an empty host and path, which are a template of their own. Null ids and labels of unknown pages
     train nothing; several labels of one page each count. Repeated rows each get the verdict. Paths of any length and
     depth are kept whole. An empty table gives no rows, and one without labels blocks nothing.
@@ -159,6 +174,7 @@ def judge(
     found, prior = templates(saved(paths), **options)
     out = spread_join(rows, found, ["host", "path"], ["page_id"], "left")
     rule, action = rule_of(F.col("host"), F.col("path"), rules)
-    method = F.when(F.col("purity") > min(lift * prior, max_purity), F.lit("block")).otherwise(F.lit("allow"))
+    known = (F.col("labels") >= evidence[0]) & (least_share(F.col("bad_labels"), F.col("labels"), evidence[1]) > prior)
+    method = F.when((F.col("purity") > min(lift * prior, max_purity)) & known, F.lit("block")).otherwise(F.lit("allow"))
     decided = F.when(action.isNotNull(), F.lit("rule")).otherwise(F.lit("method"))
     return out.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(action, method).alias("verdict"), "template", "purity", "labels", decided.alias("decided_by"))

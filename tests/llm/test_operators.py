@@ -321,14 +321,24 @@ def test_small_bad_branches(spark):
     assert {r.template.count("/") for r in rows if "/bad/" in r.path} == {8}
 
 
-def test_the_method_decides_in_the_table(spark):
-    """On the given pages some rows without a rule are blocked by their templates, and most are not."""
+def test_rejections_need_evidence(spark):
+    """A branch is blocked on labels of its own; the tables' few noisy labels block hardly anything."""
     from strandwork.llm.queries import op2_urltree
 
-    rows = [r for r in op2_urltree(spark, "/root/testdata/sf0.1").collect() if r.decided_by == "method"]
-    share = sum(r.verdict == "block" for r in rows) / len(rows)
-    print(len(rows), share)
-    assert 0 < share < 0.2
+    rows = [(i, f"http://h.example/{'bad' if i % 10 == 0 else 'few' if i % 100 == 1 else 'good'}/{i}") for i in range(2000)]
+    labels = [(i, i % 10 == 0 or i in (1, 101)) for i in range(0, 2000, 1) if i % 100 != 1 or i in (1, 101)]
+    df, marks = spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, bad boolean")
+    found = {r.page_id: r for r in urltree.judge(df, marks, []).collect()}
+    assert {found[i].verdict for i in range(0, 2000, 10)} == {"block"}
+    assert {found[i].verdict for i in range(2000) if i % 10} == {"allow"}
+    judged = urltree.judge(df, marks, [], evidence=(1, 0.0))
+    assert {r.verdict for r in judged.where("page_id % 10 = 0").collect()} == {"block"}
+    shares = spark.createDataFrame([(0, 0), (2, 2), (8, 8), (30, 100)], "bad long, labels long").select(urltree.least_share(F.col("bad"), F.col("labels"), 3.0)).collect()
+    assert [round(r[0], 3) for r in shares] == [0.0, 0.182, 0.471, 0.184]  # (0.3 + 0.045 - 3 * sqrt(0.21 / 100 + 9 / 40000)) / 1.09
+    table = [r for r in op2_urltree(spark, "/root/testdata/sf0.1").collect() if r.decided_by == "method"]
+    blocked = [r for r in table if r.verdict == "block"]
+    assert len(blocked) < 0.05 * len(table)
+    assert all(r.labels >= 8 for r in blocked)
 
 
 # ------------------------------------------------------------------ 3
@@ -676,7 +686,7 @@ def test_secrets(spark):
     texts += [(300, f"x {hexes(rng, 40)} y", None), (301, "token = correcthorsebattery", "s"), (302, f'{{"user":"x","api_key":"{hexes(rng, 32)}"}}', "s"), (303, "pwd: hunt3r", "s"), (304, None, "s"), (305, "", "s")]
     texts += [(None, f"password={hexes(rng, 18)}", "s"), (306, "ab.9@mail1.example.com### z", "s"), (1, texts[1][1], "s"), (307, "Bearer abcdefghijk", "s"), (308, "QmFzZSBzaXh0eSBmb3Vy+Zm9v/YmFy", "s")]
     df = spark.createDataFrame([(*t, 1, "v") for t in texts], "doc_id long, text string, source string, features int, value string")
-    rows = secrets.scan(df).collect()
+    rows = secrets.scan(df, label_share=1.0).collect()
     by = defaultdict(list)
     for r in rows:
         by[r.doc_id].append(r)
@@ -694,11 +704,37 @@ def test_secrets(spark):
     assert by[1][0] == by[1][1]
     assert secrets.scan(df.limit(0)).count() == 0
     assert [r.secret for r in secrets.scan(df.where("doc_id = 0")).collect()] == [True]
+    halves = secrets.scan(df.where("doc_id < 240")).collect()
+    unseen = [r for r in halves if r.label is None]
+    assert 70 < len(unseen) < 170
+    assert np.mean([r.secret == (r.doc_id % 6 < 3) for r in unseen]) > 0.95
     given = spark.createDataFrame([(r.doc_id, r.word_at, int(r.doc_id % 6 == 3)) for r in rows if r.doc_id is not None and r.doc_id < 240], "doc_id long, word_at int, label int")
     flipped = secrets.scan(df, given).where("doc_id < 240").collect()
     assert np.mean([r.secret == (r.doc_id % 6 == 3) for r in flipped]) > 0.98
 
 
+def held_out(spark, **options):
+    """Of candidates of a known format without a label: right verdicts on secrets and on others, each of how many."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "source", "text")
+    told = secrets.formats(secrets.scan(docs, **options)).where("label IS NULL AND format IS NOT NULL").groupBy("format", "format_label", "secret").count().collect()
+    out = defaultdict(lambda: [0, 0])
+    for r in told:
+        out[r.format][0] += r["count"] * (r.secret == (r.format_label == 1))
+        out[r.format][1] += r["count"]
+    return dict(out)
+
+
+def test_forest_judges_what_it_did_not_see(spark):
+    """Half of each format's values are unlabelled; then one format at a time is."""
+    found = held_out(spark)
+    print(found)
+    assert sum(n for _, n in found.values()) > 300 and found["named"][1] > 50
+    assert all(right >= 0.95 * n for right, n in found.values())
+    for name in ("mail", "number", "address"):
+        right, n = held_out(spark, without=(name,)).get(name, (0, 0))
+        print("without", name, right, n)
+
+
 def test_secret_candidates_and_features(spark, sf_dir):
     """Against plain Python: parts, names, neighbours, and the features of values."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
