@@ -18,6 +18,7 @@ from strandwork.plans import generators
 from strandwork.plans.generators import WINDOW_KEY, encoded
 from strandwork.shared import shared_dir
 from strandwork.sources import fasta, gff3, store, tables
+from strandwork.sources.taxonomy import read_taxonomy
 
 # ---------------------------------------------------------------- SQL pieces
 
@@ -285,9 +286,50 @@ def lookup_by_index(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("seq_idx").cast("bigint").alias("seq_idx"), "id", F.substring("seq", 11, 50).alias("part"))
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+
+
+def fasta_files(spark: SparkSession, d: str) -> DataFrame:
+    """FASTA files with soft-masked bases, read as they are and converted to the persistent form, and with raised bases."""
+    path = _folder(spark)
+    masked = tables.sequences(spark, d).withColumn("seq", F.translate("seq", "AC", "ac"))
+    store.write_fasta(masked, f"{path}/in", width=70)
+    fasta.convert_fasta(spark, f"{path}/in", f"{path}/out")
+    raised = fasta.read_fasta(spark, f"{path}/in").select("id", F.col("seq").alias("raised"))
+    return fasta.read_sequences(spark, f"{path}/out").join(raised, "id").select("id", "seq", "seq_len", "raised")
+
+
+def gff3_file(spark: SparkSession, d: str) -> DataFrame:
+    """The annotation written as a file and read again."""
+    path = _folder(spark)
+    tables.gff3_lines(spark, d).select("value").write.text(path)
+    return gff3.read_gff3(spark, path).drop("line_no")
+
+
+def taxon_files(spark: SparkSession, d: str) -> DataFrame:
+    """Taxonomy files read, and the counts written as the tab-separated file that a sampler reads."""
+    path = _folder(spark)
+    for name, table in zip(("acc", "nodes", "names"), tables.taxonomy(spark, d)):
+        table.write.csv(f"{path}/{name}", sep="\t")
+    acc, nodes, names = read_taxonomy(spark, *(f"{path}/{name}" for name in ("acc", "nodes", "names")))
+    taxonomy.write_counts(taxonomy.taxon_counts(fasta.lengths(tables.sequences(spark, d)), acc, nodes, names, 1), f"{path}/counts")
+    return spark.read.schema("id bigint, name string, seq_count bigint, seq_length bigint").csv(f"{path}/counts", sep="\t")
+
+
+def skipped_ahead(spark: SparkSession, d: str) -> DataFrame:
+    """The order drawn for sequences, without its first hundred."""
+    return fasta.random_order(tables.sequences(spark, d), 7).offset(100).select("id", "draw")
+
+
+def canonical_bases(spark: SparkSession, d: str) -> DataFrame:
+    masked = tables.sequences(spark, d).withColumn("seq", F.translate("seq", "AT", "aY"))
+    return masked.select("id", C.canonical(F.col("seq")).alias("seq"))
+
+
 def fasta_tiles(spark: SparkSession, d: str) -> DataFrame:
     """The sequences written as FASTA and read line by line as tiles."""
-    path = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    path = _folder(spark)
     store.write_fasta(tables.sequences(spark, d), path)
     return store.read_tiles(spark, path, tile=512).select("id", "tile", "seq")
 
@@ -301,7 +343,7 @@ def tiled_windows(spark: SparkSession, d: str) -> DataFrame:
 
 def store_ranges(spark: SparkSession, d: str) -> DataFrame:
     """Ranges of a tiled store's sequences, by numbers and places that a table of keys names."""
-    path = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    path = _folder(spark)
     store.write_store(store.tiles_of(tables.sequences(spark, d), tile=512), path, tile=512)
     item = spark.read.parquet(f"{d}/lineitem.parquet")
     low = F.pmod(F.col("l_partkey") * 37, F.lit(1500))
@@ -519,7 +561,7 @@ QUERIES = {
         n_split_chunks, kmers_both_strands, kmer_windows, coords_windows, sliding_passes, rc_window, onehot_encode, encoded_windows, sequence_to_array, pad_and_mask,
         kmer_counts, kmer_summary, kmer_min_count, kmer_counts_packed, kmer_counts_short, kmer_vocabulary, permuted_epochs, gff3_features, gff3_type_dictionary, merged_intervals, interval_coverage, gff3_interval_label, gff3_window_labels,
         gff3_window_labels_merged, masked_random, masked_blank, masked_random_order, discriminator_batches, sequence_order, matched_pairs, triple_loss, random_subwindows, subwindows_by_id, valid_sequences,
-        lookup_by_index, fasta_tiles, tiled_windows, store_ranges, taxon_counts, taxon_members, clade_sums, balanced_windows, random_order, point_lookup, sequence_index,
+        lookup_by_index, fasta_files, gff3_file, taxon_files, skipped_ahead, canonical_bases, fasta_tiles, tiled_windows, store_ranges, taxon_counts, taxon_members, clade_sums, balanced_windows, random_order, point_lookup, sequence_index,
     )
 }
 
@@ -570,6 +612,11 @@ SELECT {WKEY}, CASE WHEN "order" THEN b ELSE a END AS kmers1, CASE WHEN "order"
     "subwindows_by_id": f"WITH named AS (SELECT DISTINCT l_suppkey::VARCHAR AS id FROM lineitem), found AS (WITH {_SUB}) SELECT * FROM found WHERE id IN (SELECT id FROM named)",
     "valid_sequences": f"WITH {_numbered_sql(147)} SELECT id, seq_len, seq_idx FROM pool",
     "lookup_by_index": f"WITH {_numbered_sql(147)} SELECT seq_idx, id, substr(seq, 11, 50) AS part FROM pool WHERE seq_idx IN (SELECT l_suppkey FROM lineitem)",
+    "fasta_files": f"WITH {SEQS} SELECT id, translate(seq, 'AC', 'ac') AS seq, length(seq) AS seq_len, seq AS raised FROM seqs WHERE seq IS NOT NULL",
+    "gff3_file": f"WITH {_FEATURES} SELECT * EXCLUDE (line_no) FROM parsed",
+    "taxon_files": f"WITH {_TAX} SELECT (100 + r_regionkey)::BIGINT AS id, r_name AS name, count(branch) AS seq_count, coalesce(sum(seq_len), 0)::BIGINT AS seq_length FROM region LEFT JOIN region_of ON branch = 100 + r_regionkey GROUP BY 1, 2",
+    "skipped_ahead": f"WITH {SEQS} SELECT id, {draw_sql(7, 'order', 'id')} AS draw FROM seqs ORDER BY draw, id OFFSET 100",
+    "canonical_bases": f"WITH {SEQS} SELECT id, regexp_replace(upper(translate(seq, 'AT', 'aY')), '[^ACGT]', 'N', 'g') AS seq FROM seqs",
     "fasta_tiles": f"""WITH {SEQS}, t AS (SELECT id, seq, unnest(range(greatest((length(seq) + 511) // 512, 1))) AS tile FROM seqs WHERE seq IS NOT NULL)
 SELECT id, tile, substr(seq, tile::INT * 512 + 1, 512) AS seq FROM t""",
     "tiled_windows": f"""WITH {windows_sql(6, 4, "[0]", BOTH, True)} SELECT id, chunk_id, chunk_offset, rc, window_idx, array_to_string(kmers, ',') AS kmers, {start_sql(6, "window_idx * 4")} AS first_start FROM wins""",
