@@ -725,14 +725,12 @@ def held_out(spark, **options):
 
 
 def test_forest_judges_what_it_did_not_see(spark):
-    """Half of each format's values are unlabelled; then one format at a time is."""
+    """Half of each format's values are unlabelled; then a whole format is."""
     found = held_out(spark)
-    print(found)
     assert sum(n for _, n in found.values()) > 300 and found["named"][1] > 50
     assert all(right >= 0.95 * n for right, n in found.values())
-    for name in ("mail", "number", "address"):
-        right, n = held_out(spark, without=(name,)).get(name, (0, 0))
-        print("without", name, right, n)
+    right, n = held_out(spark, without=("mail",))["mail"]
+    assert n > 150 and right >= 0.8 * n
 
 
 def test_secret_candidates_and_features(spark, sf_dir):
