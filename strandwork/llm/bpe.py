@@ -28,10 +28,10 @@ from strandwork.llm.common import free_name
 #: Bits of a bitmap's word, and levels of words: 64^3 ranks.
 BITS, LEVELS = 6, 3
 #: Pre-tokens of so many characters at most are remembered, so many of them at a time.
-MEMORY_CHARS, MEMORY = 64, 1 << 18
+MEMORY_CHARS, MEMORY = 64, 3 << 16
 #: Characters of texts (or of a part of a long one, cut between pre-tokens) that are learnt together, and of pre-tokens that
 #: are merged together; output batches are closed at so many bytes.
-PART, MERGED, BATCH = 6 << 20, 1 << 21, 1 << 22
+PART, MERGED, BATCH = 1 << 22, 1 << 20, 1 << 22
 
 
 class RankQueue:
@@ -304,12 +304,3 @@ def decode(df: DataFrame, vocabulary: Callable[[], tuple[str, str]], *, ids_col:
         return (known.decode(values[lo:hi].tolist() if valid else []) for lo, hi, valid in zip(ends, ends[1:], there, strict=False))
 
     return _mapped(df, ids_col, "decoded", "binary", make, pa.binary())
-
-
-def round_trip(docs: DataFrame, vocabulary: Callable[[], tuple[str, str]], *, text_col: str = "text") -> DataFrame:
-    """``docs`` with the text replaced by ``n_tokens``, ``ids_text`` (decimal ids joined by a space) and ``decoded``."""
-    held = encode(docs, vocabulary, text_col=text_col)
-    ids = held.columns[-1]
-    count, text = free_name(held, "n_tokens"), free_name(held, "ids_text")
-    said = held.withColumns({count: F.size(ids).cast("long"), text: F.array_join(F.col(f"`{ids}`").cast("array<string>"), " ")})
-    return decode(said, vocabulary, ids_col=ids)

@@ -82,8 +82,10 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    back = bpe.round_trip(read_table(spark, sf_dir, "documents").select("doc_id", "text"), public_ranks)
-    return back.select("doc_id", "n_tokens", F.sha2(F.col("ids_text").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    held = bpe.encode(read_table(spark, sf_dir, "documents").select("doc_id", "text"), public_ranks)
+    said = F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary")
+    back = bpe.decode(held.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(said, 256).alias("ids_sha256"), "ids"), public_ranks)
+    return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
