@@ -1,6 +1,7 @@
 """The pipeline's stages one after another, each held to what it must do with its own input."""
 
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -95,10 +96,15 @@ def test_queries_equal_sql(spark, duck, sf_dir, name):
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_queries_answer_for_their_whole_table(spark, sf_dir, name):
-    table = {"op1_forest": "embeddings", "op2_urltree": "pages", "op3_warc": "pages"}.get(name, "documents")
+    table = {"op1_forest": "embeddings", "op2_urltree": "pages", "op3_warc": "pages", "op13_whitening": "embeddings"}.get(name, "documents")
     rows = spark.read.parquet(f"{sf_dir}/{table}.parquet").count()
     n = QUERIES[name](spark, sf_dir).count()
     if name == "op1_forest":
         assert n == 5 * spark.read.parquet(f"{sf_dir}/{table}.parquet").where("vec_id % 50 = 0").count()
+    elif name == "op13_whitening":
+        assert n == 16 * rows
+    elif name == "op11_spelling":  # a row for each word: all texts' runs, counted plainly, less those that a letter is left out of
+        runs = Counter(w.lower() for r in spark.read.parquet(f"{sf_dir}/{table}.parquet").select("text").collect() for w in re.findall("[A-Za-z]{6,}", r.text or ""))
+        assert 0.8 * sum(c >= 5 for c in runs.values()) < n < 1.2 * sum(c >= 5 for c in runs.values())
     elif name not in ("op6_packing", "op7_secrets"):
         assert n == rows
