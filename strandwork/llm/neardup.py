@@ -11,6 +11,9 @@
 4. *The rest*: regions that still hold more than one component are compared block by block: every pair of rows of
    different components whose signatures come near the threshold is confirmed on the full sets too. No candidate is
    dropped for a region's size; a region within one component, however large, costs nothing here.
+5. *The exact way* (``exact=True``): linked sets share one of their rarest shingles, of which a set of n needs the first
+   n less its least overlap plus one in any order that all sets keep. Sets that share such a shingle are one more kind
+   of region, compared block by block without the signatures, so no link is left to chance.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ KNOWN_WORDS = 500_000
 REGION, BLOCK_BYTES = 2048, 8 << 20
 #: A pair is compared in full where its signature agrees in at least the threshold less five standard errors.
 SLACK = 5.0
+#: Counters (a power of two) that order shingles by how often they occur; the driver and each task hold one number for each.
+COUNTERS = 1 << 18
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -59,6 +64,16 @@ def shingles(raw: bytes, known: dict, width: int = WORDS) -> np.ndarray:
     return np.unique(key)
 
 
+def _class_of(keys: np.ndarray) -> int:
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(keys.tobytes()) - (1 << 63)
+
+
+def _counter(keys: np.ndarray, counters: int) -> np.ndarray:
+    return (keys >> np.uint64(65 - counters.bit_length())).astype(np.int64)
+
+
 def _orders(trees: int, levels: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20240229)
     n = trees * levels
@@ -80,8 +95,6 @@ def _sets(docs: DataFrame, width: int, trees: int, levels: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         known = _Hashes()
         mult, plus = _orders(trees, levels)
         for batch in batches:
@@ -91,7 +104,7 @@ def _sets(docs: DataFrame, width: int, trees: int, levels: int) -> DataFrame:
             for text in batch.column(2):
                 keys = shingles(text.as_buffer().to_pybytes() if text.is_valid else b"", known, width)
                 sizes.append(len(keys))
-                classes.append(xxhash.xxh3_64_intdigest(keys.tobytes()) - (1 << 63) if len(keys) else None)
+                classes.append(_class_of(keys) if len(keys) else None)
                 sigs.append(signature(keys, mult, plus).tobytes() if len(keys) else None)
             cols = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(sigs, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text_key", "n", "class", "sig"])
@@ -185,17 +198,65 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int
     return linked
 
 
-def _links_across(members: DataFrame, sigs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, least: int, percent: int) -> DataFrame:
+def _frequencies(docs: DataFrame, width: int, counters: int) -> np.ndarray:
+    """How often the shingles of each counter occur in ``docs``: counted in the tasks, added up by counter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, counts = _Hashes(), np.zeros(counters, np.int64)
+        for batch in batches:
+            if len(known) > KNOWN_WORDS:
+                known.clear()
+            for text in batch.column(0):
+                if text.is_valid:
+                    np.add.at(counts, _counter(shingles(text.as_buffer().to_pybytes(), known, width), counters), 1)
+        seen = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[seen])], names=["counter", "n"])
+
+    each = docs.select("text").mapInArrow(run, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(counters, np.int64)
+    counts[each["counter"].to_numpy(np.int64)] = each["n"].to_numpy(np.int64)
+    return counts
+
+
+def _rare_shingles(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """``prefix`` (a shingle) and ``class``: the rarest shingles of each class, one of which a linked class shares, if
+    another class has them among its rarest."""
+    counters = COUNTERS
+    order = docs.sparkSession.sparkContext.broadcast(_frequencies(docs, width, counters))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Hashes()
+        for batch in batches:
+            if len(known) > KNOWN_WORDS:
+                known.clear()
+            rare, classes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            for text in batch.column(0):
+                keys = shingles(text.as_buffer().to_pybytes(), known, width) if text.is_valid else ()
+                if len(keys):
+                    least = -(-len(keys) * percent // 100)  # what a linked set shares of this one
+                    rare.append(keys[np.argsort(order.value[_counter(keys, counters)], kind="stable")[: len(keys) - least + 1]])
+                    classes.append(np.full(len(rare[-1]), _class_of(keys), np.int64))
+            cols = [pa.array(np.concatenate(rare).view(np.int64)), pa.array(np.concatenate(classes))]
+            yield pa.RecordBatch.from_arrays(cols, names=["prefix", "class"])
+
+    each = saved(docs.select("text").mapInArrow(run, "prefix long, class long").distinct())
+    shared = each.groupBy("prefix").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi").select("prefix")
+    kept = saved(spread_join(each, shared, ["prefix"], ["class"]))
+    release(each)
+    return kept
+
+
+def _links_across(members: DataFrame, sigs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, least: int, percent: int, seen: int = 2) -> DataFrame:
     """Links (a, b) that join components within regions, from all pairs of blocks of rows.
 
-    ``members``: prefix, class, component. Regions of two rows have been compared before; of regions with the same rows
-    one is enough. A region of m blocks of BLOCK_BYTES of sets is dealt as m * (m + 1) / 2 block pairs. A task compares
+    ``members``: prefix, class, n, component. Regions of ``seen`` rows have been compared before; of regions with the same
+    rows one is enough. A region of m blocks of BLOCK_BYTES of sets is dealt as m * (m + 1) / 2 block pairs. A task compares
     every pair of rows of different components: by signature, and on the full sets where that comes near. A link that
     it finds makes one component of two, whose rows need no more comparing; so its result is at most one link a row.
     """
     whole = F.expr("bit_xor(xxhash64(class))")
     mixed = members.groupBy("prefix").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("rows"), whole.alias("print"), F.sum("n").alias("size"))
-    mixed = mixed.where("lo != hi AND rows > 2").groupBy("print", "rows").agg(F.min("prefix").alias("prefix"), F.min("size").alias("size"))
+    mixed = mixed.where(F.expr("lo != hi") & (F.col("rows") > seen)).groupBy("print", "rows").agg(F.min("prefix").alias("prefix"), F.min("size").alias("size"))
     mixed = saved(mixed.select("prefix", F.ceil(F.col("size") * 8 / BLOCK_BYTES).cast("int").alias("blocks")))
     held = saved(spread_join(members, mixed, ["prefix"], ["class"]))
     sets = _full_sets(held.select("class"), classes, docs, width)
@@ -240,6 +301,7 @@ def near_duplicates(
     trees: int = TREES,
     depth: int = DEPTH,
     levels: int = LEVELS,
+    exact: bool = False,
 ) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``text_key`` (hash of the text), ``n_shingles``, ``component_id`` (least
     id reachable over links, itself included), ``kept`` (doc_id = component_id) and ``group_key``, which linked rows share
@@ -251,7 +313,8 @@ def near_duplicates(
     a component has no other id, its component is null and it is kept. A text of any length has its whole set in memory,
     in the task that hashes it and in those that compare it. Other columns are not read. An empty table gives no rows.
     Recall: at similarity 0.75 a pair shares no region with probability 5e-6 for the default trees, and its signature falls
-    short with 3e-7; above the threshold both fall fast.
+    short with 3e-7; above the threshold both fall fast. With ``exact`` no link is lost, for two more passes over the texts
+    and a table of about a quarter of their shingles.
     """
     text = F.col(f"`{text_col}`").cast("string")
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
@@ -280,14 +343,26 @@ def near_duplicates(
     named = classes.select("class", "row")
     edges = _confirmed(first, named, rows, width, percent)
     found = components(edges).withColumnRenamed("node", "class")
-    known = members.select("prefix", "class").join(classes.select("class", "n"), "class").join(found, "class", "left")
-    known = saved(known.withColumn("component", F.coalesce("component", "class")))
+
+    def placed(regions: DataFrame) -> DataFrame:
+        each = regions.select("prefix", "class").join(classes.select("class", "n"), "class").join(found, "class", "left")
+        return saved(each.withColumn("component", F.coalesce("component", "class")))
+
+    known = placed(members)
     across = _links_across(known, sigs, named, rows, width, least, percent)
-    found = components(edges.union(across)).withColumnRenamed("node", "class")
+    release(known)
+    links = edges.union(across)
+    found = components(links).withColumnRenamed("node", "class")
+    if exact:
+        rare = _rare_shingles(rows, width, percent)
+        known = placed(rare)
+        last = _links_across(known, sigs, named, rows, width, 0, percent, seen=1)
+        found = components(links.union(last)).withColumnRenamed("node", "class")
+        release(rare, known, last)
     rooted = classes.select("class", "low").join(found, "class", "left").withColumn("root", F.coalesce("component", "class")).drop("component")
     lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     rooted = saved(spread_join(rooted, lows, ["root"], ["class"]).select("class", "component_id", F.col("root").alias("group_key")))
-    release(classes, members, first, known, edges, across)
+    release(classes, members, first, edges, across)
     out = spread_join(sets.select("doc_id", "text_key", "n", "class"), rooted, ["class"], ["doc_id", "text_key"], "left")
     component = F.coalesce("component_id", "doc_id")
     kept = F.coalesce(F.col("doc_id") == component, F.lit(True))

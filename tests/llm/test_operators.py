@@ -959,6 +959,26 @@ def test_blocks_give_the_same_groups(spark, monkeypatch):
     assert rows_of(neardup.near_duplicates(df).drop("text_key", "group_key")) == plain_groups(items)
 
 
+def test_the_exact_way_finds_what_a_forest_loses(spark, odd, monkeypatch):
+    """One tree of four values loses most links at the threshold; shared rare shingles give every one, in small blocks too,
+    behind a passage that all texts share."""
+    shared = prose(99, 60)
+    items = [(100 * i + j, edited(prose(i, 120), 0.02, j) + " " + shared) for i in range(25) for j in range(3)]
+    items += [(9000 + i, f"a b c d e{i // 2} f g h"[: 15 + i % 2]) for i in range(12)]
+    items += [(9100, None), (9101, ""), (9102, "one two"), (9103, "ONE two"), (9104, items[0][1])]
+    df = spark.createDataFrame(items, "doc_id long, text string")
+    expected = plain_groups(items)
+    assert rows_of(neardup.near_duplicates(df, trees=1).drop("text_key", "group_key")) != expected
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", 2000)
+    with monkeypatch.context() as few:
+        few.setattr(neardup, "COUNTERS", 2)
+        assert rows_of(neardup.near_duplicates(df, trees=1, exact=True).drop("text_key", "group_key")) == expected
+    assert neardup.near_duplicates(df.limit(0), exact=True).count() == 0
+    mine = rows_of(neardup.near_duplicates(odd, exact=True).drop("text_key", "group_key"))
+    pairs = plain_groups([(r.doc_id, r.text) for r in odd.collect()])
+    assert [r for r in mine if r[0] is not None] == [r for r in pairs if r[0] is not None]
+
+
 def test_components(spark, monkeypatch):
     rng = random.Random(2)
     edges = [(rng.randint(0, 150), rng.randint(0, 150)) for _ in range(110)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5, 5)]
