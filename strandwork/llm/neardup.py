@@ -247,7 +247,7 @@ def _rare_shingles(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
 
 def _links_across(members: DataFrame, sigs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, least: int, percent: int, seen: int = 2) -> DataFrame:
-    """Links (a, b) that join components within regions, from all pairs of blocks of rows.
+    """Links (a, b) between components that have linked rows in a region, from all pairs of blocks of rows.
 
     ``members``: prefix, class, n, component. Regions of ``seen`` rows have been compared before; of regions with the same
     rows one is enough. A region of m blocks of BLOCK_BYTES of sets is dealt as m * (m + 1) / 2 block pairs. A task compares
@@ -270,7 +270,8 @@ def _links_across(members: DataFrame, sigs: DataFrame, classes: DataFrame, docs:
         sig = np.frombuffer(b"".join(frame["sig"]), np.uint32).reshape(len(frame), -1)
         keys = [np.frombuffer(x, np.uint64) for x in frame["keys"]]
         size = np.array([len(x) for x in keys])
-        comp, ids, block = frame["component"].to_numpy().copy(), frame["class"].to_numpy(), frame["block"].to_numpy()
+        named, block = frame["component"].to_numpy(), frame["block"].to_numpy()
+        comp = named.copy()
         across = frame["one"].iat[0] != frame["two"].iat[0]
         a, b = [], []
         for i in range(len(frame) - 1):
@@ -281,8 +282,8 @@ def _links_across(members: DataFrame, sigs: DataFrame, classes: DataFrame, docs:
             if len(rest):
                 for j in rest[(sig[rest] == sig[i]).sum(axis=1) >= least]:
                     if comp[j] != comp[i] and _common_enough(keys[i], keys[j], percent):
-                        a.append(ids[i])
-                        b.append(ids[j])
+                        a.append(named[i])
+                        b.append(named[j])
                         comp[comp == comp[j]] = comp[i]
         return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
@@ -291,6 +292,14 @@ def _links_across(members: DataFrame, sigs: DataFrame, classes: DataFrame, docs:
     return found
 
 
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (class, n, component) after ``links`` (a, b) between components. A component stands for its rows here, so
+    the links that made it do not go round again."""
+    least = components(links).select(F.col("node").alias("component"), F.col("component").alias("least"))
+    moved = spread_join(labels, least, ["component"], ["class"], "left")
+    return saved(moved.select("class", "n", F.coalesce("least", "component").alias("component")))
+
+
 def near_duplicates(
     docs: DataFrame,
     *,
@@ -343,26 +352,25 @@ def near_duplicates(
     named = classes.select("class", "row")
     edges = _confirmed(first, named, rows, width, percent)
     found = components(edges).withColumnRenamed("node", "class")
+    labels = saved(classes.select("class", "n").join(found, "class", "left").withColumn("component", F.coalesce("component", "class")))
 
     def placed(regions: DataFrame) -> DataFrame:
-        each = regions.select("prefix", "class").join(classes.select("class", "n"), "class").join(found, "class", "left")
-        return saved(each.withColumn("component", F.coalesce("component", "class")))
+        return saved(regions.select("prefix", "class").join(labels, "class"))
 
     known = placed(members)
     across = _links_across(known, sigs, named, rows, width, least, percent)
-    release(known)
-    links = edges.union(across)
-    found = components(links).withColumnRenamed("node", "class")
+    labels = _joined(labels, across)
+    release(known, across)
     if exact:
         rare = _rare_shingles(rows, width, percent)
         known = placed(rare)
         last = _links_across(known, sigs, named, rows, width, 0, percent, seen=1)
-        found = components(links.union(last)).withColumnRenamed("node", "class")
+        labels = _joined(labels, last)
         release(rare, known, last)
-    rooted = classes.select("class", "low").join(found, "class", "left").withColumn("root", F.coalesce("component", "class")).drop("component")
+    rooted = classes.select("class", "low").join(labels.select("class", F.col("component").alias("root")), "class")
     lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     rooted = saved(spread_join(rooted, lows, ["root"], ["class"]).select("class", "component_id", F.col("root").alias("group_key")))
-    release(classes, members, first, edges, across)
+    release(classes, members, first, edges)
     out = spread_join(sets.select("doc_id", "text_key", "n", "class"), rooted, ["class"], ["doc_id", "text_key"], "left")
     component = F.coalesce("component_id", "doc_id")
     kept = F.coalesce(F.col("doc_id") == component, F.lit(True))

@@ -979,6 +979,29 @@ def test_the_exact_way_finds_what_a_forest_loses(spark, odd, monkeypatch):
     assert [r for r in mine if r[0] is not None] == [r for r in pairs if r[0] is not None]
 
 
+def test_links_go_round_once(spark, monkeypatch):
+    """Links found within regions are merged among components: what made a component is not looked up again."""
+    base = prose(9, 100)
+    items = [(i, edited(base, 0.04, i)) for i in range(80)]
+    df = spark.createDataFrame(items, "doc_id long, text string")
+    rounds = []
+
+    def seen(edges):
+        found = graph.components(edges)
+        rounds.append((edges.select("a", "b").collect(), found.collect()))
+        return found
+
+    monkeypatch.setattr(neardup, "components", seen)
+    found = rows_of(neardup.near_duplicates(df, trees=2, exact=True).drop("text_key", "group_key"))
+    assert found == plain_groups(items)
+    assert len(rounds) == 3 and rounds[0][0] and rounds[1][0]
+    label = {}
+    for edges, named in rounds:
+        assert all(a == label.get(a, a) and b == label.get(b, b) and a != b for a, b in edges)
+        up = dict(named)
+        label = {x: up.get(y, y) for x, y in (label | {x: label.get(x, x) for x in up}).items()}
+
+
 def test_components(spark, monkeypatch):
     rng = random.Random(2)
     edges = [(rng.randint(0, 150), rng.randint(0, 150)) for _ in range(110)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5, 5)]
