@@ -184,3 +184,38 @@ def test_same_rows_for_any_partitioning(spark, sf_dir):
     df = tables.sequences(spark, sf_dir).where("id < '12'")
     plans = [generators.masked_kmers(x, 4, 3, 0.3).select("id", "chunk_id", "offset", "rc", "window_idx", F.xxhash64("kmers", "truth").alias("h")) for x in (df.repartition(1), df.repartition(7))]
     assert plans[0].exceptAll(plans[1]).isEmpty()
+
+
+def plan_above_windows(df):
+    """The optimized plan from the windows' explode up: what is evaluated for every window."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return plan[: plan.index("Generate explode(sequence(0, (__count")]
+
+
+def test_windows_are_cut_by_compiled_expressions(spark):
+    df = seqs(spark, record())
+    made = generators.fasta_kmers(df, 3, 4, text=True)
+    assert "lambda" not in plan_above_windows(made)
+    assert "regexp" not in plan_above_windows(made)
+    key = ["id", "chunk_id", "offset", "rc", "window_idx"]
+    flags = generators.fasta_kmers(df, 3, 4).select(*key, C.as_bits(F.flatten("kmers")).alias("bits"), "coords")
+    assert sorted(made.select(*key, "bits", "coords").collect()) == sorted(flags.collect())
+    assert made.count() > 100
+
+
+@pytest.mark.parametrize("size", [5, 20])
+def test_windows_of_any_size_and_characters(spark, size):
+    text = "ACGTNACGGTAC" * 9 + "AéC\U0001d11eGT" * 7
+    df = windows.passes(seqs(spark, text, "ACGTACGTACGTACGGG").withColumnsRenamed({"seq": "chunk"}).withColumns({"chunk_id": F.lit(0), "chunk_offset": F.lit(0)}), 3, both_strands=False)
+    found = {(r.id, r.offset, r.window_idx): r for r in windows.windows(df, 3, size, with_coords=True, ahead=2).collect()}
+    seen = 0
+    for i, s in enumerate([text, "ACGTACGTACGTACGGG"]):
+        for offset in range(3):
+            kmers = [s[p : p + 3] for p in range(offset, len(s) - 3, 3)]
+            cut = [kmers[p : p + size] for p in range(0, len(kmers), size)]
+            for w, one in enumerate(cut):
+                r = found[str(i), offset, w]
+                seen += 1
+                assert (r.kmers, r.ahead) == (one, cut[w + 1 : w + 3])
+                assert [(c.start, c.end) for c in r.coords] == [(offset + (w * size + j) * 3, offset + (w * size + j) * 3 + 2) for j in range(len(one))]
+    assert seen == len(found)
