@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandwork.functions.draws import draw
 from strandwork.operators import masking, pairs, taxonomy, windows
-from strandwork.plans import generators
+from strandwork.plans import generators, queries
 from strandwork.sources import fasta, tables
 from strandwork.sources.taxonomy import read_taxonomy
 from strandwork.streaming import streams
@@ -271,3 +271,23 @@ def test_balanced_windows(spark, some):
     again = pairs.balanced_windows(some.repartition(3), members, 4, 2, 6, 1001).collect()
     assert sorted(map(tuple, again), key=str) == sorted(map(tuple, rows), key=str)
     assert pairs.balanced_windows(some.limit(0), members, 4, 2, 6, 10).isEmpty()
+
+
+@pytest.mark.parametrize("blank", [False, True])
+def test_masking_behind_the_sort_and_with_compiled_digests(spark, sf_dir, blank):
+    key = generators.WINDOW_KEY
+    df = windows.windows(windows.passes(windows.split_chunks(tables.sequences(spark, sf_dir)), 4), 4, 8)
+    plain = masking.masked(df, 4, 0.15, blank=blank, key=key).select(*key, "kmers", "truth")
+    fast = masking.masked(df, 4, 0.15, blank=blank, key=key, window_size=8).select(*key, "kmers", "truth")
+    assert plain.count() == fast.count() > 1000
+    assert plain.exceptAll(fast).isEmpty()
+    plan = queries.masked_random_order(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "'mask" not in plan[plan.index("Sort [") :] and "|mask" not in plan[plan.index("Sort [") :]
+
+
+def test_a_digest_is_compared_as_its_number(spark):
+    from strandwork.functions.draws import hex_number, is_under
+
+    df = spark.range(2000).select(F.md5(F.col("id").cast("string")).alias("d"))
+    for share in (0.0, 1e-9, 0.15, 0.5, 1.0, 1.5):
+        assert df.where(is_under(F.col("d"), share) != (hex_number(F.col("d"), 1, 8) / F.lit(float(1 << 32)) < share)).isEmpty()
