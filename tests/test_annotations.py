@@ -213,3 +213,24 @@ def test_rows_of_long_features_grow_slowly(spark):
     assert counts == sorted(counts) and counts[-1] <= 2 * 17
     covered = edges.where("b = 1000").select(F.inline(intervals._nodes(F.col("a"), F.col("b")))).collect()
     assert sorted(x for level, node in covered for x in range(node << level, (node + 1) << level)) == list(range(1, 1000))
+
+
+@pytest.mark.parametrize("k", [1, 2, 5])
+@pytest.mark.parametrize("n_types", [1, 3, 130])
+def test_label_texts_equal_label_arrays(spark, k, n_types):
+    rng = random.Random(n_types * 7 + k)
+    seqs = spark.createDataFrame([(str(i), "".join(rng.choice("ACGTNNN") for _ in range(n))) for i, n in enumerate((40, 300, 7))], "id string, seq string")
+    rows = []
+    for i in range(200):
+        start = rng.randrange(-20, 320)
+        rows.append((i, str(rng.randrange(2)), start, start + rng.choice((0, 1, 5, 40, 400)), f"t{i % n_types}"))
+    features = spark.createDataFrame(rows, "line_no long, landmark string, start long, end long, feature_type_strand string")
+    df = windows.windows(windows.passes(windows.split_chunks(seqs), k), k, 3, with_coords=True)
+    features, types = intervals.parsed(features)
+    key = ["id", "chunk_id", "offset", "rc", "window_idx"]
+    arrays = intervals.label_windows(df, features, types, k, key=key, window_size=3)
+    flat = F.array_join(F.flatten(F.flatten("classifications")).cast("array<string>"), "")
+    texts = intervals.label_windows(df, features, types, k, key=key, window_size=3, text=True)
+    expected = sorted(arrays.select(*key, flat.alias("labels")).collect())
+    assert sorted(texts.select(*key, "labels").collect()) == expected
+    assert any("1" in r.labels for r in expected) and any("1" not in r.labels for r in expected)
