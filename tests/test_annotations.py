@@ -234,3 +234,10 @@ def test_label_texts_equal_label_arrays(spark, k, n_types):
     expected = sorted(arrays.select(*key, flat.alias("labels")).collect())
     assert sorted(texts.select(*key, "labels").collect()) == expected
     assert any("1" in r.labels for r in expected) and any("1" not in r.labels for r in expected)
+
+
+def test_bins_are_opened_in_the_pass_that_makes_their_events(spark):
+    some = features(spark, (1, "s", "exon", 3, 9), (2, "s", "CDS", 100, 900))
+    changes = intervals.type_changes(some, intervals.type_dictionary(some), spark.createDataFrame([("s", 950)], "id string, seq_len int"), 5, n_types=2, bin_size=64)
+    assert changes._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= 4  # types and lengths, for edges and for nodes
+    assert changes.count() > 10
