@@ -241,3 +241,15 @@ def test_bins_are_opened_in_the_pass_that_makes_their_events(spark):
     changes = intervals.type_changes(some, intervals.type_dictionary(some), spark.createDataFrame([("s", 950)], "id string, seq_len int"), 5, n_types=2, bin_size=64)
     assert changes._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= 4  # types and lengths, for edges and for nodes
     assert changes.count() > 10
+
+
+def test_merged_label_texts_equal_label_arrays(spark):
+    some = features(spark, *((i, str(i % 2), f"t{i % 3}", i * 13 % 90, i * 13 % 90 + i % 9) for i in range(25)))
+    types = intervals.type_dictionary(some)
+    seqs = spark.createDataFrame([("0", "ACGTTGCA" * 15), ("1", "ACGNNNNA" * 12), ("2", "ACGT" * 9)], "id string, seq string")
+    df = windows.windows(windows.passes(windows.split_chunks(seqs), 3), 3, 2, full_only=True, with_coords=True)
+    key = generators.WINDOW_KEY
+    arrays = intervals.label_windows(df, some, types, 3, key=key, window_size=2, merged=True)
+    flat = F.array_join(F.flatten(F.flatten("classifications")).cast("array<string>"), "")
+    texts = intervals.label_windows(df, some, types, 3, key=key, window_size=2, merged=True, text=True)
+    assert sorted(texts.select(*key, "labels").collect()) == sorted(arrays.select(*key, flat.alias("labels")).collect())
