@@ -219,3 +219,10 @@ def test_windows_of_any_size_and_characters(spark, size):
                 assert (r.kmers, r.ahead) == (one, cut[w + 1 : w + 3])
                 assert [(c.start, c.end) for c in r.coords] == [(offset + (w * size + j) * 3, offset + (w * size + j) * 3 + 2) for j in range(len(one))]
     assert seen == len(found)
+
+
+def test_sliding_passes_make_no_arrays_of_a_tile(spark, sf_dir):
+    from strandwork.plans import queries
+
+    above = plan_above_windows(queries.sliding_passes(spark, sf_dir))
+    assert "lambda" not in above and "regexp" not in above
